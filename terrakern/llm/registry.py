@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.mixing import op3_mixing
+from terrakern.llm.pii import op5_pii
+from terrakern.llm.quality import op6_quality
 from terrakern.llm.secrets import op2_secrets
 from terrakern.llm.sharding import op4_sharding
 from terrakern.llm.urls import op1_urls
@@ -12,6 +15,9 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
