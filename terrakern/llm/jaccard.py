@@ -241,5 +241,19 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: those whose id is the group's least.
+
+    Rows that repeat an id count as one document, of which the row with the least hash of its text stays. A row without an id
+    can't be told from others and stays. The kept ids and the texts meet in one equi-join by doc_id, whose order also numbers
+    the rows of an id.
+    """
+    kept = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    named = named.withColumn("_copy", F.row_number().over(own)).where("_copy = 1").drop("_copy")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))

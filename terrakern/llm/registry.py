@@ -5,6 +5,7 @@ from __future__ import annotations
 from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.jaccard import op8_jaccard
 from terrakern.llm.mixing import op3_mixing
+from terrakern.llm.neardup import op7_neardup
 from terrakern.llm.pii import op5_pii
 from terrakern.llm.quality import op6_quality
 from terrakern.llm.secrets import op2_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op7_neardup": op7_neardup,
     "op8_jaccard": op8_jaccard,
     "op10_decontamination": op10_decontamination,
 }

@@ -113,3 +113,47 @@ def test_jaccard_edges(spark):
     got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string, cls int")).collect()
     assert sorted(((r.doc_id or -1), r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 1, 7), (7, 0, 7), (7, 1, 7), (8, 0, 8), (9, 0, 9)]
     assert jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string, cls int").limit(0)).count() == 0
+
+
+def vectors_brute(rows):
+    import numpy as np
+
+    good = {}
+    for n, (_, v) in enumerate(rows):
+        if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[n] = np.array(v, np.float32).astype(float)
+    links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.9]
+    root = reach(range(len(rows)), links)
+    least = {}
+    for n, r in root.items():
+        if rows[n][0] is not None:
+            least[r] = min(least.get(r, rows[n][0]), rows[n][0])
+    degree = [0] * len(rows)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    return sorted((str(rows[n][0]), degree[n], str(least.get(root[n]) if n in good else rows[n][0])) for n in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [4096, 32])
+def test_near_duplicates(spark, monkeypatch, block):
+    import numpy as np
+
+    from terrakern.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(30):
+        base = rng.normal(size=8)
+        rows += [base + rng.normal(size=8) * s for s in rng.choice([0.0, 0.1, 0.2, 0.4], rng.integers(1, 6))]
+    hot = rng.normal(size=8)
+    rows += [hot + rng.normal(size=8) * 0.02 for _ in range(80)] + [hot] * 20 + [2 * hot]
+    rows += [np.cos(t) * np.eye(8)[0] + np.sin(t) * np.eye(8)[1] for t in np.linspace(0, 2, 15)]
+    rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    rows += [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] + [0.0] * 6), (904, [float("nan")] * 8), (905, [float("inf")] * 8), (906, [1.0, 2.0]), (907, [2.0, 4.1]), (3, rows[3][1]), (None, rows[5][1]), (None, [9.0] * 8)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, cls int, n int")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == vectors_brute(rows)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
