@@ -7,9 +7,11 @@ only the first are multiplied, n - ceil(T * n) + 1 and a few more: what two rows
 the rest alone. A block of the product is a column, or the columns of a hash partition; its entries are added up by pairs of
 classes. A pair below the overlap that its sizes call for is discarded, and the others' whole rows are intersected.
 
-A group of many near copies would fill a block with all its pairs. So each column first links its members to its least member
-only; what these links join, a later turn doesn't multiply among itself, and only pairs across components are added up. No
-link between two components is lost, and components are all that is returned.
+A group of many near copies would fill a block with all its pairs. So each column first links its members to one of them only,
+the one with the fewest columns of its own: an original has none, while each copy begins with those of its edits. What
+these links join, a later turn doesn't multiply among itself, and only pairs across components are added up. In a column of
+many members a pair must also pass a bound from its rows' bitmaps, or it makes no entry at all. No link between two components
+is lost, and components are all that is returned.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from terrakern.llm.components import components
 WORDS = 5
 HASH_BITS, SKETCH_BITS, SLICE = 52, 18, 4096
 FILTER_BITS = 23
+#: Bits of a row's bitmap, and the members from which a column's pairs are first held against it.
+BITS, CROWD = 1024, 9
 #: A text of a slice of texts takes the bits above a hash.
 TEXTS = 1 << (64 - HASH_BITS)
 #: Stands for a null id inside the operator.
@@ -74,26 +78,34 @@ def _class_of(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return tb.mix(tb.mix(first + sizes.astype(_U)) ^ second).view(np.int64)
 
 
+def _bitmaps(sizes: np.ndarray, h: np.ndarray) -> pa.Array:
+    """BITS bits for each set, one for each member's hash; those set in one row alone bound the overlap of two."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bits = np.zeros((len(sizes), BITS), bool)
+    bits[owner, (h & _U(BITS - 1)).astype(np.int64)] = True
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words.ravel()))
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """A row (id, n, cls) for each document, and a task's rows (part, counts) of the sketch of all columns."""
+    """A row (id, n, cls, bits) for each document, and a task's rows (part, counts) of the sketch of all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["id", "n", "cls", "part", "counts"]
+        names = ["id", "n", "cls", "bits", "part", "counts"]
         for batch in batches:
-            ids, n, cls = batch.column(0), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for rows, sizes, h in shingle_sets(batch.column(1)):
-                n[rows], cls[rows] = sizes, _class_of(sizes, h)
                 sketch += np.bincount((h >> _U(HASH_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
-            empty = pa.nulls(batch.num_rows)
-            yield pa.record_batch([ids, pa.array(n), pa.array(cls), empty.cast(pa.int32()), empty.cast(pa.list_(pa.int32()))], names)
+                ids, empty = batch.column(0).slice(int(rows[0]), len(rows)), pa.nulls(len(rows))
+                made = [ids, pa.array(sizes), pa.array(_class_of(sizes, h)), _bitmaps(sizes, h), empty.cast(pa.int32()), empty.cast(pa.list_(pa.int32()))]
+                yield pa.record_batch(made, names)
         parts = np.flatnonzero(sketch.reshape(-1, SLICE).any(axis=1)).astype(np.int32)
         if len(parts):
             counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * SLICE), pa.array(sketch.reshape(-1, SLICE)[parts].ravel()))
             empty = pa.nulls(len(parts)).cast(pa.int64())
-            yield pa.record_batch([empty, empty, empty, pa.array(parts), counts], names)
+            yield pa.record_batch([empty, empty, empty, pa.nulls(len(parts)).cast(pa.list_(pa.int64())), pa.array(parts), counts], names)
 
-    return docs.mapInArrow(run, "id long, n long, cls long, part int, counts array<int>")
+    return docs.mapInArrow(run, "id long, n long, cls long, bits array<long>, part int, counts array<int>")
 
 
 def _ranks(classes: DataFrame) -> np.ndarray:
@@ -155,6 +167,26 @@ def _promising(pairs: DataFrame) -> DataFrame:
     return pairs.where(sizes & (F.col("shared") >= need))
 
 
+def _may_overlap(a: Column, b: Column) -> Column:
+    """Whether the bits that one bitmap alone has set leave an overlap that makes a link. a, b: structs of n and bits."""
+    need = F.ceil((a["n"] + b["n"]) * 4 / 9)
+
+    def alone(x: Column, y: Column) -> Column:
+        return sum((F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y["bits"], F.lit(i))))) for i in range(BITS // 64)), F.lit(0))
+
+    return (a["n"] - alone(a, b) >= need) & (b["n"] - alone(b, a) >= need)
+
+
+def _pairs(placed: DataFrame, more: Column | None = None) -> DataFrame:
+    """(a, b, n_a, n_b) for each column and two of its members of different components and fitting sizes, the smaller first."""
+    a, b = placed.alias("a"), placed.alias("b")
+    ordered = F.expr("a.n < b.n OR (a.n = b.n AND a.cls < b.cls)") & F.expr("a.c <> b.c AND a.n * 5 >= b.n * 4")
+    if more is not None:
+        ordered = ordered & more
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & ordered)
+    return met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+
+
 def _bit_filter(ids: DataFrame) -> np.ndarray:
     """2 ** FILTER_BITS bits, whatever the number of ids; more ids only let more strangers through."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
@@ -206,27 +238,32 @@ def groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text"))
     told = cut(_classes(docs))
     rows = told.where(F.col("part").isNull()).select("id", "n", "cls")
+    bitmaps = told.where("n > 0").groupBy("cls").agg(F.first("bits").alias("bits"))
     known_id = F.when(F.col("id") != NO_ID, F.col("id"))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(known_id).alias("known"))
     reps = classes.select("cls", "id")
 
     column = Window.partitionBy("h")
     entries = _entries(docs, _ranks(told))
-    marked = entries.select("*", F.min("cls").over(column).alias("_lo"), F.max("cls").over(column).alias("_hi"), F.min(F.struct("n", "cls")).over(column).alias("_least"))
-    marked = cut(marked.where("_lo <> _hi").select("h", "cls", "n", F.col("_least.cls").alias("least"), F.col("_least.n").alias("n_least")).distinct())
-
-    stars = marked.where("cls <> least").groupBy(F.col("least").alias("a"), F.col("cls").alias("b")).agg(F.first("n_least").alias("n_a"), F.first("n").alias("n_b"), F.count(F.lit(1)).alias("shared"))
-    stars = cut(_promising(stars))
+    marked = entries.select("*", F.min("cls").over(column).alias("_lo"), F.max("cls").over(column).alias("_hi"))
+    marked = cut(marked.where("_lo <> _hi").select("h", "cls", "n").distinct())
+    own = marked.groupBy("cls").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("common"))
+    own = own.select("cls", (F.col("n") - _suffix(F.col("n"), F.floor) - F.col("common")).alias("own"))
+    hubs = marked.join(own, "cls").groupBy("h").agg(F.min(F.struct("own", "n", "cls")).alias("hub"))
+    hubs = hubs.select("h", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_hub"))
+    swap = (F.col("n_hub") > F.col("n")) | ((F.col("n_hub") == F.col("n")) & (F.col("hub") > F.col("cls")))
+    ends = {"a": ("hub", "cls"), "b": ("cls", "hub"), "n_a": ("n_hub", "n"), "n_b": ("n", "n_hub")}
+    stars = marked.join(hubs, "h").where("cls <> hub").select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(c) for c, (x, y) in ends.items()])
+    stars = cut(_promising(stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))))
     edges = cut(_linked(stars, docs, reps))
 
     joined = components(edges).select(F.col("node").alias("cls"), "component")
     placed = marked.join(joined, "cls", "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("c"))
-    mixed = placed.groupBy("h").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("h")
-    placed = cut(placed.join(mixed, "h", "left_semi"))
-    left = placed.select("h", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("_ca"))
-    right = placed.select("h", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("_cb"))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    across = left.join(right, "h").where(ordered & (F.col("_ca") != F.col("_cb")) & (F.col("n_a") * 5 >= F.col("n_b") * 4))
+    mixed = placed.groupBy("h").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("members")).where("_lo <> _hi")
+    placed = cut(placed.join(mixed.select("h", "members"), "h"))
+    crowded = placed.where(F.col("members") >= CROWD).join(bitmaps, "cls")
+    near = _may_overlap(F.struct("a.n", "a.bits"), F.struct("b.n", "b.bits"))
+    across = _pairs(placed.where(F.col("members") < CROWD)).unionByName(_pairs(crowded, near))
     across = across.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     across = cut(_promising(across).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     edges = edges.unionByName(_linked(across, docs, reps))
