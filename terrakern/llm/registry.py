@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.jaccard import op8_jaccard
+from terrakern.llm.lm import op9_lm
 from terrakern.llm.mixing import op3_mixing
 from terrakern.llm.neardup import op7_neardup
 from terrakern.llm.pii import op5_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_neardup": op7_neardup,
     "op8_jaccard": op8_jaccard,
+    "op9_lm": op9_lm,
     "op10_decontamination": op10_decontamination,
 }
 
