@@ -49,3 +49,13 @@ def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[Column
     offsets = sizes.select(*cell, F.coalesce(F.sum("_cell_n").over(before), F.lit(0)).alias("_offset"))
     local = df.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1)
     return local.join(offsets, cell).withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).drop("_offset", "_place", "_bucket")
+
+
+def sample(df: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """At most `limit` rows, the first by the hash of `key`. Rows whose hash is far beyond theirs, twice as many and a hundred
+    more being let through, stay where they are, so what tasks send for the last choice doesn't grow with their number."""
+    total, through = df.count(), 2 * limit + 100
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(*key), F.lit(1 << 40)))
+    if total > through:
+        hashed = hashed.where(F.col("_h") < int((1 << 40) * through / total))
+    return hashed.orderBy("_h", *key).limit(limit).drop("_h")

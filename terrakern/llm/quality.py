@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrakern.llm import textbytes as tb
-from terrakern.llm.common import cut, id_text_crc, table
+from terrakern.llm.common import cut, id_text_crc, sample, table
 
 #: Rows of each kind that training sees at most.
 SAMPLE = 20_000
@@ -162,7 +162,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: f
 
 def _sampled(rows: DataFrame, limit: int) -> np.ndarray:
     """Features of at most `limit` rows, by the hash of the id."""
-    got = rows.select("f", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(limit).select("f").collect()
+    got = sample(rows.select("f", "doc_id"), ["doc_id"], limit).select("f").collect()
     return np.array([r["f"] for r in got], np.float64).reshape(-1, len(FEATURES))
 
 
@@ -170,13 +170,13 @@ def held_out(doc_id: Column) -> Column:
     return id_text_crc(doc_id) % FOLDS == HELD_OUT
 
 
-def train(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(featured: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """featured: (doc_id, f). Labels (doc_id, quality): a document is a trusted positive if any of its labels is 1."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     learning = featured.where(~held_out(F.col("doc_id"))).select("doc_id", "f")
     positive = learning.join(trusted, "doc_id", "left_semi")
     unlabelled = learning.join(trusted, "doc_id", "left_anti")
-    return fit(_sampled(positive, sample), _sampled(unlabelled, sample))
+    return fit(_sampled(positive, most), _sampled(unlabelled, most))
 
 
 def rate(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
