@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakern.llm.common import cut, table
+from terrakern.llm.common import cut, sample, table
 from terrakern.llm.components import components
 
 COSINE = 0.9
@@ -167,7 +167,7 @@ def _meet(vectors: DataFrame, cosine: float, dim: int) -> DataFrame:
     spark = vectors.sparkSession
     total = vectors.count()
     k = int(min(max(1, -(-total // BLOCK)), MOST_PIVOTS, max(1, PIVOT_BYTES // (8 * dim))))
-    chosen = vectors.orderBy(F.xxhash64("cls"), "cls").limit(k).select("v").collect()
+    chosen = sample(vectors, ["cls"], k).select("v").collect()
     pivots = np.array([r["v"] for r in chosen], np.float64)
     cells = Cells(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), cosine)
     cells = _survey(vectors, cells, dim)
