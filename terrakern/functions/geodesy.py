@@ -58,81 +58,124 @@ class Belt:
         return (lat * terms[0] - sine(lat * 2) * terms[1] + sine(lat * 4) * terms[2] - sine(lat * 6) * terms[3]) * self.a
 
 
-def to_geographic(northing: Column, easting: Column, code: str) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees on the belt's own datum, by the series to the sixth power."""
+def _pack(**parts: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+
+def geographic(northing: Column, easting: Column, code: str) -> Column:
+    """struct<lat, lon> in degrees on the belt's own datum, by the series to the sixth power."""
     belt = Belt.of(code)
     e2, ep2 = belt.e2, belt.e2 / (1 - belt.e2)
     n = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    arc = northing - belt.northing + belt.meridian(math.radians(ORIGIN_LATITUDE))
-    mu = arc / (belt.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    foot = mu
-    for k, factor in ((2, 3 * n / 2 - 27 * n**3 / 32), (4, 21 * n**2 / 16 - 55 * n**4 / 32), (6, 151 * n**3 / 96), (8, 1097 * n**4 / 512)):
-        foot = foot + F.sin(mu * k) * factor
-    met = let(F.struct(foot.alias("foot"), (easting - FALSE_EASTING).alias("east")), lambda v: _from_foot(v["foot"], v["east"], belt, ep2))
-    return met["lat"], met["lon"]
+    origin = belt.meridian(math.radians(ORIGIN_LATITUDE)) - belt.northing
+    series = ((2, 3 * n / 2 - 27 * n**3 / 32), (4, 21 * n**2 / 16 - 55 * n**4 / 32), (6, 151 * n**3 / 96), (8, 1097 * n**4 / 512))
+
+    def foot_point(v: Column) -> Column:
+        foot = v["mu"]
+        for k, factor in series:
+            foot = foot + F.sin(v["mu"] * k) * factor
+        return let(_pack(foot=foot, east=v["east"]), powers)
+
+    def powers(v: Column) -> Column:
+        flat = F.lit(1.0) - F.pow(F.sin(v["foot"]), 2) * e2
+        c, t, normal = F.pow(F.cos(v["foot"]), 2) * ep2, F.pow(F.tan(v["foot"]), 2), F.lit(belt.a) / F.sqrt(flat)
+        return let(_pack(foot=v["foot"], c=c, t=t, normal=normal, curve=F.lit(belt.a * (1 - e2)) / F.pow(flat, 1.5), d=v["east"] / normal), place)
+
+    def place(v: Column) -> Column:
+        c, t, d, foot = v["c"], v["t"], v["d"], v["foot"]
+        second = F.pow(d, 2) / 2
+        fourth = F.pow(d, 4) / 24 * (t * 3 + 5 + c * 10 - c * c * 4 - 9 * ep2)
+        sixth = F.pow(d, 6) / 720 * (t * 90 + 61 + c * 298 + t * t * 45 - 252 * ep2 - c * c * 3)
+        third = F.pow(d, 3) / 6 * (t * 2 + 1 + c)
+        fifth = F.pow(d, 5) / 120 * (t * 28 + 5 - c * 2 - c * c * 3 + 8 * ep2 + t * t * 24)
+        lat = foot - v["normal"] * F.tan(foot) / v["curve"] * (second - fourth + sixth)
+        return _pack(lat=F.degrees(lat), lon=F.degrees((d - third + fifth) / F.cos(foot) + belt.lon0))
+
+    mu = (northing + origin) / (belt.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    return let(_pack(mu=mu, east=easting - FALSE_EASTING), foot_point)
 
 
-def _from_foot(foot: Column, east: Column, belt: Belt, ep2: float) -> Column:
-    e2 = belt.e2
-    flat = F.lit(1.0) - F.pow(F.sin(foot), 2) * e2
-    normal, curve = F.lit(belt.a) / F.sqrt(flat), F.lit(belt.a * (1 - e2)) / F.pow(flat, 1.5)
-    c, t, d = F.pow(F.cos(foot), 2) * ep2, F.pow(F.tan(foot), 2), east / normal
-    second = F.pow(d, 2) / 2
-    fourth = F.pow(d, 4) / 24 * (t * 3 + 5 + c * 10 - c * c * 4 - 9 * ep2)
-    sixth = F.pow(d, 6) / 720 * (t * 90 + 61 + c * 298 + t * t * 45 - 252 * ep2 - c * c * 3)
-    lat = foot - normal * F.tan(foot) / curve * (second - fourth + sixth)
-    third = F.pow(d, 3) / 6 * (t * 2 + 1 + c)
-    fifth = F.pow(d, 5) / 120 * (t * 28 + 5 - c * 2 - c * c * 3 + 8 * ep2 + t * t * 24)
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees((d - third + fifth) / F.cos(foot) + belt.lon0).alias("lon"))
+def to_geographic(northing: Column, easting: Column, code: str) -> tuple[Column, Column]:
+    """Latitude and longitude in degrees on the belt's own datum."""
+    met = geographic(northing, easting, code)
+    return met["lat"], met["lon"]
 
 
 def to_grid(lat: Column, lon: Column, code: str) -> tuple[Column, Column]:
     """Northing and easting of a latitude and longitude in degrees on the belt's own datum."""
     belt = Belt.of(code)
     ep2 = belt.e2 / (1 - belt.e2)
-    phi = F.radians(lat)
-    t, c = F.pow(F.tan(phi), 2), F.pow(F.cos(phi), 2) * ep2
-    x = (F.radians(lon) - belt.lon0) * F.cos(phi)
-    normal = F.lit(belt.a) / F.sqrt(F.lit(1.0) - F.pow(F.sin(phi), 2) * belt.e2)
-    rise = F.pow(x, 2) / 2 + F.pow(x, 4) / 24 * (F.lit(5.0) - t + c * 9 + c * c * 4)
-    rise = rise + F.pow(x, 6) / 720 * (F.lit(61.0) - t * 58 + t * t + c * 600 - 330 * ep2)
-    north = belt.meridian(phi) - belt.meridian(math.radians(ORIGIN_LATITUDE)) + normal * F.tan(phi) * rise + belt.northing
-    run = x + F.pow(x, 3) / 6 * (F.lit(1.0) - t + c) + F.pow(x, 5) / 120 * (F.lit(5.0) - t * 18 + t * t + c * 72 - 58 * ep2)
-    return north, normal * run + FALSE_EASTING
 
+    def powers(v: Column) -> Column:
+        phi = v["phi"]
+        normal = F.lit(belt.a) / F.sqrt(F.lit(1.0) - F.pow(F.sin(phi), 2) * belt.e2)
+        return let(_pack(phi=phi, t=F.pow(F.tan(phi), 2), c=F.pow(F.cos(phi), 2) * ep2, x=(v["lam"] - belt.lon0) * F.cos(phi), normal=normal), place)
 
-def shift_datum(lat: Column, lon: Column, rounds: int = 8) -> tuple[Column, Column]:
-    """Degrees on the old datum's ellipsoid as degrees on the new one's, through a seven-parameter shift at height 0."""
+    def place(v: Column) -> Column:
+        t, c, x = v["t"], v["c"], v["x"]
+        rise = F.pow(x, 2) / 2 + F.pow(x, 4) / 24 * (F.lit(5.0) - t + c * 9 + c * c * 4)
+        rise = rise + F.pow(x, 6) / 720 * (F.lit(61.0) - t * 58 + t * t + c * 600 - 330 * ep2)
+        north = belt.meridian(v["phi"]) - belt.meridian(math.radians(ORIGIN_LATITUDE)) + v["normal"] * F.tan(v["phi"]) * rise + belt.northing
+        run = x + F.pow(x, 3) / 6 * (F.lit(1.0) - t + c) + F.pow(x, 5) / 120 * (F.lit(5.0) - t * 18 + t * t + c * 72 - 58 * ep2)
+        return _pack(north=north, east=v["normal"] * run + FALSE_EASTING)
+
+    met = let(_pack(phi=F.radians(lat), lam=F.radians(lon)), powers)
+    return met["north"], met["east"]
+
+
+def shifted(place: Column, rounds: int = 8) -> Column:
+    """struct<lat, lon> of degrees on the old datum's ellipsoid as degrees on the new one's: a seven-parameter shift at height 0."""
     a, inverse = ELLIPSOIDS["bessel"]
     e2 = (2 - 1 / inverse) / inverse
-    phi, lam = F.radians(lat), F.radians(lon)
-    normal = F.lit(a) / F.sqrt(F.lit(1.0) - F.pow(F.sin(phi), 2) * e2)
-    x, y, z = normal * F.cos(phi) * F.cos(lam), normal * F.cos(phi) * F.sin(lam), normal * F.sin(phi) * (1 - e2)
+    a_new, inverse = ELLIPSOIDS["grs80"]
+    e2_new = (2 - 1 / inverse) / inverse
     dx, dy, dz, *turns, ppm = SHIFT
     rx, ry, rz = (math.radians(s / 3600) for s in turns)
     scale = 1 + ppm * 1e-6
-    x, y, z = x * scale - y * rz + z * ry + dx, x * rz + y * scale - z * rx + dy, y * rx - x * ry + z * scale + dz
-    a, inverse = ELLIPSOIDS["grs80"]
-    e2 = (2 - 1 / inverse) / inverse
-    across = F.sqrt(x * x + y * y)
-    out = F.atan2(z, across * (1 - e2))
-    start = F.struct(out.alias("phi"), z.alias("z"), across.alias("p"))
+
+    def centred(v: Column) -> Column:
+        phi, lam = F.radians(v["lat"]), F.radians(v["lon"])
+        normal = F.lit(a) / F.sqrt(F.lit(1.0) - F.pow(F.sin(phi), 2) * e2)
+        return let(_pack(x=normal * F.cos(phi) * F.cos(lam), y=normal * F.cos(phi) * F.sin(lam), z=normal * F.sin(phi) * (1 - e2)), turned)
+
+    def turned(v: Column) -> Column:
+        x, y, z = v["x"], v["y"], v["z"]
+        return let(_pack(x=x * scale - y * rz + z * ry + dx, y=x * rz + y * scale - z * rx + dy, z=y * rx - x * ry + z * scale + dz), back)
+
+    def back(v: Column) -> Column:
+        across = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+        start = _pack(phi=F.atan2(v["z"], across * (1 - e2_new)), z=v["z"], p=across)
+        phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again)["phi"]
+        return _pack(lat=F.degrees(phi), lon=F.degrees(F.atan2(v["y"], v["x"])))
 
     def again(s: Column, _: Column) -> Column:
         sine = F.sin(s["phi"])
-        return F.struct(F.atan2(s["z"] + sine * e2 * a / F.sqrt(F.lit(1.0) - sine * sine * e2), s["p"]).alias("phi"), s["z"].alias("z"), s["p"].alias("p"))
+        return _pack(phi=F.atan2(s["z"] + sine * e2_new * a_new / F.sqrt(F.lit(1.0) - sine * sine * e2_new), s["p"]), z=s["z"], p=s["p"])
+
+    return let(place, centred)
 
-    return F.degrees(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again)["phi"]), F.degrees(F.atan2(y, x))
+
+def shift_datum(lat: Column, lon: Column, rounds: int = 8) -> tuple[Column, Column]:
+    met = shifted(_pack(lat=lat, lon=lon), rounds)
+    return met["lat"], met["lon"]
+
+
+def wgs84_place(northing: Column, easting: Column, crs: Column) -> Column:
+    """struct<lat, lon> of grid coordinates whose system is in a column; EPSG:4326 passes, others give null."""
+
+    def by_system(v: Column) -> Column:
+        out = F.when(v["crs"] == "EPSG:4326", _pack(lat=v["n"], lon=v["e"]))
+        for code, (ellipsoid, _, _) in BELTS.items():
+            own = geographic(v["n"], v["e"], code)
+            out = out.when(v["crs"] == code, shifted(own) if ellipsoid == "bessel" else own)
+        return out
+
+    return let(_pack(n=northing.cast("double"), e=easting.cast("double"), crs=crs), by_system)
 
 
 def grid_to_wgs84(northing: Column, easting: Column, crs: Column) -> tuple[Column, Column]:
-    """Latitude and longitude of grid coordinates whose system is in a column; EPSG:4326 passes, others give null."""
-    lat, lon = F.when(crs == "EPSG:4326", northing), F.when(crs == "EPSG:4326", easting)
-    for code, (ellipsoid, _, _) in BELTS.items():
-        own = to_geographic(northing, easting, code)
-        own = shift_datum(*own) if ellipsoid == "bessel" else own
-        lat, lon = lat.when(crs == code, own[0]), lon.when(crs == code, own[1])
-    return lat, lon
+    met = wgs84_place(northing, easting, crs)
+    return met["lat"], met["lon"]
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

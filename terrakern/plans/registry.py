@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from terrakern.functions import geodesy, groundwater, names, parse
 from terrakern.operators import aggregates as A
+from terrakern.operators import coordinates as C
+from terrakern.operators import documents as DOC
 from terrakern.operators import duplicates as D
 from terrakern.operators import intervals as I
+from terrakern.operators import modelling as N
 from terrakern.operators import mutations as M
 from terrakern.operators import overlay as O
 from terrakern.operators import selection as S
@@ -715,3 +718,138 @@ def voxel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- coordinates, models and pages
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'EPSG:5187' ELSE 'EPSG:5186' END AS crs, CASE WHEN c_custkey % 3 = 0 THEN 'yx' ELSE 'xy' END AS reading FROM customer WHERE c_custkey < 500")
+def readings_of_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the south-east on their own belt, and in the west on the other, some with their numbers exchanged."""
+    c = T.table(spark, sf_dir, "customer").where("c_custkey < 500")
+    east = F.col("c_custkey") % 2 == 0
+    lat, lon = F.lit(35.15), F.when(east, F.lit(129.05)).otherwise(F.lit(126.95))
+    grid = {code: geodesy.to_grid(lat, lon, code) for code in ("EPSG:5187", "EPSG:5186")}
+    c = c.withColumns({"n": F.when(east, grid["EPSG:5187"][0]).otherwise(grid["EPSG:5186"][0]), "e": F.when(east, grid["EPSG:5187"][1]).otherwise(grid["EPSG:5186"][1])})
+    swapped = F.col("c_custkey") % 3 == 0
+    c = c.withColumns({"x": F.when(swapped, F.col("n")).otherwise(F.col("e")), "y": F.when(swapped, F.col("e")).otherwise(F.col("n"))})
+    codes = ("EPSG:5187", "EPSG:5186")
+    in_east = C.best_by_region(c.where(east), "x", "y", (129.0, 35.1, 129.1, 35.2), (128.5, 34.5, 129.5, 35.5), codes)
+    in_west = C.best_by_region(c.where(~east), "x", "y", (126.9, 35.1, 127.0, 35.2), (126.5, 34.5, 127.5, 35.5), codes)
+    return in_east.unionByName(in_west).select("c_custkey", "crs", "reading")
+
+
+@query(
+    """WITH g AS (SELECT CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, CAST((i * 7 + j * 3) % 5 AS DOUBLE) AS z FROM range(8) t(j), range(8) s(i)) SELECT a.j, a.i, ROUND(AVG(b.z), 6) AS z FROM g a JOIN g b ON ABS(a.i - b.i) <= 1 AND ABS(a.j - b.j) <= 1 GROUP BY a.j, a.i"""
+)
+def means_of_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = spark.range(64).select(F.lit(0).alias("project"), F.floor(F.col("id") / 8).cast("int").alias("j"), (F.col("id") % 8).cast("int").alias("i"))
+    g = g.withColumn("z", ((F.col("i") * 7 + F.col("j") * 3) % 5).cast("double"))
+    return N.mean_of_nine(g).select("j", "i", F.round("z", 6).alias("z"))
+
+
+@query(_with(T.POINTS, then="SELECT key, 2 * x + 3 * y AS z FROM points WHERE x BETWEEN 0 AND 1024 AND y BETWEEN 0 AND 1024"))
+def sampled_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An even grid of a plane gives the plane between its nodes."""
+    p = T.points(spark, sf_dir).select("key", "project", "x", "y")
+    boxes = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(64.0).alias("dx"), F.lit(64.0).alias("dy"), F.lit(17).alias("columns"), F.lit(17).alias("rows"))
+    grid = _nodes(spark, sf_dir, 17).withColumn("z", F.col("x") * 2 + F.col("y") * 3)
+    return N.sampled(p, grid.drop("x", "y"), boxes).select("key", "z")
+
+
+@query(
+    _with(
+        T.STRATA,
+        "p AS (SELECT borehole_id AS id, COALESCE(SUM(thickness) FILTER (WHERE soil_type = 'A'), 0.0) AS a, COALESCE(SUM(thickness) FILTER (WHERE soil_type = 'N'), 0.0) AS n, COALESCE(SUM(thickness) FILTER (WHERE soil_type = 'R'), 0.0) AS r FROM strata GROUP BY borehole_id)",
+        then="SELECT id, 'soil' AS layer, 500.0 - a AS z FROM p WHERE a > 0 UNION ALL SELECT id, 'soft_rock', 500.0 - a - n FROM p WHERE n > 0 UNION ALL SELECT id, 'hard_rock', 500.0 - a - n - r FROM p WHERE r > 0",
+    )
+)
+def boundary_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = A.thickness_by(T.strata(spark, sf_dir), "borehole_id", "soil_type", ["A", "N", "R"])
+    profiles = wide.select(F.col("borehole_id").alias("id"), F.lit(0).alias("project"), F.lit(500.0).alias("surface"), F.col("A").alias("soil"), F.lit(0.0).alias("weathered_rock"), F.col("N").alias("soft_rock"), F.lit(0.0).alias("normal_rock"), F.col("R").alias("hard_rock"))
+    return N.boundary_targets(profiles).select("id", "layer", "z")
+
+
+@query(
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN a + b > 0.001 THEN a / (a + b) WHEN c > 0.001 THEN 0.0 ELSE 0.0 END AS first_share, CASE WHEN a + b > 0.001 THEN b / (a + b) ELSE 1.0 END AS last_share
+ FROM (SELECT *, GREATEST(l_quantity - 40, 0) AS a, GREATEST(l_quantity - 45, 0) AS b, 0.0 AS c FROM lineitem)"""
+)
+def extension_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, last = N.extension_weights([F.col("l_quantity") - 40, F.col("l_quantity") - 45], [F.lit(0.0), F.lit(0.0)])
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", first.alias("first_share"), last.alias("last_share"))
+
+
+@query(
+    _with(
+        T.POINTS,
+        then="SELECT project, CAST(ROW_NUMBER() OVER (PARTITION BY project ORDER BY v) - 1 AS INTEGER) AS place, v AS at_value FROM (SELECT project, x AS v FROM points WHERE x BETWEEN 0 AND 512 UNION SELECT CAST(n_nationkey AS BIGINT), k * 64.0 FROM nation, range(9) t(k))",
+    )
+)
+def constrained_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), F.lit(0.0).alias("lo"), F.lit(512.0).alias("hi"))
+    return N.constrained_axis(T.points(spark, sf_dir).select("project", F.col("x").alias("at")), bounds, 9).withColumnRenamed("at", "at_value")
+
+
+@query(
+    "SELECT s_suppkey AS tri, 0.0 AS ax, CAST(s_suppkey AS DOUBLE) / 2 AS ay, 1.0 AS az, 0.0 AS bx, CAST(s_suppkey AS DOUBLE) / 2 AS by_, 3.0 AS bz FROM supplier WHERE s_suppkey > 0"
+)
+def section_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles over the plane x = 0, each cut halfway up two of its edges."""
+    k = F.col("s_suppkey").cast("double")
+    corners = {"x0": F.lit(-1.0), "y0": F.lit(0.0), "z0": F.lit(0.0), "x1": F.lit(1.0), "y1": k, "z1": F.lit(2.0), "x2": F.lit(-1.0), "y2": F.lit(0.0), "z2": F.lit(4.0)}
+    triangles = T.table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("tri"), *[c.alias(n) for n, c in corners.items()])
+    return N.cut_triangles(triangles, (1.0, 0.0, 0.0), 0.0).withColumnRenamed("by", "by_")
+
+
+_CELLS = "'| BH-' || CAST(p_partkey AS STRING) || ' | ' || p_name || ' | |'"
+
+
+@query("SELECT p_partkey AS line_no, 'BH-' || CAST(p_partkey AS VARCHAR) AS first, p_name AS second, CAST(3 AS BIGINT) AS n FROM part WHERE p_partkey % 3 = 0")
+def pipe_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_partkey") % 3 == 0, F.expr(_CELLS)).when(F.col("p_partkey") % 3 == 1, F.lit("|---|:--:|")).otherwise(F.col("p_name"))
+    lines = T.table(spark, sf_dir, "part").select(F.lit("d").alias("doc"), F.col("p_partkey").alias("line_no"), text.alias("text"))
+    return DOC.pipe_rows(lines).select("line_no", F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"), F.size("cells").cast("long").alias("n"))
+
+
+@query(
+    _with(
+        T.LAYERS,
+        then="SELECT soil_type AS upper, below AS lower, COUNT(*) AS n FROM (SELECT soil_type, LEAD(soil_type) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS below FROM layers) WHERE below <> soil_type GROUP BY soil_type, below",
+    )
+)
+def soil_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.layers(spark, sf_dir).withColumn("place", F.struct(*ORDER))
+    return DOC.precedence(rows, "borehole_id", "place", "soil_type")
+
+
+@query("SELECT n_name AS name, CAST(ROW_NUMBER() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INTEGER) AS place FROM nation")
+def ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain through each region, regions by rank: the order that both keep."""
+    n = T.table(spark, sf_dir, "nation")
+    chain = n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).select(F.col("a.n_name").alias("upper"), F.col("b.n_name").alias("lower"))
+    return DOC.topological(chain, n.select(F.col("n_name").alias("name"), (F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("rank")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 1 THEN 'existing' WHEN o_orderkey % 3 = 0 THEN 'manual' ELSE 'upload-' || CAST(o_orderkey % 7 AS VARCHAR) END AS grp FROM orders")
+def holes_by_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.links(spark, sf_dir).select("id", "project_role", F.col("id").alias("ord"), F.when(F.col("id") % 3 != 0, F.col("id") % 7).alias("job"))
+    return DOC.by_upload(rows).select("id", F.col("group").alias("grp"))
+
+
+@query(
+    _with(
+        T.STRATA,
+        then="SELECT borehole_id, MAX(depth_bottom) / 10 AS deepest FROM strata GROUP BY borehole_id",
+    )
+)
+def repaired_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottoms in tenths, all but the last with their point: nothing contradicts them, so all stay."""
+    rows = T.strata(spark, sf_dir).select("borehole_id", (F.col("depth_bottom") / 10).alias("d")).distinct().withColumn("ord", F.col("d"))
+    return DOC.repaired_depths(rows, HOLE, "ord", "d").groupBy("borehole_id").agg(F.max("d").alias("deepest"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'EL' WHEN 1 THEN 'GL' WHEN 2 THEN 'GL' ELSE 'unknown' END AS datum, CAST(ROUND(LEAST(0.75 + CASE WHEN value <= 3 THEN 0.15 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN 0.08 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 0.02 ELSE 0 END, 1.0), 2) AS DOUBLE) AS confidence FROM events")
+def label_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.get(F.array(*[F.lit(u) for u in ("EL. m", "(GL - m)", "-m", "m")]), (F.col("event_id") % 4).cast("int"))
+    confidence = DOC.label_confidence(F.col("value"), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0)
+    return T.table(spark, sf_dir, "events").select("event_id", DOC.datum_of(unit).alias("datum"), confidence.alias("confidence"))
