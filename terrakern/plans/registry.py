@@ -23,7 +23,7 @@ from terrakern.plans import standins as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-HOLE, ORDER = ["borehole_id"], T.ORDER
+HOLE, KEY, ORDER = ["borehole_id"], T.KEY, T.ORDER
 
 
 def query(sql: str | None = None) -> Callable:
@@ -175,7 +175,7 @@ def named_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(T.HOLES, T.STRATA, then="SELECT s.borehole_id, l_linenumber, l_partkey, l_suppkey, elevation - depth_top AS z_top, elevation - depth_bottom AS z_bot, depth_bottom - depth_top AS thickness FROM strata s JOIN holes h ON h.id = s.borehole_id"))
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.segments(T.holes(spark, sf_dir), T.strata(spark, sf_dir)).select("borehole_id", *ORDER, "z_top", "z_bot", "thickness")
+    return S.segments(T.holes(spark, sf_dir), T.strata(spark, sf_dir)).select("borehole_id", *KEY, "z_top", "z_bot", "thickness")
 
 
 @query(_with(T.HOLES, T.STRATA, then="SELECT h.id, COUNT(s.borehole_id) AS n_strata, COALESCE(MAX(s.depth_bottom), 0.0) AS deepest FROM holes h LEFT JOIN strata s ON s.borehole_id = h.id GROUP BY h.id"))
@@ -273,13 +273,13 @@ def thickness_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.thickness_by(T.strata(spark, sf_dir), "borehole_id", "soil_type", ["A", "N", "R"])
 
 
-_TURNS = "turns AS (SELECT *, LAG(soil_type) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM layers)"
+_TURNS = "turns AS (SELECT *, LAG(soil_type) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) AS before FROM layers)"
 
 
 @query(
     _with(
         T.LAYERS, _TURNS,
-        then="SELECT sequence, COUNT(*) AS n FROM (SELECT borehole_id, STRING_AGG(soil_type, '>' ORDER BY l_linenumber, l_partkey, l_suppkey) AS sequence FROM turns WHERE before IS NULL OR before <> soil_type GROUP BY borehole_id) GROUP BY sequence",
+        then="SELECT sequence, COUNT(*) AS n FROM (SELECT borehole_id, STRING_AGG(soil_type, '>' ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) AS sequence FROM turns WHERE before IS NULL OR before <> soil_type GROUP BY borehole_id) GROUP BY sequence",
     )
 )
 def soil_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +289,7 @@ def soil_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.LAYERS,
-        then="SELECT soil_type, occurrence, COUNT(*) AS holes, AVG(place) AS mean_place FROM (SELECT soil_type, ROW_NUMBER() OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS place, CAST(ROW_NUMBER() OVER (PARTITION BY borehole_id, soil_type ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS occurrence FROM layers) GROUP BY soil_type, occurrence",
+        then="SELECT soil_type, occurrence, COUNT(*) AS holes, AVG(place) AS mean_place FROM (SELECT soil_type, ROW_NUMBER() OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) - 1 AS place, CAST(ROW_NUMBER() OVER (PARTITION BY borehole_id, soil_type ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) AS INTEGER) AS occurrence FROM layers) GROUP BY soil_type, occurrence",
     )
 )
 def soil_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +313,7 @@ def commonest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.STRATA,
-        then="""SELECT borehole_id, run, MIN(soil_type) AS soil_type, MIN(depth_top) AS depth_top, MAX(depth_bottom) AS depth_bottom, COUNT(*) AS parts FROM (SELECT *, SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN LAG(soil_type) OVER w = soil_type AND ABS(LAG(depth_bottom) OVER w - depth_top) <= 0.05 THEN 0 ELSE 1 END AS b FROM strata WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey))) GROUP BY borehole_id, run""",
+        then="""SELECT borehole_id, run, MIN(soil_type) AS soil_type, MIN(depth_top) AS depth_top, MAX(depth_bottom) AS depth_bottom, COUNT(*) AS parts FROM (SELECT *, SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN LAG(soil_type) OVER w = soil_type AND ABS(LAG(depth_bottom) OVER w - depth_top) <= 0.05 THEN 0 ELSE 1 END AS b FROM strata WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type))) GROUP BY borehole_id, run""",
     )
 )
 def merged_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def merged_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.LOGGED,
-        then="""SELECT borehole_id, run, MIN(soil_type) AS soil_type, MIN(depth_top) AS depth_top, MAX(depth_bottom) AS depth_bottom, STRING_AGG(code, '/' ORDER BY l_linenumber, l_partkey, l_suppkey) AS code FROM (SELECT *, CAST(l_suppkey AS VARCHAR) AS code, SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN LAG(soil_type) OVER w = soil_type THEN 0 ELSE 1 END AS b FROM logged WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey))) GROUP BY borehole_id, run""",
+        then="""SELECT borehole_id, run, MIN(soil_type) AS soil_type, MIN(depth_top) AS depth_top, MAX(depth_bottom) AS depth_bottom, STRING_AGG(code, '/' ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) AS code FROM (SELECT *, CAST(l_suppkey AS VARCHAR) AS code, SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN LAG(soil_type) OVER w = soil_type THEN 0 ELSE 1 END AS b FROM logged WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type))) GROUP BY borehole_id, run""",
     )
 )
 def merged_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +333,7 @@ def merged_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(T.STRATA, then="SELECT borehole_id, l_linenumber, l_partkey, l_suppkey, depth_top, depth_bottom FROM strata WHERE thickness > 0"))
 def stacked_thicknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.stacked(T.layers(spark, sf_dir), HOLE, ORDER, "thickness").select("borehole_id", *ORDER, "depth_top", "depth_bottom")
+    return I.stacked(T.layers(spark, sf_dir), HOLE, ORDER, "thickness").select("borehole_id", *KEY, "depth_top", "depth_bottom")
 
 
 @query(
@@ -348,9 +348,9 @@ def continuous_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.continuous(T.logged(spark, sf_dir), HOLE, "soil_type").select("borehole_id", "place", "depth_top", "depth_bottom")
 
 
-@query(_with(T.STRATA, then="SELECT borehole_id, l_linenumber, l_partkey, l_suppkey, COALESCE(LAG(depth_bottom) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey), 0.0) AS depth_top FROM strata"))
+@query(_with(T.STRATA, then="SELECT borehole_id, l_linenumber, l_partkey, l_suppkey, COALESCE(LAG(depth_bottom) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type), 0.0) AS depth_top FROM strata"))
 def tops_from_bottoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.tops_from_bottoms(T.strata(spark, sf_dir).drop("depth_top"), HOLE, ORDER).select("borehole_id", *ORDER, "depth_top")
+    return I.tops_from_bottoms(T.strata(spark, sf_dir).drop("depth_top"), HOLE, ORDER).select("borehole_id", *KEY, "depth_top")
 
 
 @query("SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber")
@@ -372,12 +372,12 @@ def depth_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.STRATA,
-        then="""SELECT borehole_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN u THEN 'BH-a' || CAST(SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) ELSE soil_type END AS name FROM (SELECT *, CASE WHEN u AND NOT COALESCE(LAG(u) OVER w AND depth_top > 0 AND depth_top >= LAG(depth_bottom) OVER w - 2.0, FALSE) THEN 1 ELSE 0 END AS b FROM (SELECT *, soil_type = 'N' AS u FROM strata) WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey))""",
+        then="""SELECT borehole_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN u THEN 'BH-a' || CAST(SUM(b) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) ELSE soil_type END AS name FROM (SELECT *, CASE WHEN u AND NOT COALESCE(LAG(u) OVER w AND depth_top > 0 AND depth_top >= LAG(depth_bottom) OVER w - 2.0, FALSE) THEN 1 ELSE 0 END AS b FROM (SELECT *, soil_type = 'N' AS u FROM strata) WINDOW w AS (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type))""",
     )
 )
 def unknown_holes_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.strata(spark, sf_dir).withColumn("name", F.when(F.col("soil_type") == "N", F.lit(" unknown ")).otherwise(F.col("soil_type")))
-    return I.numbered_unknown(rows, HOLE, ORDER, "name").select("borehole_id", *ORDER, "name")
+    return I.numbered_unknown(rows, HOLE, ORDER, "name").select("borehole_id", *KEY, "name")
 
 
 _ENDS = "ends AS (SELECT DISTINCT borehole_id, depth_top AS cut_at FROM logged UNION SELECT borehole_id, depth_bottom FROM logged), pieces AS (SELECT * FROM (SELECT borehole_id, cut_at AS depth_top, LEAD(cut_at) OVER (PARTITION BY borehole_id ORDER BY cut_at) AS depth_bottom FROM ends) WHERE depth_bottom IS NOT NULL)"
@@ -402,7 +402,7 @@ def named_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.LOGGED,
-        then="SELECT borehole_id, BOOL_AND(ABS(depth_top - before) <= 0.000001 AND depth_bottom > depth_top) AS contiguous, MAX(depth_bottom) AS total_depth FROM (SELECT *, COALESCE(LAG(depth_bottom) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey), 0.0) AS before FROM logged) GROUP BY borehole_id",
+        then="SELECT borehole_id, BOOL_AND(ABS(depth_top - before) <= 0.000001 AND depth_bottom > depth_top) AS contiguous, MAX(depth_bottom) AS total_depth FROM (SELECT *, COALESCE(LAG(depth_bottom) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type), 0.0) AS before FROM logged) GROUP BY borehole_id",
     )
 )
 def contiguous_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -814,7 +814,7 @@ def pipe_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.LAYERS,
-        then="SELECT soil_type AS upper, below AS lower, COUNT(*) AS n FROM (SELECT soil_type, LEAD(soil_type) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS below FROM layers) WHERE below <> soil_type GROUP BY soil_type, below",
+        then="SELECT soil_type AS upper, below AS lower, COUNT(*) AS n FROM (SELECT soil_type, LEAD(soil_type) OVER (PARTITION BY borehole_id ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type) AS below FROM layers) WHERE below <> soil_type GROUP BY soil_type, below",
     )
 )
 def soil_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:

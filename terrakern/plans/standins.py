@@ -34,12 +34,13 @@ HOLES = f"""holes AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS pro
  CAST(126 AS DOUBLE) + (c_custkey % 97) * CAST(0.03125 AS DOUBLE) AS longitude, CAST(34 AS DOUBLE) + (c_custkey % 61) * CAST(0.0625 AS DOUBLE) AS latitude,
  c_mktsegment = 'BUILDING' AS is_supplementary, CASE WHEN c_custkey % 19 = 0 THEN TIMESTAMP '{STAMP}' END AS deleted_at FROM customer)"""
 
-ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
+KEY = ["l_linenumber", "l_partkey", "l_suppkey"]
+ORDER = [*KEY, "thickness", "soil_type"]
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thicknesses in order."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("borehole_id"), *ORDER, F.col("l_quantity").alias("thickness"), F.col("l_returnflag").alias("soil_type"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("borehole_id"), *KEY, F.col("l_quantity").alias("thickness"), F.col("l_returnflag").alias("soil_type"))
 
 
 LAYERS = "layers AS (SELECT l_orderkey AS borehole_id, l_linenumber, l_partkey, l_suppkey, l_quantity AS thickness, l_returnflag AS soil_type FROM lineitem)"
@@ -53,7 +54,7 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STRATA = LAYERS + """, strata AS (SELECT *, depth_bottom - thickness AS depth_top FROM (SELECT *, SUM(thickness) OVER (PARTITION BY borehole_id
- ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth_bottom FROM layers))"""
+ ORDER BY l_linenumber, l_partkey, l_suppkey, thickness, soil_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth_bottom FROM layers))"""
 
 
 def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
