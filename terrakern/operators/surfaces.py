@@ -94,7 +94,7 @@ def thin_plate(nodes: DataFrame, anchors: DataFrame, block: int = NODES) -> Data
     spread = weights.join(sizes, "project").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
 
     def evaluate(some: pd.DataFrame, plates: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [some[["project", "j", "i", "x", "y"]].iloc[:0].assign(layer=np.array([], object), z=np.array([], float))]
         for layer, plate in plates.groupby("layer") if len(some) else ():
             p = plate.iloc[0]
             u, v = ((some[c].to_numpy(float) - p[f"c{c}"]) / p["scale"] for c in ("x", "y"))
@@ -102,7 +102,7 @@ def thin_plate(nodes: DataFrame, anchors: DataFrame, block: int = NODES) -> Data
             z = coefficients[0] + coefficients[1] * u + coefficients[2] * v
             z = z + _kernel((u[:, None] - own["u"].to_numpy()) ** 2 + (v[:, None] - own["v"].to_numpy()) ** 2) @ own["w"].to_numpy()
             out.append(some[["project", "j", "i", "x", "y"]].assign(layer=layer, z=z))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("project", "j", "i", "x", "y", "layer", "z")})
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     schema = f"project {kind}, j int, i int, x double, y double, layer string, z double"
     return blocks.groupBy("project", "block").cogroup(spread.groupBy("project", "block")).applyInPandas(evaluate, schema)
