@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakern.operators.materialise import cut
+from terrakern.operators.graph import components
 
 Ring = Sequence[tuple[float, float]]
 
@@ -72,20 +72,9 @@ def stability(points: DataFrame, value: str, near: float = 0.5, tolerance: float
 def clusters(points: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
     """(key, cluster) of points that chains of steps up to the radius join; a point alone has none. With a least number of two
     for a core, these are the density clusters. The cluster's name is its least key.
-
-    Labels spread to neighbours and jump along themselves until nothing changes, by joins alone.
     """
     pairs = pairs_within(points, radius, on).select(F.col("key").alias("a"), F.col("other").alias("b"))
-    edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("key"), "label"))
-    while True:
-        around = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("_near"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("_far"))
-        new = labels.join(jump, "label", "left").join(around, "key", "left")
-        new = cut(new.select("key", "label", F.least("label", "_far", "_near").alias("_new")))
-        if not new.where("_new < label").limit(1).count():
-            return labels.withColumnRenamed("label", "cluster")
-        labels = new.select("key", F.col("_new").alias("label"))
+    return components(pairs).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
 def largest_cluster(found: DataFrame, points: DataFrame, project: str) -> DataFrame:
