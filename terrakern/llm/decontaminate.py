@@ -6,7 +6,8 @@ overlapping windows. Each text is hashed once, q-gram by q-gram; those that some
 of diagonals, each twice as wide as a match can be. Bands under the bound are dropped, and the windows of the others are
 verified by a banded alignment.
 
-Characters are UTF-8 bytes here, A-Z lower-cased and white space made blank: a changed letter outside ASCII may count twice.
+Characters are UTF-8 bytes here, case folded by Unicode on both sides and white space made blank: a passage in other case costs
+no edits, a changed letter outside ASCII may count twice. Places found are mapped back to the text as it stands.
 The items go to the tasks in blocks of at most BLOCK_BYTES, so what is broadcast is bounded whatever the benchmark's size;
 each block takes one pass over the texts, and each text is judged where it is read, without a shuffle.
 """
@@ -33,6 +34,39 @@ _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
 
+def _pieces(text: bytes) -> Iterator[str]:
+    """A text in pieces of about CHUNK bytes, cut between characters."""
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + CHUNK)
+        while to < len(text) and text[to] & 0xC0 == 0x80:
+            to += 1
+        yield text[at:to].decode("utf-8", "surrogateescape")
+        at = to
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (bytes and n + 1 offsets from 0) with case folded by Unicode and white space made blank, which may change their lengths."""
+    if not (data > 127).any():
+        return BLANKED[data], offsets
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        part = data[a:b]
+        if (part > 127).any():
+            part = np.frombuffer(b"".join(p.casefold().encode("utf-8", "surrogateescape") for p in _pieces(part.tobytes())), np.uint8)
+        out.append(part)
+    return BLANKED[np.concatenate(out)], np.concatenate(([0], np.cumsum([len(p) for p in out], dtype=np.int64)))
+
+
+def span_of(text: np.ndarray, fold: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """Code points of a text that bytes lo to hi of its folded form come from."""
+    lo, hi = _code_points(fold[:lo]), _code_points(fold[:hi])
+    if _code_points(text) == _code_points(fold):
+        return lo, hi
+    ends = np.cumsum([len(c.casefold()) for p in _pieces(text.tobytes()) for c in p])
+    return int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi)) + 1 if hi else 0
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of data[i : i + Q] for each i, by doubling: of 2, 4 and 8 characters, then 8 and 2."""
     if len(data) < Q:
@@ -57,7 +91,8 @@ class Items:
     """A block of benchmark items, ready for search."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        data = [BLANKED[np.frombuffer(t.encode(), np.uint8)] for _, t in items]
+        raw = [np.frombuffer(t.encode(), np.uint8) for _, t in items]
+        data = [folded(d, np.array([0, len(d)]))[0] for d in raw]
         self.ids = [i for i, _ in items]
         self.data = data
         grams, item, place = [], [], []
@@ -116,10 +151,9 @@ def aligned(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, wi
 
 
 def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, windows matched, fewest edits, start, end) for each text and item that has a matching window."""
+    """(text, item, windows matched, fewest edits, start, end) for each text and item that has a matching window; texts are folded()."""
     if not len(items.grams):
         return []
-    data = BLANKED[data]
     at, gram = items.hits(data)
     text = np.searchsorted(offsets, at, "right") - 1
     inside = at + Q <= offsets[text + 1]
@@ -220,9 +254,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 data, offsets = tb.texts(batch.column(1))
                 for a, b in tb.slices(offsets):
                     part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    fold, ends = folded(part, bounds)
                     rows = [
-                        (batch.column(0)[a + t].as_py(), items.ids[n], many, edits, _code_points(part[bounds[t] : lo]), _code_points(part[bounds[t] : hi]))
-                        for t, n, many, edits, lo, hi in find(items, part, bounds)
+                        (batch.column(0)[a + t].as_py(), items.ids[n], many, edits, *span_of(part[bounds[t] : bounds[t + 1]], fold[ends[t] : ends[t + 1]], lo - ends[t], hi - ends[t]))
+                        for t, n, many, edits, lo, hi in find(items, fold, ends)
                     ]
                     if rows:
                         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -246,7 +281,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 data, offsets = tb.texts(batch.column(place))
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in tb.slices(offsets):
-                    for t, *_ in find(items, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    for t, *_ in find(items, *folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
                         keep[a + t] = False
                 yield batch.filter(pa.array(keep))
 

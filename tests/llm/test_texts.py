@@ -178,3 +178,20 @@ def test_leaks_edges(spark):
     assert [len(b) for b in decontaminate.blocks(item, 70)] == [1, 1]
     with pytest.raises(Exception):
         decontaminate.leaks(docs, item.drop("text"))
+
+
+def test_leaks_in_other_case(spark):
+    """Upper-cased accented passages cost no edits, whatever letters unfold to; spans are places in the text as it stands."""
+    passage = "où étaient passés les élèves très âgés de l'école près du château brûlé où le maïs né l'été a gelé à Noël"
+    heavy = "größte Straße, weiße Füße, süße Soße, heiße Grüße: dreißig müßige Schöße büßen draußen für große Späße"
+    items = spark.createDataFrame([(1, passage), (2, heavy)], "item_id long, text string")
+    docs = [(1, "Straße " + passage.upper() + " fin"), (2, "ß x " + heavy.upper() + " ende"), (3, "rien de tout cela n'est dans ce texte, même en majuscules ÉÈÀ"), (4, passage)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame, items).collect()}
+    assert {k: r.edits for k, r in rows.items()} == {(1, 1): 0, (2, 2): 0, (4, 1): 0}
+    windows = {n: len(decontaminate.Items([(n, t)]).windows[0]) for n, t in ((1, passage), (2, heavy))}
+    assert all(r.n_windows == windows[item] for (_, item), r in rows.items())
+    for (doc, item), start, length in (((1, 1), 7, len(passage.upper())), ((2, 2), 4, len(heavy.upper())), ((4, 1), 0, len(passage))):
+        r = rows[doc, item]
+        assert abs(r.span_start - start) <= 4 and abs(r.span_end - start - length) <= 4
+    assert [r.doc_id for r in decontaminate.without_leaks(frame, items).collect()] == [3]
