@@ -725,8 +725,16 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'EPSG:5187' ELSE 'EPSG:5186' END AS crs, CASE WHEN c_custkey % 3 = 0 THEN 'yx' ELSE 'xy' END AS reading FROM customer WHERE c_custkey < 500")
 def readings_of_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readings(T.table(spark, sf_dir, "customer").where("c_custkey < 500"))
+
+
+@query(ORACLE_SQL["readings_of_coordinates"].removesuffix(" WHERE c_custkey < 500"))
+def readings_of_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readings(T.table(spark, sf_dir, "customer"))
+
+
+def _readings(c: DataFrame) -> DataFrame:
     """Places in the south-east on their own belt, and in the west on the other, some with their numbers exchanged."""
-    c = T.table(spark, sf_dir, "customer").where("c_custkey < 500")
     east = F.col("c_custkey") % 2 == 0
     lat, lon = F.lit(35.15), F.when(east, F.lit(129.05)).otherwise(F.lit(126.95))
     grid = {code: geodesy.to_grid(lat, lon, code) for code in ("EPSG:5187", "EPSG:5186")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrakern.functions import geodesy, groundwater, names, parse
 from terrakern.operators import intervals, overlay, selection, spatial, surfaces
+from terrakern.plans import registry
 from terrakern.sources import exports, tables
 
 WIDE = "공번,X,Y,표고(m),수위(GL.-m),수위(EL.m),매립층,퇴적층,풍화토,풍화암,연암,경암,시추심도\nBH-1,203057.478,280763.68,122.4,7.2,115.2,0.6,-,21.4,5.2,13.1,-,40.3\nBH-2,203100.0,280800.0,120.0,N/A,,1.0,2.0,-,-,4.5,-,7.5\n"
@@ -257,3 +258,10 @@ def test_stream_of_observations(spark, small):
         assert spark.table("newest").select("user_id", "event_id").exceptAll(want).count() == 0 and spark.table("newest").count() == want.count()
     finally:
         counts.stop()
+
+
+def test_readings_of_every_key(spark, tmp_path):
+    keys = [1, 499, 500, 501, 15_000, 7_000_000_003]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in registry.QUERIES["readings_of_all_coordinates"](spark, str(tmp_path)).select("c_custkey", "crs", "reading").collect()}
+    assert got == {(k, "EPSG:5186" if k % 2 else "EPSG:5187", "xy" if k % 3 else "yx") for k in keys}
