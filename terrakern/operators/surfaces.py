@@ -1,7 +1,7 @@
 """Surfaces of strata and groundwater over grids.
 
-A grid is a tall table (project, j, i, x, y), an anchor table (project, layer, x, y, z). Anchors of a project are few beside its
-grid; work is split by blocks of grid nodes, each of which meets its project's anchors. Nothing larger than one project's
+A grid is a tall table (project, j, i, x, y), an anchor table (project, layer, x, y, z). A thin plate through more than PATCH anchors
+is blended from overlapping patches; work is split by patches and blocks of grid nodes, so that nothing larger than one patch's
 anchors and one block is in a task.
 """
 
@@ -12,8 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakern.operators.materialise import cut
+
 LAYERS = ("soil", "weathered_rock", "soft_rock", "normal_rock", "hard_rock")
 NODES = 4096
+#: Anchors in a dense solve; side of the coarse plate's lattice; a patch's halo in sides of its cell; halvings of a project's box.
+PATCH, COARSE_CELLS, HALO, DEEPEST = 1024, 16, 0.25, 40
+KEYS, WHOLE, COARSE = ["project", "layer", "patch"], "whole", "coarse"
 
 
 def grid(projects: DataFrame, size: int) -> DataFrame:
@@ -66,46 +71,129 @@ def _kernel(r2: np.ndarray) -> np.ndarray:
 
 
 def _solve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Weights of a thin plate through a layer's anchors; the plane's three coefficients follow as rows of their own."""
-    rows = rows.groupby(["project", "layer", "x", "y"], as_index=False, sort=True)["z"].mean()
+    """Weights of a thin plate through a patch's anchors, which are at places of their own; the plane's three coefficients follow as
+    rows of their own. Below three anchors or on a line a part of a project takes the least weights that meet them."""
+    rows = rows.sort_values(["x", "y"])
     x, y, z = (rows[c].to_numpy(float) for c in ("x", "y", "z"))
     cx, cy, scale = x.mean(), y.mean(), max(np.ptp(x), np.ptp(y), 1e-9)
     u, v, n = (x - cx) / scale, (y - cy) / scale, len(rows)
     plane = np.stack([np.ones(n), u, v], axis=1)
-    if n < 3 or np.linalg.matrix_rank(plane) < 3:
+    level = n < 3 or np.linalg.matrix_rank(plane) < 3
+    if level and rows["patch"].iloc[0] in (WHOLE, COARSE):
         w, c = np.zeros(n), np.array([z.mean(), 0.0, 0.0])
     else:
         k = _kernel((u[:, None] - u) ** 2 + (v[:, None] - v) ** 2)
         top = np.concatenate([k, plane], axis=1)
         both = np.concatenate([top, np.concatenate([plane.T, np.zeros((3, 3))], axis=1)])
-        w, c = np.split(np.linalg.solve(both, np.concatenate([z, np.zeros(3)])), [n])
+        right = np.concatenate([z, np.zeros(3)])
+        w, c = np.split(np.linalg.lstsq(both, right, rcond=None)[0] if level else np.linalg.solve(both, right), [n])
     out = pd.DataFrame({"u": np.append(u, [np.nan] * 3), "v": np.append(v, [np.nan] * 3), "w": np.append(w, c), "part": [0] * n + [1, 2, 3]})
-    return out.assign(project=rows["project"].iloc[0], layer=rows["layer"].iloc[0], cx=cx, cy=cy, scale=scale)
+    return out.assign(**{c: rows[c].iloc[0] for c in KEYS}, cx=cx, cy=cy, scale=scale)
 
 
-def thin_plate(nodes: DataFrame, anchors: DataFrame, block: int = NODES) -> DataFrame:
-    """Nodes with z of each layer on the thin plate through its anchors (means at one place; a level plane below three anchors
-    or on a line). A plate is solved once for a project's layer, and evaluated block by block of nodes."""
+def _on_plates(places: DataFrame, anchors: DataFrame, block: int) -> DataFrame:
+    """places (project, layer, patch, x, y, ...) with h, the level of their patch's plate. A plate is solved once, and evaluated
+    block by block of places."""
     kind = anchors.schema["project"].dataType.simpleString()
-    weights = anchors.groupBy("project", "layer").applyInPandas(_solve, f"u double, v double, w double, part int, project {kind}, layer string, cx double, cy double, scale double")
-    blocks = nodes.withColumn("block", F.pmod(F.xxhash64("j", "i"), F.lit(1 << 20)))
-    sizes = nodes.groupBy("project").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("_blocks"))
-    blocks = blocks.join(sizes, "project").withColumn("block", F.col("block") % F.col("_blocks")).drop("_blocks")
-    spread = weights.join(sizes, "project").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
-
-    def evaluate(some: pd.DataFrame, plates: pd.DataFrame) -> pd.DataFrame:
-        out = [some[["project", "j", "i", "x", "y"]].iloc[:0].assign(layer=np.array([], object), z=np.array([], float))]
-        for layer, plate in plates.groupby("layer") if len(some) else ():
-            p = plate.iloc[0]
-            u, v = ((some[c].to_numpy(float) - p[f"c{c}"]) / p["scale"] for c in ("x", "y"))
-            own, coefficients = plate[plate["part"] == 0], plate[plate["part"] > 0].sort_values("part")["w"].to_numpy()
-            z = coefficients[0] + coefficients[1] * u + coefficients[2] * v
-            z = z + _kernel((u[:, None] - own["u"].to_numpy()) ** 2 + (v[:, None] - own["v"].to_numpy()) ** 2) @ own["w"].to_numpy()
-            out.append(some[["project", "j", "i", "x", "y"]].assign(layer=layer, z=z))
-        return pd.concat(out[1:]) if len(out) > 1 else out[0]
-
-    schema = f"project {kind}, j int, i int, x double, y double, layer string, z double"
-    return blocks.groupBy("project", "block").cogroup(spread.groupBy("project", "block")).applyInPandas(evaluate, schema)
+    weights = anchors.groupBy(*KEYS).applyInPandas(_solve, f"u double, v double, w double, part int, project {kind}, layer string, patch string, cx double, cy double, scale double")
+    blocks = places.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)))
+    sizes = places.groupBy(*KEYS).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("_blocks"))
+    blocks = blocks.join(sizes, KEYS).withColumn("block", F.col("block") % F.col("_blocks")).drop("_blocks")
+    spread = weights.join(sizes, KEYS).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    names = places.columns
+
+    def evaluate(some: pd.DataFrame, plate: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(plate):
+            return some[names].iloc[:0].assign(h=np.array([], float))
+        p = plate.iloc[0]
+        own, coefficients = plate[plate["part"] == 0], plate[plate["part"] > 0].sort_values("part")["w"].to_numpy()
+        h = []
+        for lo in range(0, len(some), 1024):
+            u, v = ((some[c].to_numpy(float)[lo : lo + 1024] - p[f"c{c}"]) / p["scale"] for c in ("x", "y"))
+            bent = _kernel((u[:, None] - own["u"].to_numpy()) ** 2 + (v[:, None] - own["v"].to_numpy()) ** 2) @ own["w"].to_numpy()
+            h.append(coefficients[0] + coefficients[1] * u + coefficients[2] * v + bent)
+        return some[names].assign(h=np.concatenate(h))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in places.schema) + ", h double"
+    return blocks.groupBy(*KEYS, "block").cogroup(spread.groupBy(*KEYS, "block")).applyInPandas(evaluate, schema)
+
+
+def _cells(places: DataFrame, levels: list[int]) -> DataFrame:
+    """places (u, v in the unit square, ...) once for each cell (level, a, b) that they lie in or within HALO of, in cell sides."""
+    at = places.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]))).withColumn("_n", F.pow(F.lit(2.0), F.col("level")))
+    for name, c in (("a", "u"), ("b", "v")):
+        near = F.sequence(F.floor(F.col(c) * F.col("_n") - HALO), F.floor(F.col(c) * F.col("_n") + HALO))
+        at = at.withColumn(name, F.explode(near))
+    return at
+
+
+def _leaves(anchors: DataFrame, large: DataFrame, patch: int) -> tuple[DataFrame, list[int]]:
+    """Cells (project, layer, level, a, b, n) of a quadtree over each large surface, each with at most `patch` of the anchors in
+    it and its halo, and the levels that occur."""
+    split, out = large.select("project", "layer", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), []
+    for level in range(1, DEEPEST + 1):
+        half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
+        cells = split.select("project", "layer", half("a"), "b").select("project", "layer", "a", half("b"))
+        key = ["project", "layer", "a", "b"]
+        counts = _cells(anchors, [level]).join(cells, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        counts = cut(cells.join(counts, key, "left").select(*key, F.lit(level).alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
+        split = counts.where((F.col("n") > patch) & (F.col("level") < DEEPEST))
+        out.append(counts.where((F.col("n") <= patch) | (F.col("level") == DEEPEST)))
+        if split.isEmpty():
+            break
+    leaves = out[0]
+    for more in out[1:]:
+        leaves = leaves.unionByName(more)
+    return leaves, list(range(1, len(out) + 1))
+
+
+def _patched(nodes: DataFrame, anchors: DataFrame, large: DataFrame, block: int, patch: int) -> DataFrame:
+    """Nodes on blended plates: a coarse plate through the means of COARSE_CELLS ** 2 cells of all anchors, and on it, patch by
+    patch of a quadtree, plates through what it leaves of the anchors in the patch and its halo. Weights fall to 0 at a halo's
+    edge, so the surface is smooth and meets every anchor; where a patch has no anchor, it is the coarse plate's."""
+    of = large.select("project").distinct()
+    places = nodes.select("project", "x", "y").unionByName(anchors.select("project", "x", "y")).join(of, "project", "left_semi")
+    boxes = places.groupBy("project").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) * (1 + 1e-9)).alias("_side"))
+    unit = lambda df: df.join(boxes, "project").withColumns({"u": (F.col("x") - F.col("_x0")) / F.col("_side"), "v": (F.col("y") - F.col("_y0")) / F.col("_side")}).drop("_x0", "_y0", "_side")
+    anchors = cut(unit(anchors))
+    cell = [F.floor(F.col(c) * COARSE_CELLS).alias(f"_{c}") for c in ("u", "v")]
+    means = anchors.groupBy("project", "layer", *cell).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")]).select("project", "layer", F.lit(COARSE).alias("patch"), "x", "y", "z")
+    wanted = unit(nodes).join(large, "project").withColumn("patch", F.lit(COARSE))
+    columns = ["project", "layer", "patch", "j", "i", "x", "y", "u", "v", "z"]
+    both = wanted.withColumn("z", F.lit(None).cast("double")).select(*columns)
+    both = both.unionByName(anchors.withColumns({"j": F.lit(None).cast("int"), "i": F.lit(None).cast("int"), "patch": F.lit(COARSE)}).select(*columns))
+    based = cut(_on_plates(both, means, block))
+    left = based.where("j IS NULL").select("project", "layer", "x", "y", "u", "v", (F.col("z") - F.col("h")).alias("z"))
+    base = based.where("j IS NOT NULL").select("project", "layer", "j", "i", "x", "y", "u", "v", F.col("h").alias("base"))
+    leaves, levels = _leaves(anchors.select("project", "layer", "u", "v"), large, patch)
+    key = ["project", "layer", "level", "a", "b"]
+    name = F.concat_ws("/", "level", "a", "b").alias("patch")
+    fit = _cells(left, levels).join(leaves, key).select("project", "layer", name, "x", "y", "z")
+    share = lambda c, a: (F.col(c) * F.col("_n") - F.col(a) + HALO) / (1 + 2 * HALO)
+    bump = lambda t: F.pow(t * (1 - t) * 4, 2)
+    seen = _cells(base, levels).join(leaves, key).select("project", "layer", name, "j", "i", "x", "y", (bump(share("u", "a")) * bump(share("v", "b"))).alias("weight"), "n").where("weight > 0")
+    bent = _on_plates(seen.where("n > 0"), fit, block).unionByName(seen.where("n = 0").withColumn("h", F.lit(0.0)))
+    node = ["project", "layer", "j", "i"]
+    bent = bent.groupBy(*node).agg((F.sum(F.col("weight") * F.col("h")) / F.sum("weight")).alias("h"))
+    return base.join(bent, node).select("project", "j", "i", "x", "y", "layer", (F.col("base") + F.col("h")).alias("z"))
+
+
+def thin_plate(nodes: DataFrame, anchors: DataFrame, block: int = NODES, patch: int = PATCH) -> DataFrame:
+    """Nodes with z of each layer on the thin plate through its anchors (means at one place; a level plane below three anchors
+    or on a line). A layer of a project with more than `patch` places of anchors is fitted in overlapping patches, see _patched;
+    its nodes have a j and an i of their own."""
+    settled = cut(anchors.groupBy("project", "layer", "x", "y").agg(F.avg("z").alias("z")))
+    sizes = cut(settled.groupBy("project", "layer").agg(F.count(F.lit(1)).alias("_n")))
+    large, small = (sizes.where(c).select("project", "layer") for c in (F.col("_n") > patch, F.col("_n") <= patch))
+    plain = _on_plates(
+        nodes.select("project", "j", "i", "x", "y").join(small, "project").withColumn("patch", F.lit(WHOLE)),
+        settled.join(small, ["project", "layer"], "left_semi").withColumn("patch", F.lit(WHOLE)),
+        block,
+    )
+    plain = plain.select("project", "j", "i", "x", "y", "layer", F.col("h").alias("z"))
+    if large.isEmpty():
+        return plain
+    return plain.unionByName(_patched(nodes.select("project", "j", "i", "x", "y"), settled.join(large, ["project", "layer"], "left_semi"), large, block, patch))
 
 
 def layer_order(layer: Column) -> Column:

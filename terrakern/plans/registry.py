@@ -659,6 +659,10 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.points(spark, sf_dir).where("key % 10 = 0").select("project", F.lit("soil").alias("layer"), "x", "y", "z")
 
 
+def _all_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.points(spark, sf_dir).select("project", F.lit("soil").alias("layer"), "x", "y", "z")
+
+
 def _nodes(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     box = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1024.0).alias("x1"), F.lit(1024.0).alias("y1"))
     return U.grid(box, size)
@@ -680,9 +684,21 @@ def weighted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(at, ["project", "x", "y"], "left_anti").select("project", "j", "i", F.round("z", 6).alias("z"))
 
 
+@query(
+    _with(
+        T.POINTS,
+        then="""SELECT p AS project, j, i, ROUND(COALESCE(MIN(z) FILTER (WHERE d = 0), SUM(z / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0))), 6) AS z FROM (SELECT n.p, n.j, n.i, a.z, (n.x - a.x) * (n.x - a.x) + (n.y - a.y) * (n.y - a.y) AS d FROM
+ (SELECT CAST(n_nationkey AS BIGINT) AS p, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, i * 256.0 + 0.0 AS x, j * 256.0 + 0.0 AS y FROM nation, range(5) t(j), range(5) s(i)) n JOIN points a ON a.project = n.p) GROUP BY p, j, i""",
+    )
+)
+def weighted_grid_of_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by distance from every point, and at a point's own place its value."""
+    return U.distance_weighted(_nodes(spark, sf_dir, 5), _all_anchors(spark, sf_dir)).select("project", "j", "i", F.round("z", 6).alias("z"))
+
+
 @query()
 def thin_plate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.thin_plate(_nodes(spark, sf_dir, 16), _anchors(spark, sf_dir))
+    return U.thin_plate(_nodes(spark, sf_dir, 16), _all_anchors(spark, sf_dir))
 
 
 @query()

@@ -194,6 +194,41 @@ def test_surfaces_meet_their_anchors(spark):
     assert settled.count() == 3 and apart.count() == 1
 
 
+def test_large_surfaces_in_patches(spark):
+    """A project with more anchors than a patch: every anchor is met, no node is lost, and no solve has more than a patch's."""
+    rng = np.random.default_rng(4)
+    field = lambda x, y: 50 + 10 * np.sin(x / 30) + 8 * np.cos(y / 25) + x / 20
+    places = np.unique(np.concatenate([rng.uniform(0, 100, (220, 2)), 70 + rng.uniform(0, 2, (180, 2)), [[150.0, 10.0], [152.0, 95.0]]]).round(3), axis=0)
+    rows = [(1, "soil", float(x), float(y), float(field(x, y))) for x, y in places]
+    rows += [(p, layer, float(x), float(y), float(field(x, y))) for p, layer in ((1, "soft_rock"), (2, "soil")) for x, y in places[:20]]
+    anchors = spark.createDataFrame(rows, "project long, layer string, x double, y double, z double")
+    at = [(1, n, 0, float(x), float(y)) for n, (x, y) in enumerate(places)] + [(p, j, i, i * 8.0, j * 8.0) for p in (1, 2) for j in range(1000, 1013) for i in range(1, 20)]
+    at = [(p, j, i, x, y - 8000 if j >= 1000 else y) for p, j, i, x, y in at]
+    nodes = spark.createDataFrame(at, "project long, j int, i int, x double, y double")
+    whole = {(r.project, r.layer, r.j, r.i): r for r in surfaces.thin_plate(nodes, anchors).collect()}
+    got = {(r.project, r.layer, r.j, r.i): r for r in surfaces.thin_plate(nodes, anchors, patch=40).collect()}
+    assert got.keys() == whole.keys() and len(got) == 2 * (len(places) + 13 * 19) + 13 * 19
+    for key, r in got.items():
+        if key[:2] != (1, "soil"):
+            assert r.z == pytest.approx(whole[key].z, abs=1e-9)
+        elif key[2] < 1000:
+            assert r.z == pytest.approx(field(r.x, r.y), abs=1e-6)
+        elif r.x <= 96 and r.y <= 96:
+            assert r.z == pytest.approx(whole[key].z, abs=3)
+    unit = anchors.where("project = 1 AND layer = 'soil'").selectExpr("project", "layer", "x / 153 AS u", "y / 153 AS v")
+    leaves, levels = surfaces._leaves(unit, unit.select("project", "layer").distinct(), 40)
+    assert max(r.n for r in leaves.collect()) <= 40 and len(levels) > 3
+    assert sum(0.25**r.level for r in leaves.collect()) == 1
+
+
+def test_weighted_grid_takes_all_points(spark, tmp_path):
+    """Nodes at a point's place have its value; points of any key count."""
+    spark.createDataFrame([(7, 3, 5.0), (1009 * 997, 3, 2.0), (11, 4, 9.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, "A"), (4, "B"), (5, "C")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r.project, r.j, r.i): r.z for r in registry.QUERIES["weighted_grid_of_all_points"](spark, str(tmp_path)).collect()}
+    assert len(got) == 50 and got[3, 0, 0] == 2.0 and 2.0 < got[3, 1, 1] < 5.0 and got[4, 2, 2] == 9.0
+
+
 def test_layer_order_and_voxels(spark):
     rows = [(1, 0, 0, layer, z) for layer, z in (("ground", 10.0), ("soil", 8.0), ("weathered_rock", 9.0), ("soft_rock", 3.0))]
     got = surfaces.held_below(spark.createDataFrame(rows, "project int, j int, i int, layer string, z double")).collect()
