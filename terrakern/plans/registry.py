@@ -715,9 +715,18 @@ def phantom_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def layer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer_contacts(spark, sf_dir, "borehole_id % 5 = 0")
+
+
+@query(ORACLE_SQL["layer_contacts"].replace(" WHERE borehole_id % 5 = 0", ""))
+def layer_contacts_of_all_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer_contacts(spark, sf_dir, "true")
+
+
+def _layer_contacts(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     group = F.when(F.col("soil_type") == "A", F.lit("soil")).when(F.col("soil_type") == "N", F.lit("soft_rock")).otherwise(F.lit("hard_rock"))
     s = T.strata(spark, sf_dir).withColumn("strata_group", group)
-    holes = s.where("borehole_id % 5 = 0").select(F.col("borehole_id").alias("id")).distinct().select(F.lit(0).alias("project"), "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("elevation"))
+    holes = s.where(which).select(F.col("borehole_id").alias("id")).distinct().select(F.lit(0).alias("project"), "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("elevation"))
     return U.contacts(holes, s).select("id", "layer", F.round("z", 6).alias("z"))
 
 

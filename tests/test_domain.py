@@ -229,6 +229,12 @@ def test_weighted_grid_takes_all_points(spark, tmp_path):
     assert len(got) == 50 and got[3, 0, 0] == 2.0 and 2.0 < got[3, 1, 1] < 5.0 and got[4, 2, 2] == 9.0
 
 
+def test_every_hole_has_contacts(spark):
+    holes = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    rows = registry.QUERIES["layer_contacts_of_all_holes"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.id for r in rows} == holes and len(rows) == 5 * len(holes)
+
+
 def test_layer_order_and_voxels(spark):
     rows = [(1, 0, 0, layer, z) for layer, z in (("ground", 10.0), ("soil", 8.0), ("weathered_rock", 9.0), ("soft_rock", 3.0))]
     got = surfaces.held_below(spark.createDataFrame(rows, "project int, j int, i int, layer string, z double")).collect()
