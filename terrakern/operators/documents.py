@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -15,41 +16,57 @@ from terrakern.functions import groundwater
 ELEMENTS = "doc string, ord long, page int, type string, text string, x0 double, y0 double, x1 double, y1 double, row int, col int"
 
 
-def _text(node: dict) -> str:
-    direct = node.get("content") or node.get("text")
-    if isinstance(direct, str):
-        return direct.strip()
-    return "\n".join(t for t in (_text(k) for k in node.get("kids") or [] if isinstance(k, dict)) if t)
+def elements_of(tree: dict) -> list[tuple]:
+    """(page, type, text, x0, y0, x1, y1, row, col) of a layout tree's nodes that have a page, a box and text, in reading order.
 
-
-def _walk(root: dict) -> Iterator[tuple]:
-    """Elements in reading order; a stack in place of recursion, so depth isn't bounded."""
-    stack = [(root, None, None, None)]
-    while stack:
-        node, page, row, col = stack.pop()
+    One pass with a stack of its own, so depth isn't bounded. A node's own string is its text; without one it is what its `kids`
+    say, line by line. Page, row and column come from the nearest node above that has them; a table's cells take its row.
+    """
+    slots: list[tuple | None] = []
+    texts: list[list[str]] = []
+    opened: list[tuple[dict, tuple, list[int]]] = [(tree, (None, None, None), [])]
+    while opened:
+        node, (page, row, col), listeners = opened.pop()
         page = node.get("page number") or page
-        box, text = node.get("bounding box"), _text(node)
         row, col = row or node.get("row number"), col or node.get("column number")
-        if page is not None and isinstance(box, list) and len(box) == 4 and text:
-            yield page, str(node.get("type") or ""), text, *map(float, box), row, col
+        place = len(slots)
+        said = next((node[k] for k in ("content", "text") if node.get(k)), None)
+        texts.append([])
+        if isinstance(said, str):
+            for heard in [place, *listeners]:
+                texts[heard].append(said.strip())
+            told: list[int] = []
+        else:
+            told = [place, *listeners]
+        box = node.get("bounding box")
+        full = page is not None and isinstance(box, list) and len(box) == 4
+        slots.append((page, str(node.get("type") or ""), *map(float, box), row, col) if full else None)
         if node.get("type") == "table":
-            cells = [(c, page, r.get("row number"), c.get("column number")) for r in node.get("rows") or [] for c in r.get("cells") or []]
-            stack += reversed(cells)
+            under = [(c, (page, r.get("row number"), c.get("column number")), []) for r in node.get("rows") or [] for c in r.get("cells") or []]
         else:
-            lists = [node.get(k) for k in ("kids", "children", "content", "contents")]
-            stack += reversed([(c, page, row, col) for some in lists if isinstance(some, list) for c in some if isinstance(c, dict)])
+            under = [(c, (page, row, col), told if k == "kids" else []) for k in ("kids", "children", "content", "contents") if isinstance(node.get(k), list) for c in node[k] if isinstance(c, dict)]
+        opened.extend(reversed(under))
+    joined = ["\n".join(t for t in some if t) for some in texts]
+    return [(s[0], s[1], t, *s[2:]) for s, t in zip(slots, joined, strict=True) if s and t]
 
 
 def flattened(trees: DataFrame) -> DataFrame:
-    """ELEMENTS of layout trees (doc, json), one document at a time."""
+    """ELEMENTS of layout trees (doc, json), one document at a time. A text that isn't a JSON object has none."""
+
+    def tree(text: str | None) -> dict:
+        try:
+            value = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return {}
+        return value if isinstance(value, dict) else {}
+
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in ELEMENTS.split(", ")]
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["json"], strict=True):
-                rows = [(doc, n, *e) for n, e in enumerate(_walk(json.loads(text)))]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"row": "Int32", "col": "Int32"}) if rows else out
+            rows = [(doc, n, *e) for doc, text in zip(batch["doc"], batch["json"], strict=True) for n, e in enumerate(elements_of(tree(text)))]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"row": "Int32", "col": "Int32"}) if rows else out
 
     return trees.select("doc", "json").mapInPandas(run, ELEMENTS)
 
@@ -105,14 +122,21 @@ def best_reading(scored: dict[str, tuple[Column, Column]]) -> Column:
     return F.array_max(F.array(*some))["r"]
 
 
-def repaired_depths(df: DataFrame, key: list[str], order: str, depth: str) -> DataFrame:
+def repaired_depths(df: DataFrame, key: list[str], order: str, depth: str, candidates: DataFrame | None = None) -> DataFrame:
     """Bottoms whose decimal point was lost (12 for 1.2) read as the rest asks.
 
-    A whole number of 10 or more that the next bottom contradicts - it is above the last bottom and below this one - is taken as
-    its tenth or hundredth (of three digits led by 1, the last two as tenths): the greatest that lies between the last corrected
-    bottom and the next one. The fold runs along a hole's sorted bottoms.
+    A whole number of 10 or more may stand for its tenth or hundredth, or, of three digits led by 1, for the last two as tenths,
+    if that is below the last corrected bottom. candidates (key, an array `depths`) are depths that the page shows elsewhere: a
+    bottom that is one of them stays, unless it is the first and the next bottom contradicts it (is above the last and below
+    this one); else a reading that is one of them is taken, the greatest above the next bottom or else the nearest to the
+    tenth. Without such, a contradicted bottom takes its greatest reading above the next. The fold runs along a hole's bottoms.
     """
-    lists = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, F.col(depth).alias("_d")))).alias("_rows"))
+    if candidates is not None:
+        df = df.join(candidates.select(*key, F.col("depths").alias("_known")), key, "left")
+    else:
+        df = df.withColumn("_known", F.array().cast("array<double>"))
+    df = df.withColumn("_known", F.coalesce("_known", F.array().cast("array<double>")))
+    lists = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, F.col(depth).alias("_d")))).alias("_rows"), F.first("_known").alias("_known"))
 
     def step(state: Column, i: Column) -> Column:
         d, at = F.get(rows["_d"], i), state["at"]
@@ -121,12 +145,17 @@ def repaired_depths(df: DataFrame, key: list[str], order: str, depth: str) -> Da
         breaks = F.coalesce((following > at) & (following < d), F.lit(False))
         digits = F.round(d).cast("int").cast("string")
         led = (F.length(digits) == 3) & digits.startswith("1")
+        shown = lambda t: F.exists(rows_known, lambda k: F.abs(k - t) <= 0.011)
         tries = F.array(F.round(d / 10, 2), F.when(d >= 100, F.round(d / 100, 2)), F.when(led, F.substring(digits, 2, 2).cast("double") / 10))
-        fit = F.filter(tries, lambda t: t.isNotNull() & (t > at + 0.001) & (t < following))
-        value = F.when(whole & breaks, F.coalesce(F.array_max(fit), d)).otherwise(d)
+        fit = F.filter(tries, lambda t: t.isNotNull() & (t > at + 0.001))
+        matched = F.filter(fit, shown)
+        before = lambda some: F.array_max(F.filter(some, lambda t: t < following))
+        nearest = F.array_min(F.transform(matched, lambda t: F.struct(F.abs(t - d / 10).alias("apart"), t.alias("t"))))["t"]
+        stays = ~whole | (F.size(fit) == 0) | (shown(d) & (~breaks | (at > 0)))
+        value = F.when(stays, d).when(F.size(matched) > 0, F.coalesce(before(matched), nearest)).when(breaks, F.coalesce(before(fit), d)).otherwise(d)
         return F.struct(value.alias("at"), F.concat(state["out"], F.array(value)).alias("out"))
 
-    rows = F.col("_rows")
+    rows, rows_known = F.col("_rows"), F.col("_known")
     start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("out"))
     made = lists.withColumn("_out", F.aggregate(F.sequence(F.lit(0), F.size("_rows") - 1), start, step)["out"])
     both = made.select(*key, F.explode(F.arrays_zip(F.col(f"_rows.{order}").alias(order), F.col("_out").alias(depth))).alias("_p"))
@@ -140,33 +169,53 @@ def new_hole_by_depth(previous: Column, top: Column, bottom: Column, zero_based:
     return F.coalesce((previous >= 4.0) & (((previous >= 10.0) & zero_based) | falls), F.lit(False))
 
 
+def sections_by_depth(df: DataFrame, key: list[str], order: list[str], top: str, bottom: str, zero_based: Column) -> DataFrame:
+    """Adds section, from 0: rows of a key between the places where a depth says that a new hole begins."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    begins = new_hole_by_depth(F.lag(bottom).over(w), F.col(top), F.col(bottom), zero_based)
+    return df.withColumn("_b", begins.cast("int")).withColumn("section", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+
+
 def precedence(sequences: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """(upper, lower, n): how often a name stands right above another."""
     below = F.lead(name).over(Window.partitionBy(key).orderBy(order))
     return sequences.withColumn("lower", below).where(F.col("lower").isNotNull() & (F.col("lower") != F.col(name))).groupBy(F.col(name).alias("upper"), "lower").agg(F.count(F.lit(1)).alias("n"))
 
 
-def topological(edges: DataFrame, nodes: DataFrame, rank: str = "rank", most: int = 10_000) -> DataFrame:
+def topological(edges: DataFrame, nodes: DataFrame, rank: str = "rank") -> DataFrame:
     """(name, place): names (name, rank) in an order that all edges (upper, lower) keep, ties by rank and name; names in a cycle
-    follow in order of rank. Names are a controlled vocabulary: more than `most` are refused, as one task orders them."""
-    if nodes.count() > most:
-        raise ValueError(f"more than {most} names to order")
-    pairs = edges.select(F.lit(0).alias("g"), F.col("upper").alias("a"), F.col("lower").alias("b"))
-    names = nodes.select(F.lit(0).alias("g"), "name", F.col(rank).cast("double").alias("rank"))
-
-    def kahn(known: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ranks = dict(zip(known["name"], zip(known["rank"], known["name"], strict=True), strict=True))
-        links = links[links["a"].isin(ranks) & links["b"].isin(ranks) & (links["a"] != links["b"])].drop_duplicates()
-        waits, out = links.groupby("b")["a"].agg(set).to_dict(), []
-        while ready := [n for n in ranks if n not in out and not waits.get(n)]:
-            first = min(ready, key=ranks.get)
-            out.append(first)
-            for some in waits.values():
-                some.discard(first)
-        out += sorted((n for n in ranks if n not in out), key=ranks.get)
-        return pd.DataFrame({"name": out, "place": range(len(out))})
-
-    return names.groupBy("g").cogroup(pairs.groupBy("g")).applyInPandas(kahn, "name string, place int")
+    follow in order of rank.
+
+    Edges are made distinct before they meet. The order is a vocabulary's: the names of soils, not of holes. Each place depends
+    on all before it, so the distinct edges are walked in one task, with a heap, in time that grows with their number.
+    """
+    pairs = edges.where("upper <> lower").select(F.col("upper").alias("a"), F.col("lower").alias("b")).distinct()
+    names = nodes.groupBy("name").agg(F.min(F.col(rank).cast("double")).alias("rank"))
+    lists = names.join(pairs.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("below")), "name", "left").coalesce(1)
+
+    def kahn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for batch in batches for r in batch.itertuples(index=False)]
+        ranks = {r.name: (r.rank, r.name) for r in rows}
+        below = {r.name: [b for b in (r.below if r.below is not None else []) if b in ranks] for r in rows}
+        waits = dict.fromkeys(ranks, 0)
+        for some in below.values():
+            for b in some:
+                waits[b] += 1
+        ready = [ranks[n] for n, w in waits.items() if not w]
+        heapq.heapify(ready)
+        out: list[str] = []
+        while ready:
+            name = heapq.heappop(ready)[1]
+            out.append(name)
+            for b in below[name]:
+                waits[b] -= 1
+                if not waits[b]:
+                    heapq.heappush(ready, ranks[b])
+        placed = set(out)
+        out += [n for _, n in sorted(r for n, r in ranks.items() if n not in placed)]
+        yield pd.DataFrame({"name": out, "place": range(len(out))})
+
+    return lists.mapInPandas(kahn, "name string, place int")
 
 
 def by_upload(holes: DataFrame) -> DataFrame:
@@ -174,7 +223,7 @@ def by_upload(holes: DataFrame) -> DataFrame:
     group = F.when(F.col("project_role") != "new", F.lit("existing")).otherwise(F.coalesce(F.concat(F.lit("upload-"), F.col("job").cast("string")), F.lit("manual")))
     named = holes.withColumn("group", group)
     first = named.groupBy("group").agg(F.min("ord").alias("_first"))
-    at = F.row_number().over(Window.orderBy((F.col("group") != "existing").cast("int"), F.desc("_first"))) - 1
+    at = F.row_number().over(Window.orderBy((F.col("group") != "existing").cast("int"), F.desc("_first"))) - 1  # a row for each upload
     return named.join(first.select("group", at.alias("place")), "group")
 
 

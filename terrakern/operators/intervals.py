@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakern.operators.aggregates import first_by
+
 
 def runs(df: DataFrame, key: list[str], order: list[str], broken: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of each key: a row for which `broken` holds begins one. `broken` may use lag over key and order."""
@@ -142,3 +144,17 @@ def run_lengths(df: DataFrame, key: list[str], order: str, label: str, skip: int
     before, place = F.lag(label).over(Window.partitionBy(*key).orderBy(order)), F.lag(order).over(Window.partitionBy(*key).orderBy(order))
     marked = runs(df, key, [order], (before != F.col(label)) | (place + 1 != F.col(order)))
     return marked.where(F.col(label) != skip).groupBy(*key, "run").agg(F.first(label).alias(label), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def distinct_rounded(df: DataFrame, key: list[str], rounded: dict[str, int], same: list[str], order: list[str]) -> DataFrame:
+    """The first row by `order` of those that agree in key, in `same` and in columns rounded to so many places."""
+    marks = {f"_r_{c}": F.round(c, n) for c, n in rounded.items()}
+    return first_by(df.withColumns(marks), [*key, *same, *marks], order).select(*df.columns)
+
+
+def cascaded(df: DataFrame, key: list[str], order: list[str], said: str, names: list[str]) -> DataFrame:
+    """Columns `names` out of a map: a page without a key takes it from the last page before that has it, be it null there; a page
+    that has the key keeps its own, null or not."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = {n: F.last(F.when(F.map_contains_key(said, n), F.struct(F.col(said)[n].alias("v"))), ignorenulls=True).over(w)["v"] for n in names}
+    return df.withColumns(last)

@@ -92,6 +92,17 @@ def coordinate_outlier(lng: Column, lat: Column, west: float = 124, east: float
     return F.coalesce(out, F.lit(True))
 
 
+def zone(lon: Column, lat: Column, hard: Sequence[float], soft: Sequence[float], home: Sequence[float] = (124.0, 33.0, 132.0, 39.0)) -> Column:
+    """hard, soft or out_of_region by boxes one in the other; reject beyond the country or without a place."""
+    inside = lambda b: F.coalesce(lon.between(b[0], b[2]) & lat.between(b[1], b[3]), F.lit(False))
+    return F.when(~inside(home), F.lit("reject")).when(inside(hard), F.lit("hard")).when(inside(soft), F.lit("soft")).otherwise(F.lit("out_of_region"))
+
+
+def sane_levels(df: DataFrame, z: str, low: float = -200.0, high: float = 2000.0) -> DataFrame:
+    """Rows with a level that ground can have, its bounds not included."""
+    return df.where((F.col(z) > low) & (F.col(z) < high) & ~F.isnan(z))
+
+
 def with_status(df: DataFrame, supplementary: str = "is_supplementary") -> DataFrame:
     return df.withColumn("data_status", F.when(F.col(supplementary), F.lit("supplementary")).otherwise(F.lit("original")))
 

@@ -6,6 +6,7 @@ the radius, in one equi-join; nothing is crossed with everything. Points (key, x
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakern.functions import geodesy
+from terrakern.operators.aggregates import latest_by
 from terrakern.operators.graph import components
+from terrakern.operators.materialise import cut
 
 Ring = Sequence[tuple[float, float]]
 
@@ -42,6 +46,45 @@ def pairs_within(points: DataFrame, radius: float, on: Sequence[str] = ()) -> Da
     return within_radius(points, points, radius, on).where("key < other")
 
 
+def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """Pairs (key, other, d) of places (key, lon, lat) at most so many metres apart on the sphere. Places are points of space, in
+    cells as wide as the chord of the distance, so neither a pole nor the date line is a special case."""
+    radius = geodesy.EARTH_RADIUS_KM * 1000
+    chord = 2 * radius * math.sin(min(metres / (2 * radius), math.pi / 2)) * (1 + 1e-9) + 1e-6
+
+    def spaced(df: DataFrame, key: str, p: str) -> DataFrame:
+        lon, lat = F.radians("lon"), F.radians("lat")
+        at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+        cells = [F.floor(c * radius / chord).alias(f"_{n}") for n, c in at.items()]
+        return df.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("key").alias(key), F.col("lon").alias(f"{p}lon"), F.col("lat").alias(f"{p}lat"), *cells)
+
+    steps = [F.explode(F.sequence(F.col(f"_{n}") - 1, F.col(f"_{n}") + 1)).alias(f"_{n}") for n in "xyz"]
+    near = spaced(right, "other", "b")
+    for n, step in zip("xyz", steps, strict=True):
+        near = near.select(*[step if c == f"_{n}" else F.col(c) for c in near.columns])
+    d = geodesy.haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")) * 1000
+    return spaced(left, "key", "a").join(near, ["_x", "_y", "_z"]).withColumn("d", d).where(F.col("d") <= metres).select("key", "other", "d")
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 1.0) -> DataFrame:
+    """(key, other, d, place): the k nearest of right to each point of left, wherever they are, ties by key; all of right where
+    it has fewer. Points that find fewer than k within a radius look again within twice the radius; `radius` is a first guess."""
+    right = cut(right.select("key", "x", "y"))
+    box = right.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))]).first()
+    if not box["n"]:
+        return within_radius(left, right, radius).withColumn("place", F.lit(1))
+    k_found, out, waiting = min(k, box["n"]), None, cut(left.select("key", "x", "y"))
+    while True:
+        found = cut(nearest_within(waiting, right, radius, k))
+        done = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k_found)
+        part = found.join(done.select("key"), "key", "left_semi")
+        out = part if out is None else out.unionByName(part)
+        waiting = cut(waiting.join(done, "key", "left_anti"))
+        if waiting.isEmpty():
+            return out
+        radius *= 2
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, k: int = 1) -> DataFrame:
     """The k nearest of right within the radius of each point of left, ties by key, with their place from 1."""
     w = Window.partitionBy("key").orderBy("d", "other")
@@ -112,9 +155,10 @@ def merge_near(holes: DataFrame, radius: float = 2.0) -> DataFrame:
     return known.groupBy("project", "cluster").applyInPandas(greedy, schema)
 
 
-def in_polygon(x: Column, y: Column, rings: Sequence[Ring], edge: bool = False) -> Column:
+def in_polygon(x: Column, y: Column, rings: Sequence[Ring], edge: bool | None = False) -> Column:
     """Whether a point is inside: an odd number of edges to its right, over the outer ring and the holes. Points on an edge
-    are outside unless `edge`. The rings are literals; a box before it prunes the scan."""
+    are outside, inside if `edge`; with None edges are half-open, so that neighbours share no point: left and lower ones are
+    inside. The rings are literals; a box before it prunes the scan."""
     crossings, on_edge = F.lit(0), F.lit(False)
     for ring in rings:
         for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True):
@@ -127,8 +171,8 @@ def in_polygon(x: Column, y: Column, rings: Sequence[Ring], edge: bool = False)
             on_edge = on_edge | ((side == 0) & x.between(min(x0, x1), max(x0, x1)) & y.between(min(y0, y1), max(y0, y1)))
     outer = rings[0]
     box = x.between(min(p[0] for p in outer), max(p[0] for p in outer)) & y.between(min(p[1] for p in outer), max(p[1] for p in outer))
-    inside = (crossings % 2 == 1) | on_edge if edge else (crossings % 2 == 1) & ~on_edge
-    return box & inside
+    odd = crossings % 2 == 1
+    return box & (odd if edge is None else odd | on_edge if edge else odd & ~on_edge)
 
 
 def onto_section(x: Column, z: Column, start: tuple[float, float], end: tuple[float, float], most: float, margin: float = 0.0) -> Column:
@@ -163,18 +207,49 @@ def value_right_of(labels: DataFrame, values: DataFrame, page: str, gap: float =
     return met.groupBy(page, "key").agg(F.min_by("value", F.struct(run + step * 8, "value")).alias("value"))
 
 
-def box_tiles(box: Sequence[float], most_km2: float = 1.9) -> list[tuple[float, float, float, float]]:
-    """Boxes below an area that cover a box of degrees, row by row."""
-    import math
-
-    x0, y0, x1, y1 = box
-    wide = max((x1 - x0) * 111.32 * math.cos(math.radians((y0 + y1) / 2)), 0.001)
-    high = max((y1 - y0) * 110.54, 0.001)
-    need = max(1, math.ceil(wide * high / most_km2))
-    across = max(1, math.ceil(math.sqrt(need * wide / high)))
-    down = max(1, math.ceil(need / across))
-    at = lambda lo, hi, k, n: lo + (hi - lo) * k / n
-    return [(at(x0, x1, i, across), at(y0, y1, j, down), at(x0, x1, i + 1, across), at(y0, y1, j + 1, down)) for j in range(down) for i in range(across)]
+def best_by_overlap(anchors: DataFrame, lines: DataFrame, page: str) -> DataFrame:
+    """(page, key, line): of a page's lines (key, y0, y1) the one that shares most of the lower height with each anchor (key, y0,
+    y1); where none overlaps it, the one whose middle is nearest. Ties go to the least key. A page bounds the pairs."""
+    a = anchors.select(page, "key", F.col("y0").alias("_a0"), F.col("y1").alias("_a1"))
+    b = lines.select(page, F.col("key").alias("line"), F.col("y0").alias("_b0"), F.col("y1").alias("_b1"))
+    common = F.least("_a1", "_b1") - F.greatest("_a0", "_b0")
+    lower = F.least(F.col("_a1") - F.col("_a0"), F.col("_b1") - F.col("_b0"))
+    share = F.when((common > 0) & (lower > 0), common / lower).otherwise(0.0)
+    apart = F.abs((F.col("_a0") + F.col("_a1")) / 2 - (F.col("_b0") + F.col("_b1")) / 2)
+    return a.join(b, page).groupBy(page, "key").agg(F.min_by("line", F.struct(-share, F.when(share > 0, 0.0).otherwise(apart), F.col("line"))).alias("line"))
+
+
+def on_axis(axis: DataFrame, values: DataFrame, share: float = 1e-10) -> DataFrame:
+    """(project, key, place) of values (project, key, at) that lie on an axis (project, place, at), to within a share of its span.
+    They meet by cells of that width, in the cell and its neighbours."""
+    span = axis.groupBy("project").agg((F.greatest(F.max("at") - F.min("at"), F.lit(1e-300)) * share).alias("_eps"))
+    cell = lambda df: df.join(span, "project").withColumn("_cell", F.floor(F.col("at") / F.col("_eps") / 2))
+    a = cell(axis).withColumn("_cell", F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1))).select("project", "place", "_cell", F.col("at").alias("_at"))
+    met = cell(values).join(a, ["project", "_cell"]).where(F.abs(F.col("at") - F.col("_at")) <= F.col("_eps"))
+    return met.groupBy("project", "key").agg(F.min_by("place", F.struct(F.abs(F.col("at") - F.col("_at")), "place")).alias("place"))
+
+
+def box_tiles(boxes: DataFrame, most_km2: float = 1.9) -> DataFrame:
+    """(key, row, column, x0, y0, x1, y1): tiles of boxes (key, x0, y0, x1, y1) of degrees, each at most of an area and nearly
+    square. The area in tiles is met by rows and columns in the ratio of the sides."""
+    sides = boxes.withColumns(
+        {
+            "_w": F.greatest((F.col("x1") - F.col("x0")) * (geodesy.DEGREE_LON_M / 1000) * F.cos(F.radians((F.col("y0") + F.col("y1")) / 2)), F.lit(1e-3)),
+            "_h": F.greatest((F.col("y1") - F.col("y0")) * (geodesy.DEGREE_LAT_M / 1000), F.lit(1e-3)),
+        }
+    )
+    tiles = F.greatest(F.ceil(F.col("_w") * F.col("_h") / most_km2), F.lit(1))
+    columns = F.greatest(F.ceil(F.sqrt(tiles * F.col("_w") / F.col("_h"))), F.lit(1))
+    sides = sides.withColumn("_columns", columns).withColumn("_rows", F.greatest(F.ceil(tiles / F.col("_columns")), F.lit(1)))
+    each = sides.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))).withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_columns") - 1)))
+    edge = lambda c, n, k: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * k / F.col(n)
+    corners = [edge("x", "_columns", F.col("column")), edge("y", "_rows", F.col("row")), edge("x", "_columns", F.col("column") + 1), edge("y", "_rows", F.col("row") + 1)]
+    return each.select("key", "row", "column", *[c.alias(n) for c, n in zip(corners, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+def features_of_tiles(features: DataFrame, order: str) -> DataFrame:
+    """Features (id, ...) that several tiles returned, each once: the last by `order`."""
+    return latest_by(features, ["id"], [order])
 
 
 def any_polygon(x: Column, y: Column, polygons: Sequence[Sequence[Ring]]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakern.operators.materialise import cut
+from terrakern.operators.spatial import pairs_within
 
 LAYERS = ("soil", "weathered_rock", "soft_rock", "normal_rock", "hard_rock")
 NODES = 4096
@@ -49,13 +50,79 @@ def grounded_layers(strata: DataFrame) -> DataFrame:
 
 
 def distance_weighted(nodes: DataFrame, anchors: DataFrame, power: float = 2.0, exact: float = 1e-14) -> DataFrame:
-    """Nodes (project, j, i, x, y) with z of each layer: an anchor's own value at its place, else the mean by 1 / d ** power."""
-    a = anchors.select("project", "layer", F.col("x").alias("_x"), F.col("y").alias("_y"), "z")
-    d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
-    met = nodes.join(a, "project").withColumn("_d2", d2)
-    weight = F.when(F.col("_d2") >= exact, F.lit(1.0) / F.pow("_d2", power / 2))
-    at = F.min(F.when(F.col("_d2") < exact, F.col("z")))
-    return met.groupBy("project", "layer", "j", "i").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.coalesce(at, F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"))
+    """Nodes (project, j, i, x, y) with z of each layer: an anchor's own value at its place, else the mean by 1 / d ** power.
+
+    A project's nodes and anchors are dealt to blocks; two blocks meet in numpy, and give sums for each node and layer.
+    """
+    spread = lambda df, name: df.withColumn(name, F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)))
+    many = lambda df, name: df.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / NODES).alias(name))
+    sizes = many(nodes, "_rows").join(many(anchors, "_columns"), "project")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = spread(nodes.select("project", "j", "i", "x", "y"), "_a").join(sizes, "project").withColumn("_a", F.col("_a") % F.col("_rows")).withColumn("_b", each("_columns")).drop("_rows", "_columns")
+    right = spread(anchors.select("project", "layer", "x", "y", "z"), "_b").join(sizes, "project").withColumn("_b", F.col("_b") % F.col("_columns")).withColumn("_a", each("_rows")).drop("_rows", "_columns")
+    kind = nodes.schema["project"].dataType.simpleString()
+
+    def meet(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for layer, own in known.groupby("layer"):
+            x, y, z = (own[c].to_numpy(float) for c in "xyz")
+            for lo in range(0, len(some), 1024):
+                part = some.iloc[lo : lo + 1024]
+                d2 = (part["x"].to_numpy(float)[:, None] - x) ** 2 + (part["y"].to_numpy(float)[:, None] - y) ** 2
+                there = d2 < exact
+                weight = np.where(there, 0.0, 1 / np.where(there, 1.0, d2) ** (power / 2))
+                at = np.where(there.any(axis=1), np.where(there, z, np.inf).min(axis=1), np.nan)
+                parts.append(part[["project", "j", "i", "x", "y"]].assign(layer=layer, _z=weight @ z, _w=weight.sum(axis=1), _at=at))
+        return pd.concat(parts) if parts else some[["project", "j", "i", "x", "y"]].iloc[:0].assign(layer="", _z=0.0, _w=0.0, _at=0.0)
+
+    key = ["project", "_a", "_b"]
+    schema = f"project {kind}, j int, i int, x double, y double, layer string, _z double, _w double, _at double"
+    met = left.repartition(*key).groupBy(*key).cogroup(right.repartition(*key).groupBy(*key)).applyInPandas(meet, schema)
+    at = F.min(F.when(~F.isnan("_at"), F.col("_at")))
+    return met.groupBy("project", "layer", "j", "i").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.coalesce(at, F.sum("_z") / F.sum("_w")).alias("z"))
+
+
+def exact_surface(nodes: DataFrame, anchors: DataFrame, power: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """A groundwater surface through its anchors (project, layer, x, y, z, trend) at nodes (project, j, i, x, y, trend), and the
+    places whose anchors disagree, which take no part. What the anchors leave over the trend is spread by distance and added to
+    the node's trend; at an anchor's place its own level comes back, whatever the trend."""
+    good, apart = settled_anchors(anchors)
+    trend = anchors.groupBy("project", "layer", "x", "y").agg(F.min("trend").alias("_t"))
+    rest = good.join(trend, ["project", "layer", "x", "y"])
+    over = distance_weighted(nodes, rest.select("project", "layer", "x", "y", (F.col("z") - F.coalesce("_t", F.lit(0.0))).alias("z")), power)
+    own = rest.select("project", "layer", F.round(F.col("x") / 1e-9).alias("_px"), F.round(F.col("y") / 1e-9).alias("_py"), F.col("z").alias("_own"))
+    out = over.join(nodes.select("project", "j", "i", F.coalesce("trend", F.lit(0.0)).alias("_trend")), ["project", "j", "i"])
+    out = out.withColumns({"_px": F.round(F.col("x") / 1e-9), "_py": F.round(F.col("y") / 1e-9)}).join(own, ["project", "layer", "_px", "_py"], "left")
+    return out.select("project", "layer", "j", "i", "x", "y", F.coalesce("_own", F.col("z") + F.col("_trend")).alias("z")), apart
+
+
+def diagnosed(surface: DataFrame, anchors: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(project, layer, observations, greatest, mean, passed): how far a surface's nodes are off the anchors at their places."""
+    at = anchors.select("project", "layer", "x", "y", F.col("z").alias("_z")).join(surface.select("project", "layer", "x", "y", "z"), ["project", "layer", "x", "y"])
+    error = F.abs(F.col("z") - F.col("_z"))
+    out = at.groupBy("project", "layer").agg(F.count(F.lit(1)).alias("observations"), F.max(error).alias("greatest"), F.avg(error).alias("mean"))
+    return out.withColumn("passed", F.col("greatest") <= tolerance)
+
+
+def guarded_plate(nodes: DataFrame, anchors: DataFrame, near: float = 0.5, beyond: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """(project, layer, j, i, x, y, z, fallback) and the places whose anchors disagree. A thin plate where it is safe: its anchors
+    are no closer than `near`, and its nodes stay within `beyond` spans of the anchors' levels; elsewhere means by distance. At
+    an anchor's own place its level stands in either case."""
+    good, apart = settled_anchors(anchors)
+    good = cut(good)
+    key = ["project", "layer"]
+    spans = good.groupBy(*key).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0))
+    points = good.select(F.monotonically_increasing_id().alias("key"), "x", "y", *key)
+    close = pairs_within(cut(points), near, key).select(*key).distinct().withColumn("_close", F.lit(True))
+    plate = thin_plate(nodes, good).join(spans, key)
+    wild = plate.groupBy(*key).agg(F.bool_or(F.isnan("z") | (F.col("z") < F.col("_lo") - span * beyond) | (F.col("z") > F.col("_hi") + span * beyond)).alias("_wild"))
+    unsafe = cut(spans.select(*key).join(close, key, "left").join(wild, key, "left").select(*key, (F.coalesce("_close", F.lit(False)) | F.coalesce("_wild", F.lit(False))).alias("fallback")))
+    by_distance = distance_weighted(nodes, good.join(unsafe.where("fallback").select(*key), key, "left_semi"), 1.0)
+    safe = plate.join(unsafe.where("NOT fallback").select(*key), key, "left_semi").select(*key, "j", "i", "x", "y", "z")
+    own = good.select(*key, "x", "y", F.col("z").alias("_own"))
+    both = safe.withColumn("fallback", F.lit(False)).unionByName(by_distance.select(*safe.columns).withColumn("fallback", F.lit(True)))
+    return both.join(own, [*key, "x", "y"], "left").withColumn("z", F.coalesce("_own", "z")).drop("_own"), apart
 
 
 def settled_anchors(anchors: DataFrame, place: float = 1e-9, height: float = 1e-6) -> tuple[DataFrame, DataFrame]:
@@ -269,6 +336,24 @@ def capped_by_water(z: Column, terrain: Column, water: Column, clearance: float
     return F.least(z, F.coalesce(water, z), terrain - clearance)
 
 
+def water_class(inland: Column, on_land: Column, sea: float = 0.0) -> Column:
+    """struct<kind, level> of a cell's water, null for land: inland water at its own level before the sea. Where it isn't known
+    what is land (null), there is no sea."""
+    level = F.when(inland.isNotNull() & ~F.isnan(inland), F.struct(F.lit("inland").alias("kind"), inland.alias("level")))
+    return level.when(~on_land, F.struct(F.lit("sea").alias("kind"), F.lit(sea).alias("level")))
+
+
+def capped_groundwater(surface: DataFrame, ground: DataFrame, clearance: float = 0.05, least_anchors: int = 3) -> DataFrame:
+    """Levels for display (project, j, i, z, cap) of a surface (project, j, i, z, anchors, is_anchor) over ground (project, j, i,
+    terrain, water): water's level where there is water, else at most just below the terrain; anchors keep theirs. Without
+    enough anchors there is no surface."""
+    both = surface.where(F.col("anchors") >= least_anchors).join(ground, ["project", "j", "i"])
+    low = F.col("terrain") - clearance
+    cap = F.when(F.col("is_anchor"), F.lit("anchor")).when(F.col("water").isNotNull(), F.lit("water")).when(F.col("z") > low, F.lit("terrain")).otherwise(F.lit("none"))
+    z = F.when(cap == "water", F.col("water")).when(cap == "terrain", low).otherwise(F.col("z"))
+    return both.select("project", "j", "i", z.alias("z"), cap.alias("cap"))
+
+
 def targets(points: DataFrame) -> DataFrame:
     """Mean of the values that meet at a layer's node."""
     return points.groupBy("layer", "j", "i").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))

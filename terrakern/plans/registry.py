@@ -886,3 +886,6 @@ def label_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.get(F.array(*[F.lit(u) for u in ("EL. m", "(GL - m)", "-m", "m")]), (F.col("event_id") % 4).cast("int"))
     confidence = DOC.label_confidence(F.col("value"), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0)
     return T.table(spark, sf_dir, "events").select("event_id", DOC.datum_of(unit).alias("datum"), confidence.alias("confidence"))
+
+
+from terrakern.plans import further  # noqa: E402, F401  more queries, registered here

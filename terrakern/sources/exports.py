@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakern.functions import geodesy
@@ -49,6 +49,90 @@ def drawing(holes: DataFrame, strata: DataFrame, deepest: float = 300.0, label_h
     return lines.unionByName(placed.select("hole", F.lit(float("inf")).alias("part"), label.alias("entity")))
 
 
+# Labels and codes of layers in exported documents, colour numbers of drawing layers.
+LABELS = {"ground_surface": "지표면", "soil": "토사", "weathered_rock": "풍화암", "soft_rock": "연암", "normal_rock": "보통암", "hard_rock": "경암"}
+DRAWING_COLOURS = {"soil": 34, "weathered_rock": 40, "soft_rock": 80, "normal_rock": 8, "hard_rock": 250, "unknown": 9}
+_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<LandXML version="1.2" xmlns="http://www.landxml.org/schema/LandXML-1.2"',
+    '  date="{date}" time="{time}" language="Korean" readOnly="false">',
+    "  <Units>",
+    '    <Metric linearUnit="meter" areaUnit="squareMeter" volumeUnit="cubicMeter"',
+    '      temperatureUnit="celsius" pressureUnit="milliBars"',
+    '      angularUnit="decimal dd.mm.ss" directionUnit="decimal dd.mm.ss"/>',
+    "  </Units>",
+    '  <CoordinateSystem name="Korea 2000 Central Belt 2010" epsgCode="5186"/>',
+)
+
+
+def _listed(spark, lines: list[str], group: int, part: int) -> DataFrame:
+    """Fixed lines of a document, before or after its rows."""
+    return spark.createDataFrame([(group, part, float(n), 0, x) for n, x in enumerate(lines)], "group int, part int, number double, half int, line string")
+
+
+def checked_grids(grids: DataFrame, size: int) -> DataFrame:
+    """(layer, problem) of layers (layer, j, i, z) that aren't size x size nodes, each with a finite level; one below 2 never is."""
+    finite = F.col("z").isNotNull() & ~F.isnan("z") & (F.abs(F.col("z")) < float("inf"))
+    inside = F.col("j").between(0, size - 1) & F.col("i").between(0, size - 1)
+    seen = grids.groupBy("layer").agg(F.count_distinct(F.when(inside, F.struct("j", "i"))).alias("n"), F.count(F.when(~inside, 1)).alias("out"), F.count(F.when(~finite, 1)).alias("bad"))
+    shape = (F.col("n") != size * size) | (F.col("out") > 0) | F.lit(size < 2)
+    return seen.where(shape | (F.col("bad") > 0)).select("layer", F.when(shape, "shape").otherwise("level").alias("problem"))
+
+
+def _numbered_layers(layers: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in layers]), F.col("layer")).cast("int")
+
+
+def surface_document(grids: DataFrame, size: int, layers: list[str], date: str, time: str) -> DataFrame:
+    """(group, part, number, half, line): a whole surface document of the layers (layer, j, i, x, y, z), in the order of its first
+    four columns. Refuses grids that aren't square and finite."""
+    spark, chosen = grids.sparkSession, grids.where(F.col("layer").isin(*layers))
+    wrong = checked_grids(chosen, size).limit(1).collect()
+    if wrong:
+        raise ValueError(f"the grid of {wrong[0]['layer']} has a wrong {wrong[0]['problem']}")
+    points, faces = tin(chosen, size)
+    indent = lambda df, part, number: df.select(_numbered_layers(layers).alias("group"), F.lit(part).alias("part"), number.cast("double").alias("number"), F.lit(0).alias("half"), F.concat(F.lit(" " * 10), "line").alias("line"))
+    out = _listed(spark, [x.format(date=date, time=time) for x in (*_HEAD, "  <Surfaces>")], 0, 0)
+    out = out.unionByName(indent(points, 2, F.col("point"))).unionByName(indent(faces, 4, F.col("face_no")))
+    for n, layer in enumerate(layers, start=1):
+        out = out.unionByName(_listed(spark, [f'    <Surface name="{LABELS.get(layer, layer)}">', '      <Definition surfType="TIN">', "        <Pnts>"], n, 1))
+        out = out.unionByName(_listed(spark, ["        </Pnts>", "        <Faces>"], n, 3))
+        out = out.unionByName(_listed(spark, ["        </Faces>", "      </Definition>", "    </Surface>"], n, 5))
+    return out.unionByName(_listed(spark, ["  </Surfaces>", "</LandXML>"], len(layers) + 1, 0))
+
+
+def point_document(grids: DataFrame, contacts: DataFrame, size: int, layers: list[str], date: str, time: str) -> DataFrame:
+    """(group, part, number, half, line): a whole document of points, for each layer the observed ones, by id, then the nodes."""
+    spark, chosen = grids.sparkSession, grids.where(F.col("layer").isin(*layers))
+    code = F.upper("layer")
+    seen = observed_points(contacts.where(F.col("layer").isin(*layers)))
+    seen = seen.withColumn("n", F.row_number().over(Window.partitionBy("layer").orderBy("id")))
+    point = F.concat(F.lit('    <CgPoint name="'), code, F.lit("_OBS_"), F.lpad(F.col("n").cast("string"), 6, "0"), F.lit('" code="'), code, F.lit('_OBSERVED" desc="시추공 '), F.col("id").cast("string"), F.lit('">'), F.col("line"), F.lit("</CgPoint>"))
+    north, east = geodesy.to_grid(F.col("y"), F.col("x"), CRS)
+    name = F.concat(code, F.format_string("_INT_R%03d_C%03d", F.col("j") + 1, F.col("i") + 1))
+    node = F.concat(F.lit('    <CgPoint name="'), name, F.lit('" code="'), code, F.lit('_INTERPOLATED">'), F.concat_ws(" ", _fixed(north, 3), _fixed(east, 3), _fixed(F.col("z"), 4)), F.lit("</CgPoint>"))
+    row = lambda df, part, number, line: df.select(_numbered_layers(layers).alias("group"), F.lit(part).alias("part"), number.cast("double").alias("number"), F.lit(0).alias("half"), line.alias("line"))
+    out = _listed(spark, [x.format(date=date, time=time) for x in _HEAD], 0, 0)
+    out = out.unionByName(row(seen, 2, F.col("n"), point)).unionByName(row(chosen, 3, F.col("j") * size + F.col("i"), node))
+    for n, layer in enumerate(layers, start=1):
+        out = out.unionByName(_listed(spark, [f'  <CgPoints name="{layer.upper()}" desc="{LABELS.get(layer, layer)}; grid={size}x{size}">'], n, 1)).unionByName(_listed(spark, ["  </CgPoints>"], n, 4))
+    return out.unionByName(_listed(spark, ["</LandXML>"], len(layers) + 1, 0))
+
+
+def drawing_document(holes: DataFrame, strata: DataFrame, **options) -> DataFrame:
+    """(group, part, number, half, line): a whole drawing: header, a table of the layers used, the entities hole by hole."""
+    spark, entities = holes.sparkSession, drawing(holes, strata, **options)
+    used = strata.select(F.coalesce("strata_group", F.lit("unknown")).alias("g")).distinct()
+    groups = sorted(r["g"] for r in used.where(F.col("g").isin(*DRAWING_COLOURS)).collect())  # of the fixed groups at most
+    layers = [(g.upper(), DRAWING_COLOURS[g]) for g in groups] + [("LABEL", 7)]
+    head = ["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1009", "9", "$INSUNITS", "70", "6", "0", "ENDSEC", "0", "SECTION", "2", "TABLES", "0", "TABLE", "2", "LAYER", "70", str(len(layers))]
+    for name, colour in layers:
+        head += ["0", "LAYER", "2", name, "70", "0", "62", str(colour), "6", "CONTINUOUS"]
+    head += ["0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
+    body = entities.select(F.lit(1).alias("group"), F.col("hole").cast("int").alias("part"), F.col("part").cast("double").alias("number"), F.lit(0).alias("half"), F.col("entity").alias("line"))
+    return _listed(spark, head, 0, 0).unionByName(body).unionByName(_listed(spark, ["0", "ENDSEC", "0", "EOF"], 2, 0))
+
+
 def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
     """Lines in their order over as many files as the data needs; files and lines in them are in order."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)

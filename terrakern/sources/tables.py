@@ -39,7 +39,7 @@ def decode(data: bytes) -> str:
 
 def csv_rows(data: bytes) -> Iterator[list[str]]:
     text = decode(data)
-    head = "\n".join(text.splitlines()[:20])
+    head = re.sub(r'"[^"]*"', "", "\n".join(text.splitlines()[:20]))  # marks inside quotes don't part cells
     delimiter = max(DELIMITERS, key=head.count)
     for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter):
         if any(c.strip() for c in row):
@@ -53,6 +53,19 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile, inside: set[str]) -> str:
+    """The part of the sheet that the workbook lists first; without a list, the one of the least number."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= inside:
+        listed = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_SHEET}sheets/{_SHEET}sheet")
+        wanted = next((v for k, v in (listed.items() if listed is not None else ()) if k.endswith("}id")), None)
+        for part in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = (part.get("Target") or "").lstrip("/")
+            target = target if target.startswith("xl/") else f"xl/{target}"
+            if wanted and part.get("Id") == wanted and target in inside:
+                return target
+    return min((n for n in inside if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: (len(n), n))
+
+
 def xlsx_rows(data: bytes) -> Iterator[list[str]]:
     """Rows of the first sheet; a file that unpacks to more than MOST_UNPACKED is refused."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -62,7 +75,7 @@ def xlsx_rows(data: bytes) -> Iterator[list[str]]:
         strings = []
         if "xl/sharedStrings.xml" in inside:
             strings = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheet = min((n for n in inside if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: (len(n), n))
+        sheet = _first_sheet(z, inside)
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_SHEET}row"):
             cells: list[str] = []
             for c in row.iter(f"{_SHEET}c"):
@@ -74,8 +87,8 @@ def xlsx_rows(data: bytes) -> Iterator[list[str]]:
                 yield cells
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """CELLS of every .csv, .txt or .xlsx file of a path."""
+def cells_of(files: DataFrame) -> DataFrame:
+    """CELLS of files (path, content): a workbook by its name, else a table of text. A file is read in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,10 +96,14 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(xlsx_rows(data) if name.lower().endswith(".xlsx") else csv_rows(data))
                 yield pd.DataFrame({"path": [name] * len(rows), "row_no": range(len(rows)), "cells": rows})
 
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(csv|txt|xlsx)$"))
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """CELLS of every .csv, .txt or .xlsx file of a path."""
+    return cells_of(spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(csv|txt|xlsx)$")))
+
+
 # What headers say, the first role that fits counts.
 ROLES = {
     "project_name": (r"프로젝트\s*명", r"조사\s*명", r"사업\s*명", r"project\s*name", r"survey\s*name"),
@@ -206,9 +223,9 @@ def long_strata(holes: DataFrame, layout: Layout) -> DataFrame:
     return merge_adjacent(sound, key, ["row_no"], "soil_type")
 
 
-def quarantined(holes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def quarantined(holes: DataFrame, west: float = 124, east: float = 132, south: float = 33, north: float = 39) -> tuple[DataFrame, DataFrame]:
     """Holes within the country's bounds, and the others."""
-    inside = F.coalesce(F.col("longitude").between(124, 132) & F.col("latitude").between(33, 39), F.lit(False))
+    inside = F.coalesce(F.col("longitude").between(west, east) & F.col("latitude").between(south, north), F.lit(False))
     return holes.where(inside), holes.where(~inside)
 
 

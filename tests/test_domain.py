@@ -163,8 +163,15 @@ def test_polygon_and_section(spark):
     got = one(spark, spatial.onto_section(F.lit(4.0), F.lit(1.5), (0.0, 0.0), (10.0, 0.0), 2.0))
     assert (got.chainage, got.distance) == (4.0, 1.5)
     assert one(spark, spatial.onto_section(F.lit(4.0), F.lit(2.5), (0.0, 0.0), (10.0, 0.0), 2.0)) is None
-    boxes = spatial.box_tiles((129.0, 35.0, 129.05, 35.04))
-    assert boxes[0][:2] == (129.0, 35.0) and boxes[-1][2:] == (129.05, 35.04)
+    tiles = spatial.box_tiles(spark.createDataFrame([(1, 129.0, 35.0, 129.05, 35.04)], "key int, x0 double, y0 double, x1 double, y1 double")).orderBy("row", "column").collect()
+    assert (tiles[0].x0, tiles[0].y0) == (129.0, 35.0) and (tiles[-1].x1, tiles[-1].y1) == (129.05, 35.04)
+    assert all((t.x1 - t.x0) * (t.y1 - t.y0) * 91 * 110.54 < 1.95 for t in tiles)
+    few = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 0.0)], "key long, x double, y double")
+    far = spark.createDataFrame([(7, 900.0, 0.0), (8, 1.0, 0.0), (9, 20000.0, 5.0)], "key long, x double, y double")
+    assert sorted((r.key, r.other, r.place) for r in spatial.nearest(few, far, 2).collect()) == [(1, 7, 2), (1, 8, 1), (2, 7, 1), (2, 8, 2)]
+    assert spatial.nearest(few, far, 5).count() == 6 and spatial.nearest(few, far.limit(0), 2).count() == 0
+    poles = spark.createDataFrame([(1, 179.9999, 0.0), (2, -179.9999, 0.0), (3, 0.0, 89.9999), (4, 180.0, 89.9999), (5, 10.0, 10.0)], "key long, lon double, lat double")
+    assert sorted((r.key, r.other) for r in spatial.within_metres(poles, poles, 30.0).where("key < other").collect()) == [(1, 2), (3, 4)]
 
 
 def test_labels_and_values(spark):

@@ -68,8 +68,51 @@ def test_orders_with_cycles(spark):
     nodes = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1), ("d", 0)], "name string, rank int")
     edges = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "c"), ("x", "a")], "upper string, lower string")
     assert [r.name for r in documents.topological(edges, nodes).orderBy("place").collect()] == ["a", "b", "d", "c"]
-    with pytest.raises(ValueError):
-        documents.topological(edges, nodes, most=2)
+    many = spark.range(20000).selectExpr("concat('n', id) AS name", "id AS rank")
+    chain = spark.range(19999).selectExpr("concat('n', id + 1) AS upper", "concat('n', id) AS lower")
+    assert documents.topological(chain, many).where("place = 0").first().name == "n19999"
+
+
+def test_deep_and_broken_trees(spark):
+    tree = '{"content": "end", "page number": 1, "bounding box": [0, 0, 1, 1]}'
+    for _ in range(400):
+        tree = '{"kids": [' + tree + "]}"
+    node = {"type": "leaf", "page number": 2, "bounding box": [0, 0, 2, 2], "content": " deep "}
+    for _ in range(5000):
+        node = {"kids": [node]}
+    assert documents.elements_of(node) == [(2, "leaf", "deep", 0.0, 0.0, 2.0, 2.0, None, None)]
+    some = spark.createDataFrame([("a", tree), ("b", "{"), ("c", None), ("d", "[1]")], "doc string, json string")
+    assert [(r.doc, r.text, r.page) for r in documents.flattened(some).collect()] == [("a", "end", 1)]
+
+
+def test_lost_points_with_known_depths(spark):
+    rows = spark.createDataFrame([("h", 1, 12.0), ("h", 2, 25.0), ("h", 3, 31.0), ("k", 1, 12.0), ("k", 2, 2.0)], "hole string, n int, d double")
+    known = spark.createDataFrame([("h", [1.2, 2.5, 3.1])], "hole string, depths array<double>")
+    got = documents.repaired_depths(rows, ["hole"], "n", "d", known).orderBy("hole", "n").collect()
+    assert [r.d for r in got] == [1.2, 2.5, 3.1, 1.2, 2.0]
+
+
+def test_whole_documents(spark, tmp_path):
+    from terrakern.sources import exports
+
+    grid = spark.createDataFrame([("soil", j, i, 127.0 + i, 36.0 + j, 1.0) for j in range(2) for i in range(2)], "layer string, j int, i int, x double, y double, z double")
+    lines = [r.line for r in exports.surface_document(grid, 2, ["soil"], "2026-01-01", "00:00:00").orderBy("group", "part", "number", "half").collect()]
+    assert lines[0].startswith("<?xml") and lines[-1] == "</LandXML>" and lines.index('    <Surface name="토사">') == 10
+    assert [x for x in lines if "<F>" in x] == ["          <F>1 2 4</F>", "          <F>1 4 3</F>"] and sum("<P id" in x for x in lines) == 4
+    import xml.etree.ElementTree as tree
+
+    assert tree.fromstring("\n".join(lines).encode()).tag.endswith("LandXML")
+    for wrong in (grid.where("j + i < 2"), grid.withColumn("z", F.lit(float("nan")))):
+        with pytest.raises(ValueError):
+            exports.surface_document(wrong, 2, ["soil"], "", "")
+    seen = spark.createDataFrame([("soil", 5, 127.0, 36.0, 2.0), ("soil", 4, 127.0, 36.0, 3.0)], "layer string, id long, x double, y double, z double")
+    points = [r.line for r in exports.point_document(grid, seen, 2, ["soil"], "2026-01-01", "00:00:00").orderBy("group", "part", "number").collect()]
+    assert sum("SOIL_OBS_000001" in x and "시추공 4" in x for x in points) == 1 and sum("_INTERPOLATED" in x for x in points) == 4
+    assert tree.fromstring("\n".join(points).encode()) is not None
+    holes = spark.createDataFrame([(1, "BH-1", 127.0, 36.0, 10.0)], "id long, name string, longitude double, latitude double, elevation double")
+    strata = spark.createDataFrame([(1, 0.0, 2.0, "soil"), (1, 2.0, 400.0, "hard_rock")], "borehole_id long, depth_top double, depth_bottom double, strata_group string")
+    drawn = "\n".join(r.line for r in exports.drawing_document(holes, strata).orderBy("group", "part", "number").collect()).split("\n")
+    assert drawn[:4] == ["0", "SECTION", "2", "HEADER"] and drawn[-4:] == ["0", "ENDSEC", "0", "EOF"] and drawn.count("LINE") == 1 and drawn.count("TEXT") == 1
 
 
 def test_listing_modes(spark):
