@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrakern.operators.materialise import cut, folder
+
+__all__ = ["UPPER", "WORD", "ascii_lower", "cut", "folder", "id_text_crc", "numbered", "sample", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Java regex of a word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,16 +28,6 @@ def id_text_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder of spark.checkpoint.dir, so that later jobs don't repeat the work
-    and lost executors don't lose it. Only a session without that setting (a test) gets a folder of its own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: each row's place, gapless from 0, in its group, by bucket and then by `order`.
 
@@ -51,11 +43,17 @@ def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[Column
     return local.join(offsets, cell).withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).drop("_offset", "_place", "_bucket")
 
 
-def sample(df: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """At most `limit` rows, the first by the hash of `key`. Rows whose hash is far beyond theirs, twice as many and a hundred
-    more being let through, stay where they are, so what tasks send for the last choice doesn't grow with their number."""
-    total, through = df.count(), 2 * limit + 100
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(*key), F.lit(1 << 40)))
-    if total > through:
-        hashed = hashed.where(F.col("_h") < int((1 << 40) * through / total))
-    return hashed.orderBy("_h", *key).limit(limit).drop("_h")
+def sample(df: DataFrame, key: list[str], limit: int, cells: int = 1 << 14) -> DataFrame:
+    """`limit` rows, or all where there are fewer: the first by a hash of `key`, then by a hash of the whole row.
+
+    The hash's range is parted into cells and their rows are counted; those in cells beyond the one that fills the limit stay
+    where they are. However often a key repeats, the rows asked for come back.
+    """
+    hashed = df.withColumns({"_h": F.pmod(F.xxhash64(*key), F.lit(1 << 40)), "_r": F.xxhash64(*df.columns)})
+    counts = hashed.groupBy(F.floor(F.col("_h") / ((1 << 40) // cells)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    order = counts["cell"].to_numpy().argsort()
+    reached = counts["n"].to_numpy()[order].cumsum()
+    last = int(reached.searchsorted(limit))
+    if last < len(order):
+        hashed = hashed.where(F.col("_h") < (int(counts["cell"].to_numpy()[order][last]) + 1) * ((1 << 40) // cells))
+    return hashed.orderBy("_h", "_r").limit(limit).drop("_h", "_r")

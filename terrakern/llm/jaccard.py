@@ -280,7 +280,8 @@ def _dense_pairs(crowd: DataFrame) -> DataFrame:
     the last counting all columns in which a row may meet another component."""
     rows = crowd.groupBy("hub", "cls").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_list("h").alias("cols"), F.first("total").alias("total"))
     rows = rows.withColumn("elsewhere", F.col("total") - F.size("cols")).drop("total")
-    return _tiled(cut(rows)).groupBy("hub", "kind", "i", "j").applyInArrow(_multiplied, "a long, b long, n_a int, n_b int").distinct()
+    tiles = ["hub", "kind", "i", "j"]  # dealt by all four, or one task would get all tiles of a hub
+    return _tiled(cut(rows)).repartition(*tiles).groupBy(*tiles).applyInArrow(_multiplied, "a long, b long, n_a int, n_b int").distinct()
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
