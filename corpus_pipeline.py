@@ -5,13 +5,10 @@ Every stage takes (spark, docs, sf_dir) and returns a table with the columns of
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from terrakern.llm import decontaminate, jaccard, mixing, quality, sharding
-from terrakern.llm.common import table
+from terrakern.llm.common import folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +51,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. What a stage keeps is written to the shared folder of spark.checkpoint.dir and read again, so
     that no stage is worked out twice and a lost executor costs no more than a stage; the folder's owner empties it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    kept = folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}")
-            docs = spark.read.parquet(f"{folder}/{number}")
+            docs.write.parquet(f"{kept}/{number}")
+            docs = spark.read.parquet(f"{kept}/{number}")
     return docs
