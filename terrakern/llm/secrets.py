@@ -23,12 +23,21 @@ BASE = (("assign", ASSIGN, 8), ("access", r"AKIA[A-Z0-9]{12,}", 16), ("hex", r"[
 METHOD = "entropy"
 
 WINDOW = 20
-#: A run of 20 characters or more that holds a digit; the look-behind and the possessive runs keep one pass over the text.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
-#: Class, pattern of all its characters, bits for each character that a window must reach.
-CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("lower", r"^[0-9a-z_=-]+$", 3.6), ("upper", r"^[0-9A-Z_=-]+$", 3.6), ("base64", r"^[0-9A-Za-z+/_=-]+$", 3.8))
+#: A run of 20 characters or more that holds a digit or a capital; dots may join its parts. One pass over the text: a run is
+#: entered at its start alone.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=[a-z+/_=.-]*+[0-9A-Z])[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{18,}[A-Za-z0-9+/_=-]"
+#: Class, pattern of all its characters, bits for each character that a window must reach. Letters alone must mix both cases as
+#: chance does, or they are a name made of words; with dots, small letters, capitals and digits must all be there.
+CLASSES = (
+    ("hex", r"^[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*$", 3.0),
+    ("lower", r"^(?=.*[0-9])[0-9a-z_=-]+$", 3.6),
+    ("upper", r"^(?=.*[0-9])[0-9A-Z_=-]+$", 3.6),
+    ("letters", r"^(?=(?:[a-z]*[A-Z]){5})(?=(?:[A-Z]*[a-z]){5})[A-Za-z]+$", 3.7),
+    ("base64", r"^(?=.*[0-9])[0-9A-Za-z+/_=-]+$", 3.8),
+    ("dotted", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/_=.-]+$", 3.9),
+)
 #: Strings that look random and are no secrets: documentation keys, nil and example identifiers, hashes by name, data headers.
-ALLOW = (r"(?i)example", r"(?i)sample", r"(?i)placeholder", r"(?i)^sha(1|256|384|512)[-_]", r"^[0-9-]+$", r"^0+[1-9]?$", r"(?i)^(0123456789|abcdefghij)", r"^iVBORw0KGgo", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+ALLOW = (r"(?i)example", r"(?i)^(https?:)?//|www\.", r"(?i)sample", r"(?i)placeholder", r"(?i)^sha(1|256|384|512)[-_]", r"^[0-9-]+$", r"^0+[1-9]?$", r"(?i)^(0123456789|abcdefghij)", r"^iVBORw0KGgo", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 
 def spans(text: Column, pattern: str, kind: str, order: int, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -68,8 +77,9 @@ def _c_log_c(c: Column) -> Column:
 def window_entropy(string: Column, window: int = WINDOW) -> Column:
     """The highest entropy, in bits, of the windows of `window` characters; of the whole string where it is shorter.
 
-    With counts c over w characters, H = log2(w) - sum(c * log2(c)) / w. The state holds the counts of the 128 ASCII codes
-    and the sum, and each turn changes two counts. A character outside ASCII counts as code 127.
+    With counts c over w characters, H = log2(w) - sum(c * log2(c)) / w. Each turn takes one character in and one out and changes
+    the sum by their two counts, which are read off the window itself, so the state is two numbers. A character outside ASCII
+    counts as code 127.
     """
     codes = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.least(F.ascii(c), F.lit(127)))
 
@@ -78,20 +88,16 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
         width = F.least(F.lit(window), n)
 
         def step(state: Column, i: Column) -> Column:
-            new = F.get(chars, i)
-            old = F.when(i >= width, F.get(chars, i - width)).otherwise(F.lit(-1))
-            had = F.get(state["counts"], new)
-            left = F.when(old >= 0, F.get(state["counts"], F.greatest(old, F.lit(0)))).otherwise(F.lit(0))
-            gain = F.when(old == new, F.lit(0.0)).otherwise(
-                _c_log_c(had + 1) - _c_log_c(had) + F.when(old >= 0, _c_log_c(left - 1) - _c_log_c(left)).otherwise(F.lit(0.0))
-            )
+            new, full = F.get(chars, i), i >= width
+            old = F.when(full, F.get(chars, i - width)).otherwise(F.lit(-1))
+            before = F.slice(chars, F.greatest(i - width, F.lit(0)) + 1, F.least(i, width))  # the window that the last turn left
+            had, left = F.size(F.filter(before, lambda c: c == new)), F.size(F.filter(before, lambda c: c == old))
+            gain = F.when(old == new, F.lit(0.0)).otherwise(_c_log_c(had + 1) - _c_log_c(had) + F.when(full, _c_log_c(left - 1) - _c_log_c(left)).otherwise(F.lit(0.0)))
             total = state["sum"] + gain
-            counts = F.transform(state["counts"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int"))
             bits = F.log2(width.cast("double")) - total / width
-            best = F.when(i >= width - 1, F.greatest(state["best"], bits)).otherwise(state["best"])
-            return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+            return F.struct(total.alias("sum"), F.when(i >= width - 1, F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"))
 
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["best"]).otherwise(F.lit(0.0))
 
     return F.get(F.transform(F.array(F.struct(codes.alias("codes"))), fold), F.lit(0))
@@ -142,4 +148,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() over all documents."""
     return scan(table(spark, sf_dir, "documents"))
