@@ -2,9 +2,10 @@
 
 Patterns find base spans (email, ip, card, phone) and looser candidates. Labelers vote for or against each candidate, or
 abstain: the pattern's strictness, a checksum, a gazetteer, words before it, words that speak against it, its edges. Votes
-with the candidate's kind and length class make one of a bounded number of patterns, which Spark counts over all documents.
-Expectation-maximisation over these counts estimates how often each labeler votes each way on true and false candidates, and
-its posteriors train the final span classifier, a logistic regression. Base spans always stay; a looser candidate that
+with the candidate's kind and features that no labeler sees - its length, what stands before it, whether a label's mark leads
+it, how many kinds of characters it mixes - make one of a bounded number of patterns, which Spark counts over all documents.
+Expectation-maximisation over the votes' counts estimates how often each labeler votes each way on true and false candidates, and
+its posteriors train the final span classifier, a logistic regression on kind, votes and features. Base spans always stay; a looser candidate that
 overlaps none of them is added if the classifier accepts it.
 """
 
@@ -123,7 +124,9 @@ _COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR IE IT LU NL NO PL PT SE
 _FOR = re.compile(r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|mastercard|pay|ip|host|server|address|ssn|social|iban|account|konto|courriel|correo)\b[^\n]{0,24}\Z")
 _AGAINST = re.compile(r"(?i)\b(?:version|release|build|section|figure|fig|isbn|issn|order|sku|part|ref|chapter|page|serial|example)\b[^\n]{0,12}\Z")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "counter_context", "edges")
-LENGTHS = 4
+#: Features and how many values each has.
+FEATURES = (("length", 4), ("before", 3), ("led", 2), ("mixed", 3))
+_LED = re.compile(r"[:=#]\x20*\Z|\b(?:is|ist|est|es)\x20\Z")
 
 
 def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
@@ -163,19 +166,33 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
     return pattern, checksum, gazetteer, context, counter, edges
 
 
-def encode(kind: int, length: int, vote: tuple[int, ...]) -> int:
-    code = kind * LENGTHS + min(LENGTHS - 1, length // 8)
+def features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Values of FEATURES of a candidate: eights of characters; start or blank, a mark, or a letter or digit before it; whether a
+    colon, an equals sign or a verb leads it; how many of letters, digits and marks it has."""
+    part, left = text[start:end], text[start - 1 : start]
+    before = 0 if not left or left.isspace() else 2 if left.isalnum() else 1
+    mixed = any(c.isalpha() for c in part) + any(c.isdigit() for c in part) + any(not c.isalnum() for c in part)
+    return min(3, (end - start) // 8), before, int(bool(_LED.search(text[max(0, start - 8) : start]))), mixed - 1
+
+
+def encode(kind: int, feature: tuple[int, ...], vote: tuple[int, ...]) -> int:
+    code = kind
+    for (_, many), f in zip(FEATURES, feature, strict=True):
+        code = code * many + f
     for v in vote:
         code = code * 3 + v + 1
     return code
 
 
-def decode(code: int) -> tuple[int, int, tuple[int, ...]]:
-    vote = []
+def decode(code: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    vote, feature = [], []
     for _ in LABELERS:
         code, v = divmod(code, 3)
         vote.append(v - 1)
-    return code // LENGTHS, code % LENGTHS, tuple(reversed(vote))
+    for _, many in reversed(FEATURES):
+        code, f = divmod(code, many)
+        feature.append(f)
+    return code, tuple(reversed(feature)), tuple(reversed(vote))
 
 
 def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -206,13 +223,16 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[np.ndarray, np.
 
 
 def _inputs(codes: np.ndarray) -> np.ndarray:
-    """One column for each kind, length class, labeler and vote, and a constant."""
-    rows = np.zeros((len(codes), len(KINDS) + LENGTHS + 3 * len(LABELERS) + 1))
+    """One column for each kind, value of a feature, labeler and vote, and a constant."""
+    first = np.cumsum([len(KINDS), *[many for _, many in FEATURES]])
+    rows = np.zeros((len(codes), int(first[-1]) + 3 * len(LABELERS) + 1))
     for n, c in enumerate(codes.tolist()):
-        kind, length, vote = decode(c)
-        rows[n, kind] = rows[n, len(KINDS) + length] = rows[n, -1] = 1
+        kind, feature, vote = decode(c)
+        rows[n, kind] = rows[n, -1] = 1
+        for at, f in zip(first.tolist(), feature, strict=False):
+            rows[n, at + f] = 1
         for j, v in enumerate(vote):
-            rows[n, len(KINDS) + LENGTHS + 3 * j + v + 1] = 1
+            rows[n, int(first[-1]) + 3 * j + v + 1] = 1
     return rows
 
 
@@ -256,7 +276,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 columns[0].append([k for k, _, _ in spans])
                 columns[1].append([a for _, a, _ in spans])
                 columns[2].append([b for _, _, b in spans])
-                columns[3].append([encode(k, b - a, votes(text, k, a, b)) for k, a, b in spans])
+                columns[3].append([encode(k, features(text, a, b), votes(text, k, a, b)) for k, a, b in spans])
             arrays = [_lists(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.record_batch([batch.column(0), *arrays], ["doc_id", "kinds", "starts", "ends", "codes"])
 
@@ -276,7 +296,7 @@ def detect(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     found = cut(candidates(docs))
     counted = found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
-    scores = train({r["code"]: r["n"] for r in counted})  # at most kinds * lengths * 3 ** labelers rows
+    scores = train({r["code"]: r["n"] for r in counted})  # at most 524,880 codes, kinds by features by votes; few occur
     shared = spark.sparkContext.broadcast(frozenset(c for c, p in scores.items() if p >= accept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,4 +318,5 @@ def detect(docs: DataFrame, accept: float = 0.5) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detect() over all documents."""
     return detect(table(spark, sf_dir, "documents"))
