@@ -7,12 +7,16 @@ the range. Where both hold it is copied to cell i; of two cells only the later c
 Cells join independently. A large cell is cut into blocks whose pairs are tasks of their own, so a task holds two blocks at
 most. A task returns how many links each vector has and a spanning forest of the links, never the links themselves.
 
+Pivots are one for each BLOCK vectors, and beyond BLOCK ** 2 vectors as many as the square root of their number, so neither the
+cells nor the distances to pivots grow with the square of the table; they are worked on in slices of bounded size.
+
 Equal vectors are one from the start and count by their number. Without structure in the data, copies go to most cells and the
 work is that of all pairs in blocks; that is the price of exactness, not a cap that drops any.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,8 @@ from terrakern.llm.components import components
 
 COSINE = 0.9
 BLOCK = 4096
-MOST_PIVOTS, PIVOT_BYTES = 1024, 4 << 20
+#: Bytes of pivots sent to tasks, and distances to pivots held at a time.
+PIVOT_BYTES, NEAR = 64 << 20, 1 << 21
 TILE = 1024
 _SLACK = 1e-9
 
@@ -45,17 +50,27 @@ class Cells:
     guests: np.ndarray | None = None  # blocks of those copied in
     first: np.ndarray | None = None  # number of the first task of each cell
 
-    def place(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home and angle of each vector, and a mask of the earlier cells that it is copied to."""
-        near = u @ self.pivots.T
-        home = near.argmax(axis=1)
-        own = near[np.arange(len(u)), home]
-        apart = np.sqrt(np.maximum(2 - 2 * self.pivots @ self.pivots.T, 0))
-        reach = np.sqrt(2 - 2 * self.cosine)
-        guest = (own[:, None] - near <= reach * apart[home] + _SLACK) & (np.arange(len(self.pivots)) < home[:, None])
-        if self.widest is not None:
-            guest &= np.arccos(np.clip(near, -1, 1)) <= self.widest + np.arccos(self.cosine) + 1e-6
-        return home, np.arccos(np.clip(own, -1, 1)), guest
+    def slices(self, n: int) -> Iterator[slice]:
+        step = max(1, NEAR // len(self.pivots))
+        return (slice(lo, lo + step) for lo in range(0, n, step))
+
+    def place(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Home and angle of each vector, and the earlier cells that it is copied to: numbers of vectors and of cells."""
+        home, angle, guests = np.empty(len(u), np.int64), np.empty(len(u)), [(np.empty(0, np.int64),) * 2]
+        reach, number = np.sqrt(2 - 2 * self.cosine), np.arange(len(self.pivots))
+        for part in self.slices(len(u)):
+            near = u[part] @ self.pivots.T
+            own = near.argmax(axis=1)
+            best = near[np.arange(len(own)), own]
+            homes, which = np.unique(own, return_inverse=True)
+            apart = np.sqrt(np.maximum(2 - 2 * self.pivots[homes] @ self.pivots.T, 0))
+            guest = (best[:, None] - near <= reach * apart[which] + _SLACK) & (number < own[:, None])
+            if self.widest is not None:
+                guest &= np.arccos(np.clip(near, -1, 1)) <= self.widest + np.arccos(self.cosine) + 1e-6
+            home[part], angle[part] = own, np.arccos(np.clip(best, -1, 1))
+            rows, cells = np.nonzero(guest)
+            guests.append((rows + part.start, cells))
+        return home, angle, tuple(np.concatenate(x) for x in zip(*guests, strict=True))
 
 
 def _survey(vectors: DataFrame, cells: Cells, dim: int) -> Cells:
@@ -68,7 +83,7 @@ def _survey(vectors: DataFrame, cells: Cells, dim: int) -> Cells:
         for batch in batches:
             home, angle, guest = shared.value.place(_unit(batch, 0, dim))
             at_home += np.bincount(home, minlength=k)
-            guests += guest.sum(axis=0)
+            guests += np.bincount(guest[1], minlength=k)
             np.maximum.at(widest, home, angle)
         yield pa.record_batch([pa.array(np.arange(k)), pa.array(at_home), pa.array(guests), pa.array(widest)], ["cell", "home", "guests", "widest"])
 
@@ -103,8 +118,8 @@ def _deal(vectors: DataFrame, cells: Cells, dim: int) -> DataFrame:
                     row.append(rows)
                     task.append(c.first[cell] + n * (n + 1) // 2 + own * m + other)
                     side.append(np.zeros(len(rows), np.int64))
-            for cell in np.flatnonzero(guest.any(axis=0)):
-                rows = np.flatnonzero(guest[:, cell])
+            for cell in np.unique(guest[1]):
+                rows = guest[0][guest[1] == cell]
                 n, m = int(c.blocks[cell]), int(c.guests[cell])
                 own = (draw[rows] % np.uint64(max(m, 1))).astype(np.int64)
                 for other in range(n):
@@ -147,12 +162,17 @@ def _join(cosine: float, dim: int):
         alone = bool((side == 2).any())
         a, b = (np.flatnonzero(side == 2),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         hits = np.zeros((len(a), len(b)), bool)
+        of_a, of_b, weight = np.zeros(len(a)), np.zeros(len(b)), many.astype(np.float64)
         for i in range(0, len(a), TILE):
             for j in range(0, len(b), TILE):
-                hits[i : i + TILE, j : j + TILE] = u[a[i : i + TILE]] @ u[b[j : j + TILE]].T >= cosine
-        if alone:
-            np.fill_diagonal(hits, False)
-        links = [(a, hits @ many[b])] if alone else [(a, hits @ many[b]), (b, many[a] @ hits)]
+                tile = u[a[i : i + TILE]] @ u[b[j : j + TILE]].T >= cosine
+                if alone and i == j:
+                    np.fill_diagonal(tile, False)
+                hits[i : i + TILE, j : j + TILE] = tile
+                count = tile.astype(np.float64)
+                of_a[i : i + TILE] += count @ weight[b[j : j + TILE]]
+                of_b[j : j + TILE] += weight[a[i : i + TILE]] @ count
+        links = [(a, of_a.astype(np.int64))] if alone else [(a, of_a.astype(np.int64)), (b, of_b.astype(np.int64))]
         who, count = np.concatenate([cls[x] for x, _ in links]), np.concatenate([n for _, n in links])
         some = count > 0
         edges = np.array(_forest(hits, cls[a], cls[b]), np.int64).reshape(-1, 2)
@@ -166,7 +186,7 @@ def _meet(vectors: DataFrame, cosine: float, dim: int) -> DataFrame:
     """(cls, n, other): for each task, the links of a vector (other is itself), and edges of its forest (n is 0)."""
     spark = vectors.sparkSession
     total = vectors.count()
-    k = int(min(max(1, -(-total // BLOCK)), MOST_PIVOTS, max(1, PIVOT_BYTES // (8 * dim))))
+    k = int(min(max(1, -(-total // BLOCK)), max(1, math.ceil(math.sqrt(total))), max(1, PIVOT_BYTES // (8 * dim))))
     chosen = sample(vectors, ["cls"], k).select("v").collect()
     pivots = np.array([r["v"] for r in chosen], np.float64)
     cells = Cells(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), cosine)
@@ -212,4 +232,5 @@ def near_duplicates(table_: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() over all embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
