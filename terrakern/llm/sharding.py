@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakern.llm.common import numbered, table
+from terrakern.llm.common import cut, numbered, table
 
 # Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -59,9 +59,11 @@ def shard(docs: DataFrame, shards: int = 8, buckets: int = BUCKETS) -> DataFrame
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
     ).select("*", jump_hash(F.col("doc_id"), shards).alias("shard"), jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    rows = cut(rows)  # five numbers for each text, which is read once
     placed = numbered(rows, ["shard"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard() over all documents, eight shards."""
     return shard(table(spark, sf_dir, "documents"))
