@@ -156,29 +156,27 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs, each row repeated as often as the mix takes it: taken / size, rounded, half up. A row without words stays once.
 
     Rows are told apart by id, source and size, and by their place among those that agree in all three; such rows are given
-    the repeats of their group in the order of their texts' hashes.
+    the repeats of their group in the order of their texts' hashes. Columns of docs may have any names; an empty table stays empty.
     """
+    names = [f"_in_{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, source, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text"))
     key = ["_id", "_no_id", "_source", "_no_source", "_size", "_k"]
-    text = F.coalesce(F.col("text"), F.lit(""))
 
-    def keyed(rows: DataFrame, size: Column, order: list[Column]) -> DataFrame:
-        rows = rows.withColumns(
-            {
-                "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-                "_no_id": F.col("doc_id").isNull(),
-                "_source": F.coalesce("source", F.lit("")),
-                "_no_source": F.col("source").isNull(),
-                "_size": size,
-            }
-        )
-        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key[:-1]).orderBy(*order)))
-
-    taken = keyed(mix(docs, carry=["source"], **options), F.col("size"), [F.col("taken").desc()])
+    def keyed(df: DataFrame, doc_id: Column, source: Column, size: Column, order: list[Column]) -> DataFrame:
+        parts = [F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size]
+        df = df.withColumns(dict(zip(key, parts, strict=False)))
+        return df.withColumn("_k", F.row_number().over(Window.partitionBy(*key[:-1]).orderBy(*order)))
+
+    plain = rows.select(doc_id.alias("doc_id"), source.alias("source"), text.alias("text"))
+    taken = keyed(mix(plain, carry=["source"], **options), F.col("doc_id"), F.col("source"), F.col("size"), [F.col("taken").desc()])
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(F.lit(1))
     taken = taken.select(*key, times.cast("int").alias("_times")).where("_times > 0")
-    rows = keyed(docs, F.regexp_count(text, F.lit(WORD)).cast("long"), [F.xxhash64("text")])
-    return rows.join(taken, key).withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[rows[c] for c in docs.columns])
+    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    met = keyed(rows, doc_id, source, size, [F.xxhash64(text)]).join(taken, key)
+    return met.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*names).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() over all documents with WEIGHTS and SHARE."""
     return mix(table(spark, sf_dir, "documents"))

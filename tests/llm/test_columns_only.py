@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -171,3 +172,62 @@ def test_url_templates(spark):
     assert {r.template for r in got} == {"/bad/{n}", "/good/{n}"}
     free = {r.template: r.verdict for r in got if r.rule is None}
     assert free == {"/bad/{n}": "block", "/good/{n}": "allow"}
+
+
+def test_tree_judges_what_no_rule_names(spark):
+    """Labels of one branch reach a branch of the same host with like children, not one with other children, nor another host's."""
+    rules = (("block", "spam.com", "/a/"), ("allow", "fine.com", "/a/"))
+    shapes = {"a": "{}", "b": "{}", "files": "{}.html"}
+    rows = [f"http://{h}/{b}/{f.format(1000 + n)}" for h in ("spam.com", "fine.com", "new.com") for b, f in shapes.items() for n in range(60)]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    free = {(r.host, r.template): r.verdict for r in got if r.rule is None}
+    assert free[("spam.com", "/b/{n}")] == "block" and free[("fine.com", "/b/{n}")] == "allow" and free[("new.com", "/b/{n}")] == "allow"
+    # A host of blocked labels alone blocks its other templates as well; their purity is the host's.
+    purity = {(r.host, r.template): r.purity for r in got}
+    assert purity[("spam.com", "/files/{n}.html")] < purity[("spam.com", "/b/{n}")] and purity[("new.com", "/b/{n}")] < 0.9
+
+
+def test_secrets_planted(spark):
+    """Random strings of each class are found, names, words and addresses are left alone."""
+    rng = random.Random(9)
+    alphabets = {"hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    alphabets["base64"] = alphabets["letters"] + "0123456789+/"
+    planted = [(k, "".join(rng.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (34, 40, 64) for _ in range(25)]
+    planted += [("dotted", ".".join("".join(rng.choice(alphabets["base64"][:62]) for _ in range(n)) for n in (24, 40, 30))) for _ in range(25)]
+    texts = [f"see {s}, end." for _, s in planted]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs_of(spark, texts)).collect()}
+    found = [f":4:{4 + len(s)}" in got[i] for i, (_, s) in enumerate(planted)]
+    assert sum(found) / len(found) >= 0.97
+    clean = ["internationalizationconfigurationmanager", "getUserProfileInformationFromDatabase", "www.example-of-a-long-name.com/en/articles/page", "https://host.name.org/a/b/c1234567890", "0000000000000000000000001", "2024-01-01-00-00-00-000000", "THE_QUICK_BROWN_FOX_JUMPS_OVER", "aaaaaaaaaaaaaaaaaaaaaaaaaaa1", "Donaudampfschifffahrtsgesellschaft"]
+    assert not [r.spans for r in secrets.scan(docs_of(spark, clean)).collect() if r.spans]
+    long = [("ab1" * 200_000) + " x", "Z9" + "q" * 300_000]
+    assert secrets.scan(docs_of(spark, long)).count() == 2
+
+
+def test_mixed_repeats_and_clashing_names(spark):
+    """Rows come as often as the mix takes them, whatever their columns are called."""
+    rows = [(i, "a b c d e " * (1 + i % 4), "st"[i % 2], f"x{i}", i) for i in range(60)] + [(1, "a b c d e a b c d e", "t", "twin", 0), (None, "", None, "blank", 1), (None, None, "s", "none", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _k int")
+    got = mixing.mixed(docs).collect()
+    times = {}
+    for r in got:
+        times[r._id] = times.get(r._id, 0) + 1
+    assert got[0].__fields__ == docs.columns and times["blank"] == times["none"] == 1
+    taken = {}
+    for r in mixing.mix(docs, carry=["source"]).collect():
+        taken.setdefault((r.doc_id, r.size), []).append(int((2 * r.taken + r.size) // (2 * r.size)) if r.size else 1)
+    by_row = {}
+    for i, text, _, name, _ in rows:
+        by_row.setdefault((i, len((text or "").split())), []).append(times.get(name, 0))
+    assert {k: sorted(v) for k, v in by_row.items()} == {k: sorted(v) for k, v in taken.items()}
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_samples_of_repeated_keys(spark):
+    """As many rows as asked, though one key has nearly all of them, and the same ones again."""
+    from terrakern.llm.common import sample
+
+    df = spark.range(5058).selectExpr("IF(id < 5000, 7, id) AS key", "id AS v")
+    got = sorted(r.v for r in sample(df, ["key"], 50).collect())
+    assert len(got) == 50 and got == sorted(r.v for r in sample(df.repartition(9), ["key"], 50).collect())
+    assert sample(df, ["key"], 10_000).count() == 5058 and sample(df.limit(0), ["key"], 5).count() == 0
