@@ -290,4 +290,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaks() of the whole benchmark in all documents."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

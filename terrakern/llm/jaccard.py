@@ -401,4 +401,5 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups() over all documents."""
     return groups(table(spark, sf_dir, "documents"))

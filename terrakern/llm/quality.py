@@ -203,4 +203,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rate() over all documents and labels."""
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terrakern.llm import checks
 from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.jaccard import op8_jaccard
 from terrakern.llm.lm import op9_lm
@@ -24,6 +25,8 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_lm": op9_lm,
     "op10_decontamination": op10_decontamination,
+    **checks.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The operators' own results are learned, hashed or searched for; parts that SQL can say are queries of their own.
+ORACLE_SQL: dict[str, str] = checks.ORACLE_SQL

@@ -115,6 +115,48 @@ def test_jaccard_edges(spark):
     assert jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string, cls int").limit(0)).count() == 0
 
 
+def test_products_of_tiles():
+    """Overlaps by matrices and by pairs of entries, against sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = (rng.random((n, 400)) < np.r_[np.full(40, 0.9), np.full(360, 0.02)] for n in (130, 70))
+    got = jaccard._overlaps(*np.nonzero(a), *np.nonzero(b), (130, 70))
+    assert (got == a.astype(int) @ b.T.astype(int)).all()
+    none = np.empty(0, np.int64)
+    assert (jaccard._overlaps(none, none, *np.nonzero(b), (3, 70)) == 0).all()
+
+
+@pytest.mark.parametrize("sizes", [(3, 4, 64), (9, 2048, 1 << 20)])
+def test_jaccard_groups_in_tiles(spark, monkeypatch, sizes):
+    """Near copies without their original, in crowded columns and several tiles: each link is found, no other is made."""
+    for name, value in zip(("CROWD", "TILE_ROWS", "TILE_ENTRIES"), sizes, strict=True):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(edited(rng, base, rng.choice([2, 3, 4, 6, 8]))) for _ in range(90)]
+    other = base[:60] + [f"o{i}" for i in range(40)]
+    texts += [" ".join(edited(rng, other, rng.choice([1, 2, 3]))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    _, want = brute(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want and 3 < len(set(want.values())) < len(want)
+
+
+def test_representatives_keep_documents_apart(spark):
+    """One row of each group; ids that repeat over different texts, missing ids, blanks and clashing columns."""
+    rows = [
+        (5, "a b c d e f g h", "first"), (5, "x y z u v w", "other"), (5, "a b c d e f g h", "again"), (3, "A B C D E F G H", "least"), (9, "x y z u v w", "copy"),
+        (None, "p q r s t", "no id"), (None, "P q r s t", "no id either"), (7, None, "null"), (7, "", "empty"), (2**63 - 1, "m n", "great"), (-(2**63), "k l", "low"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _copy string")
+    kept = [r._copy for r in jaccard.representatives(docs).collect()]
+    assert sorted(k for k in kept if k not in ("no id", "no id either")) == ["empty", "great", "least", "low", "null", "other"]
+    assert len(kept) == 7 and jaccard.representatives(docs).columns == docs.columns
+    assert jaccard.representatives(docs.limit(0)).count() == 0
+    assert sorted(r.component_id for r in jaccard.groups(docs.where("_copy IN ('low', 'great')")).collect()) == [-(2**63), 2**63 - 1]
+
+
 def vectors_brute(rows):
     import numpy as np
 
