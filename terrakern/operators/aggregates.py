@@ -14,6 +14,27 @@ def upper_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
+def upper_median_of_all(df: DataFrame, column: str, small: int = 100_000, cells: int = 1024) -> float | None:
+    """The upper median of a whole table's column. Its range is parted into cells and counted; only the cell that holds the
+    median's rank is looked into again, until few values are left, so no task holds all values."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    state = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, lo, hi = state["n"], state["lo"], state["hi"]
+    rank = n // 2  # from 0, from below
+    while n > small and lo < hi:
+        cell = F.least(F.floor((F.col("v") - lo) / (hi - lo) * cells), F.lit(cells - 1))
+        counts = values.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()  # `cells` rows
+        for c in counts:
+            if rank < c["n"]:
+                break
+            rank -= c["n"]
+        n, lo, hi = c["n"], c["lo"], c["hi"]
+        values = values.where(F.col("v").between(lo, hi))
+    if not n:
+        return None
+    return lo if lo == hi else values.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank))).first()[0]  # at most `small` values
+
+
 def latest_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest by `order`, found by a map-side combined maximum, not a sort."""
     rest = [c for c in df.columns if c not in key]

@@ -19,7 +19,7 @@ def grouped(holes: DataFrame, signatures: DataFrame, x: str = "longitude", y: st
     both = holes.join(signatures.withColumnRenamed("borehole_id", "id"), "id", "left")
     log = F.struct(F.coalesce(F.round("elevation", 4), F.lit(0.0)), F.coalesce("signature", F.lit("")))
     out = both.groupBy("name", F.round(x, places).alias("x"), F.round(y, places).alias("y")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(log).alias("logs"), F.min("id").alias("keep"), F.sort_array(F.collect_list("id")).alias("ids")
+        F.count(F.lit(1)).alias("n"), F.count_distinct(log).alias("logs"), F.min("id").alias("keep")
     )
     return out.where("n > 1").withColumn("kind", F.when(F.col("logs") == 1, F.lit("exact")).otherwise(F.lit("conflict"))).drop("logs")
 
@@ -41,9 +41,11 @@ def summary(groups: DataFrame) -> DataFrame:
     return groups.groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("holes"), removable.alias("removable"))
 
 
-def keepers(groups: DataFrame) -> DataFrame:
+def keepers(holes: DataFrame, groups: DataFrame, x: str = "longitude", y: str = "latitude", places: int = 7) -> DataFrame:
     """(id, keep) of every hole of an exact group that isn't kept."""
-    return groups.where("kind = 'exact'").select("keep", F.explode("ids").alias("id")).where("id <> keep")
+    exact = groups.where("kind = 'exact'").select(F.col("name").alias("_name"), F.col("x").alias("_x"), F.col("y").alias("_y"), "keep")
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.round(x, places).eqNullSafe(F.col("_x")) & F.round(y, places).eqNullSafe(F.col("_y"))
+    return holes.join(exact, same).where("id <> keep").select("id", "keep")
 
 
 def repointed(links: DataFrame, moved: DataFrame, key: str = "borehole_id") -> DataFrame:

@@ -5,12 +5,15 @@ Neighbours are windows along a row or column, or an equi-join with shifted indic
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakern.operators.surfaces import LAYERS
+from terrakern.operators.aggregates import upper_median
+from terrakern.operators.surfaces import LAYERS, distance_weighted
+from terrakern.operators.surfaces import grid as even_grid
 
 NODE = ["project", "j", "i"]
 
@@ -147,3 +150,48 @@ def cut_triangles(triangles: DataFrame, normal: tuple[float, float, float], cons
         points += [corner, crossing]
     met = triangles.withColumn("_p", F.array_distinct(F.array_compact(F.array(*points)))).where(F.size("_p") == 2)
     return met.select("tri", *[F.get("_p", F.lit(n))[c].alias(f"{e}{c}") for n, e in enumerate("ab") for c in "xyz"])
+
+
+def below_surface(strata: DataFrame, at_holes: DataFrame) -> DataFrame:
+    """Strata with z_top and z_bot below a modelled surface (key, z) at their hole (borehole_id), not below its collar."""
+    return strata.join(at_holes.select(F.col("key").alias("borehole_id"), F.col("z").alias("_z")), "borehole_id").withColumns({"z_top": F.col("_z") - F.col("depth_top"), "z_bot": F.col("_z") - F.col("depth_bottom")}).drop("_z")
+
+
+def sampled_uneven(points: DataFrame, grid: DataFrame, axes: DataFrame) -> DataFrame:
+    """(project, key, z) of a grid (project, j, i, z) over uneven axes (project, xs, ys: ascending arrays, each of two or more) at
+    points (project, key, x, y), between its four nodes, at the edge for points outside."""
+    at = points.join(axes, "project")
+    below = lambda some, c: F.size(F.filter(some, lambda v: v <= F.col(c)))
+    for n, (c, some) in {"i": ("x", "xs"), "j": ("y", "ys")}.items():
+        last = F.size(some) - 2
+        before = below(some, c) - 1
+        at = at.withColumn(f"_{n}", F.greatest(F.least(before, last), F.lit(0)))
+        low, high = F.get(some, F.col(f"_{n}")), F.get(some, F.col(f"_{n}") + 1)
+        at = at.withColumn(f"_t{n}", F.least(F.greatest((F.col(c) - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
+    corners = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in (0, 1) for a in (0, 1)])
+    at = at.withColumn("_c", F.explode(corners))
+    share = lambda n, side: F.when(F.col(side) == 1, F.col(f"_t{n}")).otherwise(1.0 - F.col(f"_t{n}"))
+    at = at.select("project", "key", (F.col("_j") + F.col("_c.b")).alias("j"), (F.col("_i") + F.col("_c.a")).alias("i"), (share("i", "_c.a") * share("j", "_c.b")).alias("_w"))
+    return at.join(grid, NODE).groupBy("project", "key").agg(F.sum(F.col("z") * F.col("_w")).alias("z"))
+
+
+def corrected(grid: DataFrame, holes: DataFrame, boxes: DataFrame, most: float = 15.0, passes: int = 4, radius: float = 80.0) -> DataFrame:
+    """A terrain grid (project, j, i, x, y, z) moved to the holes' collars (project, key, x, y, z). Residuals within `most` of the
+    project's upper median are spread by distance and smoothed, then the nodes near a hole are moved by what is left there."""
+    plain = grid.select(*NODE, "z")
+    seen = sampled(holes.select("project", "key", "x", "y"), plain, boxes).withColumnRenamed("z", "_g")
+    rest = holes.join(seen, ["project", "key"]).select("project", "key", "x", "y", (F.col("z") - F.col("_g")).alias("r"))
+    middle = rest.groupBy("project").agg(upper_median("r").alias("_m"))
+    good = rest.join(middle, "project").where(F.abs(F.col("r") - F.col("_m")) < most)
+    spread = distance_weighted(grid.select(*NODE, "x", "y"), good.select("project", F.lit("r").alias("layer"), "x", "y", F.col("r").alias("z")), 1.0)
+    moves = smoothed(spread.select(*NODE, "z"), passes).withColumnRenamed("z", "_r")
+    moved = grid.join(moves, NODE, "left").withColumn("z", F.col("z") + F.coalesce("_r", F.lit(0.0))).drop("_r")
+    now = sampled(holes.select("project", "key", "x", "y"), moved.select(*NODE, "z"), boxes).withColumnRenamed("z", "_g")
+    errors = holes.join(now, ["project", "key"]).join(good.select("project", "key"), ["project", "key"], "left_semi")
+    return snapped(moved, errors.select("project", "x", "y", (F.col("z") - F.col("_g")).alias("error")), radius)
+
+
+def at_resolutions(projects: DataFrame, sizes: list[int], model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `model` makes of even grids of several sizes, the preview's and the final one's, with a column `size`."""
+    parts = [model(even_grid(projects, n)).withColumn("size", F.lit(n)) for n in sizes]
+    return reduce(lambda a, b: a.unionByName(b), parts)

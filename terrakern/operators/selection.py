@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrakern.functions.names import any_of
-from terrakern.operators.aggregates import upper_median
+from terrakern.operators.aggregates import upper_median_of_all
 
 
 def live(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
@@ -64,16 +64,14 @@ def valid_intervals(df: DataFrame, top: str, bottom: str) -> DataFrame:
 
 
 def within_upper_median(df: DataFrame, column: str, most: float) -> DataFrame:
-    """Rows less than `most` from the upper median, one scalar joined to all."""
-    middle = df.agg(upper_median(column).alias("_middle"))
-    return df.crossJoin(F.broadcast(middle)).where(F.abs(F.col(column) - F.col("_middle")) < most).drop("_middle")
+    """Rows less than `most` from the upper median of all."""
+    return df.where(F.abs(F.col(column) - F.lit(upper_median_of_all(df, column))) < most)
 
 
 def depth_warnings(df: DataFrame, depth: str, times: float = 5.0, least: float = 100.0) -> DataFrame:
     """Adds warn: a depth above `times` the upper median, or `least`."""
-    middle = df.agg(upper_median(depth).alias("_middle"))
-    bound = F.greatest(F.col("_middle") * times, F.lit(least))
-    return df.crossJoin(F.broadcast(middle)).withColumn("warn", F.coalesce(F.col(depth) > bound, F.lit(False))).drop("_middle")
+    bound = max((upper_median_of_all(df, depth) or 0.0) * times, least)
+    return df.withColumn("warn", F.coalesce(F.col(depth) > bound, F.lit(False)))
 
 
 def severity(gap: Column) -> Column:

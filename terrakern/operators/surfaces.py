@@ -359,47 +359,66 @@ def targets(points: DataFrame) -> DataFrame:
     return points.groupBy("layer", "j", "i").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise (monotone chain)."""
-    order = sorted(set(map(tuple, points.tolist())))
-
-    def half(some):
-        out: list[tuple[float, float]] = []
-        for p in some:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(order) + half(order[::-1])) if len(order) > 2 else np.array(order).reshape(-1, 2)
-
-
-def phantoms(holes: DataFrame, scale: float = 1.8, count: int = 12) -> DataFrame:
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of the points that are corners of their convex hull: of each x the lowest and highest, and of these, from either
+    side, those at which the chain turns one way."""
+    order = np.lexsort((y, x))
+    chains = []
+    for side in (order, order[::-1]):
+        chain: list[int] = []
+        for k in side.tolist():
+            while len(chain) > 1:
+                a, b = chain[-2], chain[-1]
+                if (x[b] - x[a]) * (y[k] - y[a]) - (y[b] - y[a]) * (x[k] - x[a]) > 0:
+                    break
+                del chain[-1]
+            chain.append(k)
+        chains += chain[:-1]
+    return np.unique(np.array(chains or order[:1].tolist(), np.int64))
+
+
+def _outline(points: DataFrame, key: list[str]) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        some = rows.drop_duplicates(["x", "y"])
+        return some.iloc[_corners(some["x"].to_numpy(float), some["y"].to_numpy(float))]
+
+    return points.groupBy(*key).applyInPandas(run, points.schema)
+
+
+def phantoms(holes: DataFrame, scale: float = 1.8, count: int = 12, block: int = NODES) -> DataFrame:
     """Points around each project's holes (project, id, x, y) that keep a surface level beyond them, and the hole each copies.
 
-    The hull is widened about the mean place and met at `count` even angles; fewer than three corners take a circle.
+    From the holes' mean place a ray goes out at each of `count` even angles and meets their convex hull; the point lies `scale`
+    times as far. Holes on a line or fewer than three take a circle through the farthest. Hulls are made of blocks of a
+    project's holes, then of the blocks' corners; the nearest hole is an aggregate.
     """
-
-    def around(rows: pd.DataFrame) -> pd.DataFrame:
-        places = rows[["x", "y"]].to_numpy(float)
-        middle, corners = places.mean(axis=0), hull(places)
-        if len(corners) >= 3:
-            wide = (corners - middle) * scale
-            turn = np.arctan2(wide[:, 1], wide[:, 0])
-            wide, turn = wide[np.argsort(turn)], np.sort(turn)
-            wanted = np.linspace(-np.pi, np.pi, count, endpoint=False)
-            at = np.searchsorted(turn, wanted)
-            before, after = (at - 1) % len(turn), at % len(turn)
-            lo, hi = turn[before] - 2 * np.pi * (at == 0), turn[after] + 2 * np.pi * (at == len(turn))
-            share = np.where(hi > lo, (wanted - lo) / np.where(hi > lo, hi - lo, 1), 0)[:, None]
-            new = middle + wide[before] * (1 - share) + wide[after] * share
-        else:
-            radius = max(float(np.hypot(*(places - middle).T).max()), 0.002) * scale
-            angle = 2 * np.pi * np.arange(count) / count
-            new = middle + radius * np.stack([np.cos(angle), np.sin(angle)], axis=1)
-        nearest = ((new[:, None] - places) ** 2).sum(axis=2).argmin(axis=1)
-        return pd.DataFrame({"project": rows["project"].iloc[0], "id": -100 - np.arange(count), "x": new[:, 0], "y": new[:, 1], "copies": rows["id"].to_numpy()[nearest]})
-
+    sound = holes.where("x IS NOT NULL AND y IS NOT NULL").select("project", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    middles = sound.groupBy("project").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    places = sound.join(middles, "project").withColumn("_block", F.pmod(F.xxhash64("x", "y"), F.col("_blocks")))
+    corners = _outline(places.select("project", "_block", "x", "y", "mx", "my"), ["project", "_block"])
+    corners = _outline(corners.drop("_block"), ["project"])
     kind = holes.schema["project"].dataType.simpleString()
-    sound = holes.where("x IS NOT NULL AND y IS NOT NULL").select("project", "id", "x", "y")
-    return sound.groupBy("project").applyInPandas(around, f"project {kind}, id long, x double, y double, copies long")
+
+    def rays(rows: pd.DataFrame) -> pd.DataFrame:
+        mx, my = rows["mx"].iloc[0], rows["my"].iloc[0]
+        x, y = rows["x"].to_numpy(float) - mx, rows["y"].to_numpy(float) - my
+        angle = -np.pi + 2 * np.pi * np.arange(count) / count
+        dx, dy = np.cos(angle)[:, None], np.sin(angle)[:, None]
+        far = np.full(count, max(float(np.hypot(x, y).max()), 0.002))
+        if len(x) >= 3:
+            turn = np.argsort(np.arctan2(y, x))
+            px, py = x[turn], y[turn]
+            ex, ey = np.roll(px, -1) - px, np.roll(py, -1) - py
+            across = dx * ey - dy * ex
+            safe = np.where(np.abs(across) > 1e-12, across, np.nan)
+            t, u = (px * ey - py * ex) / safe, (px * dy - py * dx) / safe
+            t = np.where((u >= -1e-9) & (u <= 1 + 1e-9) & (t > 0), t, -np.inf)
+            best = t.max(axis=1)
+            far = np.where(np.isfinite(best), best, far)
+        return pd.DataFrame({"project": rows["project"].iloc[0], "id": -100 - np.arange(count), "x": mx + scale * far * dx[:, 0], "y": my + scale * far * dy[:, 0]})
+
+    around = cut(corners.groupBy("project").applyInPandas(rays, f"project {kind}, id long, x double, y double"))
+    met = sound.select("project", F.col("id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y")).join(around, "project")
+    apart = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
+    nearest = met.groupBy("project", "id").agg(F.min_by("_hole", F.struct(apart, "_hole")).alias("copies"))
+    return around.join(nearest, ["project", "id"])

@@ -21,6 +21,7 @@ from terrakern.operators import modelling as N
 from terrakern.operators import mutations as M
 from terrakern.operators import ordering as R
 from terrakern.operators import overlay as O
+from terrakern.operators import presence as Z
 from terrakern.operators import reads as V
 from terrakern.operators import selection as S
 from terrakern.operators import spatial as P
@@ -952,3 +953,177 @@ def nested_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     h.groupBy(F.col("project").alias("name")).agg(F.collect_list(hole).alias("boreholes")).select(F.array(F.struct("name", "boreholes")).alias("projects")).write.option("maxRecordsPerFile", 1).json(path)
     holes, strata = SRC.read_nested(spark, path)
     return holes.join(strata.select("project", "name", "strata_group"), ["project", "name"]).select("project", "name", "elevation", "strata_group")
+
+
+# --- presence, detail, terrain, sources
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("key")
+    return T.points(spark, sf_dir).select("key", "x", "y", F.when(k % 3 == 0, 2.0).otherwise(0.0).alias("thickness"), (k % 7 == 1).alias("absent"))
+
+
+_FIELD = """p AS (SELECT key, x, y, key % 3 = 0 AS has, key % 7 = 1 AND key % 3 <> 0 AS lack, key % 7 = 1 AS absent FROM points), n AS (SELECT j * 100 + i AS key, i * 100.0 AS x, j * 100.0 AS y FROM range(11) a(j), range(11) b(i)),
+ d AS (SELECT n.key, p.key AS other, SQRT(POWER(n.x - p.x, 2) + POWER(n.y - p.y, 2)) AS d, has, absent FROM n, p),
+ z AS (SELECT a.key, a.x, a.y, MIN(SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2))) AS near FROM p a JOIN p b ON a.absent AND b.has GROUP BY a.key, a.x, a.y),
+ c AS (SELECT *, LEAST(100.0, GREATEST(20.0, LEAST(near * 0.3, 20.0, 100.0))) AS core FROM z), w AS (SELECT *, LEAST(150.0, GREATEST(core + 10.0, LEAST(near * 0.5, 30.0, 150.0))) AS tr FROM c),
+ q AS (SELECT n.key, ARG_MIN({'d': SQRT(POWER(n.x - w.x, 2) + POWER(n.y - w.y, 2)), 'core': core, 'tr': tr}, ROW(SQRT(POWER(n.x - w.x, 2) + POWER(n.y - w.y, 2)), w.key)) AS z FROM n JOIN w ON SQRT(POWER(n.x - w.x, 2) + POWER(n.y - w.y, 2)) <= 150 GROUP BY n.key),
+ m AS (SELECT key, COUNT(*) FILTER (WHERE d <= 80) AS around FROM d GROUP BY key), r AS (SELECT d.*, around, ROW_NUMBER() OVER (PARTITION BY d.key ORDER BY d, other) AS place FROM d JOIN m ON m.key = d.key),
+ s AS (SELECT key, SUM(CASE WHEN has THEN 1 / GREATEST(d * d, 1) ELSE 0 END) / SUM(1 / GREATEST(d * d, 1)) AS share FROM r WHERE (has OR absent) AND CASE WHEN around >= 3 THEN d <= 80 ELSE place <= 4 END GROUP BY key),
+ o AS (SELECT key, BOOL_OR(has AND d <= 2.0) AS own FROM d GROUP BY key)"""
+
+
+@query(_with(T.POINTS, _FIELD, then="""SELECT n.key, ROUND(CASE WHEN own THEN 1.0 WHEN z.d <= z.core THEN -1.0 WHEN z.d <= z.tr THEN LEAST(GREATEST((z.d - z.core) / GREATEST(z.tr - z.core, 1.0), 0.0), 1.0) * 2 - 1 ELSE GREATEST(COALESCE(share, 1.0) * 2 - 1, 0.1) END, 6) AS signed
+ FROM n LEFT JOIN q ON q.key = n.key LEFT JOIN s ON s.key = n.key LEFT JOIN o ON o.key = n.key"""))
+def presence_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed field of a layer over 11 x 11 nodes, from the profiles of all points."""
+    steps = F.sequence(F.lit(0), F.lit(10))
+    nodes = T.projects(spark, sf_dir).where("project_id = 0").select(F.explode(steps).alias("j")).select("j", F.explode(steps).alias("i"))
+    nodes = nodes.select((F.col("j") * 100 + F.col("i")).cast("long").alias("key"), (F.col("i") * 100.0).alias("x"), (F.col("j") * 100.0).alias("y"))
+    return Z.presence_field(nodes, _profiles(spark, sf_dir), 40.0, 10.0).select("key", F.round("signed", 6).alias("signed"))
+
+
+_HOLLOW = "g AS (SELECT CAST(n_nationkey AS BIGINT) AS project, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, CASE WHEN (i * 7 + j * 5 + i * j + n_nationkey) % 3 = 0 THEN -1.0 ELSE 1.0 END AS v, (i + j + n_nationkey) % 11 = 0 AS sure FROM nation, range(9) a(j), range(9) b(i))"
+
+
+@query("WITH RECURSIVE " + _HOLLOW + """, low AS (SELECT * FROM g WHERE v <= 0), r AS (SELECT project, j, i, j AS sj, i AS si FROM low UNION SELECT l.project, l.j, l.i, r.sj, r.si FROM r JOIN low l ON l.project = r.project AND ABS(l.j - r.j) + ABS(l.i - r.i) = 1),
+ f AS (SELECT r.project, sj AS j, si AS i, BOOL_OR(r.j IN (0, 8) OR r.i IN (0, 8)) AS open, BOOL_OR(sure) AS s FROM r JOIN low l ON l.project = r.project AND l.j = r.j AND l.i = r.i GROUP BY r.project, sj, si)
+ SELECT g.project, g.j, g.i, CASE WHEN NOT open AND NOT s THEN 0.01 ELSE v END AS signed, CASE WHEN open IS NULL OR open THEN 'kept' WHEN s THEN 'sure' ELSE 'filled' END AS kind FROM g LEFT JOIN f ON f.project = g.project AND f.j = g.j AND f.i = g.i""")
+def filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hollows in a grid of every project: those at the edge and with a sure absence stay."""
+    k = F.col("i") * 7 + F.col("j") * 5 + F.col("i") * F.col("j") + F.col("project")
+    g = _nodes(spark, sf_dir, 9).select("project", "j", "i", F.when(k % 3 == 0, -1.0).otherwise(1.0).alias("signed"), ((F.col("i") + F.col("j") + F.col("project")) % 11 == 0).alias("sure"))
+    return Z.filled_holes(g, 9).select("project", "j", "i", "signed", "kind")
+
+
+_PARTS = """n AS (SELECT c_custkey AS k, 10.0::DOUBLE AS top, CAST(c_custkey % 12 AS DOUBLE) AS base FROM customer), t AS (SELECT k, o, CAST((k + o * 5) % 4 AS DOUBLE) AS th, 9.0 - o * 2 - k % 3 AS c FROM n, range(1, 4) r(o)), a AS (SELECT k, SUM(th) AS total FROM t GROUP BY k)"""
+_THICK = "CASE WHEN a.total > 0.05 THEN x.th / a.total * GREATEST(n.top - n.base, 0) ELSE x.th END"
+
+
+@query("WITH RECURSIVE " + _PARTS + f""", f AS (SELECT k, 0 AS o, top AS at_z, CAST(NULL AS DOUBLE) AS upper FROM n UNION ALL SELECT f.k, CAST(x.o AS INTEGER), CASE WHEN f.at_z - n.base > 0.05 AND {_THICK} >= 0.05 THEN GREATEST(n.base, LEAST(f.at_z - 0.05, GREATEST(x.c, f.at_z - {_THICK}))) ELSE f.at_z END,
+ CASE WHEN f.at_z - n.base > 0.05 AND {_THICK} >= 0.05 THEN f.at_z END FROM f JOIN n ON n.k = f.k JOIN a ON a.k = f.k JOIN t x ON x.k = f.k AND x.o = f.o + 1)
+ SELECT k AS j, 'part' || o AS key, ROUND(upper, 6) AS top, ROUND(at_z, 6) AS bottom FROM f WHERE upper IS NOT NULL UNION ALL SELECT f.k, 'unclassified', ROUND(at_z, 6), base FROM f JOIN n ON n.k = f.k WHERE o = 3 AND at_z - base >= 0.05""")
+def detail_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of detail in a column for each customer: three parts between 10 and a base that is sometimes above it."""
+    k = F.col("c_custkey")
+    part = lambda o: F.struct(F.lit(o).alias("ord"), F.lit(f"part{o}").alias("key"), ((k + o * 5) % 4).cast("double").alias("thickness"), (F.lit(9.0) - o * 2 - k % 3).alias("contact"))
+    nodes = T.table(spark, sf_dir, "customer").select(F.lit(0).alias("project"), k.alias("j"), F.lit(0).alias("i"), F.lit(10.0).alias("top"), (k % 12).cast("double").alias("base"), F.array(*[part(o) for o in (1, 2, 3)]).alias("parts"))
+    return Z.detail_layers(nodes).select("j", "key", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
+
+
+@query(_with(T.POINTS, T.STRATA, then="SELECT s.borehole_id, l_linenumber, l_partkey, l_suppkey, 2 * x + 3 * y - depth_top AS z_top, 2 * x + 3 * y - depth_bottom AS z_bot FROM strata s JOIN points p ON p.key = s.borehole_id WHERE x <= 1024 AND y <= 1024"))
+def strata_below_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata below a modelled plane at their hole."""
+    from terrakern.plans.registry import sampled_plane
+
+    return N.below_surface(T.strata(spark, sf_dir), sampled_plane(spark, sf_dir)).select("borehole_id", "l_linenumber", "l_partkey", "l_suppkey", "z_top", "z_bot")
+
+
+@query(_with(T.POINTS, then="SELECT key, ROUND(2 * x + 3 * y, 6) AS z FROM points WHERE x <= 1024 AND y <= 1024"))
+def sampled_uneven_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane over axes whose steps double: between nodes it is the plane."""
+    steps = [0.0, 1.0, 3.0, 7.0, 15.0, 31.0, 63.0, 127.0, 255.0, 511.0, 1024.0]
+    xs = F.array(*[F.lit(s) for s in steps])
+    axes = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), xs.alias("xs"), xs.alias("ys"))
+    g = axes.select("project", F.posexplode("ys").alias("j", "y"), "xs").select("project", "j", "y", F.posexplode("xs").alias("i", "x"))
+    grid = g.select("project", "j", "i", (F.col("x") * 2 + F.col("y") * 3).alias("z"))
+    return N.sampled_uneven(T.points(spark, sf_dir).select("project", "key", "x", "y"), grid, axes).select("key", F.round("z", 6).alias("z"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS project, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, ROUND(i * 128.0 * 2 + j * 128.0 * 3 + 10, 4) AS z FROM nation, range(9) a(j), range(9) b(i)")
+def corrected_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane that lies 10 m too low at every hole, moved up to them; one hole in fifty is off by 100 m and isn't heard."""
+    z = F.col("x") * 2 + F.col("y") * 3
+    g = _nodes(spark, sf_dir, 9).withColumn("z", z)
+    holes = T.points(spark, sf_dir).select("project", "key", "x", "y", (z + 10 + F.when(F.col("key") % 50 == 7, 100.0).otherwise(0.0)).alias("z")).where("x <= 1024 AND y <= 1024")
+    boxes = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(128.0).alias("dx"), F.lit(128.0).alias("dy"), F.lit(9).alias("columns"), F.lit(9).alias("rows"))
+    return N.corrected(g, holes, boxes).select("project", "j", "i", F.round("z", 4).alias("z"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS project, CAST(s AS INTEGER) AS size, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, ROUND(i * 1024.0 / (s - 1) + j * 2048.0 / (s - 1), 6) AS z FROM nation, (VALUES (3), (9)) v(s), range(9) a(j), range(9) b(i) WHERE i < s AND j < s")
+def two_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1024.0).alias("x1"), F.lit(1024.0).alias("y1"))
+    out = N.at_resolutions(box, [3, 9], lambda g: g.withColumn("z", F.col("x") + F.col("y") * 2))
+    return out.select("project", "size", "j", "i", F.round("z", 6).alias("z"))
+
+
+@query(_with(T.POINTS, then="SELECT project, x, y, ROUND(AVG(z), 3) AS z FROM points GROUP BY project, x, y"))
+def thin_plate_at_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of every project at the places of their anchors: the anchors' own levels."""
+    from pyspark.sql import Window
+
+    a = _all_anchors(spark, sf_dir)
+    places = a.select("project", "x", "y").distinct()
+    nodes = places.withColumns({"j": F.row_number().over(Window.partitionBy("project").orderBy("x", "y")), "i": F.lit(0)})
+    return U.thin_plate(nodes, a).select("project", "x", "y", F.round("z", 3).alias("z"))
+
+
+@query(
+    "WITH RECURSIVE " + T.POINTS + """, o AS (SELECT project, key, x, y, z, key % 5 AS s, ROW_NUMBER() OVER (PARTITION BY project ORDER BY key) AS n FROM points), g AS (SELECT project, n, [{'k': key, 'x': x, 'y': y}] AS seeds FROM o WHERE n = 1 UNION ALL
+ SELECT o.project, o.n, CASE WHEN len(list_filter(g.seeds, lambda v: POWER(v.x - o.x, 2) + POWER(v.y - o.y, 2) <= 400)) > 0 THEN g.seeds ELSE list_append(g.seeds, {'k': o.key, 'x': o.x, 'y': o.y}) END FROM g JOIN o ON o.project = g.project AND o.n = g.n + 1),
+ l AS (SELECT project, ARG_MAX(seeds, n) AS seeds FROM g GROUP BY project), m AS (SELECT o.*, list_filter(seeds, lambda v: POWER(v.x - o.x, 2) + POWER(v.y - o.y, 2) <= 400)[1].k AS seed FROM o JOIN l ON l.project = o.project)
+ SELECT project, ARG_MIN(key, ROW(-s, key)) AS id, ROUND(AVG(x), 6) AS x, ROUND(AVG(y), 6) AS y, COUNT(*) AS merged FROM m GROUP BY project, seed"""
+)
+def merged_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near holes of every project merged greedily, as merged_near_holes does, with its SQL."""
+    from terrakern.plans.registry import merged_near_holes
+
+    return merged_near_holes(spark, sf_dir).select("project", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "merged")
+
+
+@query("""SELECT r_regionkey AS feature, ROUND(GREATEST(LEAST(r_regionkey * 3.0 + 4, 8.0) - GREATEST(r_regionkey * 3.0, 1.0), 0) * GREATEST(LEAST(r_regionkey * 1.0 + 5, 6.0) - GREATEST(r_regionkey * 1.0, 2.0), 0), 6) AS area, 'ok' AS status FROM region
+ WHERE LEAST(r_regionkey * 3.0 + 4, 8.0) > GREATEST(r_regionkey * 3.0, 1.0) AND LEAST(r_regionkey * 1.0 + 5, 6.0) > GREATEST(r_regionkey * 1.0, 2.0)""")
+def clipped_coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square for each region as map features, written, read and cut by a box."""
+    from terrakern.operators.materialise import folder
+
+    k = F.col("r_regionkey")
+    x, y = k * 3.0, k * 1.0
+    point = lambda a, b: F.concat(F.lit("["), (x + a).cast("string"), F.lit(","), (y + b).cast("string"), F.lit("]"))
+    ring = F.concat(F.lit("[["), F.concat_ws(",", point(0, 0), point(4, 0), point(4, 5), point(0, 5)), F.lit("]]"))
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":'), ring, F.lit("}}"))
+    rows = T.table(spark, sf_dir, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), text.alias("t")))), lambda s: s["t"]).alias("t"))
+    path = folder(spark, "coast")
+    rows.select(F.concat(F.lit('{"features":['), F.array_join("t", ","), F.lit("]}")).alias("value")).write.text(path)
+    status = SRC.polygon_status(True, spark.read.text(path, wholetext=True).where("value <> ''"))
+    cut_ = SRC.clipped_rings(SRC.read_rings(spark, path), (1.0, 2.0, 8.0, 6.0))
+    return cut_.select("feature", F.round("area", 6).alias("area"), F.lit(status).alias("status"))
+
+
+@query(_with(T.HOLES, then="SELECT id FROM holes WHERE (longitude > 126.5 AND longitude < 127 AND latitude > 34.5 AND latitude < 35.5) OR (longitude > 128 AND longitude < 128.5 AND latitude > 36 AND latitude < 37)"))
+def holes_on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes in either of two polygons."""
+    box = lambda a, b, c, d: [((a, b), (c, b), (c, d), (a, d))]
+    land = P.any_polygon(F.col("longitude"), F.col("latitude"), [box(126.5, 34.5, 127.0, 35.5), box(128.0, 36.0, 128.5, 37.0)])
+    return T.holes(spark, sf_dir).where(land).select("id")
+
+
+@query("SELECT o_orderpriority AS job, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS issues, MIN('order ' || o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS first_issue FROM orders GROUP BY o_orderpriority")
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's report, written and read back."""
+    from terrakern.operators.materialise import folder
+
+    o, path = T.table(spark, sf_dir, "orders"), folder(spark, "report")
+    issues = o.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("job"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("issue"))
+    V.run_report(o.select(F.col("o_orderpriority").alias("job")).distinct(), issues, path)
+    return spark.read.schema("job string, issues long, first_issue string").json(path)
+
+
+@query(_with(T.HOLES, then=f"SELECT {_PATH} AS path, name AS hole, longitude AS lon, CASE WHEN id % 3 = 0 THEN 0.0 ELSE elevation END AS elevation FROM holes"))
+def headered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed rows of tables with a header; a blank elevation is 0."""
+    h = T.holes(spark, sf_dir).withColumn("path", F.expr("'p' || CAST(project_id AS STRING) || CASE WHEN project_id % 4 = 3 THEN '.xlsx' ELSE '.csv' END"))
+    level = F.when(F.col("id") % 3 == 0, F.lit(" ")).otherwise(F.col("elevation").cast("string"))
+    rows = h.select("path", (F.col("id") + 1).alias("row_no"), F.array(F.col("name"), F.col("longitude").cast("string"), level).alias("cells"))
+    heads = h.select("path").distinct().select("path", F.lit(0).cast("long").alias("row_no"), F.array(F.lit(" Hole"), F.lit("LON"), F.lit("elevation")).alias("cells"))
+    return SRC.headered(rows.unionByName(heads), {"hole": "string", "lon": "double", "elevation": "double"}).drop("row_no")
+
+
+@query(_with(T.HOLES, T.LINKS, """k AS (SELECT project_id, borehole_id, MIN(project_role) AS role FROM links GROUP BY project_id, borehole_id), w AS (SELECT DISTINCT project_id, id AS borehole_id FROM holes WHERE id % 2 = 0 AND project_id < 15)""",
+ then="""SELECT COALESCE(k.project_id, w.project_id) AS project_id, COALESCE(k.borehole_id, w.borehole_id) AS borehole_id, CASE WHEN w.borehole_id IS NOT NULL AND (role IS NULL OR role = 'excluded') THEN 'existing' WHEN w.borehole_id IS NULL AND role = 'existing' AND k.project_id IN (SELECT project_id FROM w) THEN 'excluded' ELSE role END AS project_role
+ FROM k FULL JOIN w ON w.project_id = k.project_id AND w.borehole_id = k.borehole_id"""))
+def synchronised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of projects that name their holes anew."""
+    links = T.links(spark, sf_dir).groupBy("project_id", "borehole_id").agg(F.min("project_role").alias("project_role"))
+    wanted = T.holes(spark, sf_dir).where("id % 2 = 0 AND project_id < 15").select("project_id", F.col("id").alias("borehole_id"))
+    return M.synchronised(links, wanted)

@@ -701,9 +701,20 @@ def thin_plate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.thin_plate(_nodes(spark, sf_dir, 16), _all_anchors(spark, sf_dir))
 
 
-@query()
+@query(
+    _with(
+        T.POINTS,
+        """m AS (SELECT project, AVG(x) AS mx, AVG(y) AS my FROM points GROUP BY project), r AS (SELECT p.project, p.key, p.x - mx AS x, p.y - my AS y FROM points p JOIN m ON m.project = p.project),
+ a AS (SELECT CAST(k AS BIGINT) AS k, COS(-PI() + 2 * PI() * k / 12) AS dx, SIN(-PI() + 2 * PI() * k / 12) AS dy FROM range(12) t(k)),
+ e AS (SELECT p.project, p.x AS px, p.y AS py, q.x - p.x AS ex, q.y - p.y AS ey FROM r p JOIN r q ON q.project = p.project AND p.key < q.key),
+ h AS (SELECT project, k, ANY_VALUE(dx) AS dx, ANY_VALUE(dy) AS dy, MAX((px * ey - py * ex) / (dx * ey - dy * ex)) AS t FROM e, a WHERE ABS(dx * ey - dy * ex) > 1e-12 AND (px * dy - py * dx) / (dx * ey - dy * ex) BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY project, k),
+ o AS (SELECT h.project, -100 - k AS id, mx + 1.8 * t * dx AS x, my + 1.8 * t * dy AS y FROM h JOIN m ON m.project = h.project)""",
+        then="SELECT o.project, o.id, ROUND(o.x, 5) AS x, ROUND(o.y, 5) AS y, ARG_MIN(p.key, ROW(POWER(o.x - p.x, 2) + POWER(o.y - p.y, 2), p.key)) AS copies FROM o JOIN points p ON p.project = o.project GROUP BY ALL",
+    )
+)
 def phantom_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.phantoms(T.points(spark, sf_dir).withColumnRenamed("key", "id"))
+    out = U.phantoms(T.points(spark, sf_dir).withColumnRenamed("key", "id"))
+    return out.withColumns({c: F.round(c, 5) for c in "xy"})
 
 
 @query(

@@ -10,12 +10,12 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakern.functions import geodesy, names, parse
@@ -223,6 +223,16 @@ def long_strata(holes: DataFrame, layout: Layout) -> DataFrame:
     return merge_adjacent(sound, key, ["row_no"], "soil_type")
 
 
+def headered(cells: DataFrame, columns: dict[str, str], zero: tuple[str, ...] = ("elevation",)) -> DataFrame:
+    """Rows below the first of each file (path), by the names in that row and with the types of `columns`. A blank is null, and 0
+    in the columns of `zero`; a value that isn't of its type is null."""
+    heads = cells.where("row_no = 0").select("path", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("_h"))
+    rows = cells.where("row_no > 0").join(heads, "path")
+    found = {c: F.get("cells", (F.array_position("_h", c) - 1).cast("int")) for c in columns}
+    typed = {c: F.nullif(F.trim(v), F.lit("")).try_cast(columns[c]) for c, v in found.items()}
+    return rows.select("path", "row_no", *[(F.coalesce(v, F.lit(0.0)) if c in zero else v).alias(c) for c, v in typed.items()])
+
+
 def quarantined(holes: DataFrame, west: float = 124, east: float = 132, south: float = 33, north: float = 39) -> tuple[DataFrame, DataFrame]:
     """Holes within the country's bounds, and the others."""
     inside = F.coalesce(F.col("longitude").between(west, east) & F.col("latitude").between(south, north), F.lit(False))
@@ -239,6 +249,49 @@ def read_nested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return holes.drop("strata"), strata.withColumn("strata_group", names.strata_group(F.col("soil_type")))
 
 
+def polygon_status(configured: bool, texts: DataFrame) -> str:
+    """not_configured, missing (no file), invalid (no file has features) or ok."""
+    if not configured:
+        return "not_configured"
+    row = texts.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size(F.from_json("value", "features array<string>")["features"]) >= 0, 1)).alias("good")).first()
+    return "missing" if not row["n"] else "ok" if row["good"] else "invalid"
+
+
+def _cut(ring: Column, axis: str, bound: float, sign: float) -> Column:
+    """A ring's points on one side of a line, and where its edges cross it."""
+    other = "y" if axis == "x" else "x"
+
+    def edge(p: Column, i: Column) -> Column:
+        q = F.get(ring, F.pmod(i + 1, F.size(ring)))
+        a, b = (p[axis] - bound) * sign, (q[axis] - bound) * sign
+        met = {axis: F.lit(bound), other: p[other] + (q[other] - p[other]) * a / (a - b)}
+        cross = F.struct(met["x"].alias("x"), met["y"].alias("y"))
+        return F.array_compact(F.array(F.when(a >= 0, p), F.when((a >= 0) != (b >= 0), cross)))
+
+    return F.flatten(F.transform(ring, edge))
+
+
+def _area(ring: Column) -> Column:
+    turn = F.transform(ring, lambda p, i: p["x"] * F.get(ring, F.pmod(i + 1, F.size(ring)))["y"] - F.get(ring, F.pmod(i + 1, F.size(ring)))["x"] * p["y"])
+    return F.abs(F.aggregate(turn, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def clipped_rings(rings: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rings (..., points: array<array<double>>) cut by a box, those without area left out. The ring is cut by one side of the box
+    after the other: points inside stay, and where an edge crosses the side a point is put."""
+    x0, y0, x1, y1 = map(float, box)
+    sides = (("x", x0, 1.0), ("x", x1, -1.0), ("y", y0, 1.0), ("y", y1, -1.0))
+
+    def cut_from(n: int) -> Callable[[Column], Column]:
+        if n == len(sides):
+            return lambda ring: F.struct(F.transform(ring, lambda p: F.array(p["x"], p["y"])).alias("points"), _area(ring).alias("area"))
+        return lambda ring: geodesy.let(_cut(ring, *sides[n]), cut_from(n + 1))
+
+    points = F.transform("points", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    out = rings.withColumn("_c", geodesy.let(points, cut_from(0)))
+    return out.withColumns({"points": F.col("_c.points"), "area": F.col("_c.area")}).drop("_c").where("area > 0")
+
+
 def read_rings(spark: SparkSession, path: str) -> DataFrame:
     """(feature, ring, points) of polygon and multi-polygon features."""
     files = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<struct<geometry:struct<type:string,coordinates:string>>>").alias("f"))

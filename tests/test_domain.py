@@ -250,8 +250,23 @@ def test_layer_order_and_voxels(spark):
     assert [one(spark, surfaces.presence_weight(F.lit(t))) for t in (-1.0, 0.25, 0.5, 0.75, 2.0)] == [0, 0.15625, 0.5, 0.84375, 1]
     radii = one(spark, surfaces.absence_radii(F.lit(39.6), F.lit(80.0), F.lit(3.6)))
     assert (radii.core, radii.transition) == (pytest.approx(11.88), pytest.approx(19.8))
-    corners = surfaces.hull(np.array([[0, 0], [2, 0], [1, 1], [2, 2], [0, 2], [1, 0]], float))
-    assert sorted(map(tuple, corners.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    places = np.array([[0, 0], [2, 0], [1, 1], [2, 2], [0, 2], [1, 0]], float)
+    assert sorted(map(tuple, places[surfaces._corners(*places.T)].tolist())) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    holes = spark.createDataFrame([(p, n, float(x), float(y)) for p, some in ((1, places), (2, [[0, 0], [4, 0]]), (3, [[7, 7]])) for n, (x, y) in enumerate(some)], "project int, id long, x double, y double")
+    for block in (2, 4096):
+        around = {(r.project, r.id): r for r in surfaces.phantoms(holes, 1.5, 4, block).collect()}
+        assert (around[1, -100].x, around[1, -100].y) == (pytest.approx(1.0 - 1.5), pytest.approx(1.0)) and len(around) == 12
+        assert (around[2, -102].x, around[2, -102].copies) == (pytest.approx(5.0), 1) and around[3, -100].copies == 0
+
+
+def test_upper_median_in_cells(spark):
+    from terrakern.operators.aggregates import upper_median_of_all
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=999), rng.normal(size=1000), np.repeat([1.0, 2.0, 5.0], [400, 3, 397]), np.array([4.0]), np.exp(rng.normal(size=800) * 6)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        assert upper_median_of_all(df, "v", small=10, cells=8) == sorted(values.tolist())[len(values) // 2]
+    assert upper_median_of_all(spark.createDataFrame([(None,)], "v double"), "v") is None
 
 
 def test_exports(spark, tmp_path):
