@@ -68,18 +68,19 @@ def _segments(path: Column) -> Column:
 
 
 def _grown(pages: DataFrame) -> DataFrame:
-    """Adds template to (host, _segments, ...): the page's node in the tree of its host."""
-    pages = pages.withColumn("template", F.lit(""))
+    """Adds template to (host, _segments, ...): the page's node in the tree of its host. Pages meet the nodes that vary in salted
+    parts, so neither this join nor the next level's counts are dealt by host."""
+    pages = pages.withColumn("template", F.lit("")).withColumn("_part", F.pmod(F.xxhash64("_segments"), F.lit(PARTS)).cast("int"))
     for level in range(LEVELS):
         pages = pages.withColumn("_segment", F.get("_segments", F.lit(level)))
         children = pages.where(F.col("_segment").isNotNull()).groupBy("host", "template", "_segment").agg(F.count(F.lit(1)).alias("_n"))
         nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_children"), F.sum("_n").alias("_pages"))
         varies = (F.col("_children") >= LEAST_CHILDREN) & (F.col("_pages") <= F.col("_children") * MOST_REPEATS)
-        nodes = nodes.where(varies).select("host", "template", F.lit(True).alias("_varies"))
-        pages = pages.join(nodes, ["host", "template"], "left")
+        nodes = nodes.where(varies).select("host", "template", F.lit(True).alias("_varies"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+        pages = pages.join(nodes, ["host", "template", "_part"], "left")
         step = F.when(F.col("_varies"), shape(F.col("_segment"))).otherwise(F.col("_segment"))
         pages = pages.withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), step), F.lit("")))).drop("_varies", "_segment")
-    return pages
+    return pages.drop("_part")
 
 
 def _alike(a: list[Column], b: list[Column]) -> Column:
