@@ -25,6 +25,7 @@ SOIL_DETAIL = {
     "GW": "자갈", "GP": "자갈", "GM": "자갈", "GC": "자갈",
     "OL": "유기질토", "OH": "유기질토", "PT": "유기질토",
 }
+# Rocks, groups, labels and colours.
 ROCKS = {
     "풍화암": "weathered_rock", "풍화대": "weathered_rock", "풍화기반암": "weathered_rock",
     "연암": "soft_rock", "리핑암": "soft_rock", "보통암": "normal_rock",

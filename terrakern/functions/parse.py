@@ -40,6 +40,7 @@ def crs_of_remark(remark: Column, year: Column | None = None) -> Column:
     The later datum has one code for a belt. The earlier northing was used with two datums: a word for either decides, then
     the year of the survey (2003 brought the new one), then the new one.
     """
+    # The words and patterns below are how remarks name belts, northings and datums.
     t = F.lower(F.replace(F.coalesce(remark, F.lit("")), F.lit(" "), F.lit("")))
     east = ~t.contains("중부") & t.contains("동부")
     known = t.contains("중부") | t.contains("동부")

@@ -17,6 +17,19 @@ def patched(base: DataFrame, changes: DataFrame, key: str, columns: Sequence[str
     return base.join(c, key, "left").withColumns({n: F.coalesce(f"_{n}", n) for n in columns}).drop(*[f"_{n}" for n in columns])
 
 
+def patched_holes(holes: DataFrame, changes: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Holes after changes (id, name, project_id, elevation), null keeping a value, and the changes refused (id, reason): a blank
+    name, a project that isn't live, a hole that isn't there."""
+    there = holes.select("id").withColumn("_there", F.lit(True))
+    alive = live(projects).select(F.col("project_id")).distinct().withColumn("_alive", F.lit(True))
+    judged = changes.join(there, "id", "left").join(alive, "project_id", "left")
+    reason = (
+        F.when(F.col("_there").isNull(), "hole").when(F.trim("name") == "", "name").when(F.col("project_id").isNotNull() & F.col("_alive").isNull(), "project")
+    )
+    good = judged.where(reason.isNull()).select("id", "name", "project_id", "elevation")
+    return patched(holes, good, "id", ["name", "project_id", "elevation"]), judged.where(reason.isNotNull()).select("id", reason.alias("reason"))
+
+
 def replaced(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of the keys in `new` exchanged for those of `new`."""
     return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

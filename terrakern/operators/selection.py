@@ -51,6 +51,14 @@ def not_prefixed(df: DataFrame, column: str, prefixes: Sequence[str]) -> DataFra
     return df.where(~any_of([F.col(column).startswith(p) for p in prefixes]))
 
 
+def listed_projects(df: DataFrame, status: str | None = "all", kind: str | None = "all", has_box: bool | None = None, hidden: Sequence[str] = ()) -> DataFrame:
+    """Live projects (project, status, kind, bbox, deleted_at) of a status and a kind, None or 'all' for any, with or without a box,
+    and of no hidden prefix."""
+    rows = equal_unless_all(equal_unless_all(live(df), "status", status), "kind", kind)
+    rows = rows if has_box is None else rows.where(F.col("bbox").isNotNull() if has_box else F.col("bbox").isNull())
+    return not_prefixed(rows, "project", list(hidden)) if hidden else rows
+
+
 def finite_rows(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose columns are all finite numbers, and the others."""
     sound = F.lit(True)

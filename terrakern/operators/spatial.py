@@ -127,6 +127,18 @@ def largest_cluster(found: DataFrame, points: DataFrame, project: str) -> DataFr
     return found.join(best, "cluster").select("key", project)
 
 
+def main_places(points: DataFrame, radius: float = 0.05, far_km: float = 20.0) -> DataFrame:
+    """(project, key) of the places (key, project, x, y, in degrees) that belong to their project: its largest cluster; where it has
+    none, or fewer than three places, those within `far_km` of its median place."""
+    found = cut(clusters(points, radius, ["project"]))
+    sizes = points.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("_x"), F.median("y").alias("_y"))
+    main = largest_cluster(found, points, "project").join(sizes.where("n >= 3").select("project"), "project", "left_semi").select("project", "key")
+    main = cut(main)
+    rest = sizes.join(main.select("project").distinct(), "project", "left_anti")
+    apart = geodesy.haversine_km(F.col("_y"), F.col("_x"), F.col("y"), F.col("x"))
+    return main.unionByName(points.join(rest, "project").where(apart <= far_km).select("project", "key"))
+
+
 def merge_near(holes: DataFrame, radius: float = 2.0) -> DataFrame:
     """Holes (project, ord, id, x, y, elevation, n_strata) merged greedily: the first not yet taken, in order, takes all within
     the radius. A merged hole has their mean place and elevation and the strata of the one with the most.

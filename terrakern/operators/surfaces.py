@@ -310,6 +310,7 @@ def effective_thickness(value: Column, signed: Column) -> Column:
 
 def absence_radii(nearest: Column, spacing: Column, cell: Column) -> Column:
     """struct<core, transition>: metres around a sure absence without, and with less, of the layer."""
+    # The shares and metres of the radii.
     known = F.when(nearest.isNotNull() & ~F.isnan(nearest) & (nearest < float("inf")), nearest).otherwise(F.least(spacing, F.lit(200.0)))
     core = F.least(F.lit(100.0), F.greatest(cell * 2, F.least(known * 0.3, spacing * 0.5, F.lit(100.0))))
     transition = F.least(F.lit(150.0), F.greatest(core + cell, F.least(known * 0.5, spacing * 0.75, F.lit(150.0))))

@@ -1127,3 +1127,36 @@ def synchronised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = T.links(spark, sf_dir).groupBy("project_id", "borehole_id").agg(F.min("project_role").alias("project_role"))
     wanted = T.holes(spark, sf_dir).where("id % 2 = 0 AND project_id < 15").select("project_id", F.col("id").alias("borehole_id"))
     return M.synchronised(links, wanted)
+
+
+@query(
+    "WITH RECURSIVE " + T.HOLES + """, h AS (SELECT id AS key, project_id AS project, longitude AS x, latitude AS y FROM holes), e AS (SELECT a.key AS a, b.key AS b FROM h a JOIN h b ON a.project = b.project AND a.key <> b.key AND POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2) <= 0.04),
+ r AS (SELECT a AS key, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.key), c AS (SELECT key, MIN(root) AS cluster FROM r GROUP BY key), s AS (SELECT project, cluster, COUNT(*) AS n FROM c JOIN h ON h.key = c.key GROUP BY project, cluster),
+ b AS (SELECT project, ARG_MAX(cluster, ROW(n, -cluster)) AS cluster FROM s GROUP BY project), t AS (SELECT project, COUNT(*) AS n, MEDIAN(x) AS mx, MEDIAN(y) AS my FROM h GROUP BY project), g AS (SELECT b.project, c.key FROM b JOIN c ON c.cluster = b.cluster JOIN t ON t.project = b.project AND t.n >= 3)
+ SELECT project, key FROM g UNION ALL SELECT h.project, h.key FROM h JOIN t ON t.project = h.project WHERE h.project NOT IN (SELECT project FROM g)
+ AND 2 * 6371.0 * ASIN(SQRT(POWER(SIN(RADIANS(y - my) / 2), 2) + COS(RADIANS(my)) * COS(RADIANS(y)) * POWER(SIN(RADIANS(x - mx) / 2), 2))) <= 20"""
+)
+def main_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes of every project that lie with the others."""
+    h = T.holes(spark, sf_dir).select(F.col("id").alias("key"), F.col("project_id").alias("project"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return P.main_places(h, 0.2)
+
+
+@query(_with(T.HOLES, then="""SELECT id, CASE WHEN id % 4 = 0 OR id % 5 = 0 THEN name ELSE 'new' END AS name, CASE WHEN id % 4 = 0 OR id % 5 = 0 OR id % 3 <> 0 THEN project_id ELSE 7 END AS project_id, CASE WHEN id % 4 = 0 THEN 'name' WHEN id % 5 = 0 THEN 'project' END AS refused FROM holes UNION ALL SELECT -1, NULL, NULL, 'hole'"""))
+def checked_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change to every hole: a quarter with a blank name, a fifth to a project that is gone, one to a hole that isn't there."""
+    h = T.holes(spark, sf_dir)
+    k = F.col("id")
+    project = F.when(k % 5 == 0, F.lit(900)).when(k % 3 == 0, F.lit(7)).cast("long")
+    changes = h.select("id", F.when(k % 4 == 0, F.lit(" ")).otherwise(F.lit("new")).alias("name"), project.alias("project_id"), F.lit(None).cast("double").alias("elevation"))
+    changes = changes.unionByName(h.agg(F.lit(-1).cast("long").alias("id"), F.lit("x").alias("name"), F.lit(None).cast("long").alias("project_id"), F.lit(None).cast("double").alias("elevation")))
+    projects = T.projects(spark, sf_dir).select("project_id", F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    rows, refused = M.patched_holes(h, changes, projects)
+    return rows.select("id", "name", "project_id").join(refused.withColumnRenamed("reason", "refused"), "id", "full_outer")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 5 <> 0 AND n_regionkey = 1 AND n_nationkey % 3 = 0 AND NOT starts_with(n_name, 'NATION_2')")
+def listed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    n = T.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("project"), F.col("n_regionkey").cast("string").alias("status"), F.lit("survey").alias("kind"), F.when(k % 3 == 0, F.lit("[0,0,1,1]")).alias("bbox"), F.when(k % 5 == 0, F.lit(T.STAMP).cast("timestamp_ntz")).alias("deleted_at"))
+    return S.listed_projects(n, status="1", kind="all", has_box=True, hidden=["NATION_2"]).select("n_nationkey")

@@ -144,3 +144,44 @@ def test_signatures(spark):
     strata = spark.createDataFrame([(1, 0.0, 1.00001, "a"), (1, 1.0, 2.0, "b"), (2, 1.0, 2.0, "b"), (2, 0.0, 1.0, "a"), (3, 0.0, 1.1, "a")], "borehole_id long, depth_top double, depth_bottom double, soil_type string")
     got = {r.borehole_id: r.signature for r in duplicates.signature(strata, 4).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_polygon_states(spark, tmp_path):
+    from terrakern.sources import tables
+
+    (tmp_path / "good.json").write_text('{"features": []}')
+    (tmp_path / "bad.json").write_text("{")
+    read = lambda name: spark.read.text(str(tmp_path / name), wholetext=True)
+    assert [tables.polygon_status(False, read("bad.json")), tables.polygon_status(True, read("bad.json")), tables.polygon_status(True, read("good.json")), tables.polygon_status(True, read("good.json").limit(0))] == ["not_configured", "invalid", "ok", "missing"]
+    rings = spark.createDataFrame([(1, [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]]), (2, [[9.0, 9.0], [10.0, 9.0], [10.0, 10.0]]), (3, [[-1.0, 2.0], [2.0, 5.0], [5.0, 2.0], [2.0, -1.0]])], "feature int, points array<array<double>>")
+    got = {r.feature: r.area for r in tables.clipped_rings(rings, (0, 0, 3, 2)).collect()}
+    assert set(got) == {1, 3} and got[1] == 6.0 and got[3] == 5.5
+
+
+def test_workbook_order_and_quotes():
+    import io
+    import zipfile
+
+    from terrakern.sources import tables
+
+    sheet = lambda v: f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet("second"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("first"))
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://x/r"><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://x/p"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+    assert list(tables.xlsx_rows(data.getvalue())) == [["first"]]
+    assert list(tables.csv_rows(b'"a;b;c;d",1\n"e;f;g;h",2\n')) == [["a;b;c;d", "1"], ["e;f;g;h", "2"]]
+
+
+def test_presence_edges(spark):
+    from terrakern.operators import presence
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 0.0)], "key long, x double, y double")
+    none = spark.createDataFrame([], "key long, x double, y double, thickness double, absent boolean")
+    assert {r.key: r.signed for r in presence.presence_field(nodes, none, 50.0, 5.0).collect()} == {1: 1.0, 2: 1.0}
+    some = spark.createDataFrame([(1, 0.0, 0.0, 2.0, False), (2, 500.0, 0.0, 0.0, True)], none.schema)
+    assert {r.key: r.signed for r in presence.presence_field(nodes, some, 50.0, 5.0).collect()} == {1: 1.0, 2: -1.0}
+    flat = spark.createDataFrame([(1, j, i, 1.0, False) for j in range(3) for i in range(3)], "project int, j int, i int, signed double, sure boolean")
+    assert {r.kind for r in presence.filled_holes(flat, 3).collect()} == {"kept"}
