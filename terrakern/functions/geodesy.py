@@ -173,8 +173,13 @@ def wgs84_place(northing: Column, easting: Column, crs: Column) -> Column:
     return let(_pack(n=northing.cast("double"), e=easting.cast("double"), crs=crs), by_system)
 
 
-def grid_to_wgs84(northing: Column, easting: Column, crs: Column) -> tuple[Column, Column]:
-    met = wgs84_place(northing, easting, crs)
+def grid_to_wgs84(northing: Column, easting: Column, crs: Column | str) -> tuple[Column, Column]:
+    """Latitude and longitude of grid coordinates, whose system is in a column or, if it is known beforehand, a code."""
+    if isinstance(crs, str):
+        own = geographic(northing.cast("double"), easting.cast("double"), crs)
+        met = shifted(own) if BELTS[crs][0] == "bessel" else own
+    else:
+        met = wgs84_place(northing, easting, crs)
     return met["lat"], met["lon"]
 
 

@@ -95,19 +95,27 @@ def with_link(holes: DataFrame, links: DataFrame, key: str = "id") -> DataFrame:
 
 def effective(holes: DataFrame, revisions: DataFrame, overrides: DataFrame, links: DataFrame, columns: dict[str, str]) -> DataFrame:
     """All projects' effective holes in one job. A project with links has its linked holes and its own supplementary ones that
-    no link of it names; a project without has its own holes."""
-    base = live(holes)
+    no link of it names; a project without has its own holes.
+
+    A hole is revised once, and then stands once for each project that may show it, with or without a link; overrides are
+    applied to all of these at once, as they decide whether a project's own hole is supplementary.
+    """
+    base = live(holes).drop("project_role")
     revised = with_revision(base.withColumn("data_status", F.when(F.col("is_supplementary"), F.lit("supplementary")).otherwise(F.lit("original"))), latest_revisions(revisions))
-    linked_projects = live(links).select("project_id").distinct()
-    named_by_link = live(links).select("project_id", F.col("borehole_id").alias("id")).distinct()
-    through_links = with_override(with_link(revised.drop("project_role"), links), overrides, columns)
+    role = F.coalesce("project_role", F.lit("existing"))
+    by_hole = live(links).groupBy("borehole_id").agg(F.collect_list(F.struct(F.col("project_id").cast("long").alias("project"), role.alias("role"))).alias("_links"))
+    linked_projects = live(links).select("project_id").distinct().withColumn("_linked", F.lit(True))
+    own = F.struct(F.col("project_id").cast("long").alias("project"), F.lit(None).cast("string").alias("role"))
+    shown = F.concat(F.coalesce(F.filter("_links", lambda t: t["role"] != "excluded"), F.array().cast("array<struct<project:bigint,role:string>>")), F.array(own))
+    named_here = F.coalesce(F.exists("_links", lambda t: t["project"] == F.col("project_id")), F.lit(False))
+    met = revised.join(by_hole, revised["id"] == by_hole["borehole_id"], "left").withColumns({"_named": named_here, "_shown": shown}).drop("borehole_id", "_links")
+    rows = met.withColumn("_t", F.explode("_shown")).withColumns({"project_id": F.col("_t.project"), "project_role": F.col("_t.role")}).drop("_shown", "_t")
+    rows = with_override(rows, overrides, columns).join(linked_projects, "project_id", "left")
+    through = F.col("project_role").isNotNull()
+    kept = rows.where(through | F.col("_linked").isNull() | (F.col("is_supplementary") & ~F.col("_named")))
     # The link's own status stands above the override's.
-    through_links = through_links.withColumns({"data_status": F.col("project_role"), "is_supplementary": F.col("project_role") == "new"})
-    own = with_override(revised, overrides, columns)
-    extra = own.where("is_supplementary").join(linked_projects, "project_id", "left_semi").join(named_by_link, ["project_id", "id"], "left_anti")
-    unlinked = own.join(linked_projects, "project_id", "left_anti")
-    plain = extra.unionByName(unlinked).withColumn("project_role", F.lit(None).cast("string"))
-    return through_links.select(*plain.columns).unionByName(plain)
+    status = {"data_status": F.coalesce("project_role", "data_status"), "is_supplementary": F.when(through, F.col("project_role") == "new").otherwise(F.col("is_supplementary"))}
+    return kept.withColumns(status).drop("_named", "_linked")
 
 
 def timeline(holes: DataFrame, revisions: DataFrame, snapshot: Column) -> DataFrame:

@@ -591,7 +591,7 @@ def grid_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To the eastern belt and back: the place it was."""
     north, east = geodesy.to_grid(F.col("latitude"), F.col("longitude"), "EPSG:5187")
     back = T.holes(spark, sf_dir).withColumns({"n": north, "e": east})
-    lat, lon = geodesy.grid_to_wgs84(F.col("n"), F.col("e"), F.lit("EPSG:5187"))
+    lat, lon = geodesy.grid_to_wgs84(F.col("n"), F.col("e"), "EPSG:5187")
     return back.select("id", F.round(lon, 7).alias("longitude"), F.round(lat, 7).alias("latitude"))
 
 
