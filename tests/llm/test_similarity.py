@@ -199,3 +199,23 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == vectors_brute(rows)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dealt_vectors_grow_with_the_table(spark, monkeypatch):
+    """Ten times the vectors in ten times the clusters, a pivot in each: about ten times the rows are dealt to tasks."""
+    import numpy as np
+
+    from terrakern.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    dealt = []
+    for clusters in (8, 80):
+        centres = rng.normal(size=(clusters, 24))
+        v = np.repeat(centres, 64, axis=0) + rng.normal(size=(clusters * 64, 24)) * 0.03
+        df = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "cls long, many long, v array<float>")
+        pivots = v[::64]
+        cells = neardup.Cells(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), 0.9)
+        cells = neardup._survey(df, neardup._survey(df, cells, 24), 24)
+        dealt.append(neardup._deal(df, cells, 24).count())
+    assert 64 * 8 <= dealt[0] and dealt[1] <= 12 * dealt[0]

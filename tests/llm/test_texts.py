@@ -1,6 +1,7 @@
 """The operators that read whole texts in Arrow batches, against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrakern.llm import decontaminate, pii, quality
 from terrakern.llm import textbytes as tb
@@ -131,6 +133,55 @@ def test_quality_held_out(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
 
 
+def plain_features(text):
+    """FEATURES of a text, byte by byte and word by word."""
+    data = (text or "").encode()
+    out = [0.0] * len(quality.FEATURES)
+    if not data:
+        return out
+
+    def kind(b):
+        if b in b" \t\n\v\f\r":
+            return "space"
+        if 97 <= b < 123:
+            return "lower"
+        if 65 <= b < 91:
+            return "upper"
+        if 48 <= b < 58:
+            return "digit"
+        if chr(b) in ".,;:'\"-?()":
+            return "stop"
+        return "shout" if b == 33 else "bar" if b == 124 else "beyond" if b >= 128 else "mark" if b > 32 else "control"
+
+    for b in data:
+        out[quality.FEATURES.index(kind(b))] += 1 / len(data)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    out[10] = math.log1p(len(data)) / 10
+    if words:
+        n = len(words)
+        out[11:] = [
+            sum(map(len, words)) / n / 10, math.log1p(n) / 10, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n,
+            sum(kind(w[-1]) in ("mark", "shout") for w in words) / n, sum(kind(w[0]) == "upper" for w in words) / n, math.log1p(max(map(len, words))) / 10,
+        ]
+    return out
+
+
+def test_quality_scores_against_plain_python(spark):
+    """Features by hand, and scores from the fitted weights by hand."""
+    texts = [None, "", " \n", "A b b C! naïve (x) 12|#$%& end.", "one", "\x01 x" * 50, "Wort für Wort, Zeile für Zeile. " * 30]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = quality.with_features(docs, {"doc_id": "doc_id"}).collect()
+    for r in rows:
+        assert list(r.f) == pytest.approx(plain_features(texts[r.doc_id]), abs=1e-6)
+    rng = np.random.default_rng(4)
+    n = len(quality.FEATURES)
+    model = quality.fit(rng.normal(0.5, 0.2, (60, n)), rng.normal(0.4, 0.3, (90, n)), steps=50)
+    scored = quality.with_features(docs, {"doc_id": "doc_id"}).select("f", model.score(F.col("f")).alias("s")).collect()
+    for r in scored:
+        raw = model.bias + sum(x * (model.weights[i] + x * model.weights[n + i]) for i, x in enumerate(r.f))
+        assert r.s == pytest.approx(1 / (1 + math.exp(-raw)), rel=1e-6)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (1, "a b", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
