@@ -8,13 +8,15 @@ verified by a banded alignment.
 
 Characters are UTF-8 bytes here, case folded by Unicode on both sides and white space made blank: a passage in other case costs
 no edits, a changed letter outside ASCII may count twice. Places found are mapped back to the text as it stands.
-The items go to the tasks in blocks of at most BLOCK_BYTES, so what is broadcast is bounded whatever the benchmark's size;
-each block takes one pass over the texts, and each text is judged where it is read, without a shuffle.
+The items go to the tasks in blocks of at most BLOCK_BYTES, so what is broadcast is bounded whatever the benchmark's size. With one
+block each text is judged where it is read, without a shuffle. With more, one pass over the texts holds them against a bit
+filter of all items' q-grams, of fixed size, and the blocks are sought in the few that have enough of them close together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakern.llm import textbytes as tb
-from terrakern.llm.common import table
+from terrakern.llm.common import cut, table
 
 Q, WINDOW, STRIDE, EDITS = 10, 48, 16, 3
 BLOCK_BYTES = 1 << 21
 FILTER_BITS = 22
+#: Bits of the filter of a benchmark of several blocks.
+SIEVE_BITS = 27
 CHUNK = 1 << 20
 BLANKED = tb.LOWER.copy()
 BLANKED[tb.SPACE] = 32
@@ -235,6 +239,51 @@ def _code_points(data: np.ndarray) -> int:
 MATCHES = "doc_id long, item_id long, n_windows long, edits int, span_start long, span_end long"
 
 
+def _sieve(benchmark: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """2 ** bits bits, those of the items' q-grams set; more items only let more texts through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.texts(batch.column(0))
+            for a, b in tb.slices(offsets):
+                grams = gram_hashes(folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]) >> _U(64 - bits)
+                word, which = np.unique(grams >> _U(6), return_inverse=True)
+                value = np.zeros(len(word), _U)
+                np.bitwise_or.at(value, which, _U(1) << (grams & _U(63)))
+                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+
+    rows = benchmark.where("text IS NOT NULL").select("text").mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["word"].to_numpy()] = rows["value"].to_numpy()
+    return out.view(_U)
+
+
+def _sifted(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """The rows of docs (doc_id, text) whose text has as many of the sieve's q-grams within a window's reach as a match needs."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    bits = int(len(sieve) * 64).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = shared.value
+        for batch in batches:
+            data, offsets = tb.texts(batch.column(1))
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in tb.slices(offsets):
+                fold, ends = folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for lo in range(0, max(0, len(fold) - Q + 1), CHUNK):  # pieces overlap by a window and what it may gain
+                    h = gram_hashes(fold[lo : lo + CHUNK + WINDOW + EDITS + Q]) >> _U(64 - bits)
+                    at = np.flatnonzero((bound[(h >> _U(6)).astype(np.int64)] >> (h & _U(63))) & _U(1)) + lo
+                    text = np.searchsorted(ends, at, "right") - 1
+                    for need, reach in {(_bound(n)[1], n + EDITS - Q) for n in range(Q, WINDOW + 1)}:
+                        if len(at) >= need:
+                            first, last = at[: len(at) - need + 1], at[need - 1 :]
+                            close = (last - first <= reach) & (text[: len(first)] == text[need - 1 :])
+                            keep[a + text[: len(first)][close]] = True
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text, ...) and benchmark item (item_id, text, ...) of which it holds a window.
 
@@ -244,8 +293,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are searched. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    out = None
-    for block in blocks(benchmark):
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out, some = None, blocks(benchmark)
+    first, second = next(some, None), next(some, None)
+    if second is not None:
+        docs = cut(_sifted(docs, _sieve(benchmark)))
+    for block in chain([first] if first else [], [second] if second else [], some):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -263,30 +316,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], MATCHES.replace(",", "").split()[::2])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(search, MATCHES)
+        found = docs.mapInArrow(search, MATCHES)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], MATCHES)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item; each block of items takes a pass."""
-    spark = docs.sparkSession
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        place = docs.columns.index("text")
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
-            for batch in batches:
-                data, offsets = tb.texts(batch.column(place))
-                keep = np.ones(batch.num_rows, bool)
-                for a, b in tb.slices(offsets):
-                    for t, *_ in find(items, *folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
-                        keep[a + t] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows of docs, with all their columns, that hold no window of any item. A benchmark of one block is held against them
+    where they are read; of a larger one the rows found are taken away by an anti-join on id and text."""
+    spark, some = docs.sparkSession, blocks(benchmark)
+    block, more = next(some, None), next(some, None)
+    if block is None:
+        return docs
+    if more is not None:
+        key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+        names = [f"_in_{k}" for k in range(len(docs.columns))]
+        found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+        rows = docs.select(key.alias("_key"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+        return rows.join(found, "_key", "left_anti").select(*names).toDF(*docs.columns)
+    shared, place = spark.sparkContext.broadcast(block), docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value)
+        for batch in batches:
+            data, offsets = tb.texts(batch.column(place))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in tb.slices(offsets):
+                for t, *_ in find(items, *folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
+                    keep[a + t] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,3 +264,21 @@ def test_leaks_in_other_case(spark):
         r = rows[doc, item]
         assert abs(r.span_start - start) <= 4 and abs(r.span_end - start - length) <= 4
     assert [r.doc_id for r in decontaminate.without_leaks(frame, items).collect()] == [3]
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    """A benchmark that goes out in many blocks finds what it finds in one, and the same rows stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    short = spark.createDataFrame([(10_000, "tiny item here"), (10_001, None), (10_002, "x")], "item_id long, text string")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").unionByName(short)
+    docs = docs.unionByName(spark.createDataFrame([(None, "a TINY item here too", "en", None, 1), (None, None, "en", None, 1)], docs.schema)).withColumn("_key", F.lit("clash"))
+    limits = decontaminate.blocks.__defaults__
+    rows = lambda: sorted(map(str, decontaminate.leaks(docs, benchmark).drop("span_start", "span_end").collect()))  # noqa: E731  spans hold to within the edits
+    want = rows()
+    stay = sorted(map(str, decontaminate.without_leaks(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (1_500,))
+    assert sum(1 for _ in decontaminate.blocks(benchmark)) > 2 and limits != (1_500,)
+    assert rows() == want
+    assert sorted(map(str, decontaminate.without_leaks(docs, benchmark).collect())) == stay
+    assert len(want) > 10 and any("item_id=10000" in w for w in want) and len(stay) < docs.count()
