@@ -281,7 +281,7 @@ def _dense_pairs(crowd: DataFrame) -> DataFrame:
     rows = crowd.groupBy("hub", "cls").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_list("h").alias("cols"), F.first("total").alias("total"))
     rows = rows.withColumn("elsewhere", F.col("total") - F.size("cols")).drop("total")
     tiles = ["hub", "kind", "i", "j"]  # dealt by all four, or one task would get all tiles of a hub
-    return _tiled(cut(rows)).repartition(*tiles).groupBy(*tiles).applyInArrow(_multiplied, "a long, b long, n_a int, n_b int").distinct()
+    return _tiled(rows).repartition(*tiles).groupBy(*tiles).applyInArrow(_multiplied, "a long, b long, n_a int, n_b int").distinct()
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
@@ -341,7 +341,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     """(id, text_hash, n, c, component_id) of every row of docs (id, text); c names the component, null for an empty set."""
     told = cut(_classes(docs))
     rows = told.where(F.col("part").isNull()).select("id", "text_hash", "n", "cls")
-    reps = cut(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")))
+    reps = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
 
     column = Window.partitionBy("h")
     entries = _entries(docs, _ranks(told))
