@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,16 +152,15 @@ def merge_near(holes: DataFrame, radius: float = 2.0) -> DataFrame:
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ord", "id"], ignore_index=True)
-        free, out = pd.Series(True, index=rows.index), []
-        for i in rows.index:
-            if not free[i]:
-                continue
-            near = free & ((rows["x"] - rows["x"][i]) ** 2 + (rows["y"] - rows["y"][i]) ** 2 <= radius**2)
-            free &= ~near
-            some = rows[near]
-            kept = some.loc[some["n_strata"].idxmax()]
-            out.append({"project": kept["project"], "id": kept["id"], "x": some["x"].mean(), "y": some["y"].mean(), "elevation": some["elevation"].mean(), "merged": len(some)})
-        return pd.DataFrame(out)
+        x, y, z, n = (rows[c].to_numpy(float) for c in ("x", "y", "elevation", "n_strata"))
+        ids, left, out = rows["id"].to_numpy(), np.arange(len(rows)), []
+        while len(left):
+            near = (x[left] - x[left[0]]) ** 2 + (y[left] - y[left[0]]) ** 2 <= radius**2
+            some, left = left[near], left[~near]
+            known = z[some][~np.isnan(z[some])]
+            kept = some[np.argmax(np.where(np.isnan(n[some]), -np.inf, n[some]))]
+            out.append((rows["project"].iloc[0], ids[kept], x[some].mean(), y[some].mean(), known.mean() if len(known) else None, len(some)))
+        return pd.DataFrame(out, columns=["project", "id", "x", "y", "elevation", "merged"])
 
     kind = holes.schema["project"].dataType.simpleString()
     schema = f"project {kind}, id long, x double, y double, elevation double, merged long"
