@@ -12,6 +12,7 @@ from terrakern.llm.pii import op5_pii
 from terrakern.llm.quality import op6_quality
 from terrakern.llm.secrets import op2_secrets
 from terrakern.llm.sharding import op4_sharding
+from terrakern.llm.trie import op11_trie
 from terrakern.llm.urls import op1_urls
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_lm": op9_lm,
     "op10_decontamination": op10_decontamination,
+    "op11_trie": op11_trie,
     **checks.QUERIES,
 }
 
