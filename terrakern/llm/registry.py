@@ -8,6 +8,7 @@ from terrakern.llm.jaccard import op8_jaccard
 from terrakern.llm.lm import op9_lm
 from terrakern.llm.mixing import op3_mixing
 from terrakern.llm.neardup import op7_neardup
+from terrakern.llm.periodic import op12_runs
 from terrakern.llm.pii import op5_pii
 from terrakern.llm.quality import op6_quality
 from terrakern.llm.secrets import op2_secrets
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_decontamination": op10_decontamination,
     "op11_trie": op11_trie,
+    "op12_runs": op12_runs,
     **checks.QUERIES,
 }
 
