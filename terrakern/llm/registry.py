@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrakern.llm import checks
+from terrakern.llm.chat import op13_chat
 from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.jaccard import op8_jaccard
 from terrakern.llm.lm import op9_lm
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_trie": op11_trie,
     "op12_runs": op12_runs,
+    "op13_chat": op13_chat,
     **checks.QUERIES,
 }
 
