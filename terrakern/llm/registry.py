@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrakern.llm import checks
+from terrakern.llm import checks, oracles
 from terrakern.llm.chat import op13_chat
 from terrakern.llm.decontaminate import op10_decontamination
 from terrakern.llm.jaccard import op8_jaccard
@@ -34,5 +34,5 @@ QUERIES = {
     **checks.QUERIES,
 }
 
-#: The operators' own results are learned, hashed or searched for; parts that SQL can say are queries of their own.
-ORACLE_SQL: dict[str, str] = checks.ORACLE_SQL
+#: Most operators' own results are learned, hashed or searched for; parts that SQL can say are queries of their own.
+ORACLE_SQL: dict[str, str] = {**oracles.ORACLE_SQL, **checks.ORACLE_SQL}

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from terrakern.llm import checks
+from terrakern.llm.registry import ORACLE_SQL, QUERIES
 
 
 def plain(value):
@@ -15,14 +15,14 @@ def plain(value):
 
 
 
-@pytest.mark.parametrize("name", sorted(checks.QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_check(spark, small, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
-    df = checks.QUERIES[name](spark, small)
+    df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
-    found = connection.execute(checks.ORACLE_SQL[name])
+    found = connection.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
