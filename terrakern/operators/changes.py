@@ -1,7 +1,7 @@
 """Changes that span tables: creating, revising and overriding holes, applying uploads, virtual holes, merging duplicates.
 
 Each takes tables and a table of requests and gives the new tables, to be written beside the old ones; what is refused comes back
-with the reason.
+with the reason. Several requests for one thing take effect in their order, `ord` where they have one.
 """
 
 from __future__ import annotations
@@ -11,20 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakern.functions import groundwater
 from terrakern.operators.duplicates import repointed
 from terrakern.operators.intervals import contiguity
+from terrakern.operators.materialise import cut
 from terrakern.operators.mutations import soft_deleted
+from terrakern.operators.ordering import in_pieces, running
 from terrakern.operators.selection import live
 from terrakern.operators.spatial import within_metres
 
 
 def created(holes: DataFrame, links: DataFrame, new: DataFrame, strata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Holes and links with new holes (the columns of holes) added, and the requests refused (id, reason): an id that is taken, or
-    a stratum that doesn't end below its top. A hole of a project is linked to it, as new if supplementary."""
+    a stratum that doesn't end below its top; of sound requests for one id the least by all its columns takes effect, the others are
+    repeated. A hole of a project is linked to it, as new if supplementary."""
     bad = strata.where(~F.coalesce(F.col("depth_bottom") > F.col("depth_top"), F.lit(False))).select(F.col("borehole_id").alias("id")).distinct().withColumn("_bad", F.lit(True))
     taken = holes.select("id").withColumn("_taken", F.lit(True))
     judged = new.join(bad, "id", "left").join(taken, "id", "left")
-    reason = F.when(F.col("_taken"), F.lit("taken")).when(F.col("_bad"), F.lit("strata"))
+    judged = cut(running(judged, ["id"], [F.col(c) for c in holes.columns if c != "id"], counts={"_nth": F.lit(True)}))
+    reason = F.when(F.col("_taken"), F.lit("taken")).when(F.col("_bad"), F.lit("strata")).when(F.col("_nth") > 1, F.lit("repeated"))
     refused = judged.where(reason.isNotNull()).select("id", reason.alias("reason"))
     good = judged.where(reason.isNull()).select(*holes.columns)
     role = F.when(F.col("is_supplementary"), F.lit("new")).otherwise(F.lit("existing"))
@@ -46,8 +51,12 @@ def revised(revisions: DataFrame, requests: DataFrame) -> DataFrame:
 
 def overridden(overrides: DataFrame, requests: DataFrame, holes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Overrides (project_id, source_borehole_id, status, columns...) after requests of the same columns: what a request leaves
-    null stays as it was, or is the hole's own value, and a status stays, or is draft. A supplementary hole can't be overridden."""
+    null stays as it was, or is the hole's own value, and a status stays, or is draft. Of several requests for a hole the last that names a
+    column sets it. A supplementary hole can't be overridden."""
     key = ["project_id", "source_borehole_id"]
+    order = F.struct("ord", *[c for c in requests.columns if c != "ord"]) if "ord" in requests.columns else F.struct(*requests.columns)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
+    requests = requests.groupBy(*key).agg(*[last(c).alias(c) for c in ("status", *columns)])
     allowed = holes.where(~F.coalesce("is_supplementary", F.lit(False))).select(F.col("id").alias("source_borehole_id"), *[F.col(c).alias(f"_own_{c}") for c in columns])
     asked = requests.select(*key, F.col("status").alias("_status"), *[F.col(c).alias(f"_new_{c}") for c in columns]).join(allowed, "source_borehole_id")
     both = overrides.join(asked.withColumn("_asked", F.lit(True)), key, "full_outer")
@@ -73,11 +82,15 @@ def applied_upload(holes: DataFrame, strata: DataFrame, links: DataFrame, action
     """Holes, strata and links after an upload. actions: (key, action, target) as matched_for_upload gives them.
 
     insert: the hole and its strata are added; replace: the target keeps its id and takes the new columns and strata; link: the
-    target stays as it is. Each is linked to the upload's project as new where there is no link yet.
+    target stays as it is. Each is linked to the upload's project as new where there is no link yet. Of several uploaded holes for one
+    target the last, by `ord` if uploaded has it, then by id, gives columns and strata.
     """
+    order = F.struct("ord", "id") if "ord" in uploaded.columns else F.struct("id")
+    uploaded = uploaded.withColumn("_order", order)
     a = uploaded.withColumnRenamed("id", "key").join(actions, "key").withColumn("_id", F.coalesce("target", "key"))
     written = a.where("action <> 'link'")
-    new = written.select(*[F.col("_id").alias("id") if c == "id" else F.col(c) for c in holes.columns]).dropDuplicates(["id"])
+    written = written.join(written.groupBy("_id").agg(F.max("_order").alias("_order")), ["_id", "_order"], "left_semi")
+    new = written.select(*[F.col("_id").alias("id") if c == "id" else F.col(c) for c in holes.columns])
     rows = uploaded_strata.withColumnRenamed("borehole_id", "key").join(written.select("key", "_id"), "key").select(*[F.col("_id").alias("borehole_id") if c == "borehole_id" else F.col(c) for c in strata.columns])
     gone = new.select("id")
     wanted = a.select("project_id", F.col("_id").alias("borehole_id")).distinct().join(links.select("project_id", "borehole_id"), ["project_id", "borehole_id"], "left_anti")
@@ -89,14 +102,22 @@ def applied_upload(holes: DataFrame, strata: DataFrame, links: DataFrame, action
 
 
 def observed(observations: DataFrame, new: DataFrame) -> DataFrame:
-    """Observations (key, depth, head, datum, review_status) after new ones (key, depth, head) are set by key. The datum says
-    which of both was measured; a confirmed observation stays as it is."""
-    n = new.select("key", F.col("depth").alias("_depth"), F.col("head").alias("_head"), F.lit(True).alias("_new"))
-    datum = F.when(F.col("_depth").isNotNull() & F.col("_head").isNotNull(), "GL+EL").when(F.col("_head").isNotNull(), "EL").when(F.col("_depth").isNotNull(), "GL")
+    """Observations (key, depth, head, datum, review_status, deleted_at) after new ones (key, elevation, depth, head) are set by key.
+
+    A level is filled from the other by the elevation. Whatever stood at a key is overwritten and revived: it is confirmed, or needs
+    review where depth and head disagree; only its datum, which says what was measured when it was first seen, stays. Several for
+    one key take effect in the order of `ord`, where new has it. A row without a level sets nothing.
+    """
+    level = groundwater.normalized(F.col("elevation"), F.col("depth"), F.col("head"))
+    datum = F.when(F.col("depth").isNotNull() & F.col("head").isNotNull(), "GL+EL").when(F.col("head").isNotNull(), "EL").otherwise("GL")
+    order = F.struct(*(["ord"] if "ord" in new.columns else []), "depth", "head", "elevation").alias("_order")
+    sound = new.where("depth IS NOT NULL OR head IS NOT NULL").select("key", level.alias("_level"), datum.alias("_datum"), order).where("_level.depth IS NOT NULL OR _level.head IS NOT NULL")
+    n = sound.groupBy("key").agg(F.max_by("_level", "_order").alias("_level"), F.min_by("_datum", "_order").alias("_datum"))
     both = observations.join(n, "key", "full_outer")
-    takes = F.coalesce(F.col("_new") & (F.coalesce("review_status", F.lit("")) != "confirmed") & datum.isNotNull(), F.lit(False))
-    value = {"depth": F.col("_depth"), "head": F.col("_head"), "datum": datum, "review_status": F.lit("auto")}
-    return both.withColumns({c: F.when(takes, v).otherwise(F.col(c)) for c, v in value.items()}).where("_new IS NULL OR datum IS NOT NULL").select("key", *value)
+    set_ = F.col("_level").isNotNull()
+    status = F.when(F.col("_level.inconsistent"), F.lit("needs_review")).otherwise(F.lit("confirmed"))
+    value = {"depth": F.col("_level.depth"), "head": F.col("_level.head"), "datum": F.coalesce("datum", "_datum"), "review_status": status, "deleted_at": F.lit(None).cast(observations.schema["deleted_at"].dataType)}
+    return both.select("key", *[F.when(set_, v).otherwise(F.col(c)).alias(c) for c, v in value.items()])
 
 
 def enabled_virtual(virtual: DataFrame, strata: DataFrame, holes: DataFrame, metres: float = 1.0) -> DataFrame:
@@ -109,17 +130,30 @@ def enabled_virtual(virtual: DataFrame, strata: DataFrame, holes: DataFrame, met
     return judged.select("key", F.when(F.col("_close"), "close").when(~F.coalesce("contiguous", F.lit(False)), "strata").alias("reason"))
 
 
-def versioned_virtual(versions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Snapshots (key, version, state, data) with a change (key, action, data) of each key added: create, update, copy back or
-    delete. A deleted key takes no further change; what isn't there can only be created."""
-    last = versions.groupBy("key").agg(F.max_by(F.struct("version", "state", "data"), "version").alias("_l"))
-    asked = changes.withColumnRenamed("data", "_data").join(last, "key", "left")
-    there = F.col("_l").isNotNull() & (F.col("_l.state") != "deleted")
-    sound = F.when(F.col("action") == "create", F.col("_l").isNull()).otherwise(there)
-    new = asked.where(F.coalesce(sound, F.lit(False))).select(
-        "key",
-        (F.coalesce("_l.version", F.lit(0)) + 1).cast("long").alias("version"),
-        F.when(F.col("action") == "delete", "deleted").otherwise("live").alias("state"),
-        F.coalesce("_data", "_l.data").alias("data"),
+def versioned_virtual(versions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Snapshots (key, version, state, data) with changes (key, ord, action, data) added in their order, and the changes refused (key, ord,
+    action, reason). What isn't there can only be created, or copied; what is there is updated or deleted; what is deleted takes no
+    further change. Each change that is taken is the next version; data that it leaves null stays.
+
+    A key goes from absent to live to deleted and never back, so the first creation and the first deletion after it, two aggregates,
+    say of each change what it met; versions and data are running values over ranges of the sorted changes.
+    """
+    latest = versions.groupBy("key").agg(F.max_by(F.struct("version", "state", "data"), "version").alias("_l"))
+    asked = cut(in_pieces(changes.select("key", "ord", "action", F.col("data").alias("_data")), [F.col("key"), F.col("ord"), F.col("action"), F.col("_data")]).drop("_piece"))
+    makes, ends = F.col("action").isin("create", "copy"), F.col("action") == "delete"
+    born = asked.groupBy("key").agg(F.min(F.when(makes, F.col("_at"))).alias("_first")).join(latest, "key", "left")
+    born = born.select("key", "_l", F.when(F.col("_l").isNull(), F.col("_first")).when(F.col("_l.state") != "deleted", F.lit(-1)).alias("_born"))
+    lives = asked.join(born, "key")
+    gone = lives.where(ends & (F.col("_at") > F.col("_born"))).groupBy("key").agg(F.min("_at").alias("_gone"))
+    lives = lives.join(gone, "key", "left")
+    at, born_at, gone_at = F.col("_at"), F.col("_born"), F.coalesce("_gone", F.lit((1 << 63) - 1))
+    over = (F.col("_l.state") == "deleted") | (at > gone_at)
+    early = born_at.isNull() | (at < born_at)
+    reason = F.when(F.coalesce(over, F.lit(False)), F.lit("deleted")).when(makes & (early | (at > born_at)), F.lit("taken")).when(~makes & early, F.lit("absent"))
+    judged = lives.withColumn("reason", reason)
+    refused = judged.where("reason IS NOT NULL").select("key", "ord", "action", "reason")
+    taken = running(judged.where("reason IS NULL"), ["key"], [F.col("_at")], last={"_kept": F.col("_data")}, counts={"_n": F.lit(True)})
+    new = taken.select(
+        "key", (F.coalesce("_l.version", F.lit(0)) + F.col("_n")).cast("long").alias("version"), F.when(ends, "deleted").otherwise("live").alias("state"), F.coalesce("_kept", "_l.data").alias("data")
     )
-    return versions.unionByName(new)
+    return versions.unionByName(new), refused

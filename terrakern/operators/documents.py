@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakern.functions import groundwater
+from terrakern.operators.ordering import placed as numbered_in_order
 
 ELEMENTS = "doc string, ord long, page int, type string, text string, x0 double, y0 double, x1 double, y1 double, row int, col int"
 
@@ -223,8 +224,8 @@ def by_upload(holes: DataFrame) -> DataFrame:
     group = F.when(F.col("project_role") != "new", F.lit("existing")).otherwise(F.coalesce(F.concat(F.lit("upload-"), F.col("job").cast("string")), F.lit("manual")))
     named = holes.withColumn("group", group)
     first = named.groupBy("group").agg(F.min("ord").alias("_first"))
-    at = F.row_number().over(Window.orderBy((F.col("group") != "existing").cast("int"), F.desc("_first"))) - 1  # a row for each upload
-    return named.join(first.select("group", at.alias("place")), "group")
+    order = numbered_in_order(first, [], [(F.col("group") != "existing").cast("int"), F.desc("_first")])
+    return named.join(order.select("group", F.col("place").cast("int").alias("place")), "group")
 
 
 def table_mode(df: DataFrame, mode: str, gap: Column, warned: Column, edited: Column, virtual: Column, new: Column) -> DataFrame:

@@ -776,14 +776,19 @@ def applied_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(a, "hole", "id", F.col("elevation")).unionByName(row(b, "stratum", "borehole_id", F.col("depth_bottom"))).unionByName(row(l, "link", "borehole_id", F.col("project_id")))
 
 
-@query("""SELECT event_id AS key, CASE WHEN f THEN d ELSE -1.0 END AS depth, CASE WHEN f THEN h END AS head, CASE WHEN NOT f THEN 'GL' WHEN d IS NOT NULL AND h IS NOT NULL THEN 'GL+EL' WHEN h IS NOT NULL THEN 'EL' ELSE 'GL' END AS datum, CASE WHEN f THEN 'auto' WHEN event_id % 5 = 0 THEN 'confirmed' ELSE 'auto' END AS review_status
- FROM (SELECT *, (d IS NOT NULL OR h IS NOT NULL) AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS f FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS d, CASE WHEN event_id % 3 = 0 THEN value * 2 END AS h FROM events))""")
+@query("""WITH n AS (SELECT event_id // 2 AS key, event_id AS ord, 10.0::DOUBLE AS e, CASE WHEN event_id % 3 < 2 THEN value - 20 END AS d, CASE WHEN event_id % 5 < 2 THEN 10 - value END AS h FROM events WHERE event_id % 3 < 2 OR event_id % 5 < 2), b AS (SELECT *, COALESCE(ABS(d), e - h) AS below FROM n),
+ l AS (SELECT *, COALESCE(h, e - below) AS above, CASE WHEN d IS NOT NULL AND h IS NOT NULL THEN 'GL+EL' WHEN h IS NOT NULL THEN 'EL' ELSE 'GL' END AS datum FROM b), v AS (SELECT *, CASE WHEN below >= 0 THEN below END AS depth, below < 0 OR ABS(e - below - above) > 0.25 AS odd FROM l),
+ s AS (SELECT key, ARG_MIN(datum, ord) AS datum, MAX(ord) AS ord FROM v GROUP BY key), t AS (SELECT s.key, s.datum, v.depth, above AS head, CASE WHEN odd THEN 'needs_review' ELSE 'confirmed' END AS status FROM s JOIN v ON v.ord = s.ord),
+ o AS (SELECT event_id // 2 AS key, -1.0::DOUBLE AS depth, 'old' AS datum, CASE WHEN event_id // 2 % 5 = 0 THEN 'confirmed' ELSE 'auto' END AS status, event_id // 2 % 4 = 0 AS gone FROM events WHERE event_id // 2 % 7 <> 0 GROUP BY ALL)
+ SELECT COALESCE(o.key, t.key) AS key, CASE WHEN t.key IS NULL THEN o.depth ELSE t.depth END AS depth, t.head, COALESCE(o.datum, t.datum) AS datum, COALESCE(t.status, o.status) AS review_status, t.key IS NULL AND o.gone AS gone FROM o FULL JOIN t ON t.key = o.key""")
 def upserted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id")
-    e = T.table(spark, sf_dir, "events")
-    old = e.select(k.alias("key"), F.lit(-1.0).alias("depth"), F.lit(None).cast("double").alias("head"), F.lit("GL").alias("datum"), F.when(k % 5 == 0, F.lit("confirmed")).otherwise(F.lit("auto")).alias("review_status"))
-    new = e.where(k % 7 != 0).select(k.alias("key"), F.when(k % 2 == 0, F.col("value")).alias("depth"), F.when(k % 3 == 0, F.col("value") * 2).alias("head"))
-    return X.observed(old, new)
+    """Two new observations for each key, of which some say nothing, over old ones, confirmed, deleted and not there."""
+    k, e = F.col("event_id"), T.table(spark, sf_dir, "events")
+    key = F.floor(k / 2).alias("key")
+    gone = F.when(F.col("key") % 4 == 0, F.lit(T.STAMP).cast("timestamp_ntz"))
+    old = e.select(key).where("key % 7 <> 0").distinct().select("key", F.lit(-1.0).alias("depth"), F.lit(None).cast("double").alias("head"), F.lit("old").alias("datum"), F.when(F.col("key") % 5 == 0, F.lit("confirmed")).otherwise(F.lit("auto")).alias("review_status"), gone.alias("deleted_at"))
+    new = e.select(key, k.alias("ord"), F.lit(10.0).alias("elevation"), F.when(k % 3 < 2, F.col("value") - 20).alias("depth"), F.when(k % 5 < 2, F.lit(10.0) - F.col("value")).alias("head"))
+    return X.observed(old, new).withColumn("gone", F.col("deleted_at").isNotNull()).drop("deleted_at")
 
 
 @query(_with(T.HOLES, then="SELECT id AS key, CASE WHEN deleted_at IS NULL AND id % 4 <> 0 THEN 'close' WHEN id % 5 = 0 THEN 'strata' END AS reason FROM holes h WHERE NOT (id % 4 = 0 OR deleted_at IS NOT NULL) OR NOT EXISTS (SELECT 1 FROM holes o WHERE FALSE)"))
@@ -797,16 +802,33 @@ def virtual_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.enabled_virtual(v, parts.select("key", F.col("s.a").alias("depth_top"), F.col("s.b").alias("depth_bottom")), h)
 
 
-@query("""SELECT c_custkey AS key, CAST(1 AS BIGINT) AS version, CASE WHEN c_custkey % 5 = 0 THEN 'deleted' ELSE 'live' END AS state, 'a' AS data FROM customer WHERE c_custkey % 3 <> 0 UNION ALL
- SELECT c_custkey, 1, 'live', 'b' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 4 = 2 THEN 'deleted' ELSE 'live' END, CASE WHEN c_custkey % 4 = 1 THEN 'b' ELSE 'a' END FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 4 <> 0""")
-def versioned_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    c = T.table(spark, sf_dir, "customer")
-    old = c.where(k % 3 != 0).select(k.alias("key"), F.lit(1).cast("long").alias("version"), F.when(k % 5 == 0, F.lit("deleted")).otherwise(F.lit("live")).alias("state"), F.lit("a").alias("data"))
-    asked = c.select(k.alias("key"), pick(("create", "update", "delete", "copy"), k).alias("action"), F.when(k % 4 < 2, F.lit("b")).alias("data"))
+#: Three changes of each key, in the order of `ord`, over snapshots of two thirds of the keys.
+_ASKED = """old AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN 'deleted' ELSE 'live' END AS state FROM customer WHERE c_custkey % 3 <> 0), asked AS (SELECT o_custkey AS key, o_orderkey AS ord, (['create', 'update', 'delete', 'copy', 'update', 'update'])[CAST(o_orderkey % 6 AS INTEGER) + 1] AS action, CASE WHEN o_orderkey % 4 < 2 THEN o_orderstatus || CAST(o_orderkey AS VARCHAR) END AS data FROM orders),
+ b AS (SELECT a.*, old.state, CASE WHEN old.key IS NULL THEN MIN(CASE WHEN action IN ('create', 'copy') THEN ord END) OVER (PARTITION BY a.key) WHEN old.state = 'live' THEN -1 END AS born FROM asked a LEFT JOIN old ON old.key = a.key),
+ g AS (SELECT *, MIN(CASE WHEN action = 'delete' AND ord > born THEN ord END) OVER (PARTITION BY key) AS gone FROM b), j AS (SELECT *, CASE WHEN COALESCE(state = 'deleted' OR ord > gone, FALSE) THEN 'deleted' WHEN action IN ('create', 'copy') AND (born IS NULL OR ord <> born) THEN 'taken' WHEN action NOT IN ('create', 'copy') AND (born IS NULL OR ord < born) THEN 'absent' END AS reason FROM g)"""
+
+
+def _virtual_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    old = T.table(spark, sf_dir, "customer").where(k % 3 != 0).select(k.alias("key"), F.lit(1).cast("long").alias("version"), F.when(k % 5 == 0, F.lit("deleted")).otherwise(F.lit("live")).alias("state"), F.lit("a").alias("data"))
+    data = F.when(o % 4 < 2, F.concat("o_orderstatus", o.cast("string")))
+    asked = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), o.alias("ord"), pick(("create", "update", "delete", "copy", "update", "update"), o).alias("action"), data.alias("data"))
     return X.versioned_virtual(old, asked)
 
 
+@query(f"""WITH {_ASKED} SELECT key, CAST(1 AS BIGINT) AS version, state, 'a' AS data FROM old UNION ALL SELECT key, CASE WHEN state IS NULL THEN 0 ELSE 1 END + ROW_NUMBER() OVER w, CASE WHEN action = 'delete' THEN 'deleted' ELSE 'live' END,
+ COALESCE(LAST_VALUE(data IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), CASE WHEN state IS NOT NULL THEN 'a' END) FROM j WHERE reason IS NULL WINDOW w AS (PARTITION BY key ORDER BY ord)""")
+def versioned_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots after all orders, read as changes of their customer, many to a key."""
+    return _virtual_changes(spark, sf_dir)[0]
+
+
+@query(f"WITH {_ASKED} SELECT key, ord, action, reason FROM j WHERE reason IS NOT NULL")
+def refused_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes that a key's state refused."""
+    return _virtual_changes(spark, sf_dir)[1]
+
+
 # --- surfaces, sections, documents
 
 
