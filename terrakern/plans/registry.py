@@ -655,10 +655,6 @@ def points_on_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.points(spark, sf_dir).withColumn("p", at).where("p IS NOT NULL").select("key", "p.chainage", "p.distance")
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.points(spark, sf_dir).where("key % 10 = 0").select("project", F.lit("soil").alias("layer"), "x", "y", "z")
-
-
 def _all_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.points(spark, sf_dir).select("project", F.lit("soil").alias("layer"), "x", "y", "z")
 
@@ -668,22 +664,6 @@ def _nodes(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return U.grid(box, size)
 
 
-@query(
-    _with(
-        T.POINTS,
-        then="""SELECT p AS project, j, i, ROUND(SUM(z / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0)), 6) AS z FROM (SELECT n.p, n.j, n.i, a.z, (n.x - a.x) * (n.x - a.x) + (n.y - a.y) * (n.y - a.y) AS d FROM
- (SELECT CAST(n_nationkey AS BIGINT) AS p, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, i * 256.0 + 0.0 AS x, j * 256.0 + 0.0 AS y FROM nation, range(5) t(j), range(5) s(i)) n JOIN points a ON a.project = n.p AND a.key % 10 = 0) GROUP BY p, j, i
- HAVING MIN(d) > 0""",
-    )
-)
-def weighted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels by distance; nodes at an anchor's own place take its value and are tested elsewhere."""
-    a = _anchors(spark, sf_dir)
-    out = U.distance_weighted(_nodes(spark, sf_dir, 5), a)
-    at = a.select("project", "x", "y").distinct()
-    return out.join(at, ["project", "x", "y"], "left_anti").select("project", "j", "i", F.round("z", 6).alias("z"))
-
-
 @query(
     _with(
         T.POINTS,
@@ -691,7 +671,7 @@ def weighted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
  (SELECT CAST(n_nationkey AS BIGINT) AS p, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, i * 256.0 + 0.0 AS x, j * 256.0 + 0.0 AS y FROM nation, range(5) t(j), range(5) s(i)) n JOIN points a ON a.project = n.p) GROUP BY p, j, i""",
     )
 )
-def weighted_grid_of_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels by distance from every point, and at a point's own place its value."""
     return U.distance_weighted(_nodes(spark, sf_dir, 5), _all_anchors(spark, sf_dir)).select("project", "j", "i", F.round("z", 6).alias("z"))
 
@@ -720,24 +700,15 @@ def phantom_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         T.STRATA,
-        then="""SELECT h.borehole_id AS id, l.layer, -COALESCE(own.t, above.b, 0.0) AS z FROM (SELECT DISTINCT borehole_id FROM strata WHERE borehole_id % 5 = 0) h CROSS JOIN (VALUES ('soil', 1), ('weathered_rock', 2), ('soft_rock', 3), ('normal_rock', 4), ('hard_rock', 5)) l(layer, n)
+        then="""SELECT h.borehole_id AS id, l.layer, -COALESCE(own.t, above.b, 0.0) AS z FROM (SELECT DISTINCT borehole_id FROM strata) h CROSS JOIN (VALUES ('soil', 1), ('weathered_rock', 2), ('soft_rock', 3), ('normal_rock', 4), ('hard_rock', 5)) l(layer, n)
  LEFT JOIN (SELECT borehole_id, k, MIN(depth_top) AS t FROM (SELECT *, CASE soil_type WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 5 END AS k FROM strata) GROUP BY borehole_id, k) own ON own.borehole_id = h.borehole_id AND own.k = l.n
  LEFT JOIN (SELECT x.borehole_id, y.n, ARG_MAX(x.b, x.k) AS b FROM (SELECT borehole_id, k, ARG_MIN(depth_bottom, ROW(depth_top, depth_bottom)) AS b FROM (SELECT *, CASE soil_type WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 5 END AS k FROM strata) GROUP BY borehole_id, k) x JOIN range(1, 6) y(n) ON x.k < y.n GROUP BY x.borehole_id, y.n) above ON above.borehole_id = h.borehole_id AND above.n = l.n""",
     )
 )
 def layer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layer_contacts(spark, sf_dir, "borehole_id % 5 = 0")
-
-
-@query(ORACLE_SQL["layer_contacts"].replace(" WHERE borehole_id % 5 = 0", ""))
-def layer_contacts_of_all_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layer_contacts(spark, sf_dir, "true")
-
-
-def _layer_contacts(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     group = F.when(F.col("soil_type") == "A", F.lit("soil")).when(F.col("soil_type") == "N", F.lit("soft_rock")).otherwise(F.lit("hard_rock"))
     s = T.strata(spark, sf_dir).withColumn("strata_group", group)
-    holes = s.where(which).select(F.col("borehole_id").alias("id")).distinct().select(F.lit(0).alias("project"), "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("elevation"))
+    holes = s.select(F.col("borehole_id").alias("id")).distinct().select(F.lit(0).alias("project"), "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("elevation"))
     return U.contacts(holes, s).select("id", "layer", F.round("z", 6).alias("z"))
 
 
@@ -759,18 +730,10 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- coordinates, models and pages
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'EPSG:5187' ELSE 'EPSG:5186' END AS crs, CASE WHEN c_custkey % 3 = 0 THEN 'yx' ELSE 'xy' END AS reading FROM customer WHERE c_custkey < 500")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'EPSG:5187' ELSE 'EPSG:5186' END AS crs, CASE WHEN c_custkey % 3 = 0 THEN 'yx' ELSE 'xy' END AS reading FROM customer")
 def readings_of_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(T.table(spark, sf_dir, "customer").where("c_custkey < 500"))
-
-
-@query(ORACLE_SQL["readings_of_coordinates"].removesuffix(" WHERE c_custkey < 500"))
-def readings_of_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(T.table(spark, sf_dir, "customer"))
-
-
-def _readings(c: DataFrame) -> DataFrame:
     """Places in the south-east on their own belt, and in the west on the other, some with their numbers exchanged."""
+    c = T.table(spark, sf_dir, "customer")
     east = F.col("c_custkey") % 2 == 0
     lat, lon = F.lit(35.15), F.when(east, F.lit(129.05)).otherwise(F.lit(126.95))
     grid = {code: geodesy.to_grid(lat, lon, code) for code in ("EPSG:5187", "EPSG:5186")}
@@ -783,15 +746,6 @@ def _readings(c: DataFrame) -> DataFrame:
     return in_east.unionByName(in_west).select("c_custkey", "crs", "reading")
 
 
-@query(
-    """WITH g AS (SELECT CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, CAST((i * 7 + j * 3) % 5 AS DOUBLE) AS z FROM range(8) t(j), range(8) s(i)) SELECT a.j, a.i, ROUND(AVG(b.z), 6) AS z FROM g a JOIN g b ON ABS(a.i - b.i) <= 1 AND ABS(a.j - b.j) <= 1 GROUP BY a.j, a.i"""
-)
-def means_of_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.range(64).select(F.lit(0).alias("project"), F.floor(F.col("id") / 8).cast("int").alias("j"), (F.col("id") % 8).cast("int").alias("i"))
-    g = g.withColumn("z", ((F.col("i") * 7 + F.col("j") * 3) % 5).cast("double"))
-    return N.mean_of_nine(g).select("j", "i", F.round("z", 6).alias("z"))
-
-
 @query(_with(T.POINTS, then="SELECT key, 2 * x + 3 * y AS z FROM points WHERE x BETWEEN 0 AND 1024 AND y BETWEEN 0 AND 1024"))
 def sampled_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An even grid of a plane gives the plane between its nodes."""
@@ -835,13 +789,13 @@ def constrained_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT s_suppkey AS tri, 0.0 AS ax, CAST(s_suppkey AS DOUBLE) / 2 AS ay, 1.0 AS az, 0.0 AS bx, CAST(s_suppkey AS DOUBLE) / 2 AS by_, 3.0 AS bz FROM supplier WHERE s_suppkey > 0"
+    "SELECT s_suppkey AS tri, 0.0 AS ax, CAST(s_suppkey AS DOUBLE) / 2 AS ay, 1.0 AS az, 0.0 AS bx, CAST(s_suppkey AS DOUBLE) / 2 AS by_, 3.0 AS bz FROM supplier"
 )
 def section_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles over the plane x = 0, each cut halfway up two of its edges."""
     k = F.col("s_suppkey").cast("double")
     corners = {"x0": F.lit(-1.0), "y0": F.lit(0.0), "z0": F.lit(0.0), "x1": F.lit(1.0), "y1": k, "z1": F.lit(2.0), "x2": F.lit(-1.0), "y2": F.lit(0.0), "z2": F.lit(4.0)}
-    triangles = T.table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("tri"), *[c.alias(n) for n, c in corners.items()])
+    triangles = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tri"), *[c.alias(n) for n, c in corners.items()])
     return N.cut_triangles(triangles, (1.0, 0.0, 0.0), 0.0).withColumnRenamed("by", "by_")
 
 

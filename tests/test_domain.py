@@ -232,13 +232,13 @@ def test_weighted_grid_takes_all_points(spark, tmp_path):
     """Nodes at a point's place have its value; points of any key count."""
     spark.createDataFrame([(7, 3, 5.0), (1009 * 997, 3, 2.0), (11, 4, 9.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(3, "A"), (4, "B"), (5, "C")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
-    got = {(r.project, r.j, r.i): r.z for r in registry.QUERIES["weighted_grid_of_all_points"](spark, str(tmp_path)).collect()}
+    got = {(r.project, r.j, r.i): r.z for r in registry.QUERIES["weighted_grid"](spark, str(tmp_path)).collect()}
     assert len(got) == 50 and got[3, 0, 0] == 2.0 and 2.0 < got[3, 1, 1] < 5.0 and got[4, 2, 2] == 9.0
 
 
 def test_every_hole_has_contacts(spark):
     holes = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().collect()}
-    rows = registry.QUERIES["layer_contacts_of_all_holes"](spark, "/root/testdata/sf0.001").collect()
+    rows = registry.QUERIES["layer_contacts"](spark, "/root/testdata/sf0.001").collect()
     assert {r.id for r in rows} == holes and len(rows) == 5 * len(holes)
 
 
@@ -326,5 +326,5 @@ def test_stream_of_observations(spark, small):
 def test_readings_of_every_key(spark, tmp_path):
     keys = [1, 499, 500, 501, 15_000, 7_000_000_003]
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    got = {tuple(r) for r in registry.QUERIES["readings_of_all_coordinates"](spark, str(tmp_path)).select("c_custkey", "crs", "reading").collect()}
+    got = {tuple(r) for r in registry.QUERIES["readings_of_coordinates"](spark, str(tmp_path)).select("c_custkey", "crs", "reading").collect()}
     assert got == {(k, "EPSG:5186" if k % 2 else "EPSG:5187", "xy" if k % 3 else "yx") for k in keys}
