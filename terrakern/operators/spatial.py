@@ -7,11 +7,12 @@ the radius, in one equi-join; nothing is crossed with everything. Points (key, x
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,16 @@ def _around(points: DataFrame, radius: float) -> DataFrame:
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs (key, other, d) of points of left and right (key, x, y, and `on`) at most `radius` apart."""
+    return _met(left, right, radius, on).select("key", "other", "d", *on)
+
+
+def _met(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str]) -> DataFrame:
+    """within_radius() with the cell (_cx, _cy) in which a pair met."""
     cx, cy = _cells(radius)
     a = left.select("key", "x", "y", *on, cx.alias("_cx"), cy.alias("_cy"))
     b = _around(right.select(F.col("key").alias("other"), "x", "y", *on), radius).withColumnsRenamed({"x": "_x", "y": "_y"})
     d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    return a.join(b, ["_cx", "_cy", *on]).withColumn("d", d).where(F.col("d") <= radius).select("key", "other", "d", *on)
+    return a.join(b, ["_cx", "_cy", *on]).withColumn("d", d).where(F.col("d") <= radius)
 
 
 def pairs_within(points: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
@@ -117,8 +123,37 @@ def clusters(points: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFr
     """(key, cluster) of points that chains of steps up to the radius join; a point alone has none. With a least number of two
     for a core, these are the density clusters. The cluster's name is its least key.
     """
-    pairs = pairs_within(points, radius, on).select(F.col("key").alias("a"), F.col("other").alias("b"))
-    return components(pairs).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    tile = [F.floor(F.col(c) / TILE).alias(c) for c in ("_cx", "_cy")]
+    pairs = _met(points, points, radius, on).where("key < other").select("key", "other", *tile, *on)
+    kind = points.schema["key"].dataType.simpleString()
+    joined = pairs.hint("rebalance", *[F.col(c) for c in ("_cx", "_cy", *on)]).select("key", "other").mapInArrow(_joined, f"a {kind}, b {kind}")
+    return components(joined).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+
+
+#: Cells along a side of a tile, whose pairs are joined in one task before chains are followed from tile to tile; a crowded tile is several tasks.
+TILE = 16
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key of the pairs (key, other) with the least that it hangs together with in these pairs."""
+    up: dict = {}
+
+    def top(k):
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a) if a in up else up.setdefault(a, a), top(b) if b in up else up.setdefault(b, b)
+            if a < b:
+                up[b] = a
+            elif b < a:
+                up[a] = b
+    keys = list(up)
+    for lo in range(0, len(keys), 1 << 16):
+        some = keys[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([top(k) for k in some])], ["a", "b"])
 
 
 def largest_cluster(found: DataFrame, points: DataFrame, project: str) -> DataFrame:
@@ -140,31 +175,46 @@ def main_places(points: DataFrame, radius: float = 0.05, far_km: float = 20.0) -
     return main.unionByName(points.join(rest, "project").where(apart <= far_km).select("project", "key"))
 
 
+#: Holes of chains that a task merges together at about a time.
+CHAINED = 20_000
+
+
 def merge_near(holes: DataFrame, radius: float = 2.0) -> DataFrame:
     """Holes (project, ord, id, x, y, elevation, n_strata) merged greedily: the first not yet taken, in order, takes all within
     the radius. A merged hole has their mean place and elevation and the strata of the one with the most.
 
-    Being greedy depends on order only among holes that chains of steps join, so each such chain is one group, not a project.
+    Being greedy depends on order only among holes that chains of steps join. A chain of one or two is an aggregate; longer ones are
+    walked in tasks, many chains at a time.
     """
-    points = holes.where("x IS NOT NULL AND y IS NOT NULL").withColumnRenamed("id", "key")
-    chained = clusters(points, radius, ["project"]).withColumnRenamed("key", "id")
-    known = holes.where("x IS NOT NULL AND y IS NOT NULL").join(chained, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    sound = holes.where("x IS NOT NULL AND y IS NOT NULL").withColumn("elevation", F.when(~F.isnan("elevation"), F.col("elevation")))
+    chained = cut(clusters(sound.withColumnRenamed("id", "key"), radius, ["project"]).select(F.col("key").alias("id"), "cluster"))
+    sizes = cut(chained.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")))
+    long = sizes.where("_n > 2").select("cluster")
+    kept = F.max_by("id", F.struct(F.coalesce("n_strata", F.lit(float("-inf"))), F.col("_back")))
+    back = F.struct(-F.col("ord").cast("double"), -F.col("id"))  # of equals the first in order
+    short = sound.join(chained, "id", "left").join(long, "cluster", "left_anti").withColumn("_back", back)
+    short = short.groupBy("project", F.coalesce("cluster", "id").alias("_c")).agg(kept.alias("id"), *[F.avg(c).alias(c) for c in ("x", "y", "elevation")], F.count(F.lit(1)).alias("merged")).drop("_c")
+    many = sizes.where("_n > 2").agg(F.sum("_n").alias("n")).first()["n"] or 0
+    kind = holes.schema["project"].dataType.simpleString()
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "id"], ignore_index=True)
+        rows = rows.sort_values(["cluster", "ord", "id"], ignore_index=True)
         x, y, z, n = (rows[c].to_numpy(float) for c in ("x", "y", "elevation", "n_strata"))
-        ids, left, out = rows["id"].to_numpy(), np.arange(len(rows)), []
-        while len(left):
-            near = (x[left] - x[left[0]]) ** 2 + (y[left] - y[left[0]]) ** 2 <= radius**2
-            some, left = left[near], left[~near]
-            known = z[some][~np.isnan(z[some])]
-            kept = some[np.argmax(np.where(np.isnan(n[some]), -np.inf, n[some]))]
-            out.append((rows["project"].iloc[0], ids[kept], x[some].mean(), y[some].mean(), known.mean() if len(known) else None, len(some)))
+        n, ids, projects, chains = np.where(np.isnan(n), -np.inf, n), rows["id"].to_numpy(), rows["project"].to_numpy(), rows["cluster"].to_numpy()
+        ends, out = np.append(np.flatnonzero(chains[1:] != chains[:-1]) + 1, len(rows)), []
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            left = np.arange(lo, hi)
+            while len(left):
+                near = (x[left] - x[left[0]]) ** 2 + (y[left] - y[left[0]]) ** 2 <= radius**2
+                some, left = left[near], left[~near]
+                known = z[some][~np.isnan(z[some])]
+                out.append((projects[lo], ids[some[np.argmax(n[some])]], x[some].mean(), y[some].mean(), known.mean() if len(known) else None, len(some)))
         return pd.DataFrame(out, columns=["project", "id", "x", "y", "elevation", "merged"])
 
-    kind = holes.schema["project"].dataType.simpleString()
+    part = F.pmod(F.xxhash64("cluster"), F.lit(max(1, math.ceil(many / CHAINED), sound.sparkSession.sparkContext.defaultParallelism))).alias("_part")
+    walked = sound.join(chained.join(long, "cluster", "left_semi"), "id").select("*", part)
     schema = f"project {kind}, id long, x double, y double, elevation double, merged long"
-    return known.groupBy("project", "cluster").applyInPandas(greedy, schema)
+    return short.select("project", "id", "x", "y", "elevation", "merged").unionByName(walked.groupBy("_part").applyInPandas(greedy, schema))
 
 
 def in_polygon(x: Column, y: Column, rings: Sequence[Ring], edge: bool | None = False) -> Column:
