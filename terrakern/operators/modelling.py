@@ -98,6 +98,30 @@ def constrained_axis(values: DataFrame, bounds: DataFrame, size: int) -> DataFra
     return kept.select("project", (F.row_number().over(w) - 1).alias("place"), "at")
 
 
+def padded_axis(axis: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(project, place, at) of an axis (project, at) that has at least as many places as lengths (project, target) asks for, by putting a place
+    in the middle of the widest gap, of equal ones the first, again and again.
+
+    Halves of a gap g are g / 2 ** level wide, so the widths that are halved are known beforehand: for each gap and level how many pieces there
+    are. All pieces wider than some width are halved and, of that width, the first ones; the width is found by a running count.
+    """
+    w = Window.partitionBy("project").orderBy("at")
+    gaps = axis.select("project", F.col("at").alias("_a"), (F.lead("at").over(w) - F.col("at")).alias("_g")).where("_g > 0")
+    have = axis.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
+    need = have.join(lengths, "project").select("project", (F.col("target") - F.col("_n")).alias("_need")).where("_need > 0")
+    levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_need") + 1)).cast("int"))).alias("_level")
+    pieces = gaps.join(need, "project").select("*", levels).withColumns({"_width": F.col("_g") / F.pow(F.lit(2.0), F.col("_level")), "_many": F.pow(F.lit(2.0), F.col("_level")).cast("long")})
+    widths = pieces.groupBy("project", "_width").agg(F.sum("_many").alias("_all"), F.first("_need").alias("_need"))
+    wider = F.sum("_all").over(Window.partitionBy("project").orderBy(F.desc("_width")).rowsBetween(Window.unboundedPreceding, -1))
+    widths = widths.withColumn("_left", F.col("_need") - F.coalesce(wider, F.lit(0))).where("_left > 0").select("project", "_width", "_left", (F.col("_left") < F.col("_all")).alias("_some"))
+    halved = pieces.join(widths, ["project", "_width"]).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1)))
+    halved = halved.withColumn("_from", F.col("_a") + F.col("_k") * F.col("_width"))
+    first = F.row_number().over(Window.partitionBy("project", "_width").orderBy("_from"))
+    new = halved.where("NOT _some").unionByName(halved.where("_some").withColumn("_nth", first).where("_nth <= _left").drop("_nth"))
+    both = axis.select("project", "at").unionByName(new.select("project", (F.col("_from") + F.col("_width") / 2).alias("at")))
+    return both.select("project", (F.row_number().over(w) - 1).alias("place"), "at")
+
+
 def boundary_targets(profiles: DataFrame, surface: str = "surface") -> DataFrame:
     """(project, id, layer, z): bottoms of the layers that a hole has (columns named as LAYERS, thicknesses), below the surface
     where it stands; layers that it lacks have no target."""
