@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakern.functions import groundwater
+from terrakern.operators.graph import components
+from terrakern.operators.materialise import cut
 from terrakern.operators.ordering import placed as numbered_in_order
 
 ELEMENTS = "doc string, ord long, page int, type string, text string, x0 double, y0 double, x1 double, y1 double, row int, col int"
@@ -187,36 +189,43 @@ def topological(edges: DataFrame, nodes: DataFrame, rank: str = "rank") -> DataF
     """(name, place): names (name, rank) in an order that all edges (upper, lower) keep, ties by rank and name; names in a cycle
     follow in order of rank.
 
-    Edges are made distinct before they meet. The order is a vocabulary's: the names of soils, not of holes. Each place depends
-    on all before it, so the distinct edges are walked in one task, with a heap, in time that grows with their number.
+    Names that edges join, over any number of steps, are walked together with a heap; each such component is a group of its own, and
+    names without edges need no walk. Taking the least name that is free in any component is the order of the greatest rank that a
+    component has given so far, so the whole is put together by a sort over ranges.
     """
+    nodes = cut(nodes.groupBy("name").agg(F.min(F.col(rank).cast("double")).alias("rank")))
     pairs = edges.where("upper <> lower").select(F.col("upper").alias("a"), F.col("lower").alias("b")).distinct()
-    names = nodes.groupBy("name").agg(F.min(F.col(rank).cast("double")).alias("rank"))
-    lists = names.join(pairs.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("below")), "name", "left").coalesce(1)
+    pairs = cut(pairs.join(nodes.select(F.col("name").alias("a")), "a", "left_semi").join(nodes.select(F.col("name").alias("b")), "b", "left_semi"))
+    parts = components(pairs).select(F.col("node").alias("name"), "component")
+    joined = nodes.join(parts, "name").join(pairs.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("below")), "name", "left")
 
-    def kahn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for batch in batches for r in batch.itertuples(index=False)]
-        ranks = {r.name: (r.rank, r.name) for r in rows}
-        below = {r.name: [b for b in (r.below if r.below is not None else []) if b in ranks] for r in rows}
+    def kahn(rows: pd.DataFrame) -> pd.DataFrame:
+        ranks = {r.name: (r.rank, r.name) for r in rows.itertuples(index=False)}
+        below = {r.name: list(r.below) if r.below is not None else [] for r in rows.itertuples(index=False)}
         waits = dict.fromkeys(ranks, 0)
         for some in below.values():
             for b in some:
                 waits[b] += 1
         ready = [ranks[n] for n, w in waits.items() if not w]
         heapq.heapify(ready)
-        out: list[str] = []
+        out: list[tuple] = []
+        reached = (-float("inf"), "")
         while ready:
-            name = heapq.heappop(ready)[1]
-            out.append(name)
-            for b in below[name]:
+            now = heapq.heappop(ready)
+            reached = max(reached, now)
+            out.append((now[1], False, *reached, len(out)))
+            for b in below[now[1]]:
                 waits[b] -= 1
                 if not waits[b]:
                     heapq.heappush(ready, ranks[b])
-        placed = set(out)
-        out += [n for _, n in sorted(r for n, r in ranks.items() if n not in placed)]
-        yield pd.DataFrame({"name": out, "place": range(len(out))})
-
-    return lists.mapInPandas(kahn, "name string, place int")
+        done = {o[0] for o in out}
+        out += [(n, True, r, n, 0) for r, n in ranks.values() if n not in done]
+        return pd.DataFrame(out, columns=["name", "circular", "reached", "by", "nth"])
+
+    walked = joined.groupBy("component").applyInPandas(kahn, "name string, circular boolean, reached double, by string, nth long")
+    lone = nodes.join(parts, "name", "left_anti").select("name", F.lit(False).alias("circular"), F.col("rank").alias("reached"), F.col("name").alias("by"), F.lit(0).cast("long").alias("nth"))
+    order = [F.col(c) for c in ("circular", "reached", "by", "nth")]
+    return numbered_in_order(walked.unionByName(lone), [], order).select("name", F.col("place").cast("int").alias("place"))
 
 
 def by_upload(holes: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ Orders are read as holes of 25 projects, most at nodes of a 17 x 17 grid, and li
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrakern.operators import details as D
 from terrakern.operators import ground as G
 from terrakern.operators.materialise import cut
 from terrakern.operators.surfaces import LAYERS, distance_weighted, grid
@@ -211,3 +212,59 @@ def rock_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.rock_presence(thick, stated, spacings).withColumn("signed", F.round("signed", 5))
 
 
+
+
+_WORDS = ("매립토", "점토", "사질점토")
+
+
+def _detailed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Occurrences, and the holes with soil: lineitems up to the fourth of an order are soil, of three names or none."""
+    k = F.col("l_partkey") % 4
+    name = F.when(k == 0, "매립토").when(k == 1, "점토").when(k == 2, "사질점토").otherwise("토사")
+    s = T.strata(spark, sf_dir).select("borehole_id", "depth_top", "depth_bottom", F.when(F.col("l_linenumber") <= 4, "soil").otherwise("hard_rock").alias("strata_group"), name.alias("soil_type"))
+    holes = _holes(spark, sf_dir)
+    return cut(D.occurrences(holes, s)), holes.join(s.where("strata_group = 'soil'").select(F.col("borehole_id").alias("id")).distinct(), "id", "left_semi")
+
+
+_OCCURRENCES = f"""{T.STRATA}, gh AS (SELECT id, project, i * 64.0::DOUBLE + off AS x, j * 64.0::DOUBLE AS y, 300.0::DOUBLE + (j * 7 + i * 3) % 5 AS surface FROM (SELECT o_orderkey AS id, o_orderkey % 25 AS project, o_orderkey * 37 % 17 AS i, (o_orderkey * 11 + o_custkey) % 17 AS j, CASE WHEN o_custkey % 4 = 0 THEN 20.0 ELSE 0.0 END AS off FROM orders)),
+ gs AS (SELECT borehole_id AS id, depth_top AS t, depth_bottom AS b, (['매립토', '점토', '사질점토', '토사'])[CAST(l_partkey % 4 AS INTEGER) + 1] AS name FROM strata WHERE l_linenumber <= 4), sh AS (SELECT * FROM gh WHERE id IN (SELECT id FROM gs)),
+ oc AS MATERIALIZED (SELECT project, gs.id, x, y, name, name || '#' || CAST(nth AS VARCHAR) AS key, nth, place, b - t AS thickness, surface - b AS z, rk FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, name ORDER BY t, b, name) AS nth, ROW_NUMBER() OVER (PARTITION BY id ORDER BY t, b, name) - 1 AS place, list_position(['매립토', '점토', '사질점토'], name) AS rk FROM gs WHERE name <> '토사') gs JOIN gh ON gh.id = gs.id)"""
+
+
+@query(f"WITH {_OCCURRENCES} SELECT id, key, place, thickness, ROUND(z, 6) AS z FROM oc")
+def soil_occurrences_of_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detailed(spark, sf_dir)[0].select("id", "key", "place", "thickness", F.round("z", 6).alias("z"))
+
+
+@query()
+def order_of_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each project's occurrences in an order that its holes don't contradict."""
+    return D.occurrence_places(_detailed(spark, sf_dir)[0], _WORDS)
+
+
+_W2 = "(n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)"
+
+
+def _means(points: str) -> str:
+    return f"SELECT project, key, j, i, COALESCE(MIN(z) FILTER (WHERE d = 0), SUM(z / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0))) AS z FROM (SELECT n.project, p.key, n.j, n.i, p.z, {_W2} AS d FROM gn n JOIN ({points}) p ON p.project = n.project) GROUP BY ALL"
+
+
+@query(
+    f"""WITH RECURSIVE {_OCCURRENCES}, {_NODES}, ky AS (SELECT project, key, ROW_NUMBER() OVER (PARTITION BY project ORDER BY MIN(rk), MIN(nth)) AS k FROM oc GROUP BY project, key), tk AS (SELECT sh.project, ky.key, sh.x, sh.y, COALESCE(t, 0.0) AS z FROM sh JOIN ky ON ky.project = sh.project LEFT JOIN (SELECT id, key, SUM(thickness) AS t FROM oc GROUP BY id, key) o ON o.id = sh.id AND o.key = ky.key),
+ mt AS MATERIALIZED ({_means('SELECT * FROM tk')}), mb AS MATERIALIZED ({_means('SELECT project, key, x, y, z FROM oc')}), sn AS (SELECT gn.project, gn.j, gn.i, key, AVG(z) AS z FROM oc JOIN gn ON gn.project = oc.project AND gn.x = oc.x AND gn.y = oc.y GROUP BY ALL),
+ pt AS MATERIALIZED (SELECT mt.project, mt.j, mt.i, ky.k, mt.key, mt.z AS thick, mb.z AS contact, sn.z AS snap, SUM(mt.z) OVER (PARTITION BY mt.project, mt.j, mt.i) AS total FROM mt JOIN ky ON ky.project = mt.project AND ky.key = mt.key JOIN mb ON mb.project = mt.project AND mb.key = mt.key AND mb.j = mt.j AND mb.i = mt.i LEFT JOIN sn ON sn.project = mt.project AND sn.key = mt.key AND sn.j = mt.j AND sn.i = mt.i),
+ st AS (SELECT project, j, i, CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS key, ground AS ground, ground - 40.0::DOUBLE - (j + i) % 3 * 20 AS base, ground AS top, ground AS bottom FROM gn UNION ALL
+ SELECT project, j, i, k, key, ground, base, lo, CASE WHEN snap IS NOT NULL THEN GREATEST(base, LEAST(lo - 0.05, snap)) WHEN lo - base <= 0.05 OR share < 0.05 THEN lo ELSE GREATEST(base, LEAST(lo - 0.05, GREATEST(contact, lo - share))) END
+ FROM (SELECT st.project, st.j, st.i, pt.k, pt.key, ground, base, st.bottom AS lo, snap, contact, CASE WHEN total > 0.05 THEN thick / total * GREATEST(ground - base, 0) ELSE thick END AS share FROM st JOIN pt ON pt.project = st.project AND pt.j = st.j AND pt.i = st.i AND pt.k = st.k + 1)),
+ al AS (SELECT project, j, i, key, top, bottom FROM st WHERE k > 0 UNION ALL SELECT project, j, i, '토사', ARG_MAX(bottom, k), ANY_VALUE(base) FROM st GROUP BY project, j, i) SELECT project, j, i, key, ROUND(top, 5) AS top, ROUND(bottom, 5) AS bottom FROM al WHERE top - bottom >= 0.05"""
+)
+def layers_of_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of detail of all projects, from the holes' occurrences to the nodes, in the words' order."""
+    found, soil = _detailed(spark, sf_dir)
+    rank = F.array_position(F.array(*[F.lit(w) for w in _WORDS]), F.col("name"))
+    w = Window.partitionBy("project").orderBy("r", "nth")  # a row for each name and n
+    places = cut(found.groupBy("project", "key").agg(F.min(rank).alias("r"), F.min("nth").alias("nth")).select("project", "key", F.row_number().over(w).alias("place")))
+    nodes = _nodes(spark, sf_dir)
+    parts = D.detail_parts(nodes, found, soil, places, *_axes(spark, sf_dir))
+    column = nodes.select("project", "j", "i", F.col("ground").alias("top"), (F.col("ground") - 40.0 - (F.col("j") + F.col("i")) % 3 * 20).alias("base"))
+    return D.layers_of_detail(column, parts).select("project", "j", "i", "key", F.round("top", 5).alias("top"), F.round("bottom", 5).alias("bottom"))
