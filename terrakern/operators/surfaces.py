@@ -104,25 +104,63 @@ def diagnosed(surface: DataFrame, anchors: DataFrame, tolerance: float = 1e-6) -
     return out.withColumn("passed", F.col("greatest") <= tolerance)
 
 
+#: A plate's weights, in units of the anchors' mean distance, that are this many times their span are no sound solution.
+STEEP = 1e5
+
+
+def plate_report(settled: DataFrame) -> DataFrame:
+    """(project, layer, anchors, scale, span, steepness) of plates through settled anchors (project, layer, x, y, z): their mean distance, the
+    span of their levels, 1 at the least, and the greatest weight in these units, null where there is no solution. A layer of more
+    than PATCH anchors is fitted patch by patch, and reported for the coarse plate that all of its patches lie on."""
+    boxes = settled.groupBy("project", "layer").agg(*[f(c).alias(f"_{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))], F.count(F.lit(1)).alias("_n"), F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    at = settled.join(boxes, ["project", "layer"])
+    cell = [F.when(F.col("_n") > PATCH, F.least(F.floor((F.col(c) - F.col(f"_{c}0")) / F.greatest(F.col(f"_{c}1") - F.col(f"_{c}0"), F.lit(1e-9)) * COARSE_CELLS), F.lit(COARSE_CELLS - 1))).otherwise(F.xxhash64("x", "y")).alias(f"_c{c}") for c in "xy"]
+    known = at.groupBy("project", "layer", "_n", "_lo", "_hi", *cell).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    kind = settled.schema["project"].dataType.simpleString()
+
+    def report(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["x", "y"], ignore_index=True)
+        x, y = rows["x"].to_numpy(float), rows["y"].to_numpy(float)
+        pairs = sum(float(np.hypot(x[k + 1 :] - x[k], y[k + 1 :] - y[k]).sum()) for k in range(len(x) - 1))  # at most PATCH places
+        scale = max(pairs / max(len(x) * (len(x) - 1) / 2, 1), 1.0)
+        span = max(float(rows["_hi"].iloc[0] - rows["_lo"].iloc[0]), 1.0)
+        try:
+            plate = _solve(rows.assign(patch=WHOLE))
+            steep = float(np.abs(plate["w"][plate["part"] == 0]).max() * (scale / plate["scale"].iloc[0]) ** 2 / span)
+        except np.linalg.LinAlgError:
+            steep = float("nan")
+        return pd.DataFrame({"project": [rows["project"].iloc[0]], "layer": [rows["layer"].iloc[0]], "anchors": [int(rows["_n"].iloc[0])], "scale": [scale], "span": [span], "steepness": [steep]})
+
+    out = known.groupBy("project", "layer").applyInPandas(report, f"project {kind}, layer string, anchors long, scale double, span double, steepness double")
+    return out.withColumn("steepness", F.when(~F.isnan("steepness"), F.col("steepness")))
+
+
 def guarded_plate(nodes: DataFrame, anchors: DataFrame, near: float = 0.5, beyond: float = 4.0) -> tuple[DataFrame, DataFrame]:
-    """(project, layer, j, i, x, y, z, fallback) and the places whose anchors disagree. A thin plate where it is safe: its anchors
-    are no closer than `near`, and its nodes stay within `beyond` spans of the anchors' levels; elsewhere means by distance. At
-    an anchor's own place its level stands in either case."""
+    """(project, layer, j, i, x, y, z, fallback, reason) and the places whose anchors disagree. A thin plate where it is safe; elsewhere means by
+    distance, with the first reason that holds: few, where there are fewer than three anchors; close, where two are no farther apart than
+    `near`; steep, where the plate's weights are none or beyond STEEP; wild, where a node lies more than `beyond` spans off the
+    anchors' levels. At an anchor's own place its level stands in either case."""
     good, apart = settled_anchors(anchors)
     good = cut(good)
     key = ["project", "layer"]
-    spans = good.groupBy(*key).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    spans = good.groupBy(*key).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0))
     points = good.select(F.monotonically_increasing_id().alias("key"), "x", "y", *key)
     close = pairs_within(cut(points), near, key).select(*key).distinct().withColumn("_close", F.lit(True))
-    plate = thin_plate(nodes, good).join(spans, key)
+    early = spans.join(close, key, "left").withColumn("reason", F.when(F.col("_n") < 3, F.lit("few")).when(F.col("_close"), F.lit("close")))
+    early = cut(early.select(*key, "reason"))
+    open_ = early.where("reason IS NULL").select(*key)
+    steep = plate_report(good.join(open_, key, "left_semi")).where(F.coalesce(F.col("steepness") > STEEP, F.lit(True))).select(*key, F.lit("steep").alias("_steep"))
+    steep = cut(steep)
+    plate = cut(thin_plate(nodes, good.join(open_, key, "left_semi").join(steep, key, "left_anti"))).join(spans, key)
     wild = plate.groupBy(*key).agg(F.bool_or(F.isnan("z") | (F.col("z") < F.col("_lo") - span * beyond) | (F.col("z") > F.col("_hi") + span * beyond)).alias("_wild"))
-    unsafe = cut(spans.select(*key).join(close, key, "left").join(wild, key, "left").select(*key, (F.coalesce("_close", F.lit(False)) | F.coalesce("_wild", F.lit(False))).alias("fallback")))
-    by_distance = distance_weighted(nodes, good.join(unsafe.where("fallback").select(*key), key, "left_semi"), 1.0)
-    safe = plate.join(unsafe.where("NOT fallback").select(*key), key, "left_semi").select(*key, "j", "i", "x", "y", "z")
+    unsafe = early.join(steep, key, "left").join(wild, key, "left").select(*key, F.coalesce("reason", "_steep", F.when(F.col("_wild"), F.lit("wild"))).alias("reason"))
+    unsafe = cut(unsafe)
+    by_distance = distance_weighted(nodes, good.join(unsafe.where("reason IS NOT NULL").select(*key), key, "left_semi"), 1.0)
+    safe = plate.join(unsafe.where("reason IS NULL").select(*key), key, "left_semi").select(*key, "j", "i", "x", "y", "z")
     own = good.select(*key, "x", "y", F.col("z").alias("_own"))
-    both = safe.withColumn("fallback", F.lit(False)).unionByName(by_distance.select(*safe.columns).withColumn("fallback", F.lit(True)))
-    return both.join(own, [*key, "x", "y"], "left").withColumn("z", F.coalesce("_own", "z")).drop("_own"), apart
+    both = safe.unionByName(by_distance.select(*safe.columns)).join(unsafe, key).join(own, [*key, "x", "y"], "left")
+    return both.withColumns({"z": F.coalesce("_own", "z"), "fallback": F.col("reason").isNotNull()}).select(*key, "j", "i", "x", "y", "z", "fallback", "reason"), apart
 
 
 def settled_anchors(anchors: DataFrame, place: float = 1e-9, height: float = 1e-6) -> tuple[DataFrame, DataFrame]:

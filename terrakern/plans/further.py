@@ -893,6 +893,15 @@ def diagnosed_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.diagnosed(surface, U.settled_anchors(anchors)[0]).select("project", "observations", "passed")
 
 
+@query(_with(T.POINTS, """g AS (SELECT project, x, y, MIN(z) AS z FROM points GROUP BY project, x, y HAVING MAX(z) - MIN(z) <= 0.000001), q AS (SELECT DISTINCT a.project FROM g a JOIN g b ON b.project = a.project AND (a.x, a.y) < (b.x, b.y) AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 576)""",
+ then="""SELECT p AS project, j, i, ROUND(COALESCE(MIN(z) FILTER (WHERE d = 0), SUM(z / NULLIF(SQRT(d), 0)) / SUM(1 / NULLIF(SQRT(d), 0))), 6) AS z, 'close' AS reason FROM (SELECT n.p, n.j, n.i, g.z, (n.x - g.x) * (n.x - g.x) + (n.y - g.y) * (n.y - g.y) AS d FROM
+ (SELECT CAST(n_nationkey AS BIGINT) AS p, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, i * 64.0::DOUBLE AS x, j * 64.0::DOUBLE AS y FROM nation, range(17) t(j), range(17) s(i)) n JOIN g ON g.project = n.p JOIN q ON q.project = n.p) GROUP BY p, j, i"""))
+def plates_given_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of projects with two anchors closer than 24: means by distance."""
+    surface, _ = U.guarded_plate(_nodes(spark, sf_dir, 17), _all_anchors(spark, sf_dir), near=24.0)
+    return surface.where("reason = 'close'").select("project", "j", "i", F.round("z", 6).alias("z"), "reason")
+
+
 @query(_with(T.POINTS, then="SELECT project, COUNT(*) AS anchors, 256 AS nodes, TRUE AS within FROM (SELECT project, x, y FROM points GROUP BY project, x, y HAVING MAX(z) - MIN(z) <= 0.000001) GROUP BY project"))
 def guarded_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plates of every project: all nodes are there, none beyond four spans of the anchors' levels."""
@@ -927,18 +936,36 @@ def means_of_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.mean_of_nine(g.select("project", "j", "i", "z")).select("project", "j", "i", F.round("z", 6).alias("z"))
 
 
-@query(_with("g AS (SELECT 127.0 + i * 0.25 AS x, 36.0 + j * 0.25 AS y, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i FROM range(9) p(j), range(9) q(i))", grid_sql("g", "y", "x", "EPSG:5186"),
- then="""SELECT 1 AS "group", 2 AS part, CAST(j * 9 + i + 1 AS DOUBLE) AS number, printf('          <P id="%d">%.3f %.3f %.4f</P>', CAST(j * 9 + i + 1 AS BIGINT), n, e, CAST(j * 10 + i AS DOUBLE)) AS line FROM placed UNION ALL
+_SURFACE = """g AS (SELECT 127.0 + i * 0.25 AS x, 36.0 + j * 0.25 AS y, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, COALESCE(z, 0.0) AS z FROM range(9) p(j), range(9) q(i) LEFT JOIN (SELECT LEAST(CAST(floor(y / 128) AS BIGINT), 8) AS b, LEAST(CAST(floor(x / 128) AS BIGINT), 8) AS a, MAX(z) AS z FROM points GROUP BY ALL) ON b = j AND a = i)"""
+
+
+def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surface on 9 x 9 nodes: the highest of all points around each."""
+    step = F.sequence(F.lit(0), F.lit(8))
+    cell = lambda c: F.least(F.floor(F.col(c) / 128), F.lit(8)).cast("int")
+    high = T.points(spark, sf_dir).groupBy(cell("y").alias("j"), cell("x").alias("i")).agg(F.max("z").alias("z"))
+    nodes = spark.range(1).select(F.lit("soil").alias("layer"), F.explode(step).alias("j")).select("layer", "j", F.explode(step).alias("i"))
+    return nodes.join(high, ["j", "i"], "left").select("layer", "j", "i", (F.lit(127.0) + F.col("i") * 0.25).alias("x"), (F.lit(36.0) + F.col("j") * 0.25).alias("y"), F.coalesce("z", F.lit(0.0)).alias("z"))
+
+
+@query(_with(T.POINTS, _SURFACE, grid_sql("g", "y", "x", "EPSG:5186"),
+ then="""SELECT 1 AS "group", 2 AS part, CAST(j * 9 + i + 1 AS DOUBLE) AS number, printf('          <P id="%d">%.3f %.3f %.4f</P>', CAST(j * 9 + i + 1 AS BIGINT), n, e, CAST(z AS DOUBLE)) AS line FROM placed UNION ALL
  SELECT 1, 4, (j * 9 + i + 1) * 2.0 + h, '          <F>' || CASE h WHEN 0 THEN concat_ws(' ', j * 9 + i + 1, j * 9 + i + 2, j * 9 + i + 11) ELSE concat_ws(' ', j * 9 + i + 1, j * 9 + i + 11, j * 9 + i + 10) END || '</F>' FROM g, range(2) t(h) WHERE i < 8 AND j < 8"""))
 def surface_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and faces of a whole document of one surface, as lines; its frame is held by a test."""
-    step = F.sequence(F.lit(0), F.lit(8))
-    g = T.projects(spark, sf_dir).where("project_id = 0").select(F.lit("soil").alias("layer"), F.explode(step).alias("j")).select("layer", "j", F.explode(step).alias("i"))
-    g = g.withColumns({"x": F.lit(127.0) + F.col("i") * 0.25, "y": F.lit(36.0) + F.col("j") * 0.25, "z": (F.col("j") * 10 + F.col("i")).cast("double")})
-    return E.surface_document(g, 9, ["soil"], "2026-01-01", "00:00:00").where("part IN (2, 4)").select("group", "part", "number", "line")
+    return E.surface_document(_surface(spark, sf_dir), 9, ["soil"], "2026-01-01", "00:00:00").where("part IN (2, 4)").select("group", "part", "number", "line")
+
+
+@query(_with(T.POINTS, _SURFACE, "q AS (SELECT MIN(key) AS id, ARG_MIN(z, key) AS z, 127 + x / 1000 AS lon, 36 + y / 1000 AS lat FROM points GROUP BY x, y)", grid_sql("q", "lat", "lon", "EPSG:5186", "seen"), grid_sql("g", "y", "x", "EPSG:5186"),
+ then="""SELECT 2 AS part, CAST(k AS DOUBLE) AS number, printf('    <CgPoint name="SOIL_OBS_%06d" code="SOIL_OBSERVED" desc="시추공 %d">%.3f %.3f %.4f</CgPoint>', k, id, n, e, z) AS line FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY id) AS k FROM seen) UNION ALL
+ SELECT 3, j * 9.0 + i, printf('    <CgPoint name="SOIL_INT_R%03d_C%03d" code="SOIL_INTERPOLATED">%.3f %.3f %.4f</CgPoint>', j + 1, i + 1, n, e, CAST(z AS DOUBLE)) FROM placed UNION ALL SELECT 1, 0.0, '  <CgPoints name="SOIL" desc="토사; grid=9x9">' UNION ALL SELECT 4, 0.0, '  </CgPoints>'"""))
+def point_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observed points and nodes of a document of points, as lines, between the lines of their layer."""
+    seen = T.points(spark, sf_dir).select(F.lit("soil").alias("layer"), F.col("key").alias("id"), (F.lit(127.0) + F.col("x") / 1000).alias("x"), (F.lit(36.0) + F.col("y") / 1000).alias("y"), "z")
+    return E.point_document(_surface(spark, sf_dir), seen, 9, ["soil"], "2026-01-01", "00:00:00").where("group = 1").select("part", "number", "line")
 
 
-@query(_with(T.HOLES, T.STRATA, grid_sql("holes", "latitude", "longitude", "EPSG:5186"), then=f"""SELECT CAST(id AS INTEGER) AS part, depth_top AS number, concat_ws(chr(10), '0', 'LINE', '8', upper({_LAYERED}), '10', printf('%.4f', e), '20', printf('%.4f', n), '30', printf('%.4f', elevation - depth_bottom), '11', printf('%.4f', e), '21', printf('%.4f', n), '31', printf('%.4f', elevation - depth_top)) AS line
+@query(_with(T.HOLES, T.STRATA, grid_sql("holes", "latitude", "longitude", "EPSG:5186"), then=f"""SELECT id AS part, depth_top AS number, concat_ws(chr(10), '0', 'LINE', '8', upper({_LAYERED}), '10', printf('%.4f', e), '20', printf('%.4f', n), '30', printf('%.4f', elevation - depth_bottom), '11', printf('%.4f', e), '21', printf('%.4f', n), '31', printf('%.4f', elevation - depth_top)) AS line
  FROM placed JOIN strata ON borehole_id = id WHERE depth_bottom > depth_top AND depth_bottom <= 300"""))
 def drawing_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upright lines of all strata of all holes, as a whole drawing has them."""

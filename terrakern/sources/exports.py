@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrakern.functions import geodesy
+from terrakern.operators.ordering import running
 
 CRS = "EPSG:5186"
 
@@ -67,7 +68,7 @@ _HEAD = (
 
 def _listed(spark, lines: list[str], group: int, part: int) -> DataFrame:
     """Fixed lines of a document, before or after its rows."""
-    return spark.createDataFrame([(group, part, float(n), 0, x) for n, x in enumerate(lines)], "group int, part int, number double, half int, line string")
+    return spark.createDataFrame([(group, part, float(n), 0, x) for n, x in enumerate(lines)], "group int, part long, number double, half int, line string")
 
 
 def checked_grids(grids: DataFrame, size: int) -> DataFrame:
@@ -106,7 +107,7 @@ def point_document(grids: DataFrame, contacts: DataFrame, size: int, layers: lis
     spark, chosen = grids.sparkSession, grids.where(F.col("layer").isin(*layers))
     code = F.upper("layer")
     seen = observed_points(contacts.where(F.col("layer").isin(*layers)))
-    seen = seen.withColumn("n", F.row_number().over(Window.partitionBy("layer").orderBy("id")))
+    seen = running(seen, ["layer"], [F.col("id")], counts={"n": F.lit(True)})
     point = F.concat(F.lit('    <CgPoint name="'), code, F.lit("_OBS_"), F.lpad(F.col("n").cast("string"), 6, "0"), F.lit('" code="'), code, F.lit('_OBSERVED" desc="시추공 '), F.col("id").cast("string"), F.lit('">'), F.col("line"), F.lit("</CgPoint>"))
     north, east = geodesy.to_grid(F.col("y"), F.col("x"), CRS)
     name = F.concat(code, F.format_string("_INT_R%03d_C%03d", F.col("j") + 1, F.col("i") + 1))
@@ -129,7 +130,7 @@ def drawing_document(holes: DataFrame, strata: DataFrame, **options) -> DataFram
     for name, colour in layers:
         head += ["0", "LAYER", "2", name, "70", "0", "62", str(colour), "6", "CONTINUOUS"]
     head += ["0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
-    body = entities.select(F.lit(1).alias("group"), F.col("hole").cast("int").alias("part"), F.col("part").cast("double").alias("number"), F.lit(0).alias("half"), F.col("entity").alias("line"))
+    body = entities.select(F.lit(1).alias("group"), F.col("hole").cast("long").alias("part"), F.col("part").cast("double").alias("number"), F.lit(0).alias("half"), F.col("entity").alias("line"))
     return _listed(spark, head, 0, 0).unionByName(body).unionByName(_listed(spark, ["0", "ENDSEC", "0", "EOF"], 2, 0))
 
 

@@ -87,3 +87,27 @@ def test_holes_without_known_strata_and_no_holes(spark):
     states = {r["layer"]: r["state"] for r in G.with_states(G.layered(p, strata)).collect()}
     assert states == {n: "present" if n == "soft_rock" else "not_reached" for n in LAYERS}
     assert not G.with_states(G.layered(G.profiles(holes.where("id > 9"), strata), strata)).count()
+
+
+def test_plates_say_why_they_are_given_up(spark):
+    from terrakern.operators import surfaces as U
+
+    draw = random.Random(3)
+    even = [(x * 100.0 + draw.random(), y * 100.0 + draw.random(), draw.uniform(0, 10)) for x in range(5) for y in range(5)]
+    places = {"fine": even, "few": even[:2], "close": [*even, (even[0][0] + 0.3, even[0][1], 5.0)], "steep": [*even, (even[0][0] + 1e-6, even[0][1], even[0][2] + 100)], "wild": [(x, y, x / 10) for x, y, _ in even]}
+    anchors = spark.createDataFrame([(p, "soil", *a) for p, some in places.items() for a in some], "project string, layer string, x double, y double, z double")
+    nodes = spark.createDataFrame([(p, 0, i, x, 50.0) for p in places for i, x in enumerate((50.0, 150.0, 9000.0 if p == "wild" else 350.0))], "project string, j int, i int, x double, y double")
+    at = lambda near: {p: {r["reason"] for r in rows} for p, rows in _by(U.guarded_plate(nodes, anchors, near)[0].collect()).items()}
+    assert at(0.5) == {"fine": {None}, "few": {"few"}, "close": {"close"}, "steep": {"close"}, "wild": {"wild"}}
+    assert at(1e-8) == {"fine": {None}, "few": {"few"}, "close": {None}, "steep": {"steep"}, "wild": {"wild"}}
+    report = {r["project"]: r for r in U.plate_report(anchors).collect()}
+    own = places["fine"]
+    pairs = [math.dist(a[:2], b[:2]) for n, a in enumerate(own) for b in own[:n]]
+    assert report["fine"]["scale"] == pytest.approx(sum(pairs) / len(pairs)) and report["fine"]["anchors"] == 25 and report["fine"]["steepness"] < 100 and report["steep"]["steepness"] > U.STEEP
+
+
+def _by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["project"], []).append(r)
+    return out
