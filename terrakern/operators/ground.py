@@ -8,6 +8,7 @@ meet in numpy inside tasks and give sums, or the few nearest; a project of any s
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,7 +20,7 @@ from terrakern.operators.aggregates import upper_median
 from terrakern.operators.materialise import cut
 from terrakern.operators.modelling import NODE, clamped_boundaries, extension_weights
 from terrakern.operators.spatial import on_axis, within_radius
-from terrakern.operators.surfaces import LAYERS, distance_weighted, stacked_boundaries, thin_plate
+from terrakern.operators.surfaces import LAYERS, distance_weighted, presence_weight, stacked_boundaries, thin_plate, voxel_count
 
 #: Rows of a block; rows of one that are held against a whole other at once.
 BLOCK, STRIP = 4096, 256
@@ -334,3 +335,66 @@ def _segments(points: DataFrame, axis: DataFrame, c: str, name: str) -> DataFram
     at = points.select("project", "_row", c).join(ends, "project").withColumn("_v", inside).withColumn("_cell", cell(F.col("_v"))).select("project", "_row", "_v", "_cell")
     met = at.join(held, ["project", "_cell"]).where((F.col("_from") <= F.col("_v")) & ((F.col("_v") < F.col("_to")) | ((F.col("_to") == F.col("_hi")) & (F.col("_v") == F.col("_hi")))))
     return met.select("project", "_row", F.col("_place").cast("int").alias(f"_{name}"), ((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))).alias(f"_t{name}"))
+
+
+@dataclass
+class Model:
+    """A ground model: what the holes show, the layers' thickness, targets and stack, each written to the shared folder once; the
+    extended stack, the errors and the cells are worked out when asked for."""
+
+    nodes: DataFrame
+    axis_x: DataFrame
+    axis_y: DataFrame
+    floors: DataFrame
+    surface: Surface
+    profiled: DataFrame
+    stated: DataFrame
+    thick: DataFrame
+    placed: DataFrame
+    stack: DataFrame
+
+    def extended(self) -> DataFrame:
+        return extended_stack(self.stack, extension_shares(self.nodes, extension_anchors(self.profiled, self.floors), self.surface))
+
+    def errors(self) -> DataFrame:
+        return stack_errors(self.stack, self.placed, self.axis_x, self.axis_y)
+
+    def voxels(self) -> DataFrame:
+        return model_voxels(self.stack, self.extended())
+
+
+def model(holes: DataFrame, strata: DataFrame, nodes: DataFrame, axis_x: DataFrame, axis_y: DataFrame, floors: DataFrame, surface: Surface = thin_plate, soil_signed: DataFrame | None = None, ordered: bool = False) -> Model:
+    """The whole model of all projects: from holes (project, id, x, y, surface) and strata to the boundaries at nodes (project, j, i, x, y, ground)
+    of the axes (project, place, at), above floors (project, floor). `soil_signed` (project, j, i, signed) is where there is soil: its
+    thickness follows it down to nothing. Without holes the stack is the ground."""
+    profiled = cut(profiles(holes, strata))
+    rows = cut(layered(profiled, strata))
+    stated = cut(with_states(rows))
+    whole = cut(continuity(stated))
+    plain = nodes.select(*NODE, "x", "y")
+    thick = thicknesses(plain, thickness_points(stated, whole), whole, surface)
+    if soil_signed is not None:
+        weight = F.coalesce(presence_weight(F.col("signed")), F.lit(1.0))
+        thick = thick.join(soil_signed.withColumn("layer", F.lit("soil")), [*LAYER, "j", "i"], "left").withColumn("z", F.col("z") * weight).drop("signed")
+    thick = cut(thick)
+    placed = cut(placed_targets(boundary_points(profiled, rows), axis_x, axis_y))
+    stack = cut(constrained_stack(nodes, thick, placed, floors, ordered))
+    return Model(plain, axis_x, axis_y, floors, surface, profiled, stated, thick, placed, stack)
+
+
+def model_voxels(stack: DataFrame, extended: DataFrame) -> DataFrame:
+    """(project, j, i, l, label, label_extended) of cells from the floor to a project's highest ground: 0 above the ground, 1 to 5 for the layers and 6
+    below them; extended, what stands on the floor is the deepest layer that has a thickness there."""
+    tops = stack.groupBy("project").agg(F.max("ground").alias("_top"))
+    both = stack.join(extended.select(*NODE, *[F.col(n).alias("_" + n) for n in LAYERS]), NODE).join(tops, "project")
+    range_ = F.greatest(F.col("_top") - F.col("floor"), F.lit(1.0))
+    both = both.withColumn("_count", voxel_count(F.lit(0.0), range_)).withColumn("_step", range_ / (F.col("_count") - 1))
+    cells = both.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    level = F.col("floor") + F.col("_step") * F.col("l")
+    label, grown = F.lit(len(LAYERS) + 1), F.lit(1)
+    for k, (above, n) in enumerate(zip(["ground", *["_" + n for n in LAYERS[:-1]]], LAYERS, strict=True)):
+        grown = F.when(F.col(above) - F.col("_" + n) > 1e-9, F.lit(k + 1)).otherwise(grown)
+    for k, n in reversed(list(enumerate(LAYERS))):
+        label, grown = F.when(level > F.col(n), F.lit(k + 1)).otherwise(label), F.when(level > F.col("_" + n), F.lit(k + 1)).otherwise(grown)
+    air = level > F.col("ground")
+    return cells.select(*NODE, "l", F.when(air, F.lit(0)).otherwise(label).alias("label"), F.when(air, F.lit(0)).otherwise(grown).alias("label_extended"))

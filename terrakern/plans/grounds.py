@@ -137,15 +137,9 @@ def extension_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(G.extension_shares(_nodes(spark, sf_dir), G.extension_anchors(p, _floors(spark, sf_dir)), distance_weighted), "project", "j", "i", "basis")
 
 
-def _stack(spark: SparkSession, sf_dir: str, ordered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles, placed targets and the stack, with means by distance for surfaces."""
-    p, rows = _profiled(spark, sf_dir)
-    stated = cut(G.with_states(rows))
-    whole = cut(G.continuity(stated))
-    nodes = _nodes(spark, sf_dir)
-    thick = G.thicknesses(nodes.drop("ground"), G.thickness_points(stated, whole), whole, distance_weighted)
-    placed = cut(G.placed_targets(G.boundary_points(p, rows), *_axes(spark, sf_dir)))
-    return p, placed, cut(G.constrained_stack(nodes, thick, placed, _floors(spark, sf_dir), ordered))
+def _model(spark: SparkSession, sf_dir: str) -> G.Model:
+    """The model of all projects, with means by distance for surfaces."""
+    return G.model(_holes(spark, sf_dir), _strata(spark, sf_dir), _nodes(spark, sf_dir), *_axes(spark, sf_dir), _floors(spark, sf_dir), distance_weighted)
 
 
 _STACK = f"{_HOLES}, {_FLOORS}, {_POINTS}, {_NODES}, {_THICK}, {_TARGETS}, {_stacked()}"
@@ -155,7 +149,7 @@ _PAIRS = list(zip(["ground", *LAYERS[:-1]], LAYERS, strict=True))
 @query(f"WITH {_STACK} SELECT project, j, i, {_ROUNDED}, ROUND({LAYERS[-1]} - floor, 5) AS unknown, {' + '.join(f'CASE WHEN {b} > {a} + 1e-9 THEN 1 ELSE 0 END' for a, b in _PAIRS)} AS crossing FROM sk")
 def ground_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries from holes to nodes: thicknesses, the stack, the holes' own contacts put back at their nodes."""
-    return _rounded(_stack(spark, sf_dir)[2].withColumn("unknown", F.round("unknown", 5)), "project", "j", "i", "unknown", "crossing")
+    return _rounded(_model(spark, sf_dir).stack.withColumn("unknown", F.round("unknown", 5)), "project", "j", "i", "unknown", "crossing")
 
 
 def _extended_sql() -> str:
@@ -169,9 +163,7 @@ def _extended_sql() -> str:
 @query(_extended_sql())
 def extended_ground_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stack down to the model's floor, what lies below the deepest boundary shared out among the layers."""
-    p, _, stack = _stack(spark, sf_dir)
-    shares = G.extension_shares(_nodes(spark, sf_dir), G.extension_anchors(p, _floors(spark, sf_dir)), distance_weighted)
-    return _rounded(G.extended_stack(stack, shares), "project", "j", "i")
+    return _rounded(_model(spark, sf_dir).extended(), "project", "j", "i")
 
 
 _TALL = " UNION ALL ".join(f"SELECT project, j, i, '{n}' AS layer, {n} AS z FROM sk" for n in LAYERS)
@@ -184,8 +176,27 @@ _TALL = " UNION ALL ".join(f"SELECT project, j, i, '{n}' AS layer, {n} AS z FROM
 )
 def ground_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each layer's boundary is off the holes' contacts, those between nodes included."""
-    _, placed, stack = _stack(spark, sf_dir)
-    return G.stack_errors(stack, placed, *_axes(spark, sf_dir)).select("project", "layer", "targets", F.round("greatest", 5).alias("greatest"), F.round("mean", 5).alias("mean"))
+    return _model(spark, sf_dir).errors().select("project", "layer", "targets", F.round("greatest", 5).alias("greatest"), F.round("mean", 5).alias("mean"))
+
+
+def _voxels_sql() -> str:
+    levels = " ".join(f"WHEN level > {n} THEN {k}" for k, n in enumerate(LAYERS, 1))
+    grown = " ".join(f"WHEN level > e_{n} THEN {k}" for k, n in enumerate(LAYERS, 1))
+    deep = " ".join(f"WHEN {'ground' if k == 1 else 'e_' + LAYERS[k - 2]} - e_{n} > 1e-9 THEN {k}" for k, n in reversed(list(enumerate(LAYERS, 1))))
+    ext = _extended_sql().removeprefix("WITH ").replace(f"ROUND(e_{LAYERS[0]}, 5)", f"e_{LAYERS[0]}")
+    for n in LAYERS:
+        ext = ext.replace(f"ROUND(e_{n}, 5) AS {n}", f"e_{n} AS x_{n}").replace(f"e_{n} AS {n}", f"e_{n} AS x_{n}")
+    ext = ext.replace(f"ROUND(floor, 5) AS {LAYERS[-1]}", f"floor AS x_{LAYERS[-1]}")
+    head, _, tail = ext.rpartition(" SELECT project, j, i, e_")
+    return f"""WITH {head}, xt AS (SELECT project, j, i, e_{tail}), tops AS (SELECT project, MAX(ground) AS top FROM sk GROUP BY project), bo AS (SELECT sk.*, {', '.join(f'x_{n} AS e_{n}' for n in LAYERS)}, GREATEST(top - floor, 1.0) AS r FROM sk JOIN xt ON xt.project = sk.project AND xt.j = sk.j AND xt.i = sk.i JOIN tops ON tops.project = sk.project),
+ ce AS (SELECT *, floor + r / (m - 1) * l AS level FROM (SELECT *, UNNEST(range(m)) AS l FROM (SELECT *, CAST(LEAST(GREATEST(ROUND(r / 1.2), 16), 96) AS BIGINT) AS m FROM bo)))
+ SELECT project, label, label_extended, COUNT(*) AS n FROM (SELECT project, CASE WHEN level > ground THEN 0 {levels} ELSE 6 END AS label, CASE WHEN level > ground THEN 0 {grown} ELSE CASE {deep} ELSE 1 END END AS label_extended FROM ce) GROUP BY ALL"""
+
+
+@query(_voxels_sql())
+def ground_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the whole model by their labels in both stacks."""
+    return _model(spark, sf_dir).voxels().groupBy("project", "label", "label_extended").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RADIUS = "LEAST(GREATEST((30 + n_nationkey * 6) * 1.5::DOUBLE, 80), 250)"
