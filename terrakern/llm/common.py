@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrakern.operators.materialise import cut, folder
+from terrakern.operators.ordering import in_pieces
 
 __all__ = ["UPPER", "WORD", "ascii_lower", "cut", "folder", "id_text_crc", "in_pieces", "numbered", "sample", "table"]
 
@@ -57,14 +58,3 @@ def sample(df: DataFrame, key: list[str], limit: int, cells: int = 1 << 14) -> D
     if last < len(order):
         hashed = hashed.where(F.col("_h") < (int(counts["cell"].to_numpy()[order][last]) + 1) * ((1 << 40) // cells))
     return hashed.orderBy("_h", "_r").limit(limit).drop("_h", "_r")
-
-
-def in_pieces(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df dealt into ranges of `order` and sorted, with `_piece`, the range's number, and `_at`, which rises with the order.
-
-    However many rows a key has, a range holds its share; rows that tie wholly are told apart by where they were read. Ranges
-    are drawn anew each time this is worked out, so the result is written, or read once.
-    """
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    df = df.repartitionByRange(*order, F.col("_row")).sortWithinPartitions(*order, F.col("_row"))
-    return df.withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).drop("_row")
