@@ -27,6 +27,17 @@ def last_depth(cell: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1).try_cast("double"))
 
 
+# How depths are written in a cell, a comma being a point and the letter O a zero.
+DEPTHS = r"[-+]?(?:[0-9]+(?:[,.][0-9]+)?|[,.]\s*[0-9]+)"
+
+
+def depth_values(cell: Column) -> Column:
+    """All numbers of a depth cell, in order, such as those of 25 and 30.5 on two lines of it; none of a null cell."""
+    found = F.regexp_extract_all(F.translate(F.coalesce(cell, F.lit("")), "Oo", "00"), F.lit(DEPTHS), F.lit(0))
+    numbers = F.transform(found, lambda t: F.regexp_replace(F.replace(F.regexp_replace(t, r"\s+", ""), F.lit(","), F.lit(".")), r"^\+", "").try_cast("double"))
+    return F.array_compact(numbers)
+
+
 def tm_scale(value: Column) -> tuple[Column, Column]:
     """A grid coordinate whose point is a place off, and whether it was: only if a tenth lands in the supported range."""
     tenth = value / 10.0

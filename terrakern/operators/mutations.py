@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrakern.operators.aggregates import first_by
+from terrakern.operators.ordering import placed
 from terrakern.operators.selection import live
 
 
@@ -86,15 +87,19 @@ def backfilled(observations: DataFrame, holes: DataFrame, depths: DataFrame, con
     return bare.join(first, "borehole_id").select("borehole_id", F.col("depth").alias("depth_bgl_m"), (F.col("elevation") - F.col("depth")).alias("head_elevation_m"), F.lit(confidence).alias("confidence"))
 
 
-def union_later_wins(groups: Sequence[DataFrame], key: str) -> DataFrame:
-    """Rows of all groups, of a key that of the last group that has it."""
+def union_later_wins(groups: Sequence[DataFrame], key: str, order: str | None = None) -> DataFrame:
+    """Rows of all groups, of a key that of the last group that has it, with `place`, from 0, where the key was first put: by group, then by
+    `order` within it, or by the key."""
+    order = order or key
     marked = [g.withColumn("_group", F.lit(n)) for n, g in enumerate(groups)]
     out = marked[0]
     for g in marked[1:]:
         out = out.unionByName(g, allowMissingColumns=True)
     rest = [c for c in out.columns if c not in (key, "_group")]
-    best = out.groupBy(key).agg(F.max_by(F.struct(*rest), "_group").alias("_best"))
-    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+    first = F.min(F.struct("_group", F.col(order).alias("_order"))).alias("_first")
+    best = out.groupBy(key).agg(F.max_by(F.struct(*rest), "_group").alias("_best"), first)
+    placed_ = placed(best, [], [F.col("_first._group"), F.col("_first._order"), F.col(key)])
+    return placed_.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest], "place")
 
 
 def by_listed_order(df: DataFrame, key: str, ids: Column) -> DataFrame:

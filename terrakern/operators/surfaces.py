@@ -461,3 +461,11 @@ def phantoms(holes: DataFrame, scale: float = 1.8, count: int = 12, block: int =
     apart = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
     nearest = met.groupBy("project", "id").agg(F.min_by("_hole", F.struct(apart, "_hole")).alias("copies"))
     return around.join(nearest, ["project", "id"])
+
+
+def phantom_strata(points: DataFrame, strata: DataFrame) -> DataFrame:
+    """Strata (borehole_id, depth_top, depth_bottom, strata_group, soil_type) of the holes that phantoms() points copy, as theirs: project, id, name
+    and the strata's columns, a missing group being unknown. A hole without strata gives its copies none."""
+    copied = points.select("project", "id", F.concat(F.lit("PHANTOM-"), (-F.col("id") - 99).cast("string")).alias("name"), F.col("copies").alias("borehole_id"))
+    rows = copied.join(strata.select("borehole_id", "depth_top", "depth_bottom", "strata_group", "soil_type"), "borehole_id")
+    return rows.withColumn("strata_group", F.coalesce("strata_group", F.lit("unknown"))).drop("borehole_id")

@@ -151,6 +151,15 @@ def last_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", parse.last_depth(cell).alias("depth"))
 
 
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INTEGER) || ' ' || (CAST(l_quantity AS INTEGER) + 0.5) || ' -0.25 0.5' AS depths FROM lineitem")
+def depth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several depths in one cell, with commas and a letter for a zero."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    cell = F.concat(q, F.lit("\n"), q, F.lit(",5 ~ -O.25m . 5"))
+    values = F.transform(parse.depth_values(cell), lambda v: F.when(v == F.floor(v), v.cast("int").cast("string")).otherwise(v.cast("string")))
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.array_join(values, " ").alias("depths"))
+
+
 @query(_with(T.STRATA, then="""SELECT borehole_id, sha256(STRING_AGG(CAST(ROUND(depth_top, 2) AS VARCHAR) || ':' || CAST(ROUND(depth_bottom, 2) AS VARCHAR) || ':' || soil_type, ';' ORDER BY depth_top, depth_bottom, soil_type)) AS signature FROM strata GROUP BY borehole_id"""))
 def strata_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.signature(T.strata(spark, sf_dir), 2)

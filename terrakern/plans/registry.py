@@ -508,10 +508,11 @@ def inserted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.inserted_if_new(base, keys, ["borehole_id", "project_id"])
 
 
-@query(_with(T.HOLES, then="SELECT id, CASE WHEN id % 3 = 0 THEN 'third' WHEN id % 2 = 0 THEN 'second' ELSE 'first' END AS source FROM holes"))
+@query(_with(T.HOLES, then="SELECT id, CASE WHEN id % 5 = 0 THEN 'third' WHEN id % 3 = 0 THEN 'second' ELSE 'first' END AS source, ROW_NUMBER() OVER (ORDER BY CASE WHEN id % 2 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END, id) - 1 AS place FROM holes WHERE id % 2 = 0 OR id % 3 = 0 OR id % 5 = 0"))
 def later_group_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups that share holes: the last says what a hole is, the first where it stands."""
     ids = T.holes(spark, sf_dir).select("id")
-    groups = [ids.withColumn("source", F.lit("first")), ids.where("id % 2 = 0").withColumn("source", F.lit("second")), ids.where("id % 3 = 0").withColumn("source", F.lit("third"))]
+    groups = [ids.where(f"id % {n} = 0").withColumn("source", F.lit(name)) for n, name in ((2, "first"), (3, "second"), (5, "third"))]
     return M.union_later_wins(groups, "id")
 
 
@@ -697,6 +698,17 @@ def phantom_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 5) for c in "xy"})
 
 
+@query(
+    ORACLE_SQL["phantom_points"].replace("WITH points AS", f"WITH {T.STRATA}, points AS").replace("SELECT o.project, o.id, ROUND(o.x, 5) AS x", "SELECT f.project, f.id, 'PHANTOM-' || CAST(-f.id - 99 AS VARCHAR) AS name, depth_top, depth_bottom, soil_type FROM (SELECT o.project, o.id, ROUND(o.x, 5) AS x")
+    + ") f JOIN strata ON borehole_id = copies"
+)
+def phantom_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strata that phantom points bring along from the hole that each copies."""
+    strata = T.strata(spark, sf_dir).withColumn("strata_group", F.lit("soil"))
+    points = U.phantoms(T.points(spark, sf_dir).withColumnRenamed("key", "id"))
+    return U.phantom_strata(points, strata).select("project", "id", "name", "depth_top", "depth_bottom", "soil_type")
+
+
 @query(
     _with(
         T.STRATA,
