@@ -73,23 +73,50 @@ def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame
     return spaced(left, "key", "a").join(near, ["_x", "_y", "_z"]).withColumn("d", d).where(F.col("d") <= metres).select("key", "other", "d")
 
 
+#: Cells along a side of the lattice by which points that have none near look farther.
+COARSE = 32
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 1.0) -> DataFrame:
     """(key, other, d, place): the k nearest of right to each point of left, wherever they are, ties by key; all of right where
-    it has fewer. Points that find fewer than k within a radius look again within twice the radius; `radius` is a first guess."""
-    right = cut(right.select("key", "x", "y"))
+    it has fewer. `radius` is a first guess: points that find fewer than k within it look by a lattice of at most COARSE x COARSE cells over right.
+    What a cell's box and count say bounds how far the k nearest can be, and only cells that reach so near are opened."""
+    known = "x IS NOT NULL AND y IS NOT NULL"
+    right, left = cut(right.where(known).select("key", "x", "y")), left.where(known).select("key", "x", "y")
     box = right.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))]).first()
     if not box["n"]:
         return within_radius(left, right, radius).withColumn("place", F.lit(1))
-    k_found, out, waiting = min(k, box["n"]), None, cut(left.select("key", "x", "y"))
-    while True:
-        found = cut(nearest_within(waiting, right, radius, k))
-        done = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k_found)
-        part = found.join(done.select("key"), "key", "left_semi")
-        out = part if out is None else out.unionByName(part)
-        waiting = cut(waiting.join(done, "key", "left_anti"))
-        if waiting.isEmpty():
-            return out
-        radius *= 2
+    some = cut(nearest_within(left, right, radius, k))
+    done = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, box["n"])).select("key")
+    waiting = left.join(done, "key", "left_anti")
+    wide = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9) / COARSE * (1 + 1e-9)
+    cell = F.floor((F.col("x") - box["x0"]) / wide) * COARSE + F.floor((F.col("y") - box["y0"]) / wide)
+    ends = [f(c).cast("double").alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))]
+    cells = right.groupBy(cell.alias("cell")).agg(*ends, F.count(F.lit(1)).alias("n")).toPandas()  # at most COARSE * COARSE rows
+    names, low, high = cells["cell"].to_numpy(np.int64), cells[["x0", "y0"]].to_numpy(float), cells[["x1", "y1"]].to_numpy(float)
+    counts = cells["n"].to_numpy(np.int64)
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.iloc[lo : lo + 1024]
+                at = part[["x", "y"]].to_numpy(float)[:, None]
+                near = np.sqrt((np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(2))
+                far = np.sqrt((np.maximum(np.abs(at - low), np.abs(at - high)) ** 2).sum(2))
+                order = np.argsort(far, axis=1)
+                enough = (np.cumsum(counts[order], axis=1) >= k).argmax(axis=1)
+                enough = np.where(counts.sum() < k, len(counts) - 1, enough)
+                reach = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1) * (1 + 1e-12)
+                row, column = np.nonzero(near <= reach)
+                yield part.iloc[row].assign(cell=names[column])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema) + ", cell long"
+    asked = waiting.mapInPandas(opened, schema)
+    met = asked.join(right.select(F.col("key").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell.cast("long").alias("cell")), "cell")
+    d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    w = Window.partitionBy("key").orderBy("d", "other")
+    far = met.withColumn("d", d).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("key", "other", "d", "place")
+    return some.join(done, "key", "left_semi").select("key", "other", "d", "place").unionByName(far)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, k: int = 1) -> DataFrame:

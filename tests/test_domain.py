@@ -2,6 +2,7 @@
 
 
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -328,3 +329,17 @@ def test_readings_of_every_key(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = {tuple(r) for r in registry.QUERIES["readings_of_coordinates"](spark, str(tmp_path)).select("c_custkey", "crs", "reading").collect()}
     assert got == {(k, "EPSG:5186" if k % 2 else "EPSG:5187", "xy" if k % 3 else "yx") for k in keys}
+
+
+def test_nearest_of_far_and_crowded_points(spark):
+    draw = random.Random(7)
+    right = [(k, draw.gauss(0, 1) * draw.choice([0.01, 1, 50]), draw.gauss(0, 1)) for k in range(300)] + [(k, 3.0, 3.0) for k in range(300, 330)]
+    left = [(-k, draw.uniform(-60, 60), draw.uniform(-5, 5)) for k in range(1, 60)] + [(-100, 1e9, -1e9), (-101, 3.0, 3.0), (-102, 0.0, None)]
+    schema = "key long, x double, y double"
+    for k in (1, 4, 400):
+        got = {}
+        for r in spatial.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), k, 0.5).collect():
+            got.setdefault(r["key"], {})[r["place"]] = r["other"]
+        for key, x, y in left:
+            want = sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), o) for o, a, b in right)[:k] if y is not None else []
+            assert [o for _, o in sorted(got.get(key, {}).items())] == [o for _, o in want]
