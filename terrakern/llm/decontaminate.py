@@ -290,7 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows counts the item's windows found, edits is the fewest over them, span_start and span_end bound them in code
     points, to within the edits allowed. A null or short text holds nothing; an item with fewer than Q bytes, or null, is
     in nothing; items of fewer bytes than WINDOW are one window. Repeated rows on either side each give rows. Whole texts
-    are searched. Empty tables give an empty result.
+    are searched. Of windows found with equally few edits all count. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

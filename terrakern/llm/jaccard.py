@@ -328,7 +328,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text, ...).
 
     Words are lower-cased by A-Z alone. A text of fewer than five words is one shingle; a null or blank one has none and is
-    linked with nothing. Rows of equal sets are linked. component_id is the least id that links reach. Rows that repeat an id
+    linked with nothing. Rows of equal sets are linked, and pairs at the bound itself. component_id is the least id that links reach. Rows that repeat an id
     keep a row each; a null id stays null, and a component without any id has a null component_id. Whole texts are read.
     Further columns of docs are left out. An empty table gives an empty one.
     """

@@ -204,7 +204,8 @@ def near_duplicates(table_: DataFrame, cosine: float = COSINE) -> DataFrame:
     A vector that is null, empty or zero, or holds a null or non-finite component, links with nothing; vectors of different
     lengths don't link. n_links counts other rows, equal vectors included. component_id is the least vec_id that links reach;
     kept says whether it is the row's own. Rows that repeat an id keep a row each. A null id stays null and isn't kept; a
-    component without any id has a null component_id. Further columns are left out.
+    component without any id has a null component_id. Further columns are left out. A pair at the bound itself is linked; equal
+    ids tie, so both rows name the same component. An empty table gives an empty one.
     """
     vec, e = F.col("vec_id").cast("long"), F.col("embedding")
     number = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

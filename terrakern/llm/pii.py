@@ -291,7 +291,7 @@ def detect(docs: DataFrame, accept: float = 0.5) -> DataFrame:
 
     A null or empty text has no spans. Spans go by kind as listed in KINDS, then by start; looser kinds follow the base kinds.
     Whole texts are searched. Repeated rows each give a row and count as candidates of their own. Further columns of docs are
-    left out.
+    left out. Spans that begin together are listed by their kind, then their end. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     found = cut(candidates(docs))

@@ -183,7 +183,8 @@ def rate(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> D
     """The columns of `keep` (doc_id unless given), held_out, score and predicted of every row of docs (doc_id, text, ...).
 
     A null or empty text is scored by its empty features. A null id counts as the empty text for its fold. Repeated rows
-    each give a row. Without labels of 1, every score is 0.5.
+    each give a row. Without labels of 1, every score is 0.5. Whole texts are read, however long; equal texts score alike, and
+    of labels that repeat an id each counts. An empty table gives an empty one.
     """
     keep = keep or ["doc_id"]
     names = {c: f"_in_{c}" for c in dict.fromkeys([*keep, "doc_id"])}

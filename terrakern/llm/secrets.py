@@ -123,7 +123,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no spans, and the sha256 of no bytes. Spans go by start, then by kind in the order assign,
     access, hex, entropy. An entropy span that lies within a base span isn't added. Whole texts are scanned. Repeated rows
-    each give a row. Further columns of docs are left out.
+    each give a row. Further columns of docs are left out. Spans that begin together stand in the kinds' order. An empty table
+    gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text"))

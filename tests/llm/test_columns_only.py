@@ -231,3 +231,10 @@ def test_samples_of_repeated_keys(spark):
     got = sorted(r.v for r in sample(df, ["key"], 50).collect())
     assert len(got) == 50 and got == sorted(r.v for r in sample(df.repartition(9), ["key"], 50).collect())
     assert sample(df, ["key"], 10_000).count() == 5058 and sample(df.limit(0), ["key"], 5).count() == 0
+
+
+def test_scan_of_no_documents(spark):
+    from terrakern.llm import secrets
+
+    empty = spark.createDataFrame([], "doc_id long, text string, spans int")
+    assert secrets.scan(empty).columns[0] == "doc_id" and not secrets.scan(empty).count()
