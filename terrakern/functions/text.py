@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from terrakern.functions.names import GROUPS, longest_contained, lookup
+from terrakern.functions.names import GROUPS, SOIL_DETAIL, longest_contained, lookup
 
 # How nothing is written, prefixes of hole names, supported systems.
 NOTHING = ("", "N/A")
@@ -120,3 +121,57 @@ def variant_group(raw: Column, variant: str) -> Column:
     found = F.coalesce(lookup(table, plain), longest_contained(table, plain), F.lit(unknown))
     code = F.lower(F.trim(text))
     return F.when(code.isin(*GROUPS), code).otherwise(found) if variant == "shared" else found
+
+
+# What a page's name of a soil is read by, in this order; colours and endings that are left out; words that hint at a soil or a rock.
+PAGE_NAMES = (
+    "유기질토", "점토질모래", "사질점토", "매립토", "매립층", "퇴적토", "퇴적층", "충적토", "충적층", "풍화토", "잔류토", "점성토", "점토", "실트", "사질토", "모래", "역질토", "자갈",
+    "풍화암", "보통암", "발파암", "리핑암", "화강암", "연암", "경암", "토사",
+)
+PAGE_COLOURS = ("암갈색", "회갈색", "황갈색", "회색", "청회색", "담회색", "적갈색", "갈색", "흑색", "백색", "층색", "표")
+PAGE_HINTS = {
+    "점토": "점토", "점성": "점토", "실트": "실트", "모래": "모래", "사질": "사질토", "자갈": "자갈", "역질": "자갈", "퇴적": "퇴적토", "충적": "충적토", "붕적": "붕적토",
+    "유기": "유기질토", "이탄": "유기질토", "부식": "유기질토", "토": "토사",
+}
+HARD_HINTS, SOFT_HINTS = ("경", "단단", "견고"), ("연", "약", "무른")
+#: The group that a table of pages shows for a name; other names stay.
+PAGE_GROUPS = {
+    "매립층": "매립토", "퇴적층": "퇴적토", "충적층": "충적토", "잔류토": "풍화토", "점성토": "점토", "사질토": "모래", "역질토": "자갈", "이탄": "유기질토", "부식토": "유기질토",
+    "리핑암": "연암", "발파암": "경암", "화강암": "경암",
+}
+#: Names as scanners misread them.
+MISREAD = {"풍화앙": "풍화암", "연앙": "연암", "연임": "연암"}
+
+
+def _first_held(words, text: Column, value=lambda w: w) -> Column:
+    return F.coalesce(*[F.when(text.contains(w), F.lit(value(w))) for w in words])
+
+
+def page_name(raw: Column, compatible_already: bool = False) -> Column:
+    """A soil's name as a page says it: the first of PAGE_NAMES that it holds, else by a class code that stands alone, else by hints, else the
+    common name. Brackets, colours and white space don't count; null and blank text have the common name. With `compatible_already`
+    the text has its compatible form and the whole is one expression."""
+    text = F.coalesce(raw, F.lit(""))
+    plain = F.regexp_replace(text if compatible_already else compatible(text), r"\(.*?\)", "")
+    for word in PAGE_COLOURS:
+        plain = F.replace(plain, F.lit(word), F.lit(""))
+    tight = F.regexp_replace(plain, r"(?U)\s+", "")
+    codes = F.coalesce(*[F.when(F.upper(tight).rlike(f"(^|[^A-Z]){k}([^A-Z]|$)"), F.lit(v)) for k, v in SOIL_DETAIL.items() if k.isascii()])
+    rest = F.regexp_replace(F.regexp_replace(tight, "[a-zA-Z]", ""), r"(?U)[^\w\s]", "")
+    held = lambda *words: reduce(lambda a, b: a | b, [rest.contains(w) for w in words])
+    rock = F.when(held("암"), F.when(held(*HARD_HINTS), F.lit("경암")).when(held(*SOFT_HINTS), F.lit("연암")).otherwise(F.lit("보통암")))
+    weathered = F.when(held("풍화") & held("암"), F.lit("풍화암"))
+    return F.coalesce(_first_held(PAGE_NAMES, tight), codes, weathered, _first_held(PAGE_HINTS, rest, PAGE_HINTS.get), rock, F.lit("토사"))
+
+
+def table_name(raw: Column) -> Column:
+    """The name that a table of pages shows for a soil's name, itself if there is none; null counts as the common name."""
+    name = F.coalesce(raw, F.lit("토사"))
+    return F.coalesce(lookup(PAGE_GROUPS, name), name)
+
+
+def read_name(raw: Column, compatible_already: bool = False) -> Column:
+    """A name in a text of a page's box: a rival spelling or a misreading that it holds, else `page_name` as a table shows it."""
+    tight = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", "")
+    rivals = PAGE_GROUPS | MISREAD
+    return F.coalesce(_first_held(rivals, tight, rivals.get), table_name(page_name(raw, compatible_already)))

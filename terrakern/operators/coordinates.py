@@ -40,6 +40,47 @@ def best_by_region(points: DataFrame, x: str, y: str, hard: Box, soft: Box, code
     return best.select(*points.columns, *[F.col(f"_best.c.{n}").alias(n) for n in ("crs", "reading", "lon", "lat")])
 
 
+# Belts whose numbers are as small as they look, and the number below which others lack a digit.
+EAST, SMALL, LARGE = ("EPSG:5187", "EPSG:5183", "EPSG:5176"), 30000, 100000
+
+
+def as_number(cell: Column) -> Column:
+    """The number that a cell's digits, points and minus signs make, whatever else it holds; null where they make none."""
+    return F.regexp_replace(cell.cast("string"), r"[^0-9.\-]", "").try_cast("double")
+
+
+def normalized(points: DataFrame, x: str, y: str, crs: str, hard: Box, soft: Box, order: Column | None = None) -> DataFrame:
+    """Adds lon, lat (7 places), tm_x, tm_y (easting and northing on the first belt, 3 places) and system to points with two written numbers and a
+    system, one of CODES, WGS84 or null.
+
+    A first number below SMALL lacks a digit unless it is a degree or of an eastern belt. A known belt's numbers are read with the smaller
+    as easting and the other way, by `region_score`, the first of equals; with `order` easting_northing as they stand. Without
+    a system all belts are tried where a number is LARGE, those on the new datum first, and only places in the country count;
+    system is then the belt's with _INFERRED, UNKNOWN without any. Places are null where nothing fits.
+    """
+    a, b = as_number(F.col(x)), as_number(F.col(y))
+    tenfold = F.coalesce(a < SMALL, F.lit(False)) & ~F.coalesce(F.col(crs).isin("WGS84", *EAST), F.lit(False))
+    rows = points.withColumns({"_a": F.when(tenfold, a * 10).otherwise(a), "_b": b, "_fixed": F.coalesce((order if order is not None else F.lit("")) == "easting_northing", F.lit(False))})
+    ordered = rows.withColumns({"_low": F.least("_a", "_b"), "_high": F.greatest("_a", "_b")})
+    east = F.when(F.col("_fixed") & F.col(crs).isNotNull(), F.col("_a")).otherwise(F.col("_low"))
+    north = F.when(F.col("_fixed") & F.col(crs).isNotNull(), F.col("_b")).otherwise(F.col("_high"))
+    rows = ordered.select(*points.columns, "_a", "_b", "_fixed", F.col(crs).alias("_crs"), east.alias("_east"), north.alias("_north"))
+    wanted = lambda c: (F.col("_crs") == c["crs"]) & ~(F.col("_fixed") & (c["reading"] == "yx")) | F.col("_crs").isNull()
+    scored = F.transform(
+        F.filter(candidates(F.col("_east"), F.col("_north")), wanted), lambda c: F.struct(region_score(c["lon"], c["lat"], hard, soft).alias("score"), (-c["ord"]).alias("first"), c.alias("c"))
+    )
+    sound = F.filter(scored, lambda s: s["score"] > F.when(F.col("_crs").isNull(), 0).otherwise(-1000))
+    given = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    fits = given & F.coalesce(F.col("_crs").isin(*CODES), F.greatest("_a", "_b") > LARGE)
+    rows = rows.withColumn("_best", F.when(fits, F.array_max(sound)))
+    degrees = given & F.coalesce(F.col("_crs") == "WGS84", F.lit(False))
+    rows = rows.withColumns({"lon": F.when(degrees, F.col("_a")).otherwise(F.col("_best.c.lon")), "lat": F.when(degrees, F.col("_b")).otherwise(F.col("_best.c.lat"))})
+    tm_y, tm_x = geodesy.to_grid(F.col("lat"), F.col("lon"), CODES[0])
+    system = F.coalesce(F.col("_crs"), F.concat(F.col("_best.c.crs"), F.lit("_INFERRED")), F.lit("UNKNOWN"))
+    out = rows.withColumns({"tm_x": F.round(tm_x, 3), "tm_y": F.round(tm_y, 3), "system": system})
+    return out.select(*points.columns, F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "tm_x", "tm_y", "system")
+
+
 def anchored(points: DataFrame, x: str, y: str, anchor: tuple[float, float], near: float = 0.05, far: float = 0.5) -> DataFrame:
     """Moves a hole (x, y as read, lon, lat, crs) that lies off the project's place to the candidate nearest to it.
 

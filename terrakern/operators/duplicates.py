@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakern.operators.selection import coordinate_outlier, flags
+
 
 def signature(strata: DataFrame, places: int, key: str = "borehole_id", name: Column | None = None) -> DataFrame:
     """(key, signature): digest of a hole's strata in order, depths rounded to `places`."""
@@ -84,3 +86,20 @@ def quality(rows: DataFrame, key: str, name: str) -> DataFrame:
     share = F.when(F.col("strata") > 0, F.col("odd") / F.col("strata")).otherwise(1.0)
     wrong = (F.col("unread") * 2 >= F.col("holes")) | (share >= 0.3) | F.coalesce(uniform, F.lit(False))
     return out.select(key, "holes", "unread", "strata", "odd", wrong.alias("anomalous"))
+
+
+def members(holes: DataFrame, groups: DataFrame, x: str = "longitude", y: str = "latitude", places: int = 7) -> DataFrame:
+    """(id) of every hole of a group, whatever its kind."""
+    g = groups.select(F.col("name").alias("_name"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.round(x, places).eqNullSafe(F.col("_x")) & F.round(y, places).eqNullSafe(F.col("_y"))
+    return holes.join(g, same, "left_semi").select("id")
+
+
+def derived_flags(holes: DataFrame, anomalies: DataFrame, duplicates: DataFrame, status: str = "data_status") -> DataFrame:
+    """(id, flags) of what asks for a second look: duplicate (an id of `duplicates`), depth_anomaly, unreviewed (no strata, or a status that
+    says so) and coord_outlier. anomalies (borehole_id, depth_anomaly) has a row for each hole with strata."""
+    twice = duplicates.select("id").distinct().withColumn("_twice", F.lit(True))
+    rows = holes.join(anomalies.select(F.col("borehole_id").alias("id"), "depth_anomaly"), "id", "left").join(twice, "id", "left")
+    pending = F.coalesce(F.col(status).contains("pending_review"), F.lit(False))
+    named = {"duplicate": F.col("_twice"), "depth_anomaly": F.col("depth_anomaly"), "unreviewed": F.col("depth_anomaly").isNull() | pending, "coord_outlier": coordinate_outlier(F.col("longitude"), F.col("latitude"))}
+    return rows.select("id", flags(named).alias("flags"))
