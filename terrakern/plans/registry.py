@@ -865,4 +865,4 @@ def label_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "events").select("event_id", DOC.datum_of(unit).alias("datum"), confidence.alias("confidence"))
 
 
-from terrakern.plans import batches, further, grounds, lands, requests, streams  # noqa: E402, F401  more queries, registered here
+from terrakern.plans import batches, further, grounds, lands, requests, scanned, streams  # noqa: E402, F401  more queries, registered here
