@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrakern.functions.geodesy import let
 from terrakern.functions.text import read_name
 
 # Fields of numbers, of soils and of other names; the names that count in a soil's text, a longer one before what it holds.
@@ -32,7 +33,10 @@ def numeric_score(text: Column) -> Column:
 def soil_score(text: Column) -> Column:
     """20 for each known name, 10 for each line that is one, 1 for each line that isn't the common name and for each of the first 30
     characters, 3 less for each line of one character. White space doesn't count."""
-    tight, lines = _tight(text), _lines(text)
+    return let(F.struct(_tight(text).alias("tight"), _lines(text).alias("lines")), lambda v: _soil_score(v["tight"], v["lines"]))
+
+
+def _soil_score(tight: Column, lines: Column) -> Column:
     whole = F.size(F.filter(lines, lambda v: _tight(v).rlike(f"^({TOKENS})$")))
     single = F.size(F.filter(lines, lambda v: F.length(_tight(v)) == 1))
     return F.regexp_count(tight, F.lit(f"({TOKENS})")) * 20 + whole * 10 + _named(lines) - single * 3 + F.least(F.length(tight), F.lit(30))
@@ -51,10 +55,14 @@ def general_score(text: Column) -> Column:
 def best_text(readings: list[Column], field: Column) -> Column:
     """The best of several readings of a box by the kind of its field, of equal ones the first; blank ones don't count, and without any
     the text is empty. For a field of no known kind the first reading is taken, or what is the only one."""
-    trimmed = [F.regexp_replace(F.coalesce(r, F.lit("")), r"(?U)^\s+|\s+$", "") for r in readings]
     kind = F.lower(field)
     score = lambda t: F.when(kind.isin(*NUMBERS), numeric_score(t)).when(kind.isin(*SOILS), soil_score(t)).when(kind.isin(*NAMES), general_score(t))
-    some = F.filter(F.array(*[F.struct(score(t).alias("score"), F.lit(-n).alias("first"), t.alias("text")) for n, t in enumerate(trimmed)]), lambda r: r["text"] != "")
-    known = kind.isin(*NUMBERS, *SOILS, *NAMES)
-    best = F.when(known | (F.size(some) < 2), F.array_max(some)["text"]).otherwise(trimmed[0])
-    return F.coalesce(best, F.lit(""))
+    trimmed = F.transform(F.array(*readings), lambda r: F.regexp_replace(F.coalesce(r, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    scored = F.transform(trimmed, lambda t, n: F.struct(score(t).alias("score"), (-n).alias("first"), t.alias("text")))
+
+    def best(all_: Column) -> Column:
+        some = F.filter(all_, lambda r: r["text"] != "")
+        known = F.coalesce(kind.isin(*NUMBERS, *SOILS, *NAMES), F.lit(False))
+        return F.when(known | (F.size(some) < 2), F.array_max(some)["text"]).otherwise(F.get(all_, F.lit(0))["text"])
+
+    return F.coalesce(let(scored, best), F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from terrakern.functions.geodesy import let
 from terrakern.functions.names import GROUPS, SOIL_DETAIL, longest_contained, lookup
 
 # How nothing is written, prefixes of hole names, supported systems.
@@ -155,23 +156,30 @@ def page_name(raw: Column, compatible_already: bool = False) -> Column:
     plain = F.regexp_replace(text if compatible_already else compatible(text), r"\(.*?\)", "")
     for word in PAGE_COLOURS:
         plain = F.replace(plain, F.lit(word), F.lit(""))
-    tight = F.regexp_replace(plain, r"(?U)\s+", "")
-    codes = F.coalesce(*[F.when(F.upper(tight).rlike(f"(^|[^A-Z]){k}([^A-Z]|$)"), F.lit(v)) for k, v in SOIL_DETAIL.items() if k.isascii()])
-    rest = F.regexp_replace(F.regexp_replace(tight, "[a-zA-Z]", ""), r"(?U)[^\w\s]", "")
-    held = lambda *words: reduce(lambda a, b: a | b, [rest.contains(w) for w in words])
-    rock = F.when(held("암"), F.when(held(*HARD_HINTS), F.lit("경암")).when(held(*SOFT_HINTS), F.lit("연암")).otherwise(F.lit("보통암")))
-    weathered = F.when(held("풍화") & held("암"), F.lit("풍화암"))
-    return F.coalesce(_first_held(PAGE_NAMES, tight), codes, weathered, _first_held(PAGE_HINTS, rest, PAGE_HINTS.get), rock, F.lit("토사"))
+
+    def by_codes(tight: Column) -> Column:
+        return F.coalesce(*[F.when(F.upper(tight).rlike(f"(^|[^A-Z]){k}([^A-Z]|$)"), F.lit(v)) for k, v in SOIL_DETAIL.items() if k.isascii()])
+
+    def by_hints(rest: Column) -> Column:
+        held = lambda *words: reduce(lambda a, b: a | b, [rest.contains(w) for w in words])
+        rock = F.when(held("암"), F.when(held(*HARD_HINTS), F.lit("경암")).when(held(*SOFT_HINTS), F.lit("연암")).otherwise(F.lit("보통암")))
+        weathered = F.when(held("풍화") & held("암"), F.lit("풍화암"))
+        return F.coalesce(weathered, _first_held(PAGE_HINTS, rest, PAGE_HINTS.get), rock, F.lit("토사"))
+
+    def named(tight: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(tight, "[a-zA-Z]", ""), r"(?U)[^\w\s]", "")
+        return F.coalesce(_first_held(PAGE_NAMES, tight), by_codes(tight), let(rest, by_hints))
+
+    return let(F.regexp_replace(plain, r"(?U)\s+", ""), named)
 
 
 def table_name(raw: Column) -> Column:
     """The name that a table of pages shows for a soil's name, itself if there is none; null counts as the common name."""
-    name = F.coalesce(raw, F.lit("토사"))
-    return F.coalesce(lookup(PAGE_GROUPS, name), name)
+    return let(F.coalesce(raw, F.lit("토사")), lambda name: F.coalesce(lookup(PAGE_GROUPS, name), name))
 
 
 def read_name(raw: Column, compatible_already: bool = False) -> Column:
     """A name in a text of a page's box: a rival spelling or a misreading that it holds, else `page_name` as a table shows it."""
-    tight = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", "")
     rivals = PAGE_GROUPS | MISREAD
-    return F.coalesce(_first_held(rivals, tight, rivals.get), table_name(page_name(raw, compatible_already)))
+    known = let(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", ""), lambda tight: _first_held(rivals, tight, rivals.get))
+    return F.coalesce(known, table_name(page_name(raw, compatible_already)))
