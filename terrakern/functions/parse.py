@@ -77,3 +77,14 @@ def crs_hint(value: Column, year: Column | None = None) -> Column:
 def file_key(kind: str, value: Column) -> Column:
     """Key of an observation: by job and hole, or by the digest of its source."""
     return F.concat(F.lit(f"{kind}:"), F.sha2(value, 256) if kind == "source" else value)
+
+
+def box_of(text: Column, point: bool = False) -> Column:
+    """struct<box, reason> of a written box, "west,south,east,north": box is array<double>, or null with the reason: numbers where there aren't
+    four, order where a first isn't less than its second. With `point` equal ones pass, and blank text is no box and no fault."""
+    parts = F.transform(F.split(text, ","), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "").try_cast("double"))
+    sound = (F.size(parts) == 4) & F.forall(parts, lambda v: v.isNotNull())
+    west, south, east, north = (F.try_element_at(parts, F.lit(n)) for n in (1, 2, 3, 4))
+    turned = (west > east) | (south > north) if point else (west >= east) | (south >= north)
+    reason = F.when(F.coalesce(text, F.lit("")) == "", None if point else F.lit("numbers")).when(~F.coalesce(sound, F.lit(False)), F.lit("numbers")).when(turned, F.lit("order"))
+    return F.struct(F.when(sound & ~turned, parts).alias("box"), reason.cast("string").alias("reason"))

@@ -105,3 +105,13 @@ def run_report(jobs: DataFrame, issues: DataFrame, path: str) -> None:
     """A report of a batch as JSON: a line for each job (job, ...) with its count of issues and the first of them by text."""
     counted = issues.groupBy("job").agg(F.count(F.lit(1)).alias("issues"), F.min("issue").alias("first_issue"))
     jobs.join(counted, "job", "left").withColumn("issues", F.coalesce("issues", F.lit(0))).write.mode("overwrite").json(path)
+
+
+def origin_of_files(holes: DataFrame, links: DataFrame) -> DataFrame:
+    """(project_id, source_file, n, new, supplementary) of the files that a project's live holes come from: rows of holes with their live links to
+    the same project, how many of them are supplementary or linked as new, and whether any is. A hole linked twice counts twice."""
+    own = live(links).select(F.col("borehole_id").alias("id"), "project_id", "project_role")
+    met = live(holes).where("source_file IS NOT NULL").join(own, ["id", "project_id"], "left")
+    new = F.coalesce(F.col("is_supplementary"), F.lit(False)) | F.coalesce(F.col("project_role") == "new", F.lit(False))
+    out = met.groupBy("project_id", "source_file").agg(F.count(F.lit(1)).alias("n"), F.count_if(new).alias("new"))
+    return out.withColumn("supplementary", F.col("new") > 0)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakern.functions import geodesy, scores, text
+from terrakern.functions import geodesy, parse, scores, text
 from terrakern.functions.names import SOIL_DETAIL
 from terrakern.operators import coordinates as C
 from terrakern.operators import duplicates as D
 from terrakern.operators import intervals as I
 from terrakern.operators import projects as PR
+from terrakern.operators import reads as R
 from terrakern.operators import terrain as TR
 from terrakern.plans import standins as T
 from terrakern.plans.further import grid_sql, pick, picked
@@ -240,3 +241,39 @@ def best_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     readings = [pick(_FIRST, F.floor(k / 4)), pick(_SECOND, F.floor(k / 28)), pick(_THIRD, F.floor(k / 140))]
     return T.table(spark, sf_dir, "events").select("event_id", scores.best_text(readings, pick(_FIELDS, k)).alias("best"))
+
+
+# --- what areas and files are asked for
+
+_WRITTEN = ("126.5, 36 ,127,37.25", "126,36,126,37", "126,36,127", "a,36,127,37", "127,36,126,37", "", None, " 1e2,-3,101,4 ", "126,36,127,37,", "1,2,1,2")
+
+
+def _box_sql(strict: str, blank: str, name: str) -> str:
+    ok = f"p[1] {strict} p[3] AND p[2] {strict} p[4]"
+    return f"""CASE WHEN len(p) = 4 AND len(list_filter(p, lambda v: v IS NULL)) = 0 AND {ok} THEN p[1] END AS {name}_west,
+ CASE WHEN COALESCE(t, '') = '' THEN {blank} WHEN len(p) <> 4 OR len(list_filter(p, lambda v: v IS NULL)) > 0 THEN 'numbers' WHEN NOT ({ok}) THEN 'order' END AS {name}_reason"""
+
+
+@query(
+    f"""WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey || ',' || s_nationkey || ',' || 50 || ',' || 9 ELSE {picked(_WRITTEN, 's_suppkey')} END AS t FROM supplier),
+ s AS (SELECT *, list_transform(string_split(t, ','), lambda v: TRY_CAST(trim(v) AS DOUBLE)) AS p FROM r) SELECT s_suppkey, {_box_sql('<', "'numbers'", 'area')}, {_box_sql('<=', 'NULL', 'list')} FROM s"""
+)
+def written_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as requests write them, for areas, which have a size, and for lists, which may have none."""
+    k = F.col("s_suppkey")
+    asked = F.when(k % 3 == 0, F.concat_ws(",", k.cast("string"), F.col("s_nationkey").cast("string"), F.lit("50"), F.lit("9"))).otherwise(pick(_WRITTEN, k))
+    s = T.table(spark, sf_dir, "supplier").select("s_suppkey", parse.box_of(asked).alias("a"), parse.box_of(asked, point=True).alias("l"))
+    return s.select("s_suppkey", F.try_element_at("a.box", F.lit(1)).alias("area_west"), F.col("a.reason").alias("area_reason"), F.try_element_at("l.box", F.lit(1)).alias("list_west"), F.col("l.reason").alias("list_reason"))
+
+
+@query(
+    f"""WITH {T.HOLES}, {T.LINKS}, h AS (SELECT id, project_id % 20 AS project_id, 'f' || (id % 40) AS source_file, is_supplementary AND id % 4 = 0 AS is_supplementary FROM holes WHERE deleted_at IS NULL AND id % 40 <> 7)
+ SELECT h.project_id, source_file, COUNT(*) AS n, COUNT(*) FILTER (WHERE is_supplementary IS TRUE OR project_role = 'new') AS new, COUNT(*) FILTER (WHERE is_supplementary IS TRUE OR project_role = 'new') > 0 AS supplementary
+ FROM h LEFT JOIN links l ON l.borehole_id = h.id AND l.project_id = h.project_id AND l.deleted_at IS NULL GROUP BY h.project_id, source_file"""
+)
+def origins_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files brought holes that are a project's own."""
+    i = F.col("id")
+    file = F.when(i % 40 != 7, F.concat(F.lit("f"), (i % 40).cast("string")))
+    h = T.holes(spark, sf_dir).withColumns({"project_id": F.col("project_id") % 20, "source_file": file, "is_supplementary": F.col("is_supplementary") & (i % 4 == 0)})
+    return R.origin_of_files(h, T.links(spark, sf_dir))

@@ -5,10 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from terrakern.functions import scores, text
+from terrakern.functions import parse, scores, text
 from terrakern.operators import coordinates as C
 from terrakern.operators import duplicates as D
 from terrakern.operators import projects as PR
+from terrakern.operators import reads as R
 from terrakern.operators import terrain as TR
 
 PROJECTS = "project_id long, name string, region string, owner_id long, deleted_at string"
@@ -154,3 +155,16 @@ def test_flags_of_holes(spark):
     assert {r["id"]: r["flags"] for r in D.derived_flags(holes, bad, twice).collect()} == {
         1: ["duplicate"], 2: ["depth_anomaly", "unreviewed", "coord_outlier"], 3: ["unreviewed", "coord_outlier"], 4: ["unreviewed"],
     }
+
+
+def test_boxes_as_written(spark):
+    df = spark.createDataFrame([("1,2,3,4",), ("1,2,1,2",), ("3,2,1,4",), ("1,2,3",), ("1,,3,4",), ("",), (None,), ("x",)], "t string")
+    assert [r[0] for r in df.select(parse.box_of(F.col("t"))["reason"]).collect()] == [None, "order", "order", "numbers", "numbers", "numbers", "numbers", "numbers"]
+    assert [r[0] for r in df.select(parse.box_of(F.col("t"), point=True)["reason"]).collect()] == [None, None, "order", "numbers", "numbers", None, None, "numbers"]
+    assert df.select(parse.box_of(F.col("t"))["box"]).first()[0] == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_origin_of_files(spark):
+    holes = spark.createDataFrame([(1, 1, True, None, "a"), (2, 1, None, None, "b"), (3, 1, False, "t", "b"), (4, 1, False, None, None), (5, 2, False, None, "b")], HOLES + ", source_file string")
+    links = spark.createDataFrame([(1, 1, 2, "existing", None), (2, 1, 2, "new", None), (3, 2, 5, "new", "t"), (4, 1, 5, "new", None)], LINKS)
+    assert rows(R.origin_of_files(holes, links)) == [(1, "a", 1, 1, True), (1, "b", 2, 1, True), (2, "b", 1, 0, False)]
