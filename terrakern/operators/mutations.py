@@ -57,20 +57,15 @@ def linked(links: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def synchronised(links: DataFrame, wanted: DataFrame, role: str = "existing") -> DataFrame:
-    """A project's links after it names its holes (project_id, borehole_id): those named are live again, with `role` where they
-    were excluded; the project's other links of that role are excluded, further roles stay."""
+    """A project's links after it names holes (project_id, borehole_id): those named are live again, with `role` where they were excluded or
+    not linked; links to other holes stay as they are, whatever their role. Several links to one hole: see projects.linked_to_named."""
     w = wanted.select("project_id", "borehole_id").distinct().withColumn("_wanted", F.lit(True))
-    projects = wanted.select("project_id").distinct().withColumn("_named", F.lit(True))
-    both = links.join(w, ["project_id", "borehole_id"], "full_outer").join(projects, "project_id", "left")
-    new_role = (
-        F.when(F.col("_wanted") & (F.col("project_role").isNull() | (F.col("project_role") == "excluded")), F.lit(role))
-        .when(F.col("_named") & F.col("_wanted").isNull() & (F.col("project_role") == role), F.lit("excluded"))
-        .otherwise(F.col("project_role"))
-    )
-    out = both.withColumn("project_role", new_role)
+    both = links.join(w, ["project_id", "borehole_id"], "full_outer")
+    excluded = F.col("project_role").isNull() | (F.col("project_role") == "excluded")
+    out = both.withColumn("project_role", F.when(F.col("_wanted") & excluded, F.lit(role)).otherwise(F.col("project_role")))
     if "deleted_at" in links.columns:
         out = out.withColumn("deleted_at", F.when(F.col("_wanted"), F.lit(None)).otherwise(F.col("deleted_at")))
-    return out.drop("_wanted", "_named")
+    return out.drop("_wanted")
 
 
 def reclassified(links: DataFrame, holes: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -1178,10 +1178,10 @@ def headered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(T.HOLES, T.LINKS, """k AS (SELECT project_id, borehole_id, MIN(project_role) AS role FROM links GROUP BY project_id, borehole_id), w AS (SELECT DISTINCT project_id, id AS borehole_id FROM holes WHERE id % 2 = 0 AND project_id < 15)""",
- then="""SELECT COALESCE(k.project_id, w.project_id) AS project_id, COALESCE(k.borehole_id, w.borehole_id) AS borehole_id, CASE WHEN w.borehole_id IS NOT NULL AND (role IS NULL OR role = 'excluded') THEN 'existing' WHEN w.borehole_id IS NULL AND role = 'existing' AND k.project_id IN (SELECT project_id FROM w) THEN 'excluded' ELSE role END AS project_role
+ then="""SELECT COALESCE(k.project_id, w.project_id) AS project_id, COALESCE(k.borehole_id, w.borehole_id) AS borehole_id, CASE WHEN w.borehole_id IS NOT NULL AND (role IS NULL OR role = 'excluded') THEN 'existing' ELSE role END AS project_role
  FROM k FULL JOIN w ON w.project_id = k.project_id AND w.borehole_id = k.borehole_id"""))
 def synchronised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of projects that name their holes anew."""
+    """Links of projects that name further holes; links that they don't name stay."""
     links = T.links(spark, sf_dir).groupBy("project_id", "borehole_id").agg(F.min("project_role").alias("project_role"))
     wanted = T.holes(spark, sf_dir).where("id % 2 = 0 AND project_id < 15").select("project_id", F.col("id").alias("borehole_id"))
     return M.synchronised(links, wanted)

@@ -135,7 +135,7 @@ def test_links(spark):
     wanted = spark.createDataFrame([(1, 1, "new"), (1, 2, "existing"), (1, 3, "new"), (1, 4, "existing")], "project_id int, borehole_id int, project_role string")
     assert {(r.project_id, r.borehole_id): r.project_role for r in mutations.linked(links, wanted).collect()} == {(1, 1): "new", (1, 2): "new", (1, 3): "excluded", (1, 4): "existing", (2, 1): "existing"}
     named = wanted.where("borehole_id IN (3, 4)")
-    assert {(r.project_id, r.borehole_id): r.project_role for r in mutations.synchronised(links, named).collect()} == {(1, 1): "excluded", (1, 2): "new", (1, 3): "existing", (1, 4): "existing", (2, 1): "existing"}
+    assert {(r.project_id, r.borehole_id): r.project_role for r in mutations.synchronised(links, named).collect()} == {(1, 1): "existing", (1, 2): "new", (1, 3): "existing", (1, 4): "existing", (2, 1): "existing"}
     placed = mutations.by_listed_order(spark.createDataFrame([(5,), (7,), (9,)], "id int"), "id", F.array(F.lit(7), F.lit(5), F.lit(7)))
     assert {r.id: r.place for r in placed.collect()} == {5: 1, 7: 2, 9: 0}
 
