@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakern.operators.aggregates import upper_median
-from terrakern.operators.materialise import cut
+from terrakern.operators.materialise import cut, stored
 from terrakern.operators.modelling import NODE, clamped_boundaries, extension_weights
+from terrakern.operators.neighbours import nearest_of_places
 from terrakern.operators.spatial import on_axis, within_radius
 from terrakern.operators.surfaces import LAYERS, distance_weighted, presence_weight, stacked_boundaries, thin_plate, voxel_count
 
@@ -52,70 +53,54 @@ def _in_blocks(left: DataFrame, right: DataFrame, on: Sequence[str], meet: Calla
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(meet, schema)
 
 
-def nearest_in(left: DataFrame, right: DataFrame, on: Sequence[str], k: int = 1) -> DataFrame:
-    """(on, key, other, d, place): the k nearest of right (on, key, x, y) to each row of left (on, key, x, y), ties by the least key; fewer where
-    right has fewer. Keys are unique within `on`; rows without a place have none."""
-    known = lambda df: df.where("x IS NOT NULL AND y IS NOT NULL").select(*on, "key", "x", "y")
-    left, right = known(left), known(right)
-    types = {f.name: f.dataType.simpleString() for f in left.schema}
-    names = [*on, "key", "other", "d"]
-
-    def meet(some: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
-        all_ = all_.sort_values("key")
-        x, y, keys, parts = all_["x"].to_numpy(float), all_["y"].to_numpy(float), all_["key"].to_numpy(), []
-        for lo in range(0, len(some), STRIP):
-            part = some.iloc[lo : lo + STRIP]
-            d = np.sqrt((part["x"].to_numpy(float)[:, None] - x) ** 2 + (part["y"].to_numpy(float)[:, None] - y) ** 2)
-            last = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            row, column = np.nonzero(d <= last[:, None])
-            order = np.lexsort((column, d[row, column], row))  # columns rise with the key
-            row, column = row[order], column[order]
-            first = np.searchsorted(row, row, "left")
-            few = np.arange(len(row)) - first < k
-            row, column = row[few], column[few]
-            parts.append(part[[*on, "key"]].iloc[row].assign(other=keys[column], d=d[row, column]))
-        return pd.concat(parts)[names] if parts else some[[*on, "key"]].iloc[:0].assign(other=keys[:0], d=np.empty(0))[names]
-
-    schema = ", ".join([*[f"{c} {types[c]}" for c in (*on, "key")], f"other {right.schema['key'].dataType.simpleString()}", "d double"])
-    w = Window.partitionBy(*on, "key").orderBy("d", "other")
-    return _in_blocks(left, right, on, meet, schema).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+def nearest_in(left: DataFrame, right: DataFrame, on: Sequence[str], k: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """(on, key, other, d, place, keep): the k nearest of right (on, key, x, y, keep) to each row of left (on, key, x, y), ties by the least key;
+    fewer where right has fewer. Keys are unique within `on`; rows without a place have none."""
+    near = stored(nearest_of_places(left, right, on, k, keep, _tile()))
+    return left.select(*on, "key", "x", "y").join(near, [*on, "x", "y"]).select(*on, "key", "other", "d", "place", *keep)
+
+
+def _tile() -> int:
+    return max(2, BLOCK // 8)
 
 
 def profiles(holes: DataFrame, strata: DataFrame) -> DataFrame:
     """Holes with what their strata (borehole_id, depth_top, depth_bottom, strata_group) show: drilled depth, the uppermost known layer
-    and its top, the deepest and its bottom. Strata that don't end below their top are none; groups not in LAYERS are unknown, and a
-    hole of unknown strata alone has no profile."""
+    and its top, the deepest and its bottom, and `layers`, the sum of thicknesses and the top of each of LAYERS, null where it isn't. Strata
+    that don't end below their top are none; groups not in LAYERS are unknown, and a hole of unknown strata alone has no profile."""
     s = strata.where("depth_bottom > depth_top").withColumn("_known", F.col("strata_group").isin(*LAYERS))
     known = lambda value, by: F.max_by(value, F.when(F.col("_known"), by))
     first = F.when(F.col("_known") & (F.col("depth_bottom") > THIN), F.struct("depth_top", "depth_bottom"))
+    own = lambda n, c: F.when(F.col("strata_group") == n, F.col(c))
+    each = [F.struct(F.sum(own(n, "depth_bottom") - own(n, "depth_top")).alias("thickness"), F.min(own(n, "depth_top")).alias("top")) for n in LAYERS]
     seen = s.groupBy(F.col("borehole_id").alias("id")).agg(
         F.max("depth_bottom").alias("drilled"), F.min_by(F.struct("strata_group", "depth_top"), first).alias("_first"), F.bool_or("_known").alias("_any"),
-        known(F.struct("strata_group", "depth_bottom"), F.struct("depth_bottom", -F.col("depth_top"))).alias("_last"),
+        known(F.struct("strata_group", "depth_bottom"), F.struct("depth_bottom", -F.col("depth_top"))).alias("_last"), F.array(*each).alias("layers"),
     )
-    seen = seen.where("_any").select("id", "drilled", F.col("_first.strata_group").alias("first_layer"), F.col("_first.depth_top").alias("first_top"), F.col("_last.strata_group").alias("deepest"), F.col("_last.depth_bottom").alias("deepest_bottom"))
+    seen = seen.where("_any").select("id", "drilled", F.col("_first.strata_group").alias("first_layer"), F.col("_first.depth_top").alias("first_top"), F.col("_last.strata_group").alias("deepest"), F.col("_last.depth_bottom").alias("deepest_bottom"), "layers")
     return holes.join(seen, "id").where("x IS NOT NULL AND y IS NOT NULL AND surface IS NOT NULL")
 
 
-def layered(profiled: DataFrame, strata: DataFrame) -> DataFrame:
+def layered(profiled: DataFrame, strata: DataFrame | None = None) -> DataFrame:
     """(project, layer, id, x, y, thickness, top, drilled, first_layer, first_top) of every profile and layer; a layer's strata in a hole
     add up, and one that a hole lacks has thickness 0 and no top."""
-    sums = strata.where("depth_bottom > depth_top").where(F.col("strata_group").isin(*LAYERS)).groupBy(F.col("borehole_id").alias("id"), F.col("strata_group").alias("layer"))
-    sums = sums.agg(F.sum(F.col("depth_bottom") - F.col("depth_top")).alias("thickness"), F.min("depth_top").alias("top"))
-    every = profiled.select("project", "id", "x", "y", "drilled", "first_layer", "first_top").withColumn("layer", F.explode(F.array(*[F.lit(n) for n in LAYERS])))
-    return every.join(sums, ["id", "layer"], "left").withColumn("thickness", F.coalesce("thickness", F.lit(0.0)))
+    if "layers" not in profiled.columns:
+        profiled = profiled.join(profiles(profiled.select("project", "id", "x", "y", "surface"), strata).select("id", "layers"), "id")
+    each = F.array(*[F.struct(F.lit(n).alias("layer"), F.get("layers", F.lit(k)).alias("s")) for k, n in enumerate(LAYERS)])
+    every = profiled.select("project", "id", "x", "y", "drilled", "first_layer", "first_top", F.explode(each).alias("_l"))
+    return every.select("project", F.col("_l.layer").alias("layer"), "id", "x", "y", F.coalesce("_l.s.thickness", F.lit(0.0)).alias("thickness"), F.col("_l.s.top").alias("top"), "drilled", "first_layer", "first_top")
 
 
 def with_states(rows: DataFrame) -> DataFrame:
     """layered() rows with state: present; absent, where soil is not what the hole begins with, or where it went past the top that a rock
-    layer has in the nearest holes that have it; else not_reached. Adds `expected`, that top."""
-    rows = cut(rows)
+    layer has in the nearest holes that have it; else not_reached. Adds `expected`, that top, which is one for all holes at a place."""
     has = F.col("thickness") > THIN
-    lacks = rows.where(~has & (F.col("layer") != "soil") & F.col("top").isNull()).withColumnRenamed("id", "key")
-    tops = rows.where(has).select(*LAYER, F.col("id").alias("other"), F.col("top").alias("_top"))
-    near = nearest_in(lacks, rows.where(has).withColumnRenamed("id", "key"), LAYER, NEIGHBOURS).join(tops, [*LAYER, "other"])
+    lacks = rows.where(~has & (F.col("layer") != "soil") & F.col("top").isNull())
+    near = nearest_of_places(lacks, rows.where(has).withColumnRenamed("id", "key"), LAYER, NEIGHBOURS, ["top"], _tile())
     weight = F.lit(1.0) / F.greatest(F.col("d"), F.lit(NEAR))
-    near = near.groupBy(*LAYER, F.col("key").alias("id")).agg((F.sum(F.col("_top") * weight) / F.sum(weight)).alias("_expected"))
-    both = rows.join(near, [*LAYER, "id"], "left").withColumn("expected", F.coalesce("top", "_expected"))
+    near = stored(near.groupBy(*LAYER, "x", "y").agg((F.sum(F.col("top") * weight) / F.sum(weight)).alias("_expected")))
+    asks = F.when(~has & F.col("top").isNull(), F.col("_expected"))
+    both = rows.join(near, [*LAYER, "x", "y"], "left").withColumn("expected", F.coalesce("top", asks))
     soil = (F.col("first_top") <= THIN) & (F.col("first_layer") != "soil")
     gone = F.when(F.col("layer") == "soil", soil).otherwise(F.col("drilled") >= F.col("expected") + MARGIN)
     return both.withColumn("state", F.when(has, "present").when(F.coalesce(gone, F.lit(False)), "absent").otherwise("not_reached")).drop("_expected")
@@ -130,21 +115,19 @@ def continuity(stated: DataFrame) -> DataFrame:
 def thickness_points(stated: DataFrame, whole: DataFrame) -> DataFrame:
     """(project, layer, id, x, y, z): control points of the layers' thickness. A hole's own; where a layer that isn't soil nor continuous is
     surely absent, less than zero by a share of the nearest one; elsewhere none."""
-    stated = cut(stated)
+    whole = stored(whole)
     present = stated.where("state = 'present'")
-    gone = stated.where("state = 'absent' AND layer <> 'soil'").join(whole.where("NOT continuous"), LAYER, "left_semi").withColumnRenamed("id", "key")
-    near = nearest_in(gone, present.withColumnRenamed("id", "key"), LAYER).select(*LAYER, F.col("key").alias("id"), "other")
-    thick = present.select(*LAYER, F.col("id").alias("other"), F.col("thickness").alias("_t"))
-    gone = gone.withColumnRenamed("key", "id").join(near, [*LAYER, "id"]).join(thick, [*LAYER, "other"])
+    gone = stated.where("state = 'absent' AND layer <> 'soil'").join(whole.where("NOT continuous"), LAYER, "left_semi")
+    near = stored(nearest_of_places(gone, present.withColumnRenamed("id", "key"), LAYER, 1, ["thickness"], _tile()).select(*LAYER, "x", "y", F.col("thickness").alias("_t")))
+    gone = gone.join(near, [*LAYER, "x", "y"])
     return present.select(*LAYER, "id", "x", "y", F.col("thickness").alias("z")).unionByName(gone.select(*LAYER, "id", "x", "y", (F.col("_t") * -PINCH).alias("z")))
 
 
 def thicknesses(nodes: DataFrame, points: DataFrame, whole: DataFrame, surface: Surface = thin_plate) -> DataFrame:
     """(project, layer, j, i, x, y, raw, z) of layers with a positive control point: the surface through the points, and the same held between a
     floor and twice the greatest. The floor is 0, or where a layer is continuous, and of soil, a tenth of what is near."""
-    points = cut(points)
     spans = points.groupBy(*LAYER).agg(F.max("z").alias("_most"), F.min(F.when(F.col("z") > 0, F.col("z"))).alias("_least")).where("_most > 0")
-    spans = spans.join(whole, LAYER).withColumn("_whole", F.col("continuous") | (F.col("layer") == "soil")).drop("continuous")
+    spans = stored(spans.join(whole, LAYER).withColumn("_whole", F.col("continuous") | (F.col("layer") == "soil")).drop("continuous"))  # a row for each layer
     raw = surface(nodes, points.join(spans, LAYER, "left_semi").select(*LAYER, "x", "y", "z")).select(*LAYER, "j", "i", "x", "y", F.col("z").alias("raw"))
     near = distance_weighted(nodes, points.where("z > 0").join(spans.where("_whole"), LAYER, "left_semi").select(*LAYER, "x", "y", "z"), 1.0)
     both = raw.join(spans, LAYER).join(near.select(*LAYER, "j", "i", F.col("z").alias("_near")), [*LAYER, "j", "i"], "left")
@@ -160,22 +143,29 @@ def rock_presence(nodes: DataFrame, stated: DataFrame, spacings: DataFrame) -> D
     A node hears the holes within a radius, or its nearest four where there are fewer than three. Holes that didn't reach the
     layer say nothing. The layer's middle thickness around it, or of the project, is the measure.
     """
-    nodes, stated = cut(nodes), cut(stated)
+    nodes = cut(nodes)
     radius = F.least(F.greatest(F.col("spacing") * SPACINGS, F.lit(LEAST_M)), F.lit(MOST_M))
-    reach = spacings.select("project", radius.alias("radius"))
+    reach = stored(spacings.select("project", radius.alias("radius")))
     node = F.shiftleft(F.col("j").cast("long"), 32) + F.col("i")
     at = nodes.select(*LAYER, node.alias("key"), "x", "y")
-    said = stated.select(*LAYER, F.col("id").alias("other"), "thickness", F.col("state").alias("state"))
-    spot = lambda which: stated.where(which).select(*LAYER, F.col("id").alias("key"), "x", "y")
-    near = cut(nearest_in(at, spot("true"), LAYER, NEIGHBOURS).drop("place"))
-    around = within_radius(at, spot("true"), MOST_M, LAYER).join(reach, "project").where("d <= radius").drop("radius")
-    many = around.groupBy(*LAYER, "key").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
-    scope = around.join(many, [*LAYER, "key"], "left_semi").unionByName(near.join(many, [*LAYER, "key"], "left_anti")).join(said, [*LAYER, "other"])
+    spot = lambda which: stated.where(which).select(*LAYER, F.col("id").alias("key"), "x", "y", "thickness", "state")
     has, gone = F.col("state") == "present", F.col("state") == "absent"
+    # holes at one place with one thickness are counted before they meet the nodes
+    held = stated.groupBy(*LAYER, "x", "y", "state", F.when(has, F.col("thickness")).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    held = stored(held.withColumn("other", F.struct("x", "y")))
+    around = within_radius(at, held.select(*LAYER, "x", "y", F.col("other").alias("key")).distinct(), MOST_M, LAYER).join(reach, "project").where("d <= radius").drop("radius")
+    around = stored(around.join(held.drop("x", "y"), [*LAYER, "other"]).groupBy(*LAYER, "key", "state", "_t").agg(F.sum("_n").alias("_n")))
+    near = stored(nearest_in(at, spot("true"), LAYER, NEIGHBOURS, ["thickness", "state"]))
+    many = around.groupBy(*LAYER, "key").agg(F.sum("_n").alias("_all")).where("_all >= 3").drop("_all")
+    few = near.join(many, [*LAYER, "key"], "left_anti").select(*LAYER, "key", "state", F.when(has, F.col("thickness")).alias("_t"), F.lit(1).cast("long").alias("_n"))
+    scope = stored(around.join(many, [*LAYER, "key"], "left_semi").unionByName(few))
     count = lambda c: F.count(F.when(c, 1))
-    scope = scope.withColumn("_t", F.when(has, F.col("thickness")))
-    local = scope.groupBy(*LAYER, "key").agg(count(has).alias("present"), count(has | gone).alias("told"), upper_median("_t").alias("local"))
-    four = near.join(said, [*LAYER, "other"]).groupBy(*LAYER, "key").agg(count(has).alias("near_present"), count(has | gone).alias("near_told"))
+    w = Window.partitionBy(*LAYER, "key")
+    ranked = scope.where("_t IS NOT NULL").withColumns({"_over": F.sum("_n").over(w.orderBy(F.col("_t").desc())), "_all": F.sum("_n").over(w)})
+    middle = ranked.where(F.col("_over") * 2 >= F.col("_all")).groupBy(*LAYER, "key").agg(F.max("_t").alias("local"))  # the upper median
+    told = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    local = scope.groupBy(*LAYER, "key").agg(told(has).alias("present"), told(has | gone).alias("told")).join(middle, [*LAYER, "key"], "left")
+    four = near.groupBy(*LAYER, "key").agg(count(has).alias("near_present"), count(has | gone).alias("near_told"))
     least = lambda which, name: nearest_in(at, spot(which), LAYER).select(*LAYER, "key", F.col("d").alias(name))
     usual = stated.where(has).groupBy(*LAYER).agg(upper_median("thickness").alias("usual"))
     both = nodes.withColumn("key", node).join(local, [*LAYER, "key"], "left").join(four, [*LAYER, "key"], "left").join(least("state = 'present'", "to_present"), [*LAYER, "key"], "left")
@@ -196,16 +186,15 @@ def extension_anchors(profiled: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def extension_points(anchors: DataFrame) -> DataFrame:
-    """(project, layer, id, x, y, z): control points of each layer's extension: a hole's own where the layer is its deepest and goes on; in all
+    """(project, layer, id, x, y, z) of anchors, one a hole: control points of each layer's extension: a hole's own where the layer is its deepest and goes on; in all
     the project's other holes less than zero, by a share of the nearest one's. Layers that go on nowhere have none."""
-    anchors = cut(anchors)
     own = anchors.where(F.col("z") > THIN)
-    every = anchors.drop("layer", "z").join(own.select(*LAYER).distinct(), "project")
-    others = every.join(own.select(*LAYER, "id"), [*LAYER, "id"], "left_anti").withColumnRenamed("id", "key")
-    near = nearest_in(others, own.withColumnRenamed("id", "key"), LAYER).select(*LAYER, "key", "other")
-    far = own.select(*LAYER, F.col("id").alias("other"), F.col("z").alias("_z"))
-    others = others.join(near, [*LAYER, "key"]).join(far, [*LAYER, "other"])
-    return own.select(*LAYER, "id", "x", "y", "z").unionByName(others.select(*LAYER, F.col("key").alias("id"), "x", "y", (F.col("_z") * -EXTENSION_PINCH).alias("z")))
+    layers = stored(own.select(*LAYER).distinct())
+    every = anchors.select("project", "id", "x", "y", F.when(F.col("z") > THIN, F.col("layer")).alias("_own")).join(layers, "project")
+    others = every.where(~F.col("layer").eqNullSafe(F.col("_own")))
+    near = stored(nearest_of_places(others, own.withColumnRenamed("id", "key"), LAYER, 1, ["z"], _tile()).select(*LAYER, "x", "y", F.col("z").alias("_z")))
+    others = others.join(near, [*LAYER, "x", "y"])
+    return own.select(*LAYER, "id", "x", "y", "z").unionByName(others.select(*LAYER, "id", "x", "y", (F.col("_z") * -EXTENSION_PINCH).alias("z")))
 
 
 def _pulls(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -221,7 +210,7 @@ def _pulls(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
                 parts.append(part[NODE].assign(layer=layer, pull=(own["z"].to_numpy(float) / np.maximum(d2, 1.0)).sum(axis=1)))
         return pd.concat(parts) if parts else some[NODE].iloc[:0].assign(layer="", pull=0.0)
 
-    met = _in_blocks(nodes.select(*NODE, "x", "y"), anchors.select("project", "layer", "id", "x", "y", "z"), ["project"], meet, f"project {kind}, j int, i int, layer string, pull double")
+    met = _in_blocks(nodes.select(*NODE, "x", "y"), stored(anchors.groupBy("project", "layer", "x", "y").agg(F.sum("z").alias("z"))), ["project"], meet, f"project {kind}, j int, i int, layer string, pull double")
     return met.groupBy(*NODE, "layer").agg(F.sum("pull").alias("pull"))
 
 
@@ -234,7 +223,6 @@ def extension_shares(nodes: DataFrame, anchors: DataFrame, surface: Surface = th
     """Nodes (project, j, i) with each layer's share, as columns named by it, of what lies below the deepest boundary: by the surfaces
     through the extension's control points; where all are below zero, by the anchors over the square of their distance; where there
     are none, the last layer alone. Adds `basis`: surface, distance or last."""
-    anchors = cut(anchors)
     fields = surface(nodes, extension_points(anchors).select(*LAYER, "x", "y", "z"))
     wide = cut(nodes.select(*NODE, "x", "y").join(_wide(fields, "z"), NODE, "left"))
     above = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
@@ -249,23 +237,33 @@ def extension_shares(nodes: DataFrame, anchors: DataFrame, surface: Surface = th
 def boundary_points(profiled: DataFrame, rows: DataFrame) -> DataFrame:
     """(project, layer, id, x, y, z): bottoms that the holes show, below the modelled ground: the layers' thicknesses add up in their order;
     a layer that a hole lacks has none."""
-    place = F.array_position(F.array(*[F.lit(n) for n in LAYERS]), F.col("layer"))
-    there = rows.where("thickness > 1e-6").join(profiled.select("id", "surface"), "id")
-    depth = F.sum("thickness").over(Window.partitionBy("project", "id").orderBy(place))  # five rows at the most
-    return there.select(*LAYER, "id", "x", "y", (F.col("surface") - depth).alias("z"))
+    if "layers" not in profiled.columns:
+        place = F.array_position(F.array(*[F.lit(n) for n in LAYERS]), F.col("layer"))
+        there = rows.where("thickness > 1e-6").join(profiled.select("id", "surface"), "id")
+        depth = F.sum("thickness").over(Window.partitionBy("project", "id").orderBy(place))  # five rows at the most
+        return there.select(*LAYER, "id", "x", "y", (F.col("surface") - depth).alias("z"))
+    depth, parts = F.lit(0.0), []
+    for k, n in enumerate(LAYERS):
+        thick = F.get("layers", F.lit(k))["thickness"]
+        depth = depth + F.when(thick > 1e-6, thick).otherwise(F.lit(0.0))
+        parts.append(F.struct(F.lit(n).alias("layer"), F.when(thick > 1e-6, F.col("surface") - depth).alias("z")))
+    each = profiled.select("project", "id", "x", "y", F.explode(F.array(*parts)).alias("_l"))
+    return each.where("_l.z IS NOT NULL").select("project", "_l.layer", "id", "x", "y", "_l.z")
 
 
 def placed_targets(points: DataFrame, axis_x: DataFrame, axis_y: DataFrame) -> DataFrame:
     """(project, layer, j, i, x, y, z, n, low, high): points (project, layer, id, x, y, z) by the node of the axes (project, place, at) where
     they lie, or without j and i by their own place; several at one give their mean."""
-    points = cut(points.withColumn("_row", F.struct("layer", "id")))
-    at = lambda axis, c, name: on_axis(axis, points.select("project", F.col("_row").alias("key"), F.col(c).alias("at")), 1e-10).select("project", F.col("key").alias("_row"), F.col("place").cast("int").alias(name))
-    both = points.join(at(axis_x, "x", "i"), ["project", "_row"], "left").join(at(axis_y, "y", "j"), ["project", "_row"], "left")
+    def at(axis: DataFrame, c: str, name: str) -> DataFrame:
+        places = points.where(F.col(c).isNotNull()).select("project", F.col(c).alias("key"), F.col(c).alias("at")).distinct()
+        return stored(on_axis(axis, places, 1e-10).select("project", F.col("key").alias(c), F.col("place").cast("int").alias(name)))
+
+    both = points.join(at(axis_x, "x", "i"), ["project", "x"], "left").join(at(axis_y, "y", "j"), ["project", "y"], "left")
     node = F.col("i").isNotNull() & F.col("j").isNotNull()
     own = [F.when(~node, F.round(F.col(c), 12)).alias(f"_{c}") for c in "xy"]
     grouped = both.select(*LAYER, *[F.when(node, F.col(c)).alias(c) for c in "ji"], *own, "id", "x", "y", "z").groupBy(*LAYER, "j", "i", "_x", "_y")
-    out = grouped.agg(F.min_by(F.struct("x", "y"), "id").alias("_at"), F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
-    return out.select(*LAYER, "j", "i", "_at.x", "_at.y", "z", "n", "low", "high")
+    out = grouped.agg(*[F.min_by(c, "id").alias(c) for c in "xy"], F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+    return out.select(*LAYER, "j", "i", "x", "y", "z", "n", "low", "high")
 
 
 def constrained_stack(nodes: DataFrame, thick: DataFrame, placed: DataFrame, floors: DataFrame, ordered: bool = False) -> DataFrame:
@@ -340,7 +338,7 @@ def _segments(points: DataFrame, axis: DataFrame, c: str, name: str) -> DataFram
 @dataclass
 class Model:
     """A ground model: what the holes show, the layers' thickness, targets and stack, each written to the shared folder once; the
-    extended stack, the errors and the cells are worked out when asked for."""
+    states of layers, the extended stack, the errors and the cells are worked out when asked for."""
 
     nodes: DataFrame
     axis_x: DataFrame
@@ -367,10 +365,10 @@ def model(holes: DataFrame, strata: DataFrame, nodes: DataFrame, axis_x: DataFra
     """The whole model of all projects: from holes (project, id, x, y, surface) and strata to the boundaries at nodes (project, j, i, x, y, ground)
     of the axes (project, place, at), above floors (project, floor). `soil_signed` (project, j, i, signed) is where there is soil: its
     thickness follows it down to nothing. Without holes the stack is the ground."""
-    profiled = cut(profiles(holes, strata))
-    rows = cut(layered(profiled, strata))
-    stated = cut(with_states(rows))
-    whole = cut(continuity(stated))
+    profiled = stored(profiles(holes, strata))
+    rows = layered(profiled)
+    stated = with_states(rows)
+    whole = stored(continuity(stated))
     plain = nodes.select(*NODE, "x", "y")
     thick = thicknesses(plain, thickness_points(stated, whole), whole, surface)
     if soil_signed is not None:

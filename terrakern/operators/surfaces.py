@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakern.operators.materialise import cut
+from terrakern.operators.materialise import cut, stored
 from terrakern.operators.spatial import pairs_within
 
 LAYERS = ("soil", "weathered_rock", "soft_rock", "normal_rock", "hard_rock")
@@ -52,27 +52,30 @@ def grounded_layers(strata: DataFrame) -> DataFrame:
 def distance_weighted(nodes: DataFrame, anchors: DataFrame, power: float = 2.0, exact: float = 1e-14) -> DataFrame:
     """Nodes (project, j, i, x, y) with z of each layer: an anchor's own value at its place, else the mean by 1 / d ** power.
 
-    A project's nodes and anchors are dealt to blocks; two blocks meet in numpy, and give sums for each node and layer.
+    Anchors of a layer at one place count as one with their sum, number and least. A project's nodes and anchors are dealt to blocks; two blocks
+    meet in numpy, and give sums for each node and layer.
     """
+    value = F.coalesce(F.col("z").cast("double"), F.lit(float("nan")))
+    anchors = stored(anchors.groupBy("project", "layer", "x", "y").agg(F.sum(value).alias("z"), F.count(F.lit(1)).alias("n"), F.min(value).alias("low")))
     spread = lambda df, name: df.withColumn(name, F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)))
     many = lambda df, name: df.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / NODES).alias(name))
     sizes = many(nodes, "_rows").join(many(anchors, "_columns"), "project")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = spread(nodes.select("project", "j", "i", "x", "y"), "_a").join(sizes, "project").withColumn("_a", F.col("_a") % F.col("_rows")).withColumn("_b", each("_columns")).drop("_rows", "_columns")
-    right = spread(anchors.select("project", "layer", "x", "y", "z"), "_b").join(sizes, "project").withColumn("_b", F.col("_b") % F.col("_columns")).withColumn("_a", each("_rows")).drop("_rows", "_columns")
+    right = spread(anchors, "_b").join(sizes, "project").withColumn("_b", F.col("_b") % F.col("_columns")).withColumn("_a", each("_rows")).drop("_rows", "_columns")
     kind = nodes.schema["project"].dataType.simpleString()
 
     def meet(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for layer, own in known.groupby("layer"):
-            x, y, z = (own[c].to_numpy(float) for c in "xyz")
+            x, y, z, n, low = (own[c].to_numpy(float) for c in ("x", "y", "z", "n", "low"))
             for lo in range(0, len(some), 1024):
                 part = some.iloc[lo : lo + 1024]
                 d2 = (part["x"].to_numpy(float)[:, None] - x) ** 2 + (part["y"].to_numpy(float)[:, None] - y) ** 2
                 there = d2 < exact
                 weight = np.where(there, 0.0, 1 / np.where(there, 1.0, d2) ** (power / 2))
-                at = np.where(there.any(axis=1), np.where(there, z, np.inf).min(axis=1), np.nan)
-                parts.append(part[["project", "j", "i", "x", "y"]].assign(layer=layer, _z=weight @ z, _w=weight.sum(axis=1), _at=at))
+                at = np.where(there.any(axis=1), np.where(there, low, np.inf).min(axis=1), np.nan)
+                parts.append(part[["project", "j", "i", "x", "y"]].assign(layer=layer, _z=weight @ z, _w=weight @ n, _at=at))
         return pd.concat(parts) if parts else some[["project", "j", "i", "x", "y"]].iloc[:0].assign(layer="", _z=0.0, _w=0.0, _at=0.0)
 
     key = ["project", "_a", "_b"]

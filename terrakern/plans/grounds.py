@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrakern.operators import details as D
 from terrakern.operators import ground as G
-from terrakern.operators.materialise import cut
+from terrakern.operators.materialise import cut, stored
 from terrakern.operators.surfaces import LAYERS, distance_weighted, grid
 from terrakern.plans import standins as T
 from terrakern.plans.registry import query
@@ -47,9 +47,8 @@ def _axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _profiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = _strata(spark, sf_dir)
-    p = cut(G.profiles(_holes(spark, sf_dir), s))
-    return p, cut(G.layered(p, s))
+    p = stored(G.profiles(_holes(spark, sf_dir), _strata(spark, sf_dir)))
+    return p, G.layered(p)
 
 
 _HOLES = f"""{T.STRATA}, gh AS (SELECT id, project, i * 64.0::DOUBLE + off AS x, j * 64.0::DOUBLE AS y, 300.0::DOUBLE + (j * 7 + i * 3) % 5 AS surface FROM (SELECT o_orderkey AS id, o_orderkey % 25 AS project, o_orderkey * 37 % 17 AS i, (o_orderkey * 11 + o_custkey) % 17 AS j, CASE WHEN o_custkey % 4 = 0 THEN 20.0 ELSE 0.0 END AS off FROM orders)),
@@ -120,7 +119,7 @@ def layer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_HOLES}, {_POINTS} SELECT project, layer, id, z FROM tp")
 def thickness_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = _profiled(spark, sf_dir)
-    stated = cut(G.with_states(rows))
+    stated = G.with_states(rows)
     return G.thickness_points(stated, G.continuity(stated)).select("project", "layer", "id", "z")
 
 
@@ -216,8 +215,8 @@ _COUNTED = "COUNT(*) FILTER (WHERE state = 'present') AS {0}present, COUNT(*) FI
 def rock_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each layer of rock is, by the holes around each node."""
     _, rows = _profiled(spark, sf_dir)
-    stated = cut(G.with_states(rows))
-    whole = cut(G.continuity(stated))
+    stated = G.with_states(rows)
+    whole = stored(G.continuity(stated))
     thick = G.thicknesses(_nodes(spark, sf_dir).drop("ground"), G.thickness_points(stated, whole), whole, distance_weighted).where("layer <> 'soil'")
     spacings = T.projects(spark, sf_dir).select(F.col("project_id").alias("project"), (F.lit(30.0) + F.col("project_id") * 6).alias("spacing"))
     return G.rock_presence(thick, stated, spacings).withColumn("signed", F.round("signed", 5))
