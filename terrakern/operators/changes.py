@@ -124,7 +124,7 @@ def enabled_virtual(virtual: DataFrame, strata: DataFrame, holes: DataFrame, met
     """(key, reason) of virtual holes (key, lon, lat): null where one can be enabled, else close (to a live hole) or strata (not
     without gaps from 0 down)."""
     at = live(holes).select(F.col("id").alias("key"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    close = within_metres(virtual.select("key", "lon", "lat"), at, metres).select("key").distinct().withColumn("_close", F.lit(True))
+    close = within_metres(virtual.select("key", "lon", "lat"), at.dropDuplicates(["lon", "lat"]), metres).select("key").distinct().withColumn("_close", F.lit(True))
     whole = contiguity(strata, ["key"], ["depth_top", "depth_bottom"]).select("key", "contiguous")
     judged = virtual.join(close, "key", "left").join(whole, "key", "left")
     return judged.select("key", F.when(F.col("_close"), "close").when(~F.coalesce("contiguous", F.lit(False)), "strata").alias("reason"))
