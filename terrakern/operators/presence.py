@@ -20,7 +20,7 @@ LEAST, WIDEST = 0.1, 150.0
 def absence_zones(profiles: DataFrame, spacing: float, cell: float) -> DataFrame:
     """(key, x, y, core, transition) of profiles that surely lack the layer, by how far the nearest one is that has it."""
     absent = profiles.where("absent").select("key", "x", "y")
-    close = nearest(absent, profiles.where("thickness > 0").select("key", "x", "y"), 1, spacing).select("key", "d")
+    close = nearest(absent, profiles.where("thickness > 0").select("key", "x", "y")).select("key", "d")
     radii = absence_radii(F.col("d"), F.lit(float(spacing)), F.lit(float(cell)))
     return absent.join(close, "key", "left").withColumn("_r", radii).select("key", "x", "y", "_r.core", "_r.transition")
 
@@ -36,7 +36,7 @@ def presence_field(nodes: DataFrame, profiles: DataFrame, spacing: float, cell:
     around = cut(within_radius(nodes, places, radius))
     many = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     lonely = nodes.join(many, "key", "left_anti")
-    scope = around.join(many.select("key"), "key", "left_semi").unionByName(nearest(lonely, places, few, radius).select("key", "other", "d"))
+    scope = around.join(many.select("key"), "key", "left_semi").unionByName(nearest(lonely, places, few).select("key", "other", "d"))
     said = profiles.select(F.col("key").alias("other"), (F.col("thickness") > 0).alias("has"), "absent").where("has OR absent")
     weight = F.lit(1.0) / F.greatest(F.col("d") * F.col("d"), F.lit(1.0))
     shares = scope.join(said, "other").groupBy("key").agg((F.sum(F.when(F.col("has"), weight).otherwise(0.0)) / F.sum(weight)).alias("share"))
