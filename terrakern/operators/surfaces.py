@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakern.operators.materialise import cut, stored
+from terrakern.operators.materialise import ROWS, cut, dealt, stored
 from terrakern.operators.spatial import pairs_within
 
 LAYERS = ("soil", "weathered_rock", "soft_rock", "normal_rock", "hard_rock")
@@ -56,7 +56,12 @@ def distance_weighted(nodes: DataFrame, anchors: DataFrame, power: float = 2.0,
     meet in numpy, and give sums for each node and layer.
     """
     value = F.coalesce(F.col("z").cast("double"), F.lit(float("nan")))
-    anchors = stored(anchors.groupBy("project", "layer", "x", "y").agg(F.sum(value).alias("z"), F.count(F.lit(1)).alias("n"), F.min(value).alias("low")))
+    return weighted_by_places(nodes, anchors.groupBy("project", "layer", "x", "y").agg(F.sum(value).alias("z"), F.count(F.lit(1)).alias("n"), F.min(value).alias("low")), power, exact)
+
+
+def weighted_by_places(nodes: DataFrame, places: DataFrame, power: float = 2.0, exact: float = 1e-14) -> DataFrame:
+    """distance_weighted() of anchors by their places (project, layer, x, y): z, the sum of their values, their number n and least value low."""
+    anchors = stored(places.select("project", "layer", "x", "y", "z", "n", "low"))
     spread = lambda df, name: df.withColumn(name, F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)))
     many = lambda df, name: df.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / NODES).alias(name))
     sizes = many(nodes, "_rows").join(many(anchors, "_columns"), "project")
@@ -435,9 +440,9 @@ def phantoms(holes: DataFrame, scale: float = 1.8, count: int = 12, block: int =
     project's holes, then of the blocks' corners; the nearest hole is an aggregate.
     """
     sound = holes.where("x IS NOT NULL AND y IS NOT NULL").select("project", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    middles = sound.groupBy("project").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    middles = stored(sound.groupBy("project").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
     places = sound.join(middles, "project").withColumn("_block", F.pmod(F.xxhash64("x", "y"), F.col("_blocks")))
-    corners = _outline(places.select("project", "_block", "x", "y", "mx", "my"), ["project", "_block"])
+    corners = _outline(dealt(places.select("project", "_block", "x", "y", "mx", "my"), "project", "_block"), ["project", "_block"])
     corners = _outline(corners.drop("_block"), ["project"])
     kind = holes.schema["project"].dataType.simpleString()
 
@@ -459,8 +464,9 @@ def phantoms(holes: DataFrame, scale: float = 1.8, count: int = 12, block: int =
             far = np.where(np.isfinite(best), best, far)
         return pd.DataFrame({"project": rows["project"].iloc[0], "id": -100 - np.arange(count), "x": mx + scale * far * dx[:, 0], "y": my + scale * far * dy[:, 0]})
 
-    around = cut(corners.groupBy("project").applyInPandas(rays, f"project {kind}, id long, x double, y double"))
-    met = sound.select("project", F.col("id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y")).join(around, "project")
+    around = stored(corners.groupBy("project").applyInPandas(rays, f"project {kind}, id long, x double, y double"))  # a row for each ray
+    each = dealt(sound, "id", rows=max(1, ROWS // count))  # a task sorts `count` rows for each of its holes
+    met = each.select("project", F.col("id").alias("_hole"), F.col("x").alias("_x"), F.col("y").alias("_y")).join(around, "project")
     apart = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
     nearest = met.groupBy("project", "id").agg(F.min_by("_hole", F.struct(apart, "_hole")).alias("copies"))
     return around.join(nearest, ["project", "id"])

@@ -13,3 +13,21 @@ def test_strata_are_dealt_by_rows(spark, small, monkeypatch):
     strata = T.strata(spark, small)
     assert strata.rdd.getNumPartitions() == math.ceil(rows / 100)
     assert strata.count() == rows
+
+
+def _recorded(monkeypatch, module):
+    seen = []
+
+    def dealt(df, *keys, rows=None):
+        seen.append((keys, rows))
+        return materialise.dealt(df, *keys, rows=rows)
+
+    monkeypatch.setattr(module, "dealt", dealt)
+    return seen
+
+
+def test_phantoms_deal_holes_by_rows(spark, small, monkeypatch):
+    seen = _recorded(monkeypatch, U)
+    points = U.phantoms(T.points(spark, small).withColumnRenamed("key", "id"), count=4)
+    assert points.groupBy("project").count().where("count <> 4").isEmpty()
+    assert (("project", "_block"), None) in seen and (("id",), materialise.ROWS // 4) in seen
