@@ -3,6 +3,7 @@
 import math
 
 from terrakern.operators import materialise
+from terrakern.operators import spatial as P
 from terrakern.operators import surfaces as U
 from terrakern.plans import standins as T
 
@@ -31,3 +32,10 @@ def test_phantoms_deal_holes_by_rows(spark, small, monkeypatch):
     points = U.phantoms(T.points(spark, small).withColumnRenamed("key", "id"), count=4)
     assert points.groupBy("project").count().where("count <> 4").isEmpty()
     assert (("project", "_block"), None) in seen and (("id",), materialise.ROWS // 4) in seen
+
+
+def test_merging_deals_holes_by_rows(spark, monkeypatch):
+    seen = _recorded(monkeypatch, P)
+    holes = spark.createDataFrame([(1, n, n, float(n // 2 * 10), 0.0, 1.0, 1) for n in range(8)], "project long, ord long, id long, x double, y double, elevation double, n_strata long")
+    assert sorted(r["merged"] for r in P.merge_near(holes, 2.0).collect()) == [2, 2, 2, 2]
+    assert {keys for keys, _ in seen} >= {("id",), ("cluster",), ("_c",)}
