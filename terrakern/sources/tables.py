@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -24,6 +25,8 @@ from terrakern.operators.intervals import filled_down, merge_adjacent, stacked
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
 DELIMITERS = ",;\t|"
 MOST_UNPACKED = 100 << 20
+#: Rows of a file that a task gives out at a time.
+AT_ONCE = 4096
 CELLS = "path string, row_no long, cells array<string>"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -76,25 +79,34 @@ def xlsx_rows(data: bytes) -> Iterator[list[str]]:
         if "xl/sharedStrings.xml" in inside:
             strings = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         sheet = _first_sheet(z, inside)
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_SHEET}row"):
+        held = None  # the element that rows lie in lets go of those read
+        for event, row in ElementTree.iterparse(z.open(sheet), ("start", "end")):
+            if event == "start":
+                held = row if row.tag == f"{_SHEET}sheetData" else held
+            if event == "start" or row.tag != f"{_SHEET}row":
+                continue
             cells: list[str] = []
             for c in row.iter(f"{_SHEET}c"):
                 at = _column(c.get("r")) if c.get("r") else len(cells)
                 value = c.find(f"{_SHEET}v")
                 text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else (value.text if value is not None else "")
                 cells += [""] * (at - len(cells)) + [strings[int(text)] if c.get("t") == "s" and text else text or ""]
+            if held is not None:
+                held.clear()
             if any(c.strip() for c in cells):
                 yield cells
 
 
 def cells_of(files: DataFrame) -> DataFrame:
-    """CELLS of files (path, content): a workbook by its name, else a table of text. A file is read in one task."""
+    """CELLS of files (path, content): a workbook by its name, else a table of text. A file is read in one task, and its rows go out
+    some at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                rows = list(xlsx_rows(data) if name.lower().endswith(".xlsx") else csv_rows(data))
-                yield pd.DataFrame({"path": [name] * len(rows), "row_no": range(len(rows)), "cells": rows})
+                rows = enumerate(xlsx_rows(data) if name.lower().endswith(".xlsx") else csv_rows(data))
+                while some := list(islice(rows, AT_ONCE)):
+                    yield pd.DataFrame({"path": [name] * len(some), "row_no": [n for n, _ in some], "cells": [c for _, c in some]})
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 

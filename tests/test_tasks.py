@@ -1,11 +1,15 @@
 """Work that follows the rows: tasks get more with the table, not larger."""
 
+import io
 import math
+import tracemalloc
+import zipfile
 
 from terrakern.operators import materialise
 from terrakern.operators import spatial as P
 from terrakern.operators import surfaces as U
 from terrakern.plans import standins as T
+from terrakern.sources import tables as SRC
 
 
 def test_strata_are_dealt_by_rows(spark, small, monkeypatch):
@@ -39,3 +43,16 @@ def test_merging_deals_holes_by_rows(spark, monkeypatch):
     holes = spark.createDataFrame([(1, n, n, float(n // 2 * 10), 0.0, 1.0, 1) for n in range(8)], "project long, ord long, id long, x double, y double, elevation double, n_strata long")
     assert sorted(r["merged"] for r in P.merge_near(holes, 2.0).collect()) == [2, 2, 2, 2]
     assert {keys for keys, _ in seen} >= {("id",), ("cluster",), ("_c",)}
+
+
+def test_a_workbook_is_read_row_by_row():
+    rows = "".join(f'<row r="{n}"><c r="A{n}" t="inlineStr"><is><t>{n}</t></is></c><c r="B{n}" t="inlineStr"><is><t>x</t></is></c></row>' for n in range(1, 20_001))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+    data = buffer.getvalue()
+    tracemalloc.start()
+    read = sum(1 for row in SRC.xlsx_rows(data) if row[1] == "x")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == 20_000 and peak < 4 << 20
