@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +65,16 @@ def flattened(trees: DataFrame) -> DataFrame:
         return value if isinstance(value, dict) else {}
 
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in ELEMENTS.split(", ")]
+    names = [part.split()[0] for part in ELEMENTS.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, n, *e) for doc, text in zip(batch["doc"], batch["json"], strict=True) for n, e in enumerate(elements_of(tree(text)))]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"row": "Int32", "col": "Int32"}) if rows else out
+            rows = [(doc, n, *e) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, e in enumerate(elements_of(tree(text)))]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return trees.select("doc", "json").mapInPandas(run, ELEMENTS)
+    return trees.select("doc", "json").mapInArrow(run, ELEMENTS)
 
 
 def pipe_rows(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 from terrakern.operators import materialise
 from terrakern.operators import spatial as P
 from terrakern.operators import surfaces as U
+from terrakern.plans import further
 from terrakern.plans import standins as T
 from terrakern.sources import tables as SRC
 
@@ -56,3 +57,12 @@ def test_a_workbook_is_read_row_by_row():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert read == 20_000 and peak < 4 << 20
+
+
+def test_long_work_is_dealt_by_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(further, "WORKED", 10)
+    rows = T.table(spark, small, "customer").count()
+    assert further.anchored_places(spark, small).rdd.getNumPartitions() == max(4, math.ceil(rows / 10))
+    monkeypatch.setattr(further, "WORKED", 50)
+    rows = T.table(spark, small, "orders").count() * 2
+    assert further.flattened_trees(spark, small).rdd.getNumPartitions() == max(4, math.ceil(rows / 50))
