@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from terrakern.functions import names
 from terrakern.operators.ground import placed_targets
-from terrakern.operators.materialise import cut
-from terrakern.operators.surfaces import distance_weighted
+from terrakern.operators.materialise import stored
+from terrakern.operators.surfaces import distance_weighted, weighted_by_places
 
 # The name of soil that says no more, the least thickness of a layer of detail, and of a stratum.
 PLAIN, LEAST, THIN = "토사", 0.05, 0.001
@@ -39,7 +39,7 @@ def occurrence_places(found: DataFrame, words: Sequence[str]) -> DataFrame:
     """(project, key, place): each project's keys in an order that no hole contradicts; ties by the words' own order, then by n, by the mean place
     in the holes and by key. Keys that holes contradict each other about follow in that order. A project's keys are as many as its names and
     how often a hole repeats one: a small table, walked with a heap."""
-    found = cut(found)
+    found = stored(found)
     rank = F.array_position(F.array(*[F.lit(w) for w in words]), F.col("name"))
     keys = found.groupBy("project", "key").agg(F.min(F.when(rank > 0, rank).otherwise(len(words) + 1)).alias("rank"), F.min("nth").alias("nth"), F.avg("place").alias("mean"), F.collect_set("after").alias("below"))
     kind = found.schema["project"].dataType.simpleString()
@@ -70,13 +70,17 @@ def occurrence_places(found: DataFrame, words: Sequence[str]) -> DataFrame:
 def detail_parts(nodes: DataFrame, found: DataFrame, soil: DataFrame, places: DataFrame, axis_x: DataFrame, axis_y: DataFrame) -> DataFrame:
     """Nodes (project, j, i) with `parts`, an array of (place, key, thickness, contact, snap) in the project's order: the mean by distance of an
     occurrence's thickness over all holes with soil (project, id, x, y), 0 where a hole lacks it; that of its bottom over the holes
-    that have it; and at a node where holes stand, the mean of what they show."""
-    found = cut(found)
-    every = soil.select("project", "id", "x", "y").join(places.select("project", "key"), "project")
-    thick = every.join(found.groupBy("project", "id", "key").agg(F.sum("thickness").alias("thickness")), ["project", "id", "key"], "left")
-    at = ["project", "layer", "j", "i"]
+    that have it; and at a node where holes stand, the mean of what they show. Holes are counted by their places before they meet the keys."""
+    found = stored(found)
+    at, spot = ["project", "layer", "j", "i"], ["project", "x", "y"]
     plain = nodes.select(*NODE, "x", "y")
-    shares = distance_weighted(plain, thick.select("project", F.col("key").alias("layer"), "x", "y", F.coalesce("thickness", F.lit(0.0)).alias("z"))).select(*at, F.col("z").alias("thickness"))
+    holes = soil.select("project", "id", "x", "y")
+    every = holes.groupBy(*spot).agg(F.count(F.lit(1)).alias("n")).join(places.select("project", F.col("key").alias("layer")), "project")
+    own = holes.join(found.groupBy("project", "id", F.col("key").alias("layer")).agg(F.coalesce(F.sum("thickness"), F.lit(0.0)).alias("t")), ["project", "id"])
+    own = own.groupBy(*spot, "layer").agg(F.sum("t").alias("z"), F.min("t").alias("low"), F.count(F.lit(1)).alias("_have"))
+    low = F.when(F.col("_have") < F.col("n"), F.least("low", F.lit(0.0))).otherwise(F.col("low"))
+    thick = every.join(own, [*spot, "layer"], "left").select(*spot, "layer", F.coalesce("z", F.lit(0.0)).alias("z"), "n", F.coalesce(low, F.lit(0.0)).alias("low"))
+    shares = weighted_by_places(plain, thick).select(*at, F.col("z").alias("thickness"))
     bottoms = found.select("project", F.col("key").alias("layer"), "id", "x", "y", "z")
     contacts = distance_weighted(plain, bottoms.drop("id")).select(*at, F.col("z").alias("contact"))
     snaps = placed_targets(bottoms, axis_x, axis_y).where("j IS NOT NULL").select(*at, F.col("z").alias("snap"))

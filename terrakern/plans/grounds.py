@@ -233,7 +233,7 @@ def _detailed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.when(k == 0, "매립토").when(k == 1, "점토").when(k == 2, "사질점토").otherwise("토사")
     s = T.strata(spark, sf_dir).select("borehole_id", "depth_top", "depth_bottom", F.when(F.col("l_linenumber") <= 4, "soil").otherwise("hard_rock").alias("strata_group"), name.alias("soil_type"))
     holes = _holes(spark, sf_dir)
-    return cut(D.occurrences(holes, s)), holes.join(s.where("strata_group = 'soil'").select(F.col("borehole_id").alias("id")).distinct(), "id", "left_semi")
+    return stored(D.occurrences(holes, s)), holes.join(s.where("strata_group = 'soil'").select(F.col("borehole_id").alias("id")).distinct(), "id", "left_semi")
 
 
 _OCCURRENCES = f"""{T.STRATA}, gh AS (SELECT id, project, i * 64.0::DOUBLE + off AS x, j * 64.0::DOUBLE AS y, 300.0::DOUBLE + (j * 7 + i * 3) % 5 AS surface FROM (SELECT o_orderkey AS id, o_orderkey % 25 AS project, o_orderkey * 37 % 17 AS i, (o_orderkey * 11 + o_custkey) % 17 AS j, CASE WHEN o_custkey % 4 = 0 THEN 20.0 ELSE 0.0 END AS off FROM orders)),

@@ -66,3 +66,11 @@ def test_long_work_is_dealt_by_rows(spark, small, monkeypatch):
     monkeypatch.setattr(further, "WORKED", 50)
     rows = T.table(spark, small, "orders").count() * 2
     assert further.flattened_trees(spark, small).rdd.getNumPartitions() == max(4, math.ceil(rows / 50))
+
+
+def test_places_stand_for_their_holes(spark):
+    nodes = spark.createDataFrame([(1, 0, 0, 0.0, 0.0), (1, 0, 1, 3.0, 0.0)], "project long, j int, i int, x double, y double")
+    anchors = spark.createDataFrame([(1, "a", 0.0, 0.0, 2.0), (1, "a", 0.0, 0.0, 0.0), (1, "a", 5.0, 0.0, 4.0)], "project long, layer string, x double, y double, z double")
+    places = spark.createDataFrame([(1, "a", 0.0, 0.0, 2.0, 2, 0.0), (1, "a", 5.0, 0.0, 4.0, 1, 4.0)], "project long, layer string, x double, y double, z double, n long, low double")
+    rows = lambda df: sorted((r["i"], round(r["z"], 9)) for r in df.collect())
+    assert rows(U.weighted_by_places(nodes, places)) == rows(U.distance_weighted(nodes, anchors))
