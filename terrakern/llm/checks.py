@@ -78,7 +78,7 @@ SHINGLE_COUNTS = f"""SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5
 
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of shingles."""
-    return jaccard.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles")
+    return jaccard.sizes(table(spark, sf_dir, "documents"))
 
 
 #: CTEs crc (of each id written as text) in SQL, by the published table of 256.

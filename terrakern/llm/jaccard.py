@@ -337,6 +337,12 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id and n_shingles of every row of docs (doc_id, text, ...), as groups() has them: its first step alone, without links."""
+    told = _classes(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")))
+    return told.where(F.col("part").isNull()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """(id, text_hash, n, c, component_id) of every row of docs (id, text); c names the component, null for an empty set."""
     told = cut(_classes(docs))

@@ -219,3 +219,9 @@ def test_dealt_vectors_grow_with_the_table(spark, monkeypatch):
         cells = neardup._survey(df, neardup._survey(df, cells, 24), 24)
         dealt.append(neardup._deal(df, cells, 24).count())
     assert 64 * 8 <= dealt[0] and dealt[1] <= 12 * dealt[0]
+
+
+def test_sizes_are_those_of_groups(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, "a b"), (4, " "), (None, "x")], "doc_id long, text string")
+    rows = lambda df: sorted(map(str, df.select("doc_id", "n_shingles").collect()))
+    assert rows(jaccard.sizes(docs)) == rows(jaccard.groups(docs))
