@@ -8,6 +8,7 @@ import zipfile
 from terrakern.operators import materialise
 from terrakern.operators import spatial as P
 from terrakern.operators import surfaces as U
+from terrakern.plans import registry  # noqa: F401  (it loads the others in their order)
 from terrakern.plans import further
 from terrakern.plans import standins as T
 from terrakern.sources import tables as SRC
