@@ -42,12 +42,21 @@ VARIANTS: dict[str, tuple[dict[str, str], str]] = {
 }
 
 
+#: Fixed value: what texts hold that compatibility composition may change, anything but ASCII and whole syllables of Hangul.
+COMPOSED = r"[^\x00-\x7F가-힣]"
+
+
 @F.pandas_udf(StringType())
-def compatible(text: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC), which no built-in function gives."""
+def _compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility composition (NFKC), which no built-in function gives. Texts that it leaves as they are don't go to Python."""
+    changes = text.rlike(COMPOSED)
+    return F.coalesce(_compatible(F.when(changes, text)), text)
+
+
 def clean_cell(raw: Column) -> Column:
     """A table cell on one line, without control characters and repeated blanks; null counts as empty."""
     text = F.regexp_replace(F.coalesce(compatible(raw), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")

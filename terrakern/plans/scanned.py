@@ -12,16 +12,16 @@ from terrakern.plans.registry import query
 
 def _document(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines of documents, and pages that name their holes, none in one of three."""
-    n = F.col("l_linenumber")
-    li = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), n, F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-    li = li.groupBy("doc", "l_linenumber").agg(F.min(F.struct("p", "s", "q")).alias("r")).select("doc", (F.col("l_linenumber") * 10).cast("long").alias("line_no"), "r.p", "r.s", "r.q")
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    li = T.table(spark, sf_dir, "lineitem").groupBy(key, n).agg(F.min(F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))).alias("r"))
+    li = li.select(key.cast("string").alias("doc"), (n * 10).cast("long").alias("line_no"), "r.p", "r.s", "r.q")
     cells = [F.lit("|"), F.col("q").cast("int").cast("string"), F.lit(".5 |a|b|"), F.when(F.col("p") % 8 != 0, F.lit("x.png|실트층|")).otherwise(F.lit(""))]
-    rows = li.select("doc", "line_no", F.concat(*cells).alias("text"))
-    labels = li.where("p % 6 = 0").select("doc", (F.col("line_no") - 5).alias("line_no"), F.concat(F.lit("시추공번 : bh"), (F.col("s") % 4).cast("string")).alias("text"))
-    rulers = li.select("doc", (F.col("line_no") - 7).alias("line_no"), F.lit("|---|---|---|---|---|").alias("text"))
+    line = lambda before, text: F.struct((F.col("line_no") - before).alias("line_no"), text.alias("text"))
+    label = F.when(F.col("p") % 6 == 0, line(5, F.concat(F.lit("시추공번 : bh"), (F.col("s") % 4).cast("string"))))
+    lines = li.select("doc", F.inline(F.array_compact(F.array(line(0, F.concat(*cells)), label, line(7, F.lit("|---|---|---|---|---|"))))))
     o = F.col("o_orderkey")
     pages = T.table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(o.cast("string").alias("doc"), F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("BH  -"), (o % 4).cast("string"), F.lit(" 와 BH 2, BH--3 그리고 BH-"), (o % 5).cast("string")).alias("text"))
-    return rows.unionByName(labels).unionByName(rulers), pages
+    return lines, pages
 
 
 _MATCHED = "list_filter(ids, lambda i: contains(replace(i, '-', ''), lab) OR contains(lab, i))"
@@ -41,6 +41,6 @@ _SCAN = f"""WITH RECURSIVE li AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_l
 def scanned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of all holes that the documents' tables speak of."""
     lines, pages = _document(spark, sf_dir)
-    found = SC.intervals_of_rows(SC.rows_of_holes(lines, SC.ids_named(pages)))
-    soils = lines.select("doc", "line_no", SC.soil_of_row(F.col("text")).alias("soil"))
-    return found.join(soils, ["doc", "line_no"])
+    lines = lines.withColumn("cell", SC.soil_cell(F.col("text")))
+    found = SC.intervals_of_rows(SC.rows_of_holes(lines, SC.ids_named(pages), ["cell"]))
+    return found.withColumn("soil", SC.soil_of_cell(F.col("cell"))).drop("cell")

@@ -1,8 +1,13 @@
 """Reading logs off lines, on documents read by hand."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from terrakern.functions.text import compatible
 from terrakern.operators import scans as SC
+from terrakern.plans import registry  # noqa: F401  (it loads the others in their order)
+from terrakern.plans import scanned
 
 
 def lines(spark, *texts, doc="d"):
@@ -45,3 +50,21 @@ def test_documents_do_not_touch_and_nothing_is_read_from_nothing(spark):
 def test_soils_of_rows(spark):
     df = lines(spark, row(1, "a.png|풍화<br>암|"), row(1, "a.png|갈색 모래|"), row(1, ""), None)
     assert [r[0] for r in df.orderBy("line_no").select(SC.soil_of_row(F.col("text"))).collect()] == ["풍화암", "모래", "토사", "토사"]
+
+
+def test_columns_stay_with_their_rows(spark):
+    df = lines(spark, row("1.0"), "No. BH-2", row("0.5"), row("0.2"), doc="d").withColumn("cell", F.concat(F.lit("c"), F.col("line_no").cast("string")))
+    given = spark.createDataFrame([("d", "BH-1", 0), ("d", "BH-2", 1)], "doc string, id string, place int")
+    found = SC.rows_of_holes(df, given, ["cell"]).orderBy("line_no")
+    assert [tuple(r) for r in found.select("line_no", "hole", "section", "bottom", "cell").collect()] == [(0, "BH-1", 0, 1.0, "c0"), (2, "BH-2", 1, 0.5, "c2")]
+
+
+def test_scanned_logs_read_their_table_once(spark, small):
+    plan = scanned.scanned_logs(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("l_linenumber") > 0 and "Relation" in line for line in plan.splitlines()) == 1
+
+
+def test_compatible_form(spark):
+    texts = ["ＢＨ－１ ㎡", "a\n한글|", "가", "", None, "가각", "𝟏"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").orderBy("n")
+    assert [r[0] for r in df.select(compatible(F.col("t"))).collect()] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
