@@ -183,3 +183,25 @@ def test_training_gradients():
     again = attention.unpacked(attention.packed(model.w))
     assert all((again[n] == model.w[n]).all() for n in again)
     assert per_text > -3.5  # six guesses among twenty would cost 7.8
+
+
+def test_every_id_of_the_learning_texts_is_trained_on(spark):
+    """Windows are the texts, whole; a pass of training takes each block."""
+    vocabulary = open(lm.TOKENIZER, "rb").read()
+    texts = [" ".join(f"w{i * 7919 % 5003}" for i in range(n)) for n in (0, 1, 30, 700, 40_000)] + ["x" * 3000 + " tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm.windows(docs, sum(len(t.split()) + 1 for t in texts), vocabulary).collect()
+    end = len(lm._tokenizer(vocabulary)[1]) - 1
+    whole = [i for t in texts for i in (*lm._tokenizer(vocabulary)[0].encode_ordinary("".join(f" {w}" for w in t.split())), end)]
+    assert sorted(i for r in rows for i in r.ids) == sorted(whole)
+
+
+def test_a_pass_takes_each_block(monkeypatch):
+    counts = np.ones(20)
+    words = attention.vocabulary(counts, np.arange(20) % attention.CLASSES)
+    seen = []
+    attend = attention.Model.attend
+    monkeypatch.setattr(attention.Model, "attend", lambda self, x, f: seen.append(len(f)) or attend(self, x, f))
+    texts = [np.arange(16) % 19 for _ in range(100)]
+    attention.train(words, texts, 19, steps=1, batch=8)
+    assert sum(seen) == int(attention._layout(np.array([16] * 100))[0].sum())
