@@ -20,7 +20,7 @@ from terrakern.operators.aggregates import upper_median
 from terrakern.operators.materialise import cut, stored
 from terrakern.operators.modelling import NODE, clamped_boundaries, extension_weights
 from terrakern.operators.neighbours import nearest_of_places
-from terrakern.operators.spatial import on_axis, within_radius
+from terrakern.operators.spatial import on_axis
 from terrakern.operators.surfaces import LAYERS, distance_weighted, presence_weight, stacked_boundaries, thin_plate, voxel_count
 
 #: Rows of a block; rows of one that are held against a whole other at once.
@@ -136,6 +136,48 @@ def thicknesses(nodes: DataFrame, points: DataFrame, whole: DataFrame, surface:
     return both.select(*LAYER, "j", "i", "x", "y", "raw", z.alias("z"))
 
 
+def _heard(nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """(project, layer, key, state, _t, _n): how many holes with a state and thickness nodes (project, layer, key, x, y, radius) have within their
+    radius, MOST_M at the most, of held (project, layer, x, y, state, _t, _n).
+
+    Nodes meet the holes in reach of their cell in numpy. A cell's holes are dealt by state and thickness, so that a node's number of one
+    is whole in one block; only where a cell has more than BLOCK places are they dealt by place too, and the numbers added up.
+    """
+    on, side = [*LAYER, "_cx", "_cy"], MOST_M * 4
+    whole = lambda df: df.where((F.abs(F.col("x")) < float("inf")) & (F.abs(F.col("y")) < float("inf")))
+    at = whole(nodes).withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)})
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - MOST_M) / side), F.floor((F.col(c) + MOST_M) / side)))
+    there = whole(held).withColumn("_cx", reach("x")).withColumn("_cy", reach("y"))
+    many = there.groupBy(*on).agg(F.ceil(F.count_distinct("x", "y") / BLOCK).alias("_slabs"), F.count(F.lit(1)).alias("_m"))
+    many = many.withColumn("_values", F.ceil(F.col("_m") / (F.col("_slabs") * BLOCK * 16))).drop("_m")
+    sizes = stored(many.join(at.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_rows")), on))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    number = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n))
+    left = at.join(sizes, on).withColumn("_a", number("_rows", "key")).withColumn("_b", each(F.col("_slabs") * F.col("_values"))).drop("_slabs", "_values", "_rows")
+    right = there.join(sizes, on).withColumn("_b", number("_slabs", "x", "y") * F.col("_values") + number("_values", "state", "_t")).withColumn("_a", each(F.col("_rows"))).drop("_slabs", "_values", "_rows")
+    types = {f.name: f.dataType.simpleString() for f in nodes.schema}
+
+    def meet(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(["state", "_t"], ignore_index=True)
+        t, state, n = known["_t"].to_numpy(float), known["state"].to_numpy(), known["_n"].to_numpy(np.int64)
+        new = np.flatnonzero(np.append(True, (state[1:] != state[:-1]) | ~((t[1:] == t[:-1]) | (np.isnan(t[1:]) & np.isnan(t[:-1])))))
+        spots, spot = np.unique(known[["x", "y"]].to_numpy(float), axis=0, return_inverse=True)
+        parts = []
+        for lo in range(0, len(some) if len(known) else 0, 64):
+            part = some.iloc[lo : lo + 64]
+            d = np.sqrt((part["x"].to_numpy(float)[:, None] - spots[:, 0]) ** 2 + (part["y"].to_numpy(float)[:, None] - spots[:, 1]) ** 2)
+            close = (d <= part["radius"].to_numpy(float)[:, None]).astype(np.int64)
+            counts = np.add.reduceat(close[:, spot.ravel()] * n, new, axis=1)
+            row, column = np.nonzero(counts)
+            parts.append(part[[*LAYER, "key"]].iloc[row].assign(state=state[new[column]], _t=t[new[column]], _n=counts[row, column]))
+        return pd.concat(parts) if parts else some[[*LAYER, "key"]].iloc[:0].assign(state="", _t=0.0, _n=0)
+
+    key = [*on, "_a", "_b"]
+    met = left.repartition(*key).groupBy(*key).cogroup(right.repartition(*key).groupBy(*key)).applyInPandas(meet, f"project {types['project']}, layer string, key {types['key']}, state string, _t double, _n long")
+    met = met.withColumn("_t", F.when(~F.isnan("_t"), F.col("_t")))
+    return met.groupBy(*LAYER, "key", "state", "_t").agg(F.sum("_n").alias("_n"))
+
+
 def rock_presence(nodes: DataFrame, stated: DataFrame, spacings: DataFrame) -> DataFrame:
     """(project, layer, j, i, signed) of nodes (project, layer, j, i, x, y, raw): the raw thickness, lifted where holes that have the layer
     dominate and lowered where holes that surely lack it do. spacings: (project, spacing), the holes' mean distance.
@@ -152,9 +194,7 @@ def rock_presence(nodes: DataFrame, stated: DataFrame, spacings: DataFrame) -> D
     has, gone = F.col("state") == "present", F.col("state") == "absent"
     # holes at one place with one thickness are counted before they meet the nodes
     held = stated.groupBy(*LAYER, "x", "y", "state", F.when(has, F.col("thickness")).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    held = stored(held.withColumn("other", F.struct("x", "y")))
-    around = within_radius(at, held.select(*LAYER, "x", "y", F.col("other").alias("key")).distinct(), MOST_M, LAYER).join(reach, "project").where("d <= radius").drop("radius")
-    around = stored(around.join(held.drop("x", "y"), [*LAYER, "other"]).groupBy(*LAYER, "key", "state", "_t").agg(F.sum("_n").alias("_n")))
+    around = stored(_heard(at.join(reach, "project"), stored(held)))
     near = stored(nearest_in(at, spot("true"), LAYER, NEIGHBOURS, ["thickness", "state"]))
     many = around.groupBy(*LAYER, "key").agg(F.sum("_n").alias("_all")).where("_all >= 3").drop("_all")
     few = near.join(many, [*LAYER, "key"], "left_anti").select(*LAYER, "key", "state", F.when(has, F.col("thickness")).alias("_t"), F.lit(1).cast("long").alias("_n"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from terrakern.operators import ground as G
@@ -111,3 +112,21 @@ def _by(rows):
     for r in rows:
         out.setdefault(r["project"], []).append(r)
     return out
+
+
+def test_holes_around_nodes_are_counted_in_blocks(spark, monkeypatch):
+    """Numbers by state and thickness of the holes within each node's radius; a node meets no hole row by row, and crowded cells are split."""
+    rng = np.random.default_rng(4)
+    nodes = [("p", "soil", k, float(x), float(y), r) for k, (x, y, r) in enumerate(zip(rng.uniform(-900, 900, 60), rng.uniform(-900, 900, 60), rng.choice([80.0, 250.0], 60).tolist()))]
+    held = [("p", "soil", float(x), float(y), str(s), float(t) if s == "present" else None, int(n)) for x, y, s, t, n in zip(rng.integers(-9, 9, 900) * 100, rng.integers(-9, 9, 900) * 100, rng.choice(["present", "absent"], 900), rng.integers(1, 5, 900), rng.integers(1, 4, 900))]
+    want = {}
+    for _, _, k, x, y, r in nodes:
+        for _, _, hx, hy, s, t, n in held:
+            if math.hypot(x - hx, y - hy) <= r:
+                want[k, s, t] = want.get((k, s, t), 0) + n
+    a = spark.createDataFrame(nodes, "project string, layer string, key long, x double, y double, radius double")
+    b = spark.createDataFrame(held, "project string, layer string, x double, y double, state string, _t double, _n long")
+    for block in (4096, 8):
+        monkeypatch.setattr(G, "BLOCK", block)
+        heard = G._heard(a, b)
+        assert {(r["key"], r["state"], r["_t"]): r["_n"] for r in heard.collect()} == want
