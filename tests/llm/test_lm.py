@@ -205,3 +205,27 @@ def test_a_pass_takes_each_block(monkeypatch):
     texts = [np.arange(16) % 19 for _ in range(100)]
     attention.train(words, texts, 19, steps=1, batch=8)
     assert sum(seen) == int(attention._layout(np.array([16] * 100))[0].sum())
+
+
+def test_gradients_against_differences():
+    """The gradient of parts of some blocks, added up, against differences of the loss; a slot's is gathered from all its places."""
+    rng = np.random.default_rng(3)
+    weights = {n: x.astype(np.float64).astype(np.float32) for n, x in attention.begin(4).items()}
+    blocks, first = 6, np.array([True, False, False, True, False, False])
+    x = rng.integers(0, 30, (blocks + 1) * attention.BLOCK).astype(np.int16)
+    kinds, real = rng.integers(0, attention.CLASSES, blocks * attention.BLOCK), rng.random(blocks * attention.BLOCK) < 0.8
+    weight = (real / real.sum()).astype(np.float32)
+
+    def loss(w):
+        logits = (attention.Model(w).attend(x, first)[-1] @ w["out"] + w["out_bias"]).astype(float)
+        return float((weight * (np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(kinds)), kinds])).sum())
+
+    flat = np.zeros_like(attention.packed(weights))
+    g = attention._parts(flat)
+    for a, b in ((0, 3), (3, 5), (5, 6)):
+        span = slice(a * attention.BLOCK, b * attention.BLOCK)
+        attention._add_gradient(attention.Model(weights), x[a * attention.BLOCK : (b + 1) * attention.BLOCK], first[a:b], kinds[span], weight[span], g)
+    for n in weights:
+        way = rng.normal(size=weights[n].shape).astype(np.float32)
+        moved = [loss(weights | {n: weights[n] + np.float32(step) * way}) for step in (2e-3, -2e-3)]
+        assert (moved[0] - moved[1]) / 4e-3 == pytest.approx(float((g[n] * way).sum()), rel=0.03, abs=2e-3)
