@@ -221,6 +221,43 @@ def test_dealt_vectors_grow_with_the_table(spark, monkeypatch):
     assert 64 * 8 <= dealt[0] and dealt[1] <= 12 * dealt[0]
 
 
+def test_vectors_without_structure_are_not_copied(spark, monkeypatch):
+    """Of vectors all over the sphere nothing is dealt to many tasks: what Spark shuffles is the vectors once, not once for each block."""
+    import numpy as np
+
+    from terrakern.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rows = []
+    deal = neardup._deal
+    monkeypatch.setattr(neardup, "_deal", lambda *x: rows.append(deal(*x).count()) or deal(*x))
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1200, 16))
+    v[1100:] = v[:100] + rng.normal(size=(100, 16)) * 0.05
+    v = [(i, [float(x) for x in np.float32(u)]) for i, u in enumerate(v)]
+    got = neardup.near_duplicates(spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == vectors_brute(v)
+    assert sum(rows) <= 1.2 * len(v)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_that_meet_each_other_agree_with_cells(spark, monkeypatch, kind):
+    """Clusters of all widths, copies of them and hot ones, blocks that aren't full: in cells, in pairs of blocks and pair by pair."""
+    import numpy as np
+
+    from terrakern.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    rng = np.random.default_rng(9)
+    v = [c + rng.normal(size=12) * s for c in rng.normal(size=(60, 12)) for s in rng.choice([0, 0.02, 0.1, 0.15, 0.2, 0.5], 12)]
+    v = [(i, [float(x) for x in np.float32(u)]) for i, u in enumerate([*v, *[v[0]] * 40, *[v[5] + rng.normal(size=12) * 0.01 for _ in range(500)]])]
+    df = spark.createDataFrame(v, f"vec_id long, embedding array<{kind}>").repartition(5)
+    want = vectors_brute(v)
+    for dealt in (0, 1e9):
+        monkeypatch.setattr(neardup, "DEALT", dealt)
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in neardup.near_duplicates(df).collect()) == want
+
+
 def test_sizes_are_those_of_groups(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, "a b"), (4, " "), (None, "x")], "doc_id long, text string")
     rows = lambda df: sorted(map(str, df.select("doc_id", "n_shingles").collect()))
