@@ -90,3 +90,44 @@ def test_land_water_and_sea_bed(spark):
     assert {tuple(r) for r in levels.collect()} == {(7, 0, 2.5), (8, 0, 1.5)}
     kinds = {r["key"]: (r["kind"], r["level"]) for r in R.classed_cells(points, R.cover(water), levels, land).collect()}
     assert kinds[0] == ("inland", 1.5) and kinds[1] == ("inland", 1.5) and kinds[2] == ("land", None) and kinds[3] == ("sea", 0.0)
+
+
+def test_long_edges_touch_a_few_cells_each(spark):
+    """A ring whose edges go to and fro over all its width: cells, and rows that meet a point, don't grow faster than the edges."""
+    for n in (400, 4000):
+        ring = [(math.cos(2 * math.pi * k / n) * (1 - 0.6 * (k % 2)), math.sin(2 * math.pi * k / n) * (1 - 0.6 * (k % 2))) for k in range(n)]
+        covered = R.cover(table(spark, {(0, 0, 0): ring}))
+        assert covered.touched.count() <= 8 * n
+    places = [(k, 1.1 * math.cos(k), 1.1 * math.sin(k) * (0.5 + k % 3 / 4)) for k in range(300)]
+    got = {r["key"] for r in R.regions_of(spark.createDataFrame(places, "key long, x double, y double"), covered).collect()}
+    assert got == {k for k, x, y in places if held(ring, x, y)} and len(got) > 20
+
+
+@pytest.mark.parametrize("rows", [200_000, 50])
+def test_land_around_drawn_places(spark, monkeypatch, rows):
+    """Nine places around each, and all radii at once, against every edge; no table goes to all tasks."""
+    monkeypatch.setattr(R, "ROWS", rows)
+    draw = random.Random(5)
+    rings = {k: [(120 + x * 1e-4, 35 + y * 1e-4) for x, y in ring] for k, ring in rings_of(6, 8).items()}
+    places = [(k, 120 + draw.uniform(-30, 90) * 1e-4, 35 + draw.uniform(-30, 90) * 1e-4) for k in range(150)]
+    covered, points = R.cover(table(spark, rings)), spark.createDataFrame(places, "key long, x double, y double")
+
+    def near(x, y, metres):
+        east, north = metres / (max(math.cos(y * math.pi / 180), 0.1) * R.DEGREE_LON_M), metres / R.DEGREE_LAT_M
+        return any(holding(rings, x + a * east, y + b * north) for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+    land = R.on_land(points, covered, 40.0)
+    assert "Broadcast" not in land._jdf.queryExecution().toString()
+    assert {r["key"] for r in land.collect()} == {k for k, x, y in places if near(x, y, 40.0)}
+
+    def radius(x, y):
+        if near(x, y, R.MARGIN):
+            return 0
+        for r in R.RADII:
+            east, north = r / (max(math.cos(y * math.pi / 180), 0.1) * R.DEGREE_LON_M), r / R.DEGREE_LAT_M
+            if any(near(x + a * east, y + b * north, R.MARGIN) for a, b in R.DIRECTIONS):
+                return r
+        return None
+
+    got = {r["key"]: r["radius"] for r in R.land_distance(points, covered).collect()}
+    assert got == {k: radius(x, y) for k, x, y in places} and len(set(got.values())) > 4
