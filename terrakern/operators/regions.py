@@ -127,16 +127,20 @@ def _meeting(x: float, y: float, side: float, steps: list[tuple[int, int]]):
             out = out * len(d.dictionary) + d.indices.to_numpy()
         return out
 
-    def parities(px: np.ndarray, py: np.ndarray, edges: tuple[np.ndarray, ...], corner_x: float, corner_y: float) -> np.ndarray:
+    def parities(px: np.ndarray, py: np.ndarray, edges: tuple[np.ndarray, ...], row: int, column: int) -> np.ndarray:
+        """Edges met along the row and down the side. What lies above or below the side's ends is told by the crossings that tell left from
+        right, so an edge that is level but for its last digit isn't met by one and missed by the other."""
         x0, y0, x1, y1 = edges
-        n = np.zeros(len(px), np.int64)
+        corner_x, base = (column + 1) * side + x, row * side + y
+        n, up = np.zeros(len(px), np.int64), (x1 > x0) == (y1 > y0)
+        beyond = np.floor(((x1 - x0) * (base - y0) / (y1 - y0) + x0 - x) / side) > column
+        down = np.flatnonzero(((x0 > corner_x) != (x1 > corner_x)) & np.where((y0 > base) != (y1 > base), beyond != up, y0 > base))
         for lo in range(0, len(px), step := max(1, PAIRS // max(1, len(x0)))):
             qx, qy = px[lo : lo + step, None], py[lo : lo + step, None]
-            crossing = (x1 - x0) * (qy - y0) / (y1 - y0) + x0
-            n[lo : lo + step] = (((y0 > qy) != (y1 > qy)) & (qx < crossing) & (crossing <= corner_x)).sum(axis=1)
-        down = (y1 - y0) * (corner_x - x0) / (x1 - x0) + y0
-        down = np.sort(down[((x0 > corner_x) != (x1 > corner_x)) & (down > corner_y)])
-        return n + np.searchsorted(down, py, side="right")
+            crossing, met = (x1 - x0) * (qy - y0) / (y1 - y0) + x0, (y0 > qy) != (y1 > qy)
+            n[lo : lo + step] = (met & (qx < crossing) & (crossing <= corner_x)).sum(axis=1)
+            n[lo : lo + step] += np.where(met[:, down], (crossing[:, down] > corner_x) == up[down], y0[down] <= qy).sum(axis=1)
+        return n
 
     def run(points: pa.Table, faces: pa.Table) -> pa.Table:
         whose, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -163,7 +167,7 @@ def _meeting(x: float, y: float, side: float, steps: list[tuple[int, int]]):
                     lines = some[odd[some] < 0]
                     count = odd[some].max(initial=0)
                     if len(lines):
-                        count = count + parities(sx, sy, tuple(e[lines] for e in edges), (column + 1) * side + x, row * side + y)
+                        count = count + parities(sx, sy, tuple(e[lines] for e in edges), row, column)
                     within, outline = np.broadcast_to(count % 2 == 1, len(sx)), ring[some[0]] == 0
                     before = held.get(part[some[0]], (np.zeros(len(sx), bool), some[0]))[0]
                     held[part[some[0]]] = (within if outline else before & ~within), some[0]  # by rings, an outline is the first

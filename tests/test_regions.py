@@ -131,3 +131,15 @@ def test_land_around_drawn_places(spark, monkeypatch, rows):
 
     got = {r["key"]: r["radius"] for r in R.land_distance(points, covered).collect()}
     assert got == {k: radius(x, y) for k, x, y in places} and len(set(got.values())) > 4
+
+
+@pytest.mark.parametrize("side", [0.7, 1.3, 2.7])
+def test_edges_level_but_for_the_last_digit(spark, side):
+    """Places at the height of long edges whose ends differ by a rounding error, both ways up."""
+    rings, low, high = {}, math.nextafter(496, 0), math.nextafter(496, 1e9)
+    for k, (a, b) in enumerate([(low, high), (high, low), (low, 496.0), (496.0, high), (math.nextafter(low, 0), high)]):
+        rings[k, 0, 0] = [(0.0, 490.0), (17.3, 490.0), (23.1, a), (3.3, b), (1.0, 495.0)]
+        rings[k + 10, 0, 0] = [(0.0, 499.0), (3.3, a), (23.1, b), (19.0, 500.0)]
+    places = [(n * 3 + m, n / 8 - 1, y) for n in range(210) for m, y in enumerate((low, 496.0, high))]
+    got = {tuple(r)[:2] for r in R.regions_of(spark.createDataFrame(places, "key long, x double, y double"), R.cover(table(spark, rings), side)).collect()}
+    assert got == {(k, p[0]) for k, x, y in places for p in holding(rings, x, y)}
